@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from glyphmill.llm.decontamination import OP1_SQL, op1
+from glyphmill.llm.mixing import op7
 
-QUERIES = {"op1_decontamination": op1}
+QUERIES = {"op1_decontamination": op1, "op7_mixing": op7}
 ORACLE_SQL = {"op1_decontamination": OP1_SQL}
