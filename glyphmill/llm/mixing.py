@@ -2,11 +2,11 @@
 
 Documents of a source fall into blocks by a hash of their id, which permutes them without a sort. A source's target is
 reached by whole passes over its blocks, then blocks in order, then documents of one last block, in hash order, each
-that still fits. The
-block units of all sources form an urn. A binary tree over the output shards draws, at every node, how many units of
-each source go left, so that every shard has its share of the whole, every source spends exactly its quota, and the
-mix inside shards varies as under a random shuffle. Units are dealt in order to the leaves: disjoint runs of permuted
-blocks. All that rows need to know is one small record per source, so documents are joined with nothing else.
+that still fits; the smallest left over joins them if that comes nearer. The block units of all sources form an urn. A
+binary tree over the output shards draws, at every node, how many units of each source go left, so that every shard has
+its share of the whole, every source spends exactly its quota, and the mix inside shards varies as under a random
+shuffle. Units are dealt in order to the leaves: disjoint runs of permuted blocks. All that rows need to know is one
+small record per source, so documents are joined with nothing else.
 """
 
 from __future__ import annotations
@@ -107,7 +107,12 @@ def plan_sources(sizes: DataFrame, seed: int = 7, block_docs: int = BLOCK_DOCS,
     # rows of one id are decided together; so a block's list is bounded by its ids
     places = inside.groupBy("source", "cut_block", "place", F.floor(F.col("rest") - F.col("base")).alias("room")).agg(F.sum("size").alias("size"))
     listed = places.groupBy("source", "cut_block", "room").agg(F.array_sort(F.collect_list(F.struct("place", "size"))).alias("block"))
-    take = F.expr("aggregate(block, named_struct('room',room,'out',cast(array() as array<bigint>)), (a,x) -> if(x.size <= a.room, named_struct('room',a.room-x.size,'out',concat(a.out,array(x.place))), a), a -> a.out)")
+    take = F.expr("""aggregate(block,
+        named_struct('room', room, 'out', cast(array() as array<bigint>), 'least', cast(null as struct<size: bigint, place: bigint>)),
+        (a, x) -> if(x.size <= a.room,
+            named_struct('room', a.room - x.size, 'out', concat(a.out, array(x.place)), 'least', a.least),
+            named_struct('room', a.room, 'out', a.out, 'least', if(a.least.size <= x.size, a.least, named_struct('size', x.size, 'place', x.place)))),
+        a -> if(2 * a.room > a.least.size, concat(a.out, array(a.least.place)), a.out))""")
     picked = listed.select(F.col("source").alias("s"), "cut_block", take.alias("picks"))
     sources = sources.join(picked, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     # with no last block, all or no blocks are taken once more

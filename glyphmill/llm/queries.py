@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from glyphmill.llm.decontamination import OP1_SQL, op1
 from glyphmill.llm.mixing import op7
+from glyphmill.llm.ngram_join import OP3_SQL, op3
 
-QUERIES = {"op1_decontamination": op1, "op7_mixing": op7}
-ORACLE_SQL = {"op1_decontamination": OP1_SQL}
+QUERIES = {"op1_decontamination": op1, "op3_ngram_join": op3, "op7_mixing": op7}
+ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op3_ngram_join": OP3_SQL}
