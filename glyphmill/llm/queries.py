@@ -3,8 +3,16 @@
 from __future__ import annotations
 
 from glyphmill.llm.decontamination import OP1_SQL, op1
+from glyphmill.llm.embedding_dedup import OP6_SQL, op6
+from glyphmill.llm.license_scan import op10
 from glyphmill.llm.mixing import op7
 from glyphmill.llm.ngram_join import OP3_SQL, op3
 
-QUERIES = {"op1_decontamination": op1, "op3_ngram_join": op3, "op7_mixing": op7}
-ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op3_ngram_join": OP3_SQL}
+QUERIES = {
+    "op1_decontamination": op1,
+    "op3_ngram_join": op3,
+    "op6_embedding_dedup": op6,
+    "op7_mixing": op7,
+    "op10_license_scan": op10,
+}
+ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op3_ngram_join": OP3_SQL, "op6_embedding_dedup": OP6_SQL}
