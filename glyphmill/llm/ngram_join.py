@@ -44,7 +44,7 @@ BIN_BITS, MOST_BITS = 19, 30
 #: Rows of a column compared in one block.
 BLOCK = 2048
 _SALTS = [np.uint64(0xD6E8FEB86659FD93 * (2 * i + 1) % (1 << 64)) for i in range(MINIMA)]
-_FLUSH = 4 << 20
+_FLUSH = 1 << 20
 _FINGERPRINT = np.uint64(24)  # bits dropped from a code where shingles are counted
 
 
@@ -68,7 +68,7 @@ def _segments(values: np.ndarray, bounds: np.ndarray, op) -> np.ndarray:
     return out
 
 
-def _parts(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
