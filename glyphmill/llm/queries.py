@@ -7,9 +7,11 @@ from glyphmill.llm.embedding_dedup import OP6_SQL, op6
 from glyphmill.llm.license_scan import op10
 from glyphmill.llm.mixing import op7
 from glyphmill.llm.ngram_join import OP3_SQL, op3
+from glyphmill.llm.token_store import op2
 
 QUERIES = {
     "op1_decontamination": op1,
+    "op2_token_store": op2,
     "op3_ngram_join": op3,
     "op6_embedding_dedup": op6,
     "op7_mixing": op7,

@@ -117,6 +117,25 @@ def word_codes(texts: pa.Array, word: np.ndarray, places: bool = False):
     return code, bounds
 
 
+_EXACT = np.random.Generator(np.random.PCG64(977)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def span_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Codes of ascending byte ranges that don't overlap, case kept."""
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _WINDOW, "right")))
+        base = starts[i]
+        x = data[base : ends[j - 1]]
+        up, down = _Powers.upto(len(x) + 1)
+        sums = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(_EXACT[x] * up[: len(x)], out=sums[1:])
+        s, e = starts[i:j] - base, ends[i:j] - base
+        out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(_BASE))
+        i = j
+    return out
+
+
 def grams(codes: np.ndarray, n: int) -> np.ndarray:
     """Code of the n words from each position on; the last n-1 positions have none."""
     m = max(0, len(codes) - n + 1)
