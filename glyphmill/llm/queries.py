@@ -8,6 +8,7 @@ from glyphmill.llm.license_scan import op10
 from glyphmill.llm.mixing import op7
 from glyphmill.llm.ngram_join import OP3_SQL, op3
 from glyphmill.llm.token_store import op2
+from glyphmill.llm.warc_convert import op9
 
 QUERIES = {
     "op1_decontamination": op1,
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_ngram_join": op3,
     "op6_embedding_dedup": op6,
     "op7_mixing": op7,
+    "op9_warc": op9,
     "op10_license_scan": op10,
 }
 ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op3_ngram_join": OP3_SQL, "op6_embedding_dedup": OP6_SQL}
