@@ -7,6 +7,7 @@ from glyphmill.llm.embedding_dedup import OP6_SQL, op6
 from glyphmill.llm.license_scan import op10
 from glyphmill.llm.mixing import op7
 from glyphmill.llm.ngram_join import OP3_SQL, op3
+from glyphmill.llm.quality import op8
 from glyphmill.llm.token_store import op2
 from glyphmill.llm.warc_convert import op9
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_ngram_join": op3,
     "op6_embedding_dedup": op6,
     "op7_mixing": op7,
+    "op8_quality": op8,
     "op9_warc": op9,
     "op10_license_scan": op10,
 }
