@@ -8,13 +8,17 @@ from glyphmill.llm.license_scan import op10
 from glyphmill.llm.mixing import op7
 from glyphmill.llm.ngram_join import OP3_SQL, op3
 from glyphmill.llm.quality import op8
+from glyphmill.llm.substring_dedup import op5
 from glyphmill.llm.token_store import op2
+from glyphmill.llm.url_filter import op4
 from glyphmill.llm.warc_convert import op9
 
 QUERIES = {
     "op1_decontamination": op1,
     "op2_token_store": op2,
     "op3_ngram_join": op3,
+    "op4_url_filter": op4,
+    "op5_substring_dedup": op5,
     "op6_embedding_dedup": op6,
     "op7_mixing": op7,
     "op8_quality": op8,
