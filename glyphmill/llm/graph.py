@@ -27,8 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = stars.union(stars.select("hi", "lo")).toDF("u", "v")
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(lowest, F.col("u") == F.col("k")).select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
-        large = cut(large, "edges")
         lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(lowest.withColumnRenamed("hi", "k"), F.col("hi") == F.col("k")).where("lo <> m").select("m", "lo")
         stars = cut(moved.union(lowest.select("m", "hi")).toDF("lo", "hi").distinct(), "edges")
-        drop(old, large)
+        drop(old)

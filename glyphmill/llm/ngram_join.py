@@ -10,8 +10,10 @@ what size bounds leave open is worked out:
 3. Two sets similar enough overlap by at least c = ceil(t * size). If the shingles of a set are put in one global
    order, rarest first, two such sets share at least l of their first size - c + l shingles. Only these cells enter the
    product. A column joins only documents not yet known to be connected, block of rows by block of rows; overlaps are
-   summed per pair, and pairs below the bound are dropped.
-4. Surviving pairs are compared set by set, and all links make components.
+   summed per pair, and pairs below the bound are dropped. A column that meets a large component would pair very many;
+   its documents become part of that component's region instead.
+4. Surviving pairs are compared set by set; in regions whole blocks of sets are multiplied, those outside the component
+   against all. All links make components.
 
 Counts steer the order alone; whatever they are, the result is exact. Sets are compared by 64-bit codes.
 """
@@ -43,6 +45,10 @@ FREQUENT = 1 << 20
 BIN_BITS, MOST_BITS = 19, 30
 #: Rows of a column compared in one block.
 BLOCK = 2048
+#: Representatives in a component from which columns that hold some of it are worked out as its region, and shingles in a block of a region.
+LARGE, BLOCK_CELLS = 16, 1 << 17
+#: Slots of the map of ids whose sets are needed, at most; a bound for what is broadcast.
+MAP_SLOTS = 1 << 26
 _SALTS = [np.uint64(0xD6E8FEB86659FD93 * (2 * i + 1) % (1 << 64)) for i in range(MINIMA)]
 _FLUSH = 1 << 20
 _FINGERPRINT = np.uint64(24)  # bits dropped from a code where shingles are counted
@@ -268,12 +274,38 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in _parts(batches):
-        codes, bounds = _sets(part["text"])
-        data = pa.py_buffer(codes.tobytes())
-        blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer((bounds * 8).tobytes()), data]).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([part["id"], blobs], ["id", "codes"])
+def _id_map(ids: DataFrame):
+    """A broadcast map of hashed ids (k): one bit for each of MAP_SLOTS at most, so its size is bounded whatever their number."""
+    count = ids.count()
+    slots = min(MAP_SLOTS, max(1 << 12, 1 << (8 * max(count, 1)).bit_length()))
+    slot = F.pmod(F.xxhash64("k"), F.lit(slots))
+    words = ids.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toArrow()
+    table = np.zeros(slots // 64, np.uint64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return ids.sparkSession.sparkContext.broadcast(table), slots
+
+
+def _set_rows(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for part in _parts(batches):
+            slot = part["slot"].to_numpy()
+            part = part.filter(pa.array((table[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+            if not part.num_rows:
+                continue
+            codes, bounds = _sets(part["text"])
+            data = pa.py_buffer(codes.tobytes())
+            blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer((bounds * 8).tobytes()), data]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([part["id"], blobs], ["id", "codes"])
+
+    return run
+
+
+def sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, codes) of the texts (id, text) whose id is among ids (k). Texts are filtered by a map of the ids where they lie, and aren't shuffled."""
+    table, slots = _id_map(ids)
+    slotted = texts.where("id is not null").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(slots)).alias("slot"))
+    return cut(slotted.mapInArrow(_set_rows(table), "id bigint, codes binary"), "sets")
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,20 +332,97 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
 
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Shared shingles of each set of left with each of right: the product of their incidence matrices, shingle by shingle."""
+    side = []
+    for sets in (left, right):
+        codes = np.concatenate(sets)
+        order = np.argsort(codes)
+        side.append((codes[order], np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order]))
+    (c0, d0), (c1, d1) = side
+    common = np.intersect1d(c0, c1)
+    at0, at1 = np.searchsorted(c0, common), np.searchsorted(c1, common)
+    k0, k1 = np.searchsorted(c0, common, "right") - at0, np.searchsorted(c1, common, "right") - at1
+    out = np.zeros(len(left) * len(right), np.int64)
+    upto = np.concatenate([[0], np.cumsum(k0 * k1)])
+    s = 0
+    while s < len(common):
+        e = max(s + 1, int(np.searchsorted(upto, upto[s] + (1 << 21), "right")) - 1)
+        g = np.repeat(np.arange(s, e), (k0 * k1)[s:e])
+        t = np.arange(upto[s], upto[e]) - upto[g]
+        out += np.bincount(d0[at0[g] + t // k1[g]] * len(right) + d1[at1[g] + t % k1[g]], minlength=len(out))
+        s = e
+    return out.reshape(len(left), len(right))
+
+
+def _region(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (region, i, j): sets of side 0 against those of side 1. For each set of side 0 a link to every other component it has one with."""
+
+    def links(rows: dict) -> pa.RecordBatch:
+        own, other = np.flatnonzero(rows["side"] == 0), np.flatnonzero(rows["side"] == 1)
+        out_a, out_b = [], []
+        if len(own) and len(other):
+            sets = [np.frombuffer(x, np.uint64) for x in rows["codes"]]
+            right = [sets[i] for i in other]
+            n1, c1, i1 = np.array([len(x) for x in right]), rows["component"][other], rows["id"][other]
+            for s in range(0, len(own), 512):
+                some = own[s : s + 512]
+                left = [sets[i] for i in some]
+                n0 = np.array([len(x) for x in left])
+                both = _overlaps(left, right)
+                linked = (SIMILARITY[1] * both >= SIMILARITY[0] * (n0[:, None] + n1 - both)) & (rows["component"][some][:, None] != c1)
+                i, j = np.nonzero(linked)
+                _, first = np.unique(np.stack([i, c1[j]], 1), axis=0, return_index=True)
+                out_a.append(rows["id"][some][i[first]])
+                out_b.append(i1[j[first]])
+        join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
+        return pa.RecordBatch.from_arrays([join(out_a), join(out_b)], ["a", "b"])
+
+    held = None
+    for batch in batches:
+        now = {c: batch[c].to_numpy(zero_copy_only=False) for c in ("region", "i", "j", "side", "id", "component", "codes")}
+        held = now if held is None else {c: np.concatenate([held[c], now[c]]) for c in now}
+        edge = np.flatnonzero((np.diff(held["region"]) != 0) | (np.diff(held["i"]) != 0) | (np.diff(held["j"]) != 0)) + 1
+        for s, e in zip([0, *edge[:-1].tolist()], edge.tolist()):
+            yield links({c: v[s:e] for c, v in held.items()})
+        if len(edge):
+            held = {c: v[edge[-1] :] for c, v in held.items()}
+    if held is not None and len(held["id"]):
+        yield links(held)
+
+
+def _region_links(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """Links inside regions. members: (region, id, n, component), where region is a large component.
+
+    A region's own documents hang together already; so the others are compared with all, block by block.
+    """
+    others = "component <> region"
+    totals = members.groupBy("region").agg(F.sum(F.when(F.expr(others), F.col("n")).otherwise(0)).alias("no"), F.sum("n").alias("na"))
+    blocks = totals.select(F.col("region").alias("r"), F.ceil(F.col("no") / BLOCK_CELLS).alias("rows"), F.ceil(F.col("na") / BLOCK_CELLS).alias("cols"))
+    dealt = members.join(blocks, F.col("region") == F.col("r"))
+    zero, part = F.lit(0).cast("bigint"), F.xxhash64(F.lit(6), "id")
+    left = dealt.where(others).select("region", F.pmod(part, "rows").alias("i"), F.explode(F.sequence(zero, F.col("cols") - 1)).alias("j"), F.lit(0).alias("side"), "id", "component")
+    right = dealt.where("rows > 0").select("region", F.explode(F.sequence(zero, F.col("rows") - 1)).alias("i"), F.pmod(part, "cols").alias("j"), F.lit(1).alias("side"), "id", "component")
+    sets = sets_of(texts, members.select(F.col("id").alias("k")).distinct())
+    rows = left.union(right).join(sets.withColumnRenamed("id", "k"), F.col("id") == F.col("k")).drop("k")
+    found = cut(rows.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j").mapInArrow(_region, "a bigint, b bigint").distinct(), "links")
+    drop(sets)
+    return found
+
+
 def verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough. texts: (id, text).
 
     The set of a travels once for every BLOCK / 8 partners, so an id in very many pairs is dealt over many tasks.
     """
-    needed = cut(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct(), "needed")
-    sets = cut(texts.join(needed, F.col("id") == F.col("k"), "left_semi").mapInArrow(_set_rows, "id bigint, codes binary"), "sets")
+    sets = sets_of(texts, pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct())
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / (BLOCK // 8)).alias("salts"))
     salted = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").alias("salt"))
     right = salted.join(sets, F.col("b") == F.col("id")).select("a", "salt", "b", "codes")
     left = salts.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt")).join(sets, F.col("a") == F.col("id"))
     rows = left.select("a", "salt", F.lit(None).cast("bigint").alias("b"), "codes").union(right)
     linked = cut(rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(_compare, "a bigint, b bigint").distinct(), "links")
-    drop(sets, needed)
+    drop(sets)
     return linked
 
 
@@ -329,7 +438,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     bins = 1 << min(16, max(8, math.ceil(math.log2(4 * max(1, docs.rdd.getNumPartitions())))))
     map_bits = min(MOST_BITS, BIN_BITS + bins.bit_length() - 1)
-    first = cut(texts.mapInArrow(_first_scan(bins), _FIRST), "shingles", ["kind"])
+    first = cut(texts.mapInArrow(_first_scan(bins), _FIRST), "shingles")
     nodes = first.where("kind = 0").select("id", "n", "s1", "s2", "minima")
     usable = nodes.where("n > 0 and id is not null")
     reps = cut(usable.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.any_value("minima").alias("minima")), "representatives")
@@ -345,10 +454,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     order = texts.sparkSession.sparkContext.broadcast(_global_order(first, bins, map_bits))
     labels = reps.select("rep").distinct().join(known, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("component"))
+    held = known.groupBy(F.col("component").alias("c")).agg(F.count(F.lit(1)).alias("held"))
+    labels = labels.join(held, F.col("component") == F.col("c"), "left").select("rep", "component", F.coalesce("held", F.lit(1)).alias("held"))
     prefixes = texts.where("id is not null").mapInArrow(_prefix_scan(order), "id bigint, n bigint, cells array<bigint>")
-    cells = cut(prefixes.join(labels, F.col("id") == F.col("rep")).select("id", "n", "component", F.explode("cells").alias("cell")).distinct(), "cells")
-    columns = cells.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
-    columns = columns.select(F.col("cell").alias("k"), F.ceil(F.col("size") / BLOCK).alias("blocks"))
+    cells = cut(prefixes.join(labels, F.col("id") == F.col("rep")).select("id", "n", "component", "held", F.explode("cells").alias("cell")).distinct(), "cells")
+    columns = cells.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"), F.max(F.struct("held", "component")).alias("top")).where("lo < hi")
+    columns = cut(columns.select(F.col("cell").alias("k"), "size", F.when(F.col("top.held") >= LARGE, F.col("top.component")).alias("region")), "columns")
+    regions = cells.join(columns.where("region is not null").select("k", "region"), F.col("cell") == F.col("k")).select("region", "id", "n", "component").distinct()
+    in_regions = _region_links(texts, cut(regions, "regions"))
+    columns = columns.where("region is null").select("k", F.ceil(F.col("size") / BLOCK).alias("blocks"))
     mixed = cells.join(columns, F.col("cell") == F.col("k")).withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
     dealt = mixed.select("cell", "id", "n", "component", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "n", "component", F.sign(F.col("own") - F.col("other")).cast("int").alias("side"))
@@ -360,7 +474,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # rows of one id with different texts hang together by the id
     split = usable.join(reps.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     again = split.join(reps.select(F.col("rep").alias("k")), F.col("b") == F.col("k"), "left_semi")
-    final = components(tied.union(more).union(again))
+    final = components(tied.union(in_regions).union(more).union(again))
     keyed = nodes.join(reps.select(F.col("n").alias("n2"), F.col("s1").alias("r1"), F.col("s2").alias("r2"), "rep"), (F.col("n") == F.col("n2")) & (F.col("s1") == F.col("r1")) & (F.col("s2") == F.col("r2")), "left")
     keyed = keyed.withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")))
     out = keyed.join(final, F.col("rep") == F.col("node"), "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
