@@ -23,9 +23,9 @@ COSINE = 0.95
 #: Vectors that the centroids are fitted on, about; they decide on cost, not on the result.
 SAMPLE = 20_000
 #: Vectors of a cell on average, and cells at most: a bound for what is broadcast.
-CELL, MOST_CELLS = 1024, 4096
-#: Vectors of a cell compared in one block.
-BLOCK = 1024
+CELL, MOST_CELLS = 4096, 4096
+#: Vectors of a cell compared in one block, in tiles of so many rows.
+BLOCK, TILE = 4096, 512
 
 
 def unit_rows(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,13 +94,19 @@ def _scan(shared, dim: int, cosine: float):
     return run
 
 
+def _tiles(n: int) -> list[slice]:
+    return [slice(k, min(k + TILE, n)) for k in range(0, n, TILE)]
+
+
 def _labels(linked: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Smallest id connected with each row and column through the block's links; own id if there are none."""
     top = np.iinfo(np.int64).max
     r, c = rows.copy(), cols.copy()
     while True:
-        new_r = np.minimum(r, np.where(linked, c[None, :], top).min(axis=1, initial=top))
-        new_c = np.minimum(c, np.where(linked, new_r[:, None], top).min(axis=0, initial=top))
+        new_r, new_c = r.copy(), c.copy()
+        for t in _tiles(len(r)):
+            new_r[t] = np.minimum(r[t], np.where(linked[t], c[None, :], top).min(axis=1, initial=top))
+            new_c = np.minimum(new_c, np.where(linked[t], new_r[t][:, None], top).min(axis=0, initial=top))
         if np.array_equal(new_r, r) and np.array_equal(new_c, c):
             return r, c
         r, c = new_r, new_c
@@ -113,9 +119,11 @@ def _blocks(dim: int, cosine: float):
         a = np.frombuffer(b"".join(x["unit"][own]), np.float64).reshape(-1, dim)
         b = np.frombuffer(b"".join(x["unit"][other]), np.float64).reshape(-1, dim)
         ia, ib = x["id"][own], x["id"][other]
-        linked = a @ b.T >= cosine
-        same = ia[:, None] == ib[None, :]
-        n = (np.where(linked & ~same, x["copies"][other][None, :], 0)).sum(axis=1)
+        copies = x["copies"][other].astype(np.float64)
+        linked, n = np.empty((len(a), len(b)), bool), np.empty(len(a), np.int64)
+        for t in _tiles(len(a)):
+            linked[t] = (a[t] @ b.T >= cosine) & (ia[t, None] != ib[None, :])
+            n[t] = np.rint(linked[t] @ copies)
         r, c = _labels(linked, ia, ib)
         ids = np.concatenate([ia, ib])
         tops = np.concatenate([r, c])
