@@ -18,11 +18,12 @@ from __future__ import annotations
 import hashlib
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,18 +39,27 @@ REACH = 8
 #: Recipes in a shard, about.
 SHARD_DOCS = 1 << 16
 #: Different pieces of text whose ids a worker remembers.
-KNOWN = 1 << 19
+KNOWN = 3 << 18
+
+_BLANKS = b" \t\n\x0b\x0c\r"
+#: Of each byte: 1 white space, 2 letter, 3 punctuation, 4 perhaps the first of rarer white space, 0 other.
+_KINDS = np.zeros(256, np.int8)
+_KINDS[33:127] = 3
+_KINDS[48:58] = 0
+_KINDS[65:91] = _KINDS[97:123] = 2
+_KINDS[list(_BLANKS)] = 1
+_KINDS[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = 4
 
-_SPACE = ~wc.NOT_SPACE
-_FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(REACH)]
 
 
 class Encoder:
     """Whole texts to ids, with the tokenizers library for each different piece of text.
 
-    A byte-level BPE cuts text before it merges, and never joins what stands before white space with what follows; so
-    text is cut there (ASCII white space after something else) and each different piece is encoded once. Texts with
-    other white space go to the tokenizer whole, since it may join it across these cuts.
+    A byte-level BPE cuts text before it merges: always between something else and white space that follows, and
+    between a letter and punctuation that follows. Text is cut there (in ASCII) and each different piece is encoded
+    once; pieces that begin with white space are encoded many at a time, and come apart again by the lengths of their
+    tokens in bytes. Texts with other white space, which may join across these cuts, and such that hold the string of
+    an added token go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -57,64 +67,99 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
+        self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.bytes_of[i] = len(token)  # a character of this vocabulary stands for a byte
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.slots: dict[int, int] = {}
-        self.flat, self.starts, self.lengths = array("I"), array("q"), array("q")
+        self.used = 0
+        self.flat, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _ids(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that can stand side by side, and how many each has."""
+        groups = [pieces[i : i + 512] for i in range(0, len(pieces), 512)]
+        out, counts = [], []
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([b"".join(g).decode() for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.cumsum(self.bytes_of[ids])
+            want = np.cumsum([len(x) for x in group])
+            at = np.minimum(np.searchsorted(ends, want), len(ends) - 1)
+            if not np.array_equal(ends[at], want):  # a token across a cut
+                each = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast([x.decode() for x in group], add_special_tokens=False)]
+                ids, at = np.concatenate(each), np.cumsum([len(x) for x in each]) - 1
+            out.append(ids)
+            counts.append(np.diff(at, prepend=-1))
+        return (np.concatenate(out), np.concatenate(counts)) if out else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def _learn(self, codes: list[int], pieces: list[bytes]) -> None:
+        apart = [i for i, x in enumerate(pieces) if x[0] not in _BLANKS or x[-1] in _BLANKS]
+        alone = set(apart)
+        together = [i for i in range(len(pieces)) if i not in alone]
+        ids, counts = self._ids([pieces[i] for i in together])
+        each = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast([pieces[i].decode() for i in apart], add_special_tokens=False)]
+        ids, counts = np.concatenate([ids, *each]), np.concatenate([counts, [len(x) for x in each]]).astype(np.int64)
+        n, k = len(self.slots), len(counts)
+        self.starts, self.lengths = self._room(self.starts, n + k), self._room(self.lengths, n + k)
+        self.flat = self._room(self.flat, self.used + len(ids))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[n : n + k] = self.used + np.cumsum(counts) - counts
+        self.lengths[n : n + k] = counts
+        self.used += len(ids)
+        self.slots.update(zip([codes[i] for i in together + apart], range(n, n + k)))
 
-    def _learn(self, codes: list[int], pieces: list[str]) -> None:
-        for c, e in zip(codes, self.tokenizer.encode_batch(pieces, add_special_tokens=False)):
-            ids = e.ids
-            self.slots[c] = len(self.starts)
-            self.starts.append(len(self.flat))
-            self.lengths.append(len(ids))
-            self.flat.extend(ids)
+    @staticmethod
+    def _room(x: np.ndarray, n: int) -> np.ndarray:
+        return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
 
     @staticmethod
-    def _odd(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    def _odd(data: np.ndarray, kind: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Texts with white space or separators beyond ASCII's usual ones."""
-        hits = [np.flatnonzero((data >= 0x1C) & (data <= 0x1F))]
-        lead = np.flatnonzero((data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0))) if len(data) > 1 else np.zeros(0, np.int64)
-        hits.append(lead)
-        if len(data) > 2:
-            for a, b in ((0xE1, 0x9A), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80), (0xE1, 0xA0)):
-                hits.append(np.flatnonzero((data[:-2] == a) & (data[1:-1] == b)))
-                if (a, b) == (0xE2, 0x80):  # of these only spaces and separators
-                    third = data[hits[-1] + 2]
-                    hits[-1] = hits[-1][(third <= 0x8B) | ((third >= 0xA8) & (third <= 0xAF))]
-        return np.unique(np.searchsorted(off, np.concatenate(hits), "right") - 1)
+        at = np.flatnonzero(kind == 4)  # the bytes that such begin with
+        first = data[at]
+        second, third = data[np.minimum(at + 1, len(data) - 1)], data[np.minimum(at + 2, len(data) - 1)]
+        odd = first < 0x20
+        odd |= (first == 0xC2) & ((second == 0x85) | (second == 0xA0))
+        odd |= (first == 0xE1) & ((second == 0x9A) | (second == 0xA0))
+        odd |= (first == 0xE2) & ((second == 0x81) | (second == 0x80) & ((third <= 0x8B) | (third >= 0xA8) & (third <= 0xAF)))
+        odd |= (first == 0xE3) & (second == 0x80)
+        return np.unique(np.searchsorted(off, at[odd], "right") - 1)
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each with the end id, and the offsets of each."""
         data, off = wc.text_bytes(texts)
         n_docs = len(off) - 1
-        space = _SPACE[data]
+        kind = _KINDS[data]
         first = np.zeros(len(data), bool)
         if len(data):
-            first[1:] = space[1:] & ~space[:-1]
+            first[1:] = (kind[1:] == 1) & (kind[:-1] != 1) | (kind[1:] == 3) & (kind[:-1] == 2)
             begins = off[:-1][np.diff(off) > 0]
             first[begins] = True
         starts = np.flatnonzero(first)
         ends = np.append(starts[1:], len(data))
         codes = wc.span_codes(data, starts, ends)
-        unique, where, inverse = np.unique(codes, return_index=True, return_inverse=True)
-        if len(self.slots) > KNOWN:
-            self.forget()
+        inverse, unique = pd.factorize(codes)
+        where = np.empty(len(unique), np.int64)
+        where[inverse[::-1]] = np.arange(len(codes) - 1, -1, -1)
+        n_known, used = len(self.slots), self.used
         listed = unique.tolist()
         fresh = [i for i, c in enumerate(listed) if c not in self.slots]
         raw = data.tobytes()
         at, to = starts[where], ends[where]
-        for s in range(0, len(fresh), 4096):
-            some = fresh[s : s + 4096]
-            self._learn([listed[i] for i in some], [raw[at[i] : to[i]].decode() for i in some])
+        for s in range(0, len(fresh), 1 << 16):
+            some = fresh[s : s + (1 << 16)]
+            self._learn([listed[i] for i in some], [raw[a:b] for a, b in zip(at[some].tolist(), to[some].tolist())])
         slot = np.fromiter((self.slots[c] for c in listed), np.int64, len(listed))[inverse]
-        flat, begin, length = np.frombuffer(self.flat, np.uint32), np.frombuffer(self.starts, np.int64), np.frombuffer(self.lengths, np.int64)
-        begin, length = (begin[slot], length[slot]) if len(slot) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        flat, begin, length = self.flat, self.starts[slot], self.lengths[slot]
+        if n_known + len(fresh) > KNOWN:  # what came first is the more frequent: that stays
+            for i in fresh:
+                del self.slots[listed[i]]
+            self.used = used
         upto = np.concatenate([[0], np.cumsum(length)])
         ids = flat[np.repeat(begin - upto[:-1], length) + np.arange(upto[-1])] if upto[-1] else np.zeros(0, np.uint32)
         bounds = upto[np.searchsorted(starts, off)]
-        odd = self._odd(data, off)
+        odd = self._odd(data, kind, off)
+        for token in self.added:
+            odd = np.union1d(odd, np.flatnonzero(pc.match_substring(texts, token).fill_null(False).to_numpy(zero_copy_only=False)))
         if len(odd):
             parts, sizes = [], np.diff(bounds)
             whole = set(odd.tolist())
@@ -134,11 +179,13 @@ class Encoder:
 
 def chunk_ends(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where chunks end, and for each text where its chunks begin in that list. Every text has one chunk at least."""
-    h = np.zeros(len(ids), np.uint64)
-    own = wc.mix(ids.astype(np.uint64) + np.uint64(1))
-    for k in range(min(REACH, len(ids))):
-        h[k:] += own[: len(ids) - k] * _FACTORS[k]
-    marks = np.flatnonzero(wc.mix(h) % np.uint64(EVERY) == 0) + 1
+    h = wc.mix(ids.astype(np.uint64) + np.uint64(1))
+    reach = 1
+    while reach < min(REACH, len(ids)):  # h of 2 r ids from two of r
+        longer = h * np.uint64(pow(0x9E3779B97F4A7C15, reach, 1 << 64))
+        longer[reach:] += h[:-reach]
+        h, reach = longer, 2 * reach
+    marks = np.flatnonzero((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40) < np.uint64((1 << 24) // EVERY)) + 1
     first = np.searchsorted(marks, bounds[:-1], "right").tolist()
     marks = marks.tolist()
     ends, at = [], [0]
@@ -186,23 +233,29 @@ class _Growing:
         return out or bytes(16)
 
 
+_encoders: dict[str, Encoder] = {}
+
+
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = Encoder(path), set()
+        if path not in _encoders:
+            _encoders[path] = Encoder(path)  # what it has learned serves the worker's next tasks
+        encoder, seen = _encoders[path], set()
         for batch in batches:
-            for cut_at in range(0, batch.num_rows, 512):
-                part = batch.slice(cut_at, 512)
+            for cut_at in range(0, batch.num_rows, 2048):
+                part = batch.slice(cut_at, 2048)
                 ids, bounds = encoder.encode(part["text"], end_id)
                 ends, at = chunk_ends(ids, bounds)
                 starts = np.concatenate([[0], ends[:-1]])
-                narrow = ids.astype("<u2") if not len(ids) or ids.max() < 1 << 16 else None
-                wide, digests, fresh = ids.astype("<u4"), [], []
-                for k, (s, e) in enumerate(zip(starts.tolist(), ends.tolist())):
-                    digest = hashlib.blake2b(wide[s:e].tobytes(), digest_size=16).digest()
+                top = np.maximum.reduceat(ids, starts) if len(ids) else ids
+                narrow, wide, digests, fresh = memoryview(ids.astype("<u2").tobytes()), memoryview(ids.astype("<u4").tobytes()), [], []
+                for s, e, small in zip(starts.tolist(), ends.tolist(), (top < 1 << 16).tolist()):
+                    payload = narrow[2 * s : 2 * e] if small else wide[4 * s : 4 * e]
+                    digest = hashlib.blake2b(payload, digest_size=16).digest()
                     digests.append(digest)
                     if digest not in seen:
                         seen.add(digest)
-                        fresh.append((digest, e - s, (wide if narrow is None else narrow)[s:e].tobytes()))
+                        fresh.append((digest, e - s, bytes(payload)))
                 edge = at.tolist()
                 roots = [merkle_root(digests[a:b]) for a, b in zip(edge[:-1], edge[1:])]
                 n, lists = part.num_rows, pa.array(at, pa.int32())
@@ -270,10 +323,9 @@ def _check_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         crcs = []
         for digest, n, payload in zip(batch["digest"].to_pylist(), batch["n"].to_pylist(), batch["payload"].to_pylist()):
-            wide = np.frombuffer(payload, "<u2" if len(payload) == 2 * n else "<u4").astype("<u4").tobytes()
-            if len(wide) != 4 * n or hashlib.blake2b(wide, digest_size=16).digest() != digest:
+            if len(payload) not in (2 * n, 4 * n) or hashlib.blake2b(payload, digest_size=16).digest() != digest:
                 raise ValueError(f"chunk {digest.hex()} isn't what its digest says")
-            crcs.append(zlib.crc32(wide))
+            crcs.append(zlib.crc32(payload if len(payload) == 4 * n else np.frombuffer(payload, "<u2").astype("<u4").tobytes()))
         yield pa.RecordBatch.from_arrays([batch["digest"], batch["n"], pa.array(crcs, pa.int64())], ["digest", "n", "crc"])
 
 
