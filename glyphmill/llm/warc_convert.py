@@ -5,7 +5,7 @@ that says which fields header lines have (version 1: five fields; version 2: ten
 lengths alone, so payloads may hold anything. Each document becomes a WARC/1.1 record with an identifier made from its
 content and place, the archive date in ISO form, digests of block and payload, and a type: of documents with equal
 payloads one stays a response, the others revisit it. Archives are written by Spark's own text writer, file by file
-under its commit protocol, in pieces of bounded size.
+under its commit protocol.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm.scratch import cut, drop, new_path
 
-#: Bytes of payload in an archive file, about.
-FILE_BYTES = 16 << 20
+#: Records in a WARC file at most. An ARC file holds what a task reads.
+FILE_RECORDS = 20_000
 #: Equal payloads of fewer bytes are not made revisits.
 LEAST_BYTES = 0
 #: Names of the header fields by version, as the version block gives them.
@@ -80,15 +80,15 @@ def _arc_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
 
-def _files(size: DataFrame) -> int:
-    return max(1, -(-(size.first()[0] or 0) // FILE_BYTES))
+def _archive(records: DataFrame, path: str, line_end: str, **options) -> None:
+    """A value per record as it stands, each ended by line_end, gzipped at its fastest."""
+    records.write.options(**{"lineSep": line_end, "compression": "gzip", "zlib.compress.level": "BEST_SPEED"}, **options).text(path)
 
 
 def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """pages as ARC files of both versions. A null payload is empty, a null url is '-'."""
     own = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("payload"))
-    n = _files(own.agg(F.sum(F.octet_length("payload"))))
-    own.repartition(n, F.xxhash64("id", "url")).mapInArrow(_arc_records, "value string").write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    _archive(own.mapInArrow(_arc_records, "value string"), path, "\n")
 
 
 # --- reading archives ----------------------------------------------------------------------------------------------
@@ -235,20 +235,17 @@ def convert_arcs(spark: SparkSession, arc_path: str, warc_path: str, least_bytes
     Of documents with equal payloads of least_bytes or more, those with the largest origin number stay responses; the
     others become revisits of it. Documents that tie for the largest are all responses.
     """
-    spark.sparkContext.setJobDescription("ARC to WARC")
     arcs = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(arc_path).select("content")
     documents = cut(arcs.mapInArrow(_read_arcs, _ARC), "arc-documents")
     number = F.expr("try_cast(origin as bigint)")
     firsts = documents.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.max(F.struct(number.alias("n"), "origin", "url", "date")).alias("f"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    firsts = firsts.select(F.col("payload_digest").alias("d"), "f")
+    # written first, so that a join with few of them, by their size, moves no payloads
+    firsts = cut(firsts.select(F.col("payload_digest").alias("d"), "f"), "arc-firsts")
     joined = documents.join(firsts, F.col("payload_digest") == F.col("d"), "left")
     revisits = F.col("f").isNotNull() & ~number.eqNullSafe(F.col("f.n"))
     records = joined.select("origin", "url", "date", "ip", "block", "payload_digest", *[F.when(revisits, F.col(f"f.{c}")).alias(a) for c, a in (("origin", "first"), ("url", "first_url"), ("date", "first_date"))])
-    n = _files(documents.agg(F.sum("payload_bytes")))
-    out = records.repartition(n, F.xxhash64("origin", "url")).mapInArrow(_warc_records, "value string")
-    out.write.option("lineSep", "\r\n").option("compression", "gzip").text(warc_path)
-    spark.sparkContext.setJobDescription(None)
-    drop(documents)
+    _archive(records.mapInArrow(_warc_records, "value string"), warc_path, "\r\n", maxRecordsPerFile=FILE_RECORDS)
+    drop(documents, firsts)
 
 
 def _read_warcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
