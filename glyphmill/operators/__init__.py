@@ -1,0 +1,24 @@
+"""Running plans over DataFrames."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from glyphmill.plans import PLANS, load, spark_text
+from glyphmill.sources.corpus import frames
+
+
+def run(name: str, **relations: DataFrame) -> DataFrame:
+    """A plan over relations of one's own, given by name."""
+    load()
+    missing = set(PLANS[name][1]) - relations.keys()
+    if missing:
+        raise ValueError(f"{name} reads {', '.join(sorted(missing))} too")
+    spark = next(iter(relations.values())).sparkSession
+    return spark.sql(spark_text(name), **{r: relations[r] for r in PLANS[name][1]})
+
+
+def run_tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A plan over the tables in a folder."""
+    load()
+    return run(name, **frames(spark, sf_dir, PLANS[name][1]))
