@@ -93,7 +93,8 @@ def plan_sources(sizes: DataFrame, seed: int = 7, block_docs: int = BLOCK_DOCS,
     sources = sources.withColumn("target", F.when(F.col("total") > 0, F.least(cap.cast("double"), F.col("weight") * reached)).otherwise(F.lit(0.0)))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)) + 1e-12)).otherwise(F.lit(0)).cast("bigint")
     sources = sources.select("*", passes.alias("passes"), F.ceil(F.col("n_docs") / block_docs).alias("n_blocks"))
-    sources = cut(sources.withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("passes") * F.col("source_size"))), "mix-sources")
+    rest = F.col("target") - F.col("passes") * F.col("source_size")
+    sources = cut(sources.withColumn("rest", F.when(rest >= 0.5, rest).otherwise(F.lit(0.0))), "mix-sources")  # sizes are whole numbers
 
     block, place = _key("id", seed)
     per_source = sources.select(F.col("source").alias("s"), "n_blocks", "rest")
@@ -101,7 +102,7 @@ def plan_sources(sizes: DataFrame, seed: int = 7, block_docs: int = BLOCK_DOCS,
     blocks = rows.groupBy("source", "block", "rest").agg(F.sum("size").alias("words"))
     ordered = Window.partitionBy("source").orderBy("block")
     blocks = blocks.withColumn("upto", F.sum("words").over(ordered))
-    last = blocks.where("upto > rest").groupBy("source").agg(F.min("block").alias("cut_block"), F.min_by(F.col("upto") - F.col("words"), "block").alias("base"))
+    last = blocks.where("rest > 0 and upto > rest").groupBy("source").agg(F.min("block").alias("cut_block"), F.min_by(F.col("upto") - F.col("words"), "block").alias("base"))
     last = last.select(F.col("source").alias("s"), "cut_block", "base")
     inside = rows.join(last, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("cut_block")))
     # rows of one id are decided together; so a block's list is bounded by its ids
