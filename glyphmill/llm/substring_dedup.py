@@ -14,7 +14,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from glyphmill.llm import wordcodes as wc
 from glyphmill.llm.scratch import cut
@@ -90,7 +89,8 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = repeated_passages(docs, id_col, text_col, run_words).select(F.col(id_col).alias("_id"), "removed")
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     joined = own.join(found, F.col("id") == F.col("_id"), "left" if all_rows else "inner").select("id", "text", "removed")
-    schema = T.StructType([*own.schema.fields, found.schema["removed"]])
+    id_type = own.schema["id"].dataType.simpleString()
+    schema = f"id {id_type}, text string, removed array<struct<start: bigint, end: bigint, words: bigint, kept_in: array<bigint>>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
