@@ -32,6 +32,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "wrapped_text": _over(generating.wrapped_text, "tk"),
     "autokey_text": _over(generating.autokey_text, "ln"),
     "deck_text": _over(generating.deck_text, "ln"),
+    "verbose_text": _over(generating.verbose_text, "ln"),
+    "grammar_text": _over(generating.grammar_text, "tk"),
+    "two_route_text": _over(generating.two_route_text, "tk"),
+    "page_mixture_text": _over(generating.page_mixture_text, "tk"),
+    "smooth_drift_text": _over(generating.smooth_drift_text, "tk"),
+    "step_drift_text": _over(generating.step_drift_text, "tk"),
+    "tilted_text": _over(generating.tilted_text, "tk"),
+    "walking_text": _over(generating.walking_text, "tk"),
+    "twin_residual": _over(generating.twin_residual, "tk"),
     "mixture_shares": _over(searching.mixture_shares, "ty"),
     "substitution_search": _over(searching.substitution_search, "ty"),
     "grid_fit": _over(searching.grid_fit, "tk"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphmill.plans import PLANS, load, spark_text
@@ -22,3 +25,20 @@ def run_tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A plan over the tables in a folder."""
     load()
     return run(name, **frames(spark, sf_dir, PLANS[name][1]))
+
+
+def run_matrix(spark: SparkSession, sf_dir: str, queries: dict[str, Callable[[SparkSession, str], DataFrame]], path: str) -> DataFrame:
+    """Runs queries one by one, each result to a table of its own under path: (name, rows, seconds, error). One that fails is noted, and the rest go on; what is under path already isn't run again."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    notes = []
+    for name, query in queries.items():
+        out = hadoop.Path(f"{path}/{name}/_SUCCESS")
+        began, error = time.time(), None
+        try:
+            if not out.getFileSystem(spark._jsc.hadoopConfiguration()).exists(out):
+                query(spark, sf_dir).write.mode("overwrite").parquet(f"{path}/{name}")
+            rows = spark.read.parquet(f"{path}/{name}").count()
+        except Exception as e:  # noted, not raised
+            rows, error = None, str(e)[:500]
+        notes.append((name, rows, round(time.time() - began, 3), error))
+    return spark.createDataFrame(notes, "name string, rows bigint, seconds double, error string")

@@ -35,12 +35,7 @@ def _frequent(tk: DataFrame, words: int) -> dict[str, tuple[list[str], list[floa
 
 def automaton_text(tk: DataFrame, order: int = 2) -> DataFrame:
     """Letters drawn given the ones before, line by line to the line's length: no end before 60 % of it, an end at 140 % at the latest."""
-    grams = tk.where("tok rlike '^[a-z]+$'").select("lang", F.explode(F.expr(f"transform(sequence(1, length(tok) + 1), i -> substr(concat(repeat('^', {order}), tok, '$'), i, {order + 1}))")).alias("g")).groupBy("lang", "g").agg(F.count(F.lit(1)).alias("n"))
-    tables: dict[tuple[str, str], tuple[list[str], list[float]]] = {}
-    for lang, g, n in _small(grams.where("n >= 2").orderBy("lang", "g")).itertuples(index=False):
-        symbols, weights = tables.setdefault((lang, g[:-1]), ([], []))
-        symbols.append(g[-1])
-        weights.append(float(n))
+    tables = _letter_tables(tk, order)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
@@ -198,3 +193,170 @@ def deck_text(ln: DataFrame) -> DataFrame:
         return pd.Series([line(w if w is not None else [], int(a), int(b)) for w, a, b in zip(words, doc, no)], dtype=object)
 
     return ln.where("size(words) > 0 and line_no < 20").select("lang", "doc_id", F.col("line_no").cast("bigint").alias("line_no"), encipher("words", "doc_id", "line_no").alias("text"))
+
+
+def _letter_tables(tk: DataFrame, order: int) -> dict[tuple[str, str], tuple[list[str], list[float]]]:
+    grams = tk.where("tok rlike '^[a-z]+$'").select("lang", F.explode(F.expr(f"transform(sequence(1, length(tok) + 1), i -> substr(concat(repeat('^', {order}), tok, '$'), i, {order + 1}))")).alias("g")).groupBy("lang", "g").agg(F.count(F.lit(1)).alias("n"))
+    tables: dict[tuple[str, str], tuple[list[str], list[float]]] = {}
+    for lang, g, n in _small(grams.where("n >= 2").orderBy("lang", "g")).itertuples(index=False):
+        symbols, weights = tables.setdefault((lang, g[:-1]), ([], []))
+        symbols.append(g[-1])
+        weights.append(float(n))
+    return tables
+
+
+def _normal(*key: object) -> float:
+    """A draw from the normal distribution that its key determines: the sum of twelve uniform ones, less six."""
+    d = Draws("normal", *key)
+    return sum(d.uniform() for _ in range(12)) - 6
+
+
+def composed_text(
+    tk: DataFrame, words: int = 400, repeat: float = 0.0, reach: int = 8, slip: float = 0.0, walk: float = 0.0, tilt: float = 0.0, coin: float = 0.0, own: float = 0.0, edge: bool = False, drift: str = "", other: str = "fr", pages_a_group: int = 10
+) -> DataFrame:
+    """Words drawn for each place of a layout by a mixture of routes, each of which an option turns on.
+
+    repeat: the share that comes again from the last `reach` words, the nearer the likelier; slip: the share with one
+    letter changed, which isn't remembered; walk: how far words' weights wander from one group of pages to the next;
+    tilt: how much a line favours the first letters its hash picks; coin: the share made new by a letter automaton, words
+    that exist being refused; own: the share from the page's own words; edge: line-final words are chosen among
+    candidates by how often their last letter ends lines; drift: `smooth` or `step` from the page's language to `other`.
+    """
+    frequent = _frequent(tk, words)
+    letters = _letter_tables(tk, 2) if coin else {}
+    known = {lang: set(w) for lang, (w, _) in frequent.items()}
+    last = {lang: dict(zip(g.sym, g.n.astype(float))) for lang, g in _small(tk.where("pos = n_line - 1").groupBy("lang", F.expr("right(tok, 1)").alias("sym")).agg(F.count(F.lit(1)).alias("n"))).groupby("lang")} if edge else {}
+    most = tk.agg(F.max("doc_id")).first()[0] or 1
+    fall = [0.8**k for k in range(reach)]
+    layout = _layout(tk)
+    if own:
+        layout = layout.join(tk.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_set("tok")), 1, 200).alias("page_words")), "doc_id")
+
+    def coined(lang: str, d: Draws) -> str | None:
+        for _ in range(20):
+            word, ctx = "", "^^"
+            while len(word) < 16:
+                found = letters.get((lang, ctx))
+                c = found[0][d.pick(found[1])] if found else "$"
+                if c == "$":
+                    break
+                word, ctx = word + c, (ctx + c)[-2:]
+            if word and word not in known[lang]:
+                return word
+        return None
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        doc, first = int(pdf.doc_id.iloc[0]), pdf.lang.iloc[0]
+        d, history, rows = Draws("composed", repeat, slip, walk, tilt, coin, own, edge, drift, doc), [], []
+        group = doc // pages_a_group
+        models: dict[str, tuple[list[str], list[float]]] = {}
+        for lang in {first, other if drift else first} & set(frequent):
+            w, n = frequent[lang]
+            if walk:  # the sum of steps of the last groups
+                n = [x * 2.718281828 ** (walk * sum(_normal(t, g) for g in range(max(0, group - 3), group + 1)) / 2) for t, x in zip(w, n)]
+            models[lang] = (w, n)
+        far = doc / most if drift == "smooth" else float(doc > most / 2)
+        page_words = list(pdf.page_words.iloc[0]) if own else []
+        for r in pdf.sort_values("line_no").itertuples():
+            line: list[str] = []
+            favoured = {c for c in "abcdefghijklmnopqrstuvwxyz" if tilt and Draws("tilt", doc, r.line_no, c).uniform() < 0.3}
+            for j in range(r.n):
+                lang = other if drift and other in models and d.uniform() < far else first
+                w, n = models[lang]
+                if len(history) >= reach and repeat and d.uniform() < repeat:
+                    word = history[-1 - d.pick(fall)]
+                elif coin and d.uniform() < coin:
+                    word = coined(lang, d) or w[d.pick(n)]
+                elif own and d.uniform() < own:
+                    word = page_words[d.below(len(page_words))]
+                elif edge and j == r.n - 1:
+                    some = [w[d.pick(n)] for _ in range(20)]
+                    word = some[d.pick([last[first].get(x[-1], 0.5) for x in some])]
+                else:
+                    word = w[d.pick(n)]
+                    if favoured and word[0] not in favoured and d.uniform() < tilt:
+                        word = w[d.pick(n)]
+                history = [*history[-reach:], word]
+                if slip and d.uniform() < slip:
+                    k = d.below(len(word))
+                    word = word[:k] + SIMILAR.get(word[k], word[k]) + word[k + 1 :]
+                line.append(word)
+            rows.append((first, doc, r.line_no, " ".join(line)))
+        return _frame(rows)
+
+    return layout.groupBy("doc_id").applyInPandas(run, _LINES)
+
+
+def grammar_text(tk: DataFrame) -> DataFrame:
+    """Recency, slips and chosen line ends over a wandering vocabulary."""
+    return composed_text(tk, repeat=0.05, slip=0.02, walk=0.25, edge=True)
+
+
+def two_route_text(tk: DataFrame) -> DataFrame:
+    """Words retrieved from a wandering repertoire, or coined."""
+    return composed_text(tk, coin=0.1, slip=0.02, repeat=0.03, walk=0.4)
+
+
+def page_mixture_text(tk: DataFrame) -> DataFrame:
+    return composed_text(tk, own=0.5)
+
+
+def smooth_drift_text(tk: DataFrame) -> DataFrame:
+    return composed_text(tk, drift="smooth")
+
+
+def step_drift_text(tk: DataFrame) -> DataFrame:
+    return composed_text(tk, drift="step")
+
+
+def tilted_text(tk: DataFrame) -> DataFrame:
+    return composed_text(tk, tilt=0.5)
+
+
+def walking_text(tk: DataFrame) -> DataFrame:
+    return composed_text(tk, walk=0.6)
+
+
+#: Letters of a verbose cipher: what stands for a letter depends on the sign before.
+HOMOPHONES = 3
+
+
+def verbose_text(ln: DataFrame, spaces: str = "nsty") -> DataFrame:
+    """Lines enciphered letter by letter with groups of signs, picked by the sign before; then cut behind certain signs."""
+    signs = [c + v for c in "kdtlnrs" for v in "aeio"]
+
+    def line(words) -> str:
+        out, last = [], "^"
+        for c in "".join(c for w in words for c in w if "a" <= c <= "z"):
+            group = signs[Draws("verbose", c, Draws("pick", last, c).below(HOMOPHONES)).below(len(signs))] + ("n" if c in "aeiou" else "")
+            out.append(group)
+            last = group[-1]
+        text, piece, pieces = "".join(out), "", []
+        for c in text:
+            piece += c
+            if c in spaces and len(piece) >= 3:
+                pieces.append(piece)
+                piece = ""
+        return " ".join([*pieces, piece] if piece else pieces)
+
+    @F.pandas_udf("string")
+    def encipher(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda w: line(w if w is not None else []))
+
+    return ln.where("size(words) > 0 and line_no < 20").select("lang", "doc_id", F.col("line_no").cast("bigint").alias("line_no"), encipher("words").alias("text"))
+
+
+def twin_residual(tk: DataFrame, least_lines: int = 30) -> DataFrame:
+    """How a text and its twin from a letter automaton differ: bits a character compressed, page by page, mean by language."""
+    import lzma
+
+    @F.pandas_udf("double")
+    def bits(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: 8 * len(lzma.compress(t.encode(), format=lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA2, "preset": 1}])) / max(len(t), 1))
+
+    def joined(lines: DataFrame, name: str) -> DataFrame:
+        return lines.groupBy("lang", "doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("t"), F.count(F.lit(1)).alias("lines")).select("lang", "doc_id", "lines", bits("t").alias(name))
+
+    real = tk.groupBy("lang", "doc_id", "line_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda x: x["tok"]), " ").alias("text"))
+    both = joined(real, "bits").where(f"lines >= {least_lines}").join(joined(automaton_text(tk), "twin_bits").select("doc_id", "twin_bits"), "doc_id")
+    return both.groupBy("lang").agg(F.count(F.lit(1)).alias("pages"), F.round(F.avg(F.col("bits") - F.col("twin_bits")), 6).alias("residual"))

@@ -175,9 +175,41 @@ def e4_line_drift(d: Spark) -> str:
 
 @plan("tp")
 def e1_boundary_recency(d: Spark) -> str:
-    """Repeats 2 to 40 words apart by whether they share the line, over what pairs of the same two lines' distance classes give."""
-    pairs = "select x.lang, case when x.line_no = y.line_no then 'same_line' else 'other_line' end as kind, x.tok as a, y.tok as b from {tp} x join {tp} y on x.doc_id = y.doc_id and y.idx between x.idx + 2 and x.idx + 12 where x.line_no < 6"
-    return f"select lang, kind, count(*) as pairs, round(avg(case when a = b then 1.0e0 else 0.0e0 end), 6) as rate from ({pairs}) q group by lang, kind"
+    """Repeats 2 to 12 words apart by whether they share the line, over what words dealt anew inside their classes of places would give.
+
+    A class is a word's distance from the ends of its line, up to two; a pair's expectation is the share of equal words
+    among pairs of its two classes on the page.
+    """
+    place = "concat(cast(least(pos, 2) as string), cast(least(n_line - 1 - pos, 2) as string))"
+    words = f"select lang, doc_id, line_no, idx, tok, {place} as cls from {{tp}} where line_no < 12"
+    return f"""with w as ({words}), k as (select doc_id, cls, tok, count(*) * 1.0e0 as k from w group by doc_id, cls, tok), n as (select doc_id, cls, sum(k) as n from k group by doc_id, cls),
+        s as (select x.doc_id, x.cls as cx, y.cls as cy, sum(x.k * (y.k - case when x.cls = y.cls then 1 else 0 end)) as same from k x join k y on x.doc_id = y.doc_id and x.tok = y.tok group by x.doc_id, x.cls, y.cls),
+        e as (select a.doc_id, a.cls as cx, b.cls as cy, coalesce(s.same, 0.0e0) / nullif(a.n * (b.n - case when a.cls = b.cls then 1 else 0 end), 0.0e0) as p from n a join n b on a.doc_id = b.doc_id left join s on s.doc_id = a.doc_id and s.cx = a.cls and s.cy = b.cls),
+        q as (select x.lang, x.doc_id, case when x.line_no = y.line_no then 'same_line' else 'cross_line' end as kind, x.cls as cx, y.cls as cy, count(*) as pairs, sum(case when x.tok = y.tok then 1.0e0 else 0.0e0 end) as hits from w x join w y on x.doc_id = y.doc_id and y.idx between x.idx + 2 and x.idx + 12 group by x.lang, x.doc_id, case when x.line_no = y.line_no then 'same_line' else 'cross_line' end, x.cls, y.cls)
+        select q.lang, q.kind, cast(sum(q.pairs) as bigint) as pairs, round(sum(q.hits) / nullif(sum(q.pairs * e.p), 0.0e0), 6) as ratio from q join e on q.doc_id = e.doc_id and q.cx = e.cx and q.cy = e.cy group by q.lang, q.kind"""
+
+
+@plan("tk")
+def window_percentiles(d: Spark) -> str:
+    """Where each source's share of one-letter words lies among fifty windows of as many words from anywhere in its language."""
+    words = "select lang, source, case when length(tok) = 1 then 1.0e0 else 0.0e0 end as y, row_number() over (partition by lang order by doc_id, line_no, pos) as r, count(*) over (partition by lang) as n from {tk}"
+    own = "select lang, source, avg(y) as v, count(*) as size from w group by lang, source"
+    starts = f"select lang, source, v, size, k, cast(floor({d.u("concat('w', lang, source, cast(k as string))")} * (n - size)) as bigint) as s from (select o.lang, o.source, v, size, n from ({own}) o join (select lang, max(n) as n from w group by lang) m on o.lang = m.lang) z {d.each('1', '50', 'k')}"
+    return f"""with w as ({words}), c as (select lang, r, sum(y) over (partition by lang order by r rows between unbounded preceding and current row) as upto from w)
+        select t.lang, t.source, round(max(t.v), 6) as share, round(avg(case when (b.upto - coalesce(a.upto, 0.0e0)) / t.size < t.v - 1e-12 then 1.0e0 else 0.0e0 end), 6) as percentile_ from ({starts}) t join c b on b.lang = t.lang and b.r = t.s + t.size left join c a on a.lang = t.lang and a.r = t.s group by t.lang, t.source"""
+
+
+@plan("tk")
+def positive_control(d: Spark) -> str:
+    """A divergence that is put in on purpose: a tenth of even pages' words is replaced by a mark, and a test of halves finds it."""
+    key = "concat('pc', cast(doc_id as string), ':', cast(line_no as string), ':', cast(pos as string))"
+    marked = f"select lang, doc_id % 2 as half, left(case when doc_id % 2 = 0 and {d.u(key)} < 0.1e0 then '#' else tok end, 1) as sym, left(tok, 1) as plain from {{tk}}"
+    parts = []
+    for column in ("sym", "plain"):
+        shares = f"select lang, {column} as s, sum(case when half = 0 then 1.0e0 else 0.0e0 end) as a, sum(case when half = 1 then 1.0e0 else 0.0e0 end) as b from m group by lang, {column}"
+        both = f"select lang, s, a / sum(a) over (partition by lang) as p, b / sum(b) over (partition by lang) as q from ({shares}) x"
+        parts.append(f"select lang, '{column}' as kind, sum(case when p > 0 then p * log2(2 * p / (p + q)) else 0.0e0 end + case when q > 0 then q * log2(2 * q / (p + q)) else 0.0e0 end) / 2 as jsd from ({both}) y group by lang")
+    return f"with m as ({marked}) select lang, round(max(case when kind = 'sym' then jsd end), 6) as injected, round(max(case when kind = 'plain' then jsd end), 6) as plain from ({' union all '.join(parts)}) z group by lang"
 
 
 @plan("tk")

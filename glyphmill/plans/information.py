@@ -161,3 +161,11 @@ def agreement(d: Spark) -> str:
     words = "select lang, doc_id, line_no, pos, a as tok from {pr} union all select lang, doc_id, line_no, pos + 1, b from (select *, row_number() over (partition by doc_id, line_no order by pos desc) as back from {pr}) q where back = 1"
     chance = " union all ".join(f"select lang, '{k}' as feature, sum(k * (k - 1.0e0) / n) as e from (select lang, count(*) as k, sum(count(*)) over (partition by doc_id, line_no) as n from ({words}) w group by lang, doc_id, line_no, {v.format(t='tok')}) x group by lang" for k, v in parts.items())
     return f"select s.lang, s.feature, s.n, round(hits / nullif(e, 0.0e0), 6) as ratio from ({seen}) s join ({chance}) c on s.lang = c.lang and s.feature = c.feature"
+
+
+@plan("tk")
+def excess_mi_by_distance(d: Spark) -> str:
+    """Boundary information of words 1 to 3 apart beyond words dealt anew inside pages."""
+    rows = "select lang, doc_id, line_no, pos, right(tok, 1) as a, " + ", ".join(f"left(lead(tok, {k}) over (partition by doc_id, line_no order by pos), 1) as b{k}" for k in (1, 2, 3)) + " from {tk}"
+    parts = [f"select {k} as d, lang, n, mi, chance, excess from ({excess(f'select lang, doc_id, line_no, pos, a, b{k} as b from ({rows}) r0 where b{k} is not null', 'lang, doc_id', KEY, d, reps=1)}) x{k}" for k in (1, 2, 3)]
+    return " union all ".join(parts)

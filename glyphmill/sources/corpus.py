@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphmill.functions.dialect import SPARK, Spark
@@ -110,16 +111,27 @@ def markup(d: Spark) -> str:
     return f"select page_id, pos, tok from (select page_id, {d.find_all(f'lower({plain})', WORD)} as words from {{pages}}) q {d.numbered('words', 'pos', 'tok')}"
 
 
-def frames(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> dict[str, DataFrame]:
-    """Tables and relations as DataFrames, by name."""
+#: Relations that many plans read; a session makes them once for a folder of tables.
+SHARED = ("tk", "ty", "ed1")
+_kept: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def frames(spark: SparkSession, sf_dir: str, names: tuple[str, ...], keep: bool = True) -> dict[str, DataFrame]:
+    """Tables and relations as DataFrames, by name. With keep, SHARED ones stay in memory, and on disk beyond it, for later calls."""
     found: dict[str, DataFrame] = {}
 
     def get(name: str) -> DataFrame:
-        if name not in found:
-            if name in DEFINITIONS:
-                found[name] = spark.sql(DEFINITIONS[name](SPARK), **{r: get(r) for r in READS[name]})
-            else:
-                found[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        if name in found:
+            return found[name]
+        key = (spark.sparkContext.applicationId, sf_dir, name)
+        if name not in DEFINITIONS:
+            found[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        elif key in _kept:
+            found[name] = _kept[key]
+        else:
+            found[name] = spark.sql(DEFINITIONS[name](SPARK), **{r: get(r) for r in READS[name]})
+            if keep and name in SHARED:
+                _kept[key] = found[name].persist(StorageLevel.MEMORY_AND_DISK)
         return found[name]
 
     return {n: get(n) for n in names}

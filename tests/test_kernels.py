@@ -53,3 +53,13 @@ def test_draws_are_keyed():
     assert [Draws("a").uniform() for _ in range(2)] == [Draws("a").uniform()] * 2
     assert Draws("a").uniform() != Draws("b").uniform()
     assert sorted(Draws("c").shuffled(list(range(20)))) == list(range(20))
+
+
+def test_matrix_goes_on(spark, sf, tmp_path):
+    from glyphmill.operators import run_matrix
+
+    def fails(spark, sf_dir):
+        raise RuntimeError("no")
+
+    got = {r.name: r for r in run_matrix(spark, sf, {"a": QUERIES["grid_fit"], "b": fails}, str(tmp_path)).collect()}
+    assert got["a"].rows > 0 and got["a"].error is None and got["b"].error == "no"
