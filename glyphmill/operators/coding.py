@@ -109,7 +109,7 @@ def message_round_trip(tk: DataFrame, messages: int = 5, length: int = 256) -> D
     return pairs.groupBy("lang").applyInPandas(run, "lang string, messages long, wrong long, bits_per_letter double")
 
 
-#: Words in comments that mark a scribe's change.
+#: Words in comments that mark a scribe's change.
 CHANGES = r"corr|eras|above|inser|added"
 
 

@@ -161,7 +161,7 @@ def autokey_text(ln: DataFrame, key: str = "quill") -> DataFrame:
     return ln.where("size(words) > 0").select("lang", "doc_id", F.col("line_no").cast("bigint").alias("line_no"), encipher("words").alias("text"))
 
 
-#: Cards of each of six tables in the deck, single letters in 36 cards, and joined words in a hundred.
+#: Cards of each of six tables in the deck, single letters in 36 draws, joined words in a hundred.
 DECK, SINGLE, JOINED = (20, 8, 8, 8, 4, 4), 17, 3
 
 

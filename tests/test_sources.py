@@ -7,22 +7,21 @@ from pyspark.sql import functions as F
 from glyphmill.sources import results
 from glyphmill.sources import transliteration as t
 
-IVTFF = """#=IVTFF
-# a comment
-
-<f1r>      <! $Q=A $I=T $L=A $H=1>
-<f1r.1,@P0>       fachys.ykal.ar<!here>[a:o]taiin,shol<->@152;or.{c'y}dan!
-<f1r.2,+P0>       sory.ckhar<$>
-<f1v>      <! $Q=A $L=B>
-<f1v.1,@P0>       o?r.y
+MARKED = """# a comment
+
+<p1a>      <! $Q=A $I=T $L=A $H=1>
+<p1a.1,@P0>       mirel.osta.ar<!here>[a:o]tin,selo<->@152;or.{c'y}dun!
+<p1a.2,+P0>       vory.quar<$>
+<p1b>      <! $Q=A $L=B>
+<p1b.1,@P0>       o?r.y
 """
 
 
 def test_transliteration(spark, tmp_path):
-    (tmp_path / "a.txt").write_text(IVTFF)
+    (tmp_path / "a.txt").write_text(MARKED)
     got = t.read_transliteration(spark, str(tmp_path / "a.txt")).orderBy("at").collect()
-    assert [(r.page, r.num, r.locus) for r in got] == [("f1r", 1, "@P0"), ("f1r", 2, "+P0"), ("f1v", 1, "@P0")]
-    assert got[0].words == ["fachys", "ykal", "arataiin", "shol", "*or", "dan"]
+    assert [(r.page, r.num, r.locus) for r in got] == [("p1a", 1, "@P0"), ("p1a", 2, "+P0"), ("p1b", 1, "@P0")]
+    assert got[0].words == ["mirel", "osta", "aratin", "selo", "*or", "dun"]
     assert got[0].meta == {"Q": "A", "I": "T", "L": "A", "H": "1"} and got[2].meta["L"] == "B"
     assert [r.para_final for r in got] == [False, True, False]
     assert [r.eligible for r in got] == [False, True, False]
@@ -46,8 +45,8 @@ def test_book_body(spark):
 
 
 def test_code_table(spark, tmp_path):
-    (tmp_path / "c.csv").write_text("﻿code,glyphs\nunigram_alpha_a,ol\n", encoding="utf-8")
-    assert [tuple(r) for r in t.read_code_table(spark, str(tmp_path / "c.csv")).collect()] == [("unigram_alpha_a", "ol")]
+    (tmp_path / "c.csv").write_text("﻿code,glyphs\none_a,ol\n", encoding="utf-8")
+    assert [tuple(r) for r in t.read_code_table(spark, str(tmp_path / "c.csv")).collect()] == [("one_a", "ol")]
 
 
 def test_results_are_taken_up(spark, tmp_path):
