@@ -192,7 +192,7 @@ def deck_text(ln: DataFrame) -> DataFrame:
     def encipher(words: pd.Series, doc: pd.Series, no: pd.Series) -> pd.Series:
         return pd.Series([line(w if w is not None else [], int(a), int(b)) for w, a, b in zip(words, doc, no)], dtype=object)
 
-    return ln.where("size(words) > 0 and line_no < 20").select("lang", "doc_id", F.col("line_no").cast("bigint").alias("line_no"), encipher("words", "doc_id", "line_no").alias("text"))
+    return ln.where("size(words) > 0").select("lang", "doc_id", F.col("line_no").cast("bigint").alias("line_no"), encipher("words", "doc_id", "line_no").alias("text"))
 
 
 def _letter_tables(tk: DataFrame, order: int) -> dict[tuple[str, str], tuple[list[str], list[float]]]:
@@ -343,7 +343,7 @@ def verbose_text(ln: DataFrame, spaces: str = "nsty") -> DataFrame:
     def encipher(rows: pd.Series) -> pd.Series:
         return rows.map(lambda w: line(w if w is not None else []))
 
-    return ln.where("size(words) > 0 and line_no < 20").select("lang", "doc_id", F.col("line_no").cast("bigint").alias("line_no"), encipher("words").alias("text"))
+    return ln.where("size(words) > 0").select("lang", "doc_id", F.col("line_no").cast("bigint").alias("line_no"), encipher("words").alias("text"))
 
 
 def twin_residual(tk: DataFrame, least_lines: int = 30) -> DataFrame:

@@ -38,9 +38,9 @@ def t4b_columns(d: Spark) -> str:
 @plan("tk")
 def t4c_line_cycle(d: Spark) -> str:
     """Cosine of lines as counts of letter pairs at word edges, k lines apart, over the page's mean."""
-    lines = "select lang, doc_id, line_no, concat(left(tok, 1), right(tok, 1)) as u, count(*) * 1.0e0 as c, sum(count(*) * count(*)) over (partition by doc_id, line_no) as q from {tk} where line_no < 30 group by lang, doc_id, line_no, concat(left(tok, 1), right(tok, 1))"
+    lines = "select lang, doc_id, line_no, concat(left(tok, 1), right(tok, 1)) as u, count(*) * 1.0e0 as c, sum(count(*) * count(*)) over (partition by doc_id, line_no) as q from {tk} group by lang, doc_id, line_no, concat(left(tok, 1), right(tok, 1))"
     pairs = f"select x.lang, x.doc_id, x.line_no as i, y.line_no as j, sum(x.c * y.c) / sqrt(max(x.q) * 1.0e0 * max(y.q)) as cos from ({lines}) x join ({lines}) y on x.doc_id = y.doc_id and x.line_no < y.line_no and x.u = y.u group by x.lang, x.doc_id, x.line_no, y.line_no"
-    counts = "select doc_id, count(*) as m, min(line_no) as lo from (select distinct doc_id, line_no from {tk} where line_no < 30) z group by doc_id"
+    counts = "select doc_id, count(*) as m, min(line_no) as lo from (select distinct doc_id, line_no from {tk}) z group by doc_id"
     return f"""with cosines as ({pairs}), pages_ as (select c.lang, c.doc_id, sum(cos) / (max(m) * (max(m) - 1.0e0) / 2) as mean_ from cosines c join ({counts}) n on c.doc_id = n.doc_id group by c.lang, c.doc_id)
         select c.lang, j - i as k, round(sum(cos) / sum(mean_), 6) as ratio, count(*) as n from cosines c join pages_ p on c.doc_id = p.doc_id where j - i <= 12 group by c.lang, j - i"""
 
@@ -168,9 +168,9 @@ def e5_burstiness(d: Spark) -> str:
 @plan("tk")
 def e4_line_drift(d: Spark) -> str:
     """Cosine of lines as word counts by their distance, over the page's mean, and its slope over 2 to 8 lines."""
-    lines = "select lang, doc_id, line_no, tok, count(*) * 1.0e0 as c, sum(count(*) * count(*)) over (partition by doc_id, line_no) as q from {tk} where line_no < 30 group by lang, doc_id, line_no, tok"
-    pairs = f"select x.lang, x.doc_id, y.line_no - x.line_no as k, sum(x.c * y.c) / sqrt(max(x.q) * 1.0e0 * max(y.q)) as cos from ({lines}) x join ({lines}) y on x.doc_id = y.doc_id and x.line_no < y.line_no and x.tok = y.tok group by x.lang, x.doc_id, x.line_no, y.line_no"
-    return f"select lang, round(regr_slope(cos, k), 6) as slope, round(regr_intercept(cos, k), 6) as intercept, count(*) as n from (select lang, k, avg(cos) as cos from ({pairs}) p where k between 2 and 8 group by lang, k) q group by lang"
+    lines = "select lang, doc_id, line_no, tok, count(*) * 1.0e0 as c, sum(count(*) * count(*)) over (partition by doc_id, line_no) as q from {tk} group by lang, doc_id, line_no, tok"
+    pairs = f"select x.lang, x.doc_id, y.line_no - x.line_no as k, sum(x.c * y.c) / sqrt(max(x.q) * 1.0e0 * max(y.q)) as cos from ({lines}) x join ({lines}) y on x.doc_id = y.doc_id and y.line_no between x.line_no + 2 and x.line_no + 8 and x.tok = y.tok group by x.lang, x.doc_id, x.line_no, y.line_no"
+    return f"select lang, round(regr_slope(cos, k), 6) as slope, round(regr_intercept(cos, k), 6) as intercept, count(*) as n from (select lang, k, avg(cos) as cos from ({pairs}) p group by lang, k) q group by lang"
 
 
 @plan("tp")
@@ -181,7 +181,7 @@ def e1_boundary_recency(d: Spark) -> str:
     among pairs of its two classes on the page.
     """
     place = "concat(cast(least(pos, 2) as string), cast(least(n_line - 1 - pos, 2) as string))"
-    words = f"select lang, doc_id, line_no, idx, tok, {place} as cls from {{tp}} where line_no < 12"
+    words = f"select lang, doc_id, line_no, idx, tok, {place} as cls from {{tp}}"
     return f"""with w as ({words}), k as (select doc_id, cls, tok, count(*) * 1.0e0 as k from w group by doc_id, cls, tok), n as (select doc_id, cls, sum(k) as n from k group by doc_id, cls),
         s as (select x.doc_id, x.cls as cx, y.cls as cy, sum(x.k * (y.k - case when x.cls = y.cls then 1 else 0 end)) as same from k x join k y on x.doc_id = y.doc_id and x.tok = y.tok group by x.doc_id, x.cls, y.cls),
         e as (select a.doc_id, a.cls as cx, b.cls as cy, coalesce(s.same, 0.0e0) / nullif(a.n * (b.n - case when a.cls = b.cls then 1 else 0 end), 0.0e0) as p from n a join n b on a.doc_id = b.doc_id left join s on s.doc_id = a.doc_id and s.cx = a.cls and s.cy = b.cls),

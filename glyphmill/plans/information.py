@@ -115,7 +115,7 @@ def over_under_pairs(d: Spark) -> str:
 @plan("tk")
 def page_mi(d: Spark) -> str:
     """Information between words and pages, beyond words dealt anew."""
-    pairs = f"select lang, doc_id, line_no, pos, cast(doc_id as string) as a, tok as b, substr(md5({KEY}), 1, 1) as bucket from {{tk}} where line_no < 8"
+    pairs = f"select lang, doc_id, line_no, pos, cast(doc_id as string) as a, tok as b, substr(md5({KEY}), 1, 1) as bucket from {{tk}}"
     return excess(pairs, "lang, bucket", KEY, d, reps=1)
 
 

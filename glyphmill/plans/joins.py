@@ -69,7 +69,7 @@ def line_corners(d: Spark) -> str:
 @plan("tk")
 def new_words_of_lines(d: Spark) -> str:
     """Plain words of a line without any word within two edits in the line before."""
-    plain = "select distinct lang, doc_id, line_no, tok from {tk} where line_no < 12 and " + d.matches("tok", "[a-z]{{3,}}")
+    plain = "select distinct lang, doc_id, line_no, tok from {tk} where " + d.matches("tok", "[a-z]{{3,}}")
     return f"select x.lang, count(*) as n from ({plain}) x where x.line_no > 0 and not exists (select 1 from ({plain}) y where y.doc_id = x.doc_id and y.line_no = x.line_no - 1 and levenshtein(x.tok, y.tok) <= 2) group by x.lang"
 
 

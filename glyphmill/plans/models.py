@@ -80,7 +80,7 @@ def poured_text(d: Spark) -> str:
 def grille_text(d: Spark) -> str:
     """Words of table cells that a grille shows, moved a row each line: prefix, middle and suffix from hashes of the cell."""
     part = lambda p, col: f"substr('{p}', cast({d.hash32(f'concat({chr(39)}{p[:2]}{chr(39)}, cast((r + line_no) % 12 as string), {chr(39)}:{chr(39)}, cast((c + {col}) % 9 as string))')} % {len(p) // 2} as int) * 2 + 1, 2)"
-    cells = f"select lang, line_no, cast({d.hash32('cast(doc_id as string)')} % 12 as bigint) as r, c from (select doc_id, lang, cast(line_no as bigint) as line_no, cast({d.size('words')} as bigint) - 1 as m from {{ln}} where line_no < 20) q {d.each('0', 'm', 'c')}"
+    cells = f"select lang, line_no, cast({d.hash32('cast(doc_id as string)')} % 12 as bigint) as r, c from (select doc_id, lang, cast(line_no as bigint) as line_no, cast({d.size('words')} as bigint) - 1 as m from {{ln}}) q {d.each('0', 'm', 'c')}"
     return f"select lang, w, count(*) as n from (select lang, concat({part('thanonreinho', 0)}, {part('erolneste', 1)[:0] + part('erolnest', 1)}, {part('edlyisen', 2)}) as w from ({cells}) z) y group by lang, w"
 
 
@@ -90,7 +90,7 @@ def device_text(d: Spark) -> str:
     cum = "select lang, tok, n, r, sum(n) over (partition by lang order by r rows between unbounded preceding and current row) as hi from (select lang, tok, n, row_number() over (partition by lang order by n desc, tok) as r from {ty}) q where r <= 200"
     tops = f"select lang, max(hi) as total, max(case when r = 10 then hi end) as ten from ({cum}) c group by lang"
     key = "concat('dv', cast(doc_id as string), ':', cast(line_no as string), ':', cast(pos as string))"
-    spots = f"select t.lang, t.pos % 5 as phase, cast(floor({d.u(key)} * case when t.pos % 5 = 0 then ten else total end) as bigint) as x from (select lang, doc_id, line_no, pos from {{tk}} where line_no < 3) t join ({tops}) p on t.lang = p.lang"
+    spots = f"select t.lang, t.pos % 5 as phase, cast(floor({d.u(key)} * case when t.pos % 5 = 0 then ten else total end) as bigint) as x from (select lang, doc_id, line_no, pos from {{tk}}) t join ({tops}) p on t.lang = p.lang"
     return f"select s.lang, s.phase, w.tok, count(*) as n from ({spots}) s join ({cum}) w on s.lang = w.lang and s.x >= w.hi - w.n and s.x < w.hi group by s.lang, s.phase, w.tok"
 
 
