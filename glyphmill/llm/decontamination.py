@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm import wordcodes as wc
+from glyphmill.llm.scratch import small_batches
 
 WINDOW = 10
 #: Benchmark text that one broadcast block may hold; a larger benchmark is compared block by block.
@@ -120,6 +121,7 @@ def _match(codes: np.ndarray, bounds: np.ndarray, block: _Block) -> tuple[np.nda
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> list:
     """The benchmark as broadcast blocks of bounded size. Items whose id is null are left out."""
     spark = benchmark.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     n = max(1, -(-size // BLOCK_BYTES))
@@ -175,6 +177,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                 base = bounds[doc]
                 spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(part.num_rows + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array(first - base), pa.array(last - base)], fields=list(span)))
                 yield pa.RecordBatch.from_arrays([part["id"], pa.array(np.diff(bounds)), spans, pa.array(items, pa.list_(pa.string()))], ["id", "n_words", "spans", "items"])
+            wc.release()
 
     out = own.mapInArrow(run, f"id {id_type}, n_words bigint, spans array<struct<start: bigint, end: bigint>>, items array<string>")
     return out.withColumnRenamed("id", id_col)
@@ -193,6 +196,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 total = np.concatenate([[0], np.cumsum(hit)])
                 keep[at : at + 2048] = total[bounds[1:]] == total[bounds[:-1]]
             yield batch.filter(pa.array(keep))
+            wc.release()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm.scratch import cut, drop
 
+#: Edges that a task writes after a round; the number of files follows from that of the edges.
+EDGES_A_FILE = 250_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node with an edge to another: the smallest node reachable. edges: (a, b), any order.
@@ -23,11 +26,11 @@ def components(edges: DataFrame) -> DataFrame:
         state = stars.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("lo", "hi"))).first()
         if state == before or not state[0]:
             return stars.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(stars.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
-        before, old = state, stars
+        before, old, parts = state, stars, 1 + state[0] // EDGES_A_FILE
         both = stars.union(stars.select("hi", "lo")).toDF("u", "v")
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(lowest, F.col("u") == F.col("k")).select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
         lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(lowest.withColumnRenamed("hi", "k"), F.col("hi") == F.col("k")).where("lo <> m").select("m", "lo")
-        stars = cut(moved.union(lowest.select("m", "hi")).toDF("lo", "hi").distinct(), "edges")
+        stars = cut(moved.union(lowest.select("m", "hi")).toDF("lo", "hi").distinct().coalesce(parts), "edges")
         drop(old)

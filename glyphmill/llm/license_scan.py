@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm import wordcodes as wc
+from glyphmill.llm.scratch import small_batches
 
 CONTAINMENT = 0.85
 #: Phrases and their labels.
@@ -172,6 +173,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     are lines, for templates of more than LONG words paragraphs. Lines that say the same are each listed. Null and
     empty texts have no words and nothing found; repeated rows are scanned each; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     words = _Words(phrases, templates)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = own.schema["id"].dataType.simpleString()

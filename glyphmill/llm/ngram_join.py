@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm import wordcodes as wc
 from glyphmill.llm.graph import components
-from glyphmill.llm.scratch import cut, drop
+from glyphmill.llm.scratch import cut, drop, fresh_name
 
 WORDS = 5
 #: Similarity of linked texts, as a fraction.
@@ -45,6 +45,8 @@ FREQUENT = 1 << 20
 BIN_BITS, MOST_BITS = 19, 30
 #: Rows of a column compared in one block.
 BLOCK = 2048
+#: Partners that a set is compared with in one task.
+PARTNERS = 256
 #: Representatives in a component from which columns that hold some of it are worked out as its region, and shingles in a block of a region.
 LARGE, BLOCK_CELLS = 16, 1 << 17
 #: Slots of the map of ids whose sets are needed, at most; a bound for what is broadcast.
@@ -78,6 +80,7 @@ def _parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        wc.release()
 
 
 def _sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -413,10 +416,10 @@ def _region_links(texts: DataFrame, members: DataFrame) -> DataFrame:
 def verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough. texts: (id, text).
 
-    The set of a travels once for every BLOCK / 8 partners, so an id in very many pairs is dealt over many tasks.
+    The set of a travels once for every PARTNERS of its partners, so an id in very many pairs is dealt over many tasks.
     """
     sets = sets_of(texts, pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct())
-    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / (BLOCK // 8)).alias("salts"))
+    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("salts"))
     salted = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").alias("salt"))
     right = salted.join(sets, F.col("b") == F.col("id")).select("a", "salt", "b", "codes")
     left = salts.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt")).join(sets, F.col("a") == F.col("id"))
@@ -485,8 +488,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with their columns, whose id is the smallest of its component; rows with a null id stay."""
     found = near_duplicates(docs, id_col, text_col)
-    others = found.where(F.col(id_col) != F.col("component")).select(F.col(id_col).cast("bigint").alias("_other")).distinct()
-    return docs.join(others, docs[id_col] == F.col("_other"), "left_anti")
+    name = fresh_name(docs, "_other")
+    others = cut(found.where(F.col(id_col) != F.col("component")).select(F.col(id_col).alias(name)).distinct(), "others")
+    return docs.join(others, F.col(id_col) == F.col(name), "left_anti")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

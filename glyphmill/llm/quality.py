@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphmill.llm import wordcodes as wc
-from glyphmill.llm.scratch import cut
+from glyphmill.llm.scratch import cut, fresh_name, small_batches
 
 #: Labelled rows that a model is fitted on, about; a documented bound.
 SAMPLE = 8_000
@@ -86,6 +86,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
 
 def text_statistics(docs: DataFrame, text_col: str = "text", name: str = "_statistics", keep: list[str] | None = None) -> DataFrame:
     """docs, with the columns of keep or all, and an array of STATISTICS."""
+    small_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     fields = [f for f in docs.schema.fields if f.name in keep]
     schema = T.StructType([*fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
@@ -98,6 +99,7 @@ def text_statistics(docs: DataFrame, text_col: str = "text", name: str = "_stati
                 x = statistics(part.column(at))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in kept], lists], [*[f.name for f in fields], name])
+            wc.release()
 
     return docs.mapInArrow(run, schema)
 
@@ -266,7 +268,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """The rows of docs, with their columns, that score threshold or more."""
     table = _table(docs, id_col, text_col)
     model = fit_quality(table, labels, id_col, label_col)
-    return text_statistics(docs, text_col).where(model.column(F.col("_statistics")) >= threshold).drop("_statistics")
+    name = fresh_name(docs, "_statistics")
+    return text_statistics(docs, text_col, name).where(model.column(F.col(name)) >= threshold).drop(name)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,6 +22,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _own.setdefault(sc.applicationId, f"file://{tempfile.mkdtemp(prefix='glyphmill-')}")
 
 
+#: Bytes of a batch that goes to a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have Arrow batches bounded by their bytes, as texts may be long; a lower bound that is set stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.match(r"\d+", spark.conf.get(name))[0]) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/glyphmill/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -28,6 +40,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df to the shared folder and return it as read from there: short lineage, computed once."""
     spark = df.sparkSession
+    small_batches(spark)
     path = new_path(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
@@ -44,3 +57,11 @@ def drop(*frames: DataFrame) -> None:
             spark = df.sparkSession
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -10,6 +10,7 @@ Files (Parquet) under the store's path:
   chunks/                 digest, n, payload: n ids as little-endian unsigned integers of len(payload) / n bytes
   index/kind=document/    shard, id, local_start, n_tokens, digests, lengths, root; part k is shard k
   index/kind=shard/       shard, n_tokens, n_docs, root
+  ids/                    no rows: the type of ids
   manifest/               shard, start, n_tokens, n_docs, root, and store_root in every row
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.llm import wordcodes as wc
-from glyphmill.llm.scratch import cut, drop, new_path
+from glyphmill.llm.scratch import cut, drop, new_path, small_batches
 
 END_ID = 2
 #: Ids in a chunk: least, one boundary in so many positions, most.
@@ -39,7 +40,7 @@ REACH = 8
 #: Recipes in a shard, about.
 SHARD_DOCS = 1 << 16
 #: Different pieces of text whose ids a worker remembers.
-KNOWN = 3 << 18
+KNOWN = 1 << 18
 
 _BLANKS = b" \t\n\x0b\x0c\r"
 #: Of each byte: 1 white space, 2 letter, 3 punctuation, 4 perhaps the first of rarer white space, 0 other.
@@ -242,8 +243,8 @@ def _encode(path: str, end_id: int):
             _encoders[path] = Encoder(path)  # what it has learned serves the worker's next tasks
         encoder, seen = _encoders[path], set()
         for batch in batches:
-            for cut_at in range(0, batch.num_rows, 2048):
-                part = batch.slice(cut_at, 2048)
+            for cut_at in range(0, batch.num_rows, 1024):
+                part = batch.slice(cut_at, 1024)
                 ids, bounds = encoder.encode(part["text"], end_id)
                 ends, at = chunk_ends(ids, bounds)
                 starts = np.concatenate([[0], ends[:-1]])
@@ -263,6 +264,7 @@ def _encode(path: str, end_id: int):
                 if fresh:
                     n, (d, size, data) = len(fresh), zip(*fresh)
                     yield pa.RecordBatch.from_arrays([pa.nulls(n, part["id"].type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.binary())), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.binary()), pa.array(d, pa.binary()), pa.array(data, pa.binary()), pa.array(size, pa.int32()), pa.array(["chunk"] * n)], _STAGED)
+            wc.release()
 
     return run
 
@@ -306,6 +308,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
     zstd = {"compression": "zstd"}
     chunks = staged.where("kind = 'chunk'").groupBy("digest").agg(F.first("n").alias("n"), F.first("payload").alias("payload"))
     chunks.write.options(**zstd).parquet(f"{path}/chunks")
+    own.select("id").limit(0).write.parquet(f"{path}/ids")
     recipes = staged.where("kind = 'document'").select("id", "n_tokens", "digests", "lengths", "root")
     shards = max(1, -(-recipes.count() // SHARD_DOCS))
     ordered = recipes.repartitionByRange(shards, F.col("id").asc_nulls_first(), "root").sortWithinPartitions(F.col("id").asc_nulls_first(), "root")
@@ -385,7 +388,8 @@ def _move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _documents(spark: SparkSession, path: str) -> DataFrame:
-    index = spark.read.parquet(f"{path}/index").where("kind = 'document'")
+    id_type = spark.read.parquet(f"{path}/ids").schema["id"].dataType.simpleString()
+    index = spark.read.schema(_index_schema(id_type)).parquet(f"{path}/index").where("kind = 'document'")
     offsets = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").select(F.col("shard").alias("s"), F.col("start").alias("shard_start"))
     return index.join(offsets, F.col("shard") == F.col("s")).withColumn("start", F.col("local_start") + F.col("shard_start"))
 
@@ -396,6 +400,7 @@ def verify_store(spark: SparkSession, path: str) -> DataFrame:
     Each chunk is read once, and its digest checked; each recipe's root too, and a chunk that is missing or has
     another length is an error. A document's crc32 follows from those of its chunks, so no ids are moved.
     """
+    small_batches(spark)
     documents = _documents(spark, path).select("id", "start", "n_tokens", "digests", "lengths", "root")
     id_type = documents.schema["id"].dataType.simpleString()
     references = documents.mapInArrow(_references, f"id {id_type}, start bigint, n_tokens bigint, chunk binary, length int, tail bigint")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm.scratch import cut, drop, new_path
+from glyphmill.llm.scratch import cut, drop, new_path, small_batches
 
 #: Records in a WARC file at most. An ARC file holds what a task reads.
 FILE_RECORDS = 20_000
@@ -87,6 +87,7 @@ def _archive(records: DataFrame, path: str, line_end: str, **options) -> None:
 
 def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """pages as ARC files of both versions. A null payload is empty, a null url is '-'."""
+    small_batches(pages.sparkSession)
     own = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("payload"))
     _archive(own.mapInArrow(_arc_records, "value string"), path, "\n")
 

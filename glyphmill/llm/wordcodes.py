@@ -7,6 +7,8 @@ of any length. Codes of equal words are equal; those of different words differ b
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -49,6 +51,15 @@ class _Powers:
         return cls.up, cls.down
 
 
+def release() -> None:
+    """Give memory that a worker has freed back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts one after another and the offsets of each; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
