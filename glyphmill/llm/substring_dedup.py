@@ -75,7 +75,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     found = cut(own.mapInArrow(_scan, _UNITS), "units")
     kept = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "unit")).alias("kept"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    kept = kept.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "kept")
+    # a table of its own, so that the join stands right on its shuffles and Spark can split a very common unit
+    kept = cut(kept.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "kept"), "kept-units")
     repeats = found.join(kept, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).where("id <> kept.id or unit <> kept.unit")
     repeats = repeats.select("id", "unit", "words", "start", "end", F.col("kept.id").alias("kept_id"))
     ordered = Window.partitionBy("id").orderBy("unit")
