@@ -4,7 +4,8 @@ Rules name a host, whose subdomains they cover, and a path prefix; the longest t
 follow their host: trust flows from pages that rules allow along links (personalised PageRank), distrust from pages
 that they block against the links, to hosts that link there. A host with more distrust than trust is blocked.
 
-Amounts are whole numbers of millionths of a page, so sums don't depend on their order and reruns agree.
+Amounts are doubles in millionths of a page, as a share of a share may be of any size and none may be cut. Only what
+comes out is rounded, to DIGITS significant digits: sums in another order differ far behind these, so reruns agree.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from glyphmill.llm.scratch import cut
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 ROUNDS, DAMPING = 20, 0.85
 UNIT = 1_000_000
+#: Significant digits of the amounts that verdicts are made of.
+DIGITS = 9
 #: Share of distrust in a host's evidence above which it is blocked.
 DISTRUST = 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -64,28 +67,32 @@ def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
     """
     outgoing = links.groupBy("src").agg(F.sum("weight").alias("total"))
     shares = cut(links.join(outgoing, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "shares")
-    base = cut(seeds.where("amount > 0").select("host", "amount"), "seeds")
+    base = cut(seeds.where("amount > 0").select("host", F.col("amount").cast("double").alias("amount")), "seeds")
     now = base
     if not shares.isEmpty() and not base.isEmpty():
         for k in range(rounds):
-            flow = shares.join(now, F.col("src") == F.col("host")).select(F.col("dst").alias("host"), F.floor(F.col("amount") * F.col("share") * damping).alias("amount"))
-            kept = base.select("host", F.floor(F.col("amount") * (1 - damping)).alias("amount"))
-            now = flow.union(kept).groupBy("host").agg(F.sum("amount").alias("amount")).where("amount > 0")
+            flow = shares.join(now, F.col("src") == F.col("host")).select(F.col("dst").alias("host"), (F.col("amount") * F.col("share") * damping).alias("amount"))
+            kept = base.select("host", (F.col("amount") * (1 - damping)).alias("amount"))
+            now = flow.union(kept).groupBy("host").agg(F.sum("amount").alias("amount"))
             if k % 4 == 3:
                 now = cut(now, "amounts")
     return now
 
 
+def _rounded(amount: Column) -> Column:
+    return F.format_string(f"%.{DIGITS - 1}e", amount).cast("double")
+
+
 def judge_hosts(parsed: DataFrame, rules=RULES, distrust_share: float = DISTRUST) -> DataFrame:
     """(host, trust, distrust, verdict) of every host of parsed pages (host, path, html, r)."""
     counted = cut(parsed.groupBy("host").agg(F.count_if(F.col("r.verdict") == "allow").alias("allowed"), F.count_if(F.col("r.verdict") == "block").alias("blocked")), "hosts")
     links = cut(host_links(parsed), "links")
     trust = propagate(links, counted.select("host", (F.col("allowed") * UNIT).alias("amount")))
     distrust = propagate(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), counted.select("host", (F.col("blocked") * UNIT).alias("amount")))
-    trust = trust.select(F.col("host").alias("th"), F.col("amount").alias("trust"))
-    distrust = distrust.select(F.col("host").alias("dh"), F.col("amount").alias("distrust"))
+    trust = trust.select(F.col("host").alias("th"), _rounded(F.col("amount")).alias("trust"))
+    distrust = distrust.select(F.col("host").alias("dh"), _rounded(F.col("amount")).alias("distrust"))
     both = counted.join(trust, F.col("host") == F.col("th"), "left").join(distrust, F.col("host") == F.col("dh"), "left")
-    zero = F.lit(0).cast("bigint")
+    zero = F.lit(0.0)
     both = both.select("host", F.coalesce("trust", zero).alias("trust"), F.coalesce("distrust", zero).alias("distrust"))
     bad = F.col("distrust") > (F.col("trust") + F.col("distrust")) * distrust_share
     return both.withColumn("verdict", F.when(bad, "block").otherwise("allow"))

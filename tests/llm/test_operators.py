@@ -287,6 +287,16 @@ def test_propagation_against_dense_iteration(spark):
         assert got.get(n, 0) == pytest.approx(v, rel=1e-4, abs=100)
 
 
+def test_distrust_reaches_far_rings(spark):
+    link = '<a href="http://{}/">'
+    pages = [("http://bad.com/de/1", "")] + [(f"http://r{k}.net/", link.format("bad.com")) for k in range(1000)] + [(f"http://s{k}.net/", link.format("r0.net")) for k in range(1000)] + [("http://t0.net/", link.format("s0.net")), ("http://far.net/", "")]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")
+    got = {r.host: r for r in url_filter.filter_urls(df).collect()}
+    assert all(got[f"s{k}.net"].verdict == "block" for k in range(1000)) and got["t0.net"].verdict == "block"
+    assert got["s0.net"].distrust == pytest.approx(1e6 * 0.15 * 0.85**2 / 1000 / 1000, rel=1e-6)
+    assert got["far.net"].verdict == "allow" and got["far.net"].distrust == 0
+
+
 # --- 5 ---
 
 
