@@ -22,7 +22,8 @@ from glyphmill.llm.scratch import small_batches
 CONTAINMENT = 0.85
 #: Phrases and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Notices of public licenses and their labels. Those of more than LONG distinct words are sought in paragraphs, others in lines.
+#: Notices of public licenses and their labels. Those of more than LONG distinct words are sought in paragraphs, others in
+#: lines and in runs of neighbouring lines.
 TEMPLATES = (
     ("released under the mit license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", "mit"),
@@ -40,6 +41,8 @@ TEMPLATES = (
     ("all rights reserved", "all-rights-reserved"),
 )
 LONG = 16
+#: In a run of lines a template's words stand within so many times its own length: scattered over a page they are no notice.
+STRETCH = 2
 
 
 class _Words:
@@ -93,6 +96,7 @@ class _Matcher:
             ranks = np.unique(self.rank[[words.at[w] for w in text.split()]])
             need = math.ceil(containment * len(ranks) - 1e-9)
             self.templates.append((ranks, need, label))
+        self.lengths = [len(text.split()) for text, _ in templates]
 
     def places(self, codes: np.ndarray, bounds: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts of phrases, and which: the rarest word's places, then the words around them."""
@@ -130,6 +134,58 @@ class _Matcher:
                 if both >= need:
                     yield int(block[h]), t, both / len(ranks)
 
+    def runs(self, lines: np.ndarray, paragraphs: np.ndarray, end: int, at: np.ndarray, which: np.ndarray) -> Iterator[tuple[int, int, int, float]]:
+        """(first word, end, template, containment) of all shortest runs of two neighbouring lines or more of a paragraph that hold enough.
+
+        lines, paragraphs: where the words of each begin; end: where those of the last end. Runs that hold a line
+        or a shorter run which holds enough are left out. Enough words stand within STRETCH times the template's length.
+        """
+        of_line, of_paragraph = np.searchsorted(lines, at, "right") - 1, np.searchsorted(paragraphs, at, "right") - 1
+        edges = np.append(lines, end)
+        rank_at = self.rank[which]
+        for t, (ranks, need, _) in enumerate(self.templates):
+            if len(ranks) > LONG:
+                continue
+            own = np.flatnonzero(np.isin(rank_at, ranks))
+            place, rank, line, paragraph = at[own], rank_at[own], of_line[own], of_paragraph[own]
+            reach = STRETCH * self.lengths[t]
+            # the prefix filter, and the length filter on what is near
+            hit = np.flatnonzero(np.isin(rank, ranks[: len(ranks) - need + 1]))
+            low = np.maximum(np.searchsorted(place, place[hit] - reach, "right"), np.searchsorted(paragraph, paragraph[hit]))
+            high = np.minimum(np.searchsorted(place, place[hit] + reach), np.searchsorted(paragraph, paragraph[hit], "right"))
+            near = (high - low >= need) & (line[low] != line[high - 1]) if len(hit) else np.zeros(0, bool)
+            found: set[tuple[int, int]] = set()
+            stretches: list[list[int]] = []
+            for l, h in zip(low[near].tolist(), high[near].tolist()):
+                if stretches and l < stretches[-1][1]:
+                    stretches[-1][1] = max(h, stretches[-1][1])
+                else:
+                    stretches.append([l, h])
+            for l, h in stretches:
+                seen: dict[int, int] = {}
+                i = l
+                for j, k in enumerate(rank[l:h].tolist(), l):
+                    seen[k] = seen.get(k, 0) + 1
+                    while place[j] - place[i] >= reach or seen[rank[i]] > 1 or len(seen) > need:
+                        seen[rank[i]] -= 1
+                        if not seen[rank[i]]:
+                            del seen[rank[i]]
+                        i += 1
+                    if len(seen) >= need:
+                        found.add((int(line[i]), int(line[j])))
+            if not found:
+                continue
+            full, n = np.unique(np.unique(line * len(self.rank) + rank) // len(self.rank), return_counts=True)
+            found |= {(a, a) for a in full[n >= need].tolist()}
+            least: list[tuple[int, int]] = []
+            for a, b in sorted(found, key=lambda r: (r[1], -r[0])):  # by their ends, the shorter first
+                if not least or a > least[-1][0]:
+                    least.append((a, b))
+            for a, b in least:
+                if a < b:
+                    inside = rank[np.searchsorted(line, a) : np.searchsorted(line, b, "right")]
+                    yield int(edges[a]), int(edges[b + 1]), t, len(np.unique(inside)) / len(ranks)
+
 
 def _line_edges(texts: pa.Array, starts: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First words of the lines, and of the paragraphs, of all texts."""
@@ -156,7 +212,11 @@ def _scan(matcher: _Matcher):
                     seq, _, label = matcher.phrases[p]
                     found[d].append({"start": place - int(bounds[d]), "end": place - int(bounds[d]) + len(seq), "label": label, "containment": 1.0, "phrase": True})
                 if len(at):
-                    for edges, long in zip(_line_edges(part["text"], starts, bounds), (False, True)):
+                    lines, paragraphs = _line_edges(part["text"], starts, bounds)
+                    for begin, stop, t, c in matcher.runs(lines, paragraphs, len(codes), at, which):
+                        d = int(np.searchsorted(bounds, begin, "right")) - 1
+                        found[d].append({"start": int(begin - bounds[d]), "end": int(stop - bounds[d]), "label": matcher.templates[t][2], "containment": c, "phrase": False})
+                    for edges, long in ((lines, False), (paragraphs, True)):
                         ends = np.append(edges[1:], len(codes))
                         for b, t, c in matcher.blocks(edges, at, which, ends - edges, long):
                             d = int(np.searchsorted(bounds, edges[b], "right")) - 1
@@ -170,7 +230,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, n_words, found) for every row of docs; found lists the places of phrases and the blocks that hold a template.
 
     A place or block has its first and end word, a label, the containment reached and whether it is a phrase. Blocks
-    are lines, for templates of more than LONG words paragraphs. Lines that say the same are each listed. Null and
+    are lines and shortest runs of neighbouring lines, for templates of more than LONG words paragraphs. Lines that say the same are each listed. Null and
     empty texts have no words and nothing found; repeated rows are scanned each; other columns are not read.
     """
     small_batches(docs.sparkSession)

@@ -505,6 +505,19 @@ def test_licenses(spark, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def test_wrapped_notices(spark):
+    texts = [
+        "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed */", "words\nThis work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International\nLicense.\nwords",
+        "This is free and unencumbered software\nreleased into the public domain.", "all rights\n\nreserved", "all\nof " + "filler " * 20 + "rights\nreserved", "all rights reserved\nall rights\nreserved", "This work is licensed under the GNU General\nPublic License version 3",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: [(f["start"], f["end"], f["label"]) for f in r.found] for r in license_scan.scan_licenses(df).collect()}
+    assert got[0] == [(0, 26, "mpl-2")] and got[2] == [(0, 11, "unlicense")] and got[6] == [(0, 12, "gpl-3")]
+    assert (1, 14, "cc-by-sa") in got[1]
+    assert got[3] == got[4] == []  # another paragraph; scattered
+    assert sorted(got[5]) == [(0, 3, "all-rights-reserved"), (3, 6, "all-rights-reserved")]
+
+
 # --- queries ---
 
 
