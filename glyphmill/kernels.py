@@ -18,7 +18,7 @@ def _over(f: Callable[..., DataFrame], *relations: str) -> Callable[[SparkSessio
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "bpe_curve": _over(searching.bpe_curve, "ascii_types"),
+    "bpe_curve": _over(searching.bpe_curve, "types"),
     "slot_rigidity": _over(searching.slot_rigidity, "ty"),
     "drift_segmentation": _over(cutting.drift_segmentation, "tk"),
     "line_packing": _over(cutting.line_packing, "tk"),

@@ -94,10 +94,10 @@ def device_text(d: Spark) -> str:
     return f"select s.lang, s.phase, w.tok, count(*) as n from ({spots}) s join ({cum}) w on s.lang = w.lang and s.x >= w.hi - w.n and s.x < w.hi group by s.lang, s.phase, w.tok"
 
 
-@plan("ascii_types")
+@plan("types")
 def homophones(d: Spark) -> str:
     """Letters enciphered by signs, as many for a letter as its frequency asks, picked by a hash of the place."""
-    letters = f"select tok, n, i, substr(tok, cast(i as int), 1) as sym from (select tok, n, cast(length(tok) as bigint) as m from {{ascii_types}}) q {d.each('1', 'm', 'i')}"
+    letters = f"select tok, n, i, substr(tok, cast(i as int), 1) as sym from (select tok, n, cast(length(tok) as bigint) as m from {{types}}) q {d.each('1', 'm', 'i')}"
     return f"""with l as ({letters}), k as (select sym, greatest(1, cast(round(60.0e0 * sum(n) / max(t)) as bigint)) as signs from (select sym, n, sum(n) over (partition by 1) as t from l) z group by sym)
         select sign, cast(sum(n) as bigint) as n from (select l.n, concat(l.sym, cast({d.hash32("concat(l.tok, ':', cast(l.i as string))")} % k.signs as string)) as sign from l join k on l.sym = k.sym) y group by sign"""
 

@@ -6,41 +6,41 @@ from glyphmill.functions.dialect import Spark
 from glyphmill.plans import plan
 
 
-@plan("ascii_types")
+@plan("types")
 def multigraph_units(d: Spark) -> str:
     """Words as units: some letter groups count as one, longest first."""
-    return f"select unit, cast(sum(n) as bigint) as n, count(*) as places from (select n, {d.find_all('tok', 'tion|ing|the|th|sh|ch|er|ou|[a-z]')} as units from {{ascii_types}}) q {d.items('units', 'unit')} group by unit"
+    return f"select unit, cast(sum(n) as bigint) as n, count(*) as places from (select n, {d.find_all('tok', 'tion|ing|the|th|sh|ch|er|ou|.')} as units from {{types}}) q {d.items('units', 'unit')} group by unit"
 
 
-@plan("ascii_types")
+@plan("types")
 def retokenised(d: Spark) -> str:
     """Letter groups replaced by single signs, the longer first; then types and mean length."""
     t = "tok"
     for group, sign in (("tion", "1"), ("ing", "2"), ("th", "3"), ("er", "4"), ("ou", "5"), ("sh", "6")):
         t = f"replace({t}, '{group}', '{sign}')"
-    return f"select count(distinct t) as types, round(sum(n * length(t)) * 1.0e0 / sum(n), 6) as unit_length from (select {t} as t, n from {{ascii_types}}) q"
+    return f"select count(distinct t) as types, round(sum(n * length(t)) * 1.0e0 / sum(n), 6) as unit_length from (select {t} as t, n from {{types}}) q"
 
 
-@plan("ascii_types")
+@plan("types")
 def families(d: Spark) -> str:
     """Types left when variants fall together, lightly and heavily."""
     light = d.replace_all(d.replace_all("tok", "ee+", "e"), "oo+", "o")
     heavy = d.replace_all(d.replace_all(light, "th|sh|ch", "h"), "[aeiou]+", "a")
-    return f"select count(*) as types, count(distinct {light}) as light, count(distinct {heavy}) as heavy, count(distinct left(tok, 4)) as stems from {{ascii_types}}"
+    return f"select count(*) as types, count(distinct {light}) as light, count(distinct {heavy}) as heavy, count(distinct left(tok, 4)) as stems from {{types}}"
 
 
-@plan("ascii_types")
+@plan("types")
 def consonant_skeletons(d: Spark) -> str:
     """Words without their vowels; the most frequent skeletons."""
-    return "select skeleton, count(*) as types, cast(sum(n) as bigint) as n from (select translate(tok, 'aeiou', '') as skeleton, n from {ascii_types}) q where skeleton <> '' group by skeleton having count(*) > 1"
+    return "select skeleton, count(*) as types, cast(sum(n) as bigint) as n from (select translate(tok, 'aeiou', '') as skeleton, n from {types}) q where skeleton <> '' group by skeleton having count(*) > 1"
 
 
-@plan("ascii_types")
+@plan("types")
 def syllables(d: Spark) -> str:
     """Words cut before a consonant that a vowel follows, but for the first."""
     marked = d.replace_all("tok", "([bcdfghjklmnpqrstvwxyz][aeiouy])", f"|{d.group(1)}")
     first_off = d.replace_all(marked, "^([^|]*)[|]", d.group(1))
-    return f"select syllable, cast(sum(n) as bigint) as n, count(*) as places from (select n, {d.split(first_off, '[|]')} as parts from {{ascii_types}}) q {d.items('parts', 'syllable')} where syllable <> '' group by syllable"
+    return f"select syllable, cast(sum(n) as bigint) as n, count(*) as places from (select n, {d.split(first_off, '[|]')} as parts from {{types}}) q {d.items('parts', 'syllable')} where syllable <> '' group by syllable"
 
 
 @plan("tp")
@@ -55,24 +55,24 @@ def fixed_chunks(d: Spark) -> str:
     return f"select lang, piece, cast(sum(n) as bigint) as n from (select lang, n, substr(tok, cast(i as int) * 3 + 1, 3) as piece from (select lang, tok, n, cast(floor((length(tok) - 1) / 3) as bigint) as m from {{ty}}) q {d.each('0', 'm', 'i')}) z group by lang, piece having sum(n) >= 5"
 
 
-@plan("ascii_types")
+@plan("types")
 def rule_spaces(d: Spark) -> str:
     """Words cut behind certain letters once a piece has two letters or more."""
-    return f"select piece, cast(sum(n) as bigint) as n from (select n, {d.find_all('tok', '[a-z]+?[a-z][dnsty]|[a-z]+')} as pieces from {{ascii_types}}) q {d.items('pieces', 'piece')} group by piece"
+    return f"select piece, cast(sum(n) as bigint) as n from (select n, {d.find_all('tok', '.+?.[dnsty]|.+')} as pieces from {{types}}) q {d.items('pieces', 'piece')} group by piece"
 
 
-@plan("ascii_types")
+@plan("types")
 def plain_alphabet(d: Spark) -> str:
     """Texts brought to a smaller alphabet: w as uu, j as i, k as c."""
     t = d.replace_all("replace(translate(tok, 'jk', 'ic'), 'w', 'uu')", "[^a-z]", "")
-    return f"select count(*) as types, count(distinct {t}) as mapped, cast(sum(n * length({t})) as bigint) as letters from {{ascii_types}}"
+    return f"select count(*) as types, count(distinct {t}) as mapped, cast(sum(n * length({t})) as bigint) as letters from {{types}}"
 
 
-@plan("ascii_types")
+@plan("types")
 def tall_letters(d: Spark) -> str:
     """The first tall letter of words, with what may stand around it."""
     g = d.extract("tok", "c?[tklbd]h?", 0)
-    return f"select case when {g} = '' then '-' else {g} end as tall, count(*) as types, cast(sum(n) as bigint) as n from {{ascii_types}} group by 1"
+    return f"select case when {g} = '' then '-' else {g} end as tall, count(*) as types, cast(sum(n) as bigint) as n from {{types}} group by 1"
 
 
 @plan("ed1")
@@ -91,10 +91,10 @@ def edit_direction(d: Spark) -> str:
           select a, b, substr(a, k + 1, 1) as x, substr(b, k + 1, 1) as y from (select a, b, case """ + " ".join(f"when left(a, {k}) = left(b, {k}) then {k}" for k in range(7, 0, -1)) + """ else 0 end as k from {ed1} where length(a) = length(b)) q) z group by x, y) w where n + m >= 5"""
 
 
-@plan("ascii_types")
+@plan("types")
 def common_suffixes(d: Spark) -> str:
     """Longest ending that a word shares with the one after it in the alphabet."""
-    return "select s, count(*) as n from (select case " + " ".join(f"when right(a, {k}) = right(b, {k}) and length(a) >= {k} and length(b) >= {k} then {k}" for k in range(8, 0, -1)) + " else 0 end as s from (select tok as a, lead(tok) over (partition by left(tok, 1) order by tok) as b from {ascii_types}) q where b is not null) z group by s"
+    return f"select s, count(*) as n from (select a, max(case when k > 0 and right(a, cast(k as int)) = right(b, cast(k as int)) then k else 0 end) as s from (select a, b, least(length(a), length(b)) as m from (select tok as a, lead(tok) over (partition by left(tok, 1) order by tok) as b from {{types}}) q where b is not null) y {d.each('0', 'm', 'k')} group by a) z group by s"
 
 
 @plan("tk")

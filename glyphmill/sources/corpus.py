@@ -75,9 +75,15 @@ def ty(d: Spark) -> str:
     return "select lang, tok, count(*) as n from {tk} group by lang, tok"
 
 
+@relation("ty")
+def types(d: Spark) -> str:
+    """Types of all languages together with their counts."""
+    return "select tok, cast(sum(n) as bigint) as n from {ty} group by tok"
+
+
 @relation("ty")
 def ascii_types(d: Spark) -> str:
-    """Plain a-z types of all languages, met five times or more, of at most 8 letters."""
+    """Plain a-z types of all languages, met five times or more, of at most 8 letters: for pairs at edit distance 1 alone."""
     return f"select tok, cast(sum(n) as bigint) as n from {{ty}} where {d.matches('tok', '[a-z]{{1,8}}')} group by tok having sum(n) >= 5"
 
 
