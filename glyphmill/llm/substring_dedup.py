@@ -2,8 +2,9 @@
 
 Lines are cut into their sentences, and a unit is normalised to its lower-case words. Equal units are grouped over the
 whole corpus by a 128-bit digest; the earliest, by document id and place, is kept. Of the others those go that stand in
-a run of repeats long enough to be a passage; single short sentences that many texts share by chance stay. Spans keep
-their offsets in the original text, and name the documents that keep what they held.
+a run of repeats long enough to be a passage; single short sentences that many texts share by chance stay. Whole lines
+and paragraphs are units as well, if asked for, of which every later copy goes by itself. Spans keep their offsets in
+the original text, and name the documents that hold the first copy of what they held.
 """
 
 from __future__ import annotations
@@ -20,74 +21,110 @@ from glyphmill.llm.scratch import cut
 
 #: Words in a run of repeated units from which on it is taken out.
 RUN_WORDS = 25
-#: Units of fewer words don't count in a run, though they may be part of it.
-LEAST_WORDS = 4
+#: Words of a unit from which on it counts in a run: all do, as lists, tables and verse are made of short ones.
+LEAST_WORDS = 1
 _BREAKS = np.zeros(256, bool)
 _BREAKS[[ord(c) for c in "\n.!?"]] = True
 
 
-def units(texts: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Units of all texts: for each text where its units begin, and for each unit two hashes, its words, and its place in characters."""
+def units(texts: pa.Array, whole: bool = False) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Units of all texts: for each text where its units begin, and for each unit two hashes, its words, and its place in words and characters.
+
+    With whole, sentences that are a line say so, and other lines, and paragraphs of several lines, follow with a unit of -1.
+    """
     codes, bounds, starts, _ = wc.word_codes(texts, wc.LETTERS_DIGITS, places=True)
     data, off = wc.text_bytes(texts)
-    cuts = np.flatnonzero(_BREAKS[data])
-    first = np.unique(np.concatenate([bounds[:-1], np.searchsorted(starts, cuts)]))
-    first = first[first < len(codes)]
-    words = np.diff(np.append(first, len(codes)))
-    n = np.repeat(np.arange(len(first)), words)
-    place = (np.arange(len(codes)) - np.repeat(first, words)).astype(np.uint64)
-    sums = []
-    for salt in (np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)):
-        each = wc.mix(codes ^ wc.mix(place * salt + salt))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(each)])
-        sums.append(wc.mix(total[first + words] - total[first] + words.astype(np.uint64) * salt).view(np.int64))
     chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    doc = np.searchsorted(bounds, first, "right") - 1
-    begin = starts[first] if len(first) else np.zeros(0, np.int64)
-    end = np.append(begin[1:], len(data))
-    last = np.append(doc[1:] != doc[:-1], True) if len(doc) else np.zeros(0, bool)
-    end[: len(doc)][last] = off[doc[last] + 1]
-    end = end[: len(doc)]
-    return np.searchsorted(doc, np.arange(len(bounds))), {"h1": sums[0], "h2": sums[1], "words": words, "start": chars[begin] - chars[off[doc]], "end": chars[end] - chars[off[doc]]}
-
-
-_UNITS = "id bigint, unit int, h1 bigint, h2 bigint, words int, start bigint, end bigint"
 
+    def begins(cuts: np.ndarray) -> np.ndarray:
+        first = np.unique(np.concatenate([bounds[:-1], np.searchsorted(starts, cuts)]))
+        return first[first < len(codes)]
+
+    def hashed(first: np.ndarray) -> dict[str, np.ndarray]:
+        words = np.diff(np.append(first, len(codes)))
+        place = (np.arange(len(codes)) - np.repeat(first, words)).astype(np.uint64)
+        sums = []
+        for salt in (np.uint64(0x8EBC6AF09C88C6E3), np.uint64(0x589965CC75374CC3)):
+            each = wc.mix(codes ^ wc.mix(place * salt + salt))
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(each)])
+            sums.append(wc.mix(total[first + words] - total[first] + words.astype(np.uint64) * salt).view(np.int64))
+        doc = np.searchsorted(bounds, first, "right") - 1
+        begin = starts[first] if len(first) else np.zeros(0, np.int64)
+        end = np.append(begin[1:], len(data))
+        last = np.append(doc[1:] != doc[:-1], True) if len(doc) else np.zeros(0, bool)
+        end[: len(doc)][last] = off[doc[last] + 1]
+        end = end[: len(doc)]
+        return {"h1": sums[0], "h2": sums[1], "words": words, "start": chars[begin] - chars[off[doc]], "end": chars[end] - chars[off[doc]], "doc": doc, "word": first - bounds[doc], "first": first}
+
+    own = hashed(begins(np.flatnonzero(_BREAKS[data])))
+    at = np.searchsorted(own["doc"], np.arange(len(bounds)))
+    own["unit"] = np.arange(len(own["doc"])) - at[own["doc"]]
+    own["whole"] = np.zeros(len(own["doc"]), bool)
+    if not whole:
+        return at, own
+    breaks = np.flatnonzero(data == 10)
+    lines = hashed(begins(breaks))
+    # a break is blank if there is only space between it and the one before
+    dark = np.concatenate([[0], np.cumsum(wc.NOT_SPACE[data])])
+    paragraphs = hashed(begins(breaks[1:][dark[breaks[1:]] == dark[breaks[:-1]]]))
+    same = np.searchsorted(own["first"], lines["first"])
+    single = own["words"][same] == lines["words"]
+    own["whole"][same[single]] = True
+    several = lines["words"][np.searchsorted(lines["first"], paragraphs["first"])] != paragraphs["words"]
+    for more, keep in ((lines, ~single), (paragraphs, several)):
+        more |= {"unit": np.full(len(more["doc"]), -1), "whole": np.ones(len(more["doc"]), bool)}
+        own = {k: np.concatenate([v, more[k][keep]]) for k, v in own.items()}
+    return at, own
+
+
+_UNITS = "id bigint, unit int, whole boolean, h1 bigint, h2 bigint, words int, word int, start bigint, end bigint"
+
+
+def _scan(whole: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, 512):
+                part = batch.slice(s, 512)
+                _, u = units(part["text"], whole)
+                ints = {c: pa.array(u[c].astype(np.int32)) for c in ("unit", "words", "word")}
+                yield pa.RecordBatch.from_arrays([part["id"].take(pa.array(u["doc"])), ints["unit"], pa.array(u["whole"]), pa.array(u["h1"]), pa.array(u["h2"]), ints["words"], ints["word"], pa.array(u["start"]), pa.array(u["end"])], ["id", "unit", "whole", "h1", "h2", "words", "word", "start", "end"])
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for s in range(0, batch.num_rows, 512):
-            part = batch.slice(s, 512)
-            at, u = units(part["text"])
-            doc = np.repeat(np.arange(part.num_rows), np.diff(at))
-            unit = np.arange(len(doc)) - at[doc]
-            yield pa.RecordBatch.from_arrays([part["id"].take(pa.array(doc)), pa.array(unit.astype(np.int32)), pa.array(u["h1"]), pa.array(u["h2"]), pa.array(u["words"].astype(np.int32)), pa.array(u["start"]), pa.array(u["end"])], ["id", "unit", "h1", "h2", "words", "start", "end"])
+    return run
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS, whole: bool = False) -> DataFrame:
     """(id, removed) for every document that loses something; ids are integers.
 
     removed lists spans in order: start and end in characters, words, and kept_in, ids of the documents that keep
     what the span held (its own among them if it repeats itself). Texts without words, null and empty ones have no
     units. Rows with equal ids are one document, whose equal units in equal places are one unit. Rows with a null id
-    are left alone. Other columns are not read.
+    are left alone. Other columns are not read. With whole, lines and paragraphs that are there before go whatever
+    their length; kept_in then names where the first copy is.
     """
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    found = cut(own.mapInArrow(_scan, _UNITS), "units")
-    kept = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "unit")).alias("kept"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    found = cut(own.mapInArrow(_scan(whole), _UNITS), "units")
+    place = F.struct("id", "word")
+    kept = found.groupBy("h1", "h2").agg(F.min(F.when(F.col("unit") >= 0, place)).alias("kept"), F.min(F.when(F.col("whole"), place)).alias("kept_whole"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     # a table of its own, so that the join stands right on its shuffles and Spark can split a very common unit
-    kept = cut(kept.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "kept"), "kept-units")
-    repeats = found.join(kept, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))).where("id <> kept.id or unit <> kept.unit")
-    repeats = repeats.select("id", "unit", "words", "start", "end", F.col("kept.id").alias("kept_id"))
-    ordered = Window.partitionBy("id").orderBy("unit")
-    runs = repeats.withColumn("run", F.col("unit") - F.dense_rank().over(ordered))
-    spans = runs.groupBy("id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").cast("bigint").alias("words"), F.sum(F.when(F.col("words") >= LEAST_WORDS, F.col("words"))).alias("counted"), F.array_sort(F.collect_set("kept_id")).alias("kept_in")).where(F.col("counted") >= run_words)
+    kept = cut(kept.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "kept", "kept_whole"), "kept-units")
+    repeats = found.join(kept, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
+    # kind 0: a unit that may be part of a run, 1: a line or paragraph that goes by itself
+    kinds = [F.when((F.col(c) if c == "whole" else F.col("unit") >= 0) & (place != F.col(k)), F.struct(F.lit(n).alias("kind"), F.col(f"{k}.id").alias("kept_id"))) for n, c, k in ((0, "unit", "kept"), (1, "whole", "kept_whole"))]
+    repeats = repeats.select("id", "unit", "words", "word", "start", "end", F.explode(F.array_compact(F.array(*kinds))).alias("as")).select("id", "unit", "words", "word", "start", "end", "as.kind", "as.kept_id")
+    ordered = Window.partitionBy("id").orderBy("kind", "unit")
+    runs = repeats.withColumn("run", F.when(F.col("kind") == 0, F.col("unit") - F.dense_rank().over(ordered)).otherwise(F.col("word")))
+    counted = F.sum(F.when(F.col("words") >= LEAST_WORDS, F.col("words")))
+    spans = runs.groupBy("id", "kind", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("word").alias("low"), F.max(F.col("word") + F.col("words")).alias("high"), counted.alias("counted"), F.collect_set("kept_id").alias("kept_in")).where((F.col("kind") == 1) | (F.col("counted") >= run_words))
+    before = F.max("high").over(Window.partitionBy("id").orderBy("low", "high", "kind").rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("new", F.when(F.col("low") <= before, 0).otherwise(1))
+    spans = spans.withColumn("span", F.sum("new").over(Window.partitionBy("id").orderBy("low", "high", "kind").rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.groupBy("id", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("high") - F.min("low")).cast("bigint").alias("words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("kept_in")))).alias("kept_in"))
     return spans.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "words", "kept_in"))).alias("removed")).withColumnRenamed("id", id_col)
 
 
-def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS, all_rows: bool = True) -> DataFrame:
+def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS, all_rows: bool = True, whole: bool = False) -> DataFrame:
     """(id, text, removed): texts without what repeated_passages() finds; of all rows, or those that lose something."""
-    found = repeated_passages(docs, id_col, text_col, run_words).select(F.col(id_col).alias("_id"), "removed")
+    found = repeated_passages(docs, id_col, text_col, run_words, whole).select(F.col(id_col).alias("_id"), "removed")
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     joined = own.join(found, F.col("id") == F.col("_id"), "left" if all_rows else "inner").select("id", "text", "removed")
     id_type = own.schema["id"].dataType.simpleString()
@@ -109,7 +146,7 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    out = remove_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"), all_rows=False)
+    out = remove_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"), all_rows=False, whole=True)
     kept_in = F.array_sort(F.array_distinct(F.flatten(F.transform("removed", lambda s: s["kept_in"]))))
     words = F.aggregate("removed", F.lit(0).cast("bigint"), lambda a, s: a + s["words"])
     return out.select("doc_id", F.size("removed").cast("bigint").alias("n_removed"), words.alias("removed_words"), kept_in.alias("kept_in"), "removed", "text")

@@ -345,6 +345,16 @@ def test_passages(docs, empty):
     assert substring_dedup.remove_passages(empty).count() == 0
 
 
+def test_short_units_and_whole_lines(spark):
+    verse = "\n".join(f"row {k} w{k}" for k in range(20))
+    texts = [verse, "", "first of all\n" + verse, "Some words here. And more of them.\nelse", "other\nsome words here, and more of them!\nlast", "a b c\nd e f\n\nx", "y\n\na b\nc d e f\n \nz", "in a line of many, else, it is not whole"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    short = {r.doc_id: r.removed for r in substring_dedup.repeated_passages(df).collect()}
+    assert {i: [(s["words"], s["kept_in"]) for s in x] for i, x in short.items()} == {2: [(60, [0])]}
+    got = {r.doc_id: r.text for r in substring_dedup.remove_passages(df, whole=True).collect()}
+    assert got == dict(enumerate(texts)) | {2: "first of all\n", 4: "other\nlast", 6: "y\n\nz"}
+
+
 # --- 6 ---
 
 
