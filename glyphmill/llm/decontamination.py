@@ -118,11 +118,11 @@ def _match(codes: np.ndarray, bounds: np.ndarray, block: _Block) -> tuple[np.nda
     return change, (np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64))
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> list:
-    """The benchmark as broadcast blocks of bounded size. Items whose id is null are left out."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, unnamed: bool) -> list:
+    """The benchmark as broadcast blocks of bounded size. Items whose id is null are left out unless unnamed."""
     spark = benchmark.sparkSession
     small_batches(spark)
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null")
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null" if unnamed else "item is not null and text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     n = max(1, -(-size // BLOCK_BYTES))
     out = []
@@ -146,18 +146,19 @@ def _scan(texts: pa.Array, blocks: list) -> tuple[np.ndarray, np.ndarray, list[l
         if len(blocks) > 1:
             b._value = None  # one block at a time in a worker's memory
             del b._value
-    return np.cumsum(change[:-1]) > 0, bounds, [sorted(x) for x in items]
+    return np.cumsum(change[:-1]) > 0, bounds, [sorted(x, key=lambda i: (i is None, i or "")) for x in items]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, unnamed: bool = False) -> DataFrame:
     """What of each document occurs in the benchmark.
 
     One row per row of docs: its id, n_words, spans (array of first and end word of every maximal hit run) and items
     (ids of the items met, as sorted strings). Null or empty texts have no words and no hits; repeated rows each have
-    their row; items without words, or with a null id, match nothing; equal items are all listed. Other columns are
+    their row; items without words match nothing, nor do ones with a null
+    id unless unnamed, where they are one null at the end of items; equal items are all listed. Other columns are
     not read. With an empty benchmark no document has hits.
     """
-    blocks = _blocks(benchmark, item_col, item_text_col, window)
+    blocks = _blocks(benchmark, item_col, item_text_col, window, unnamed)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = own.schema["id"].dataType.simpleString()
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
@@ -184,8 +185,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """The rows of docs, with all their columns, whose text shares no window with the benchmark; null texts stay."""
-    blocks = _blocks(benchmark, item_col, item_text_col, window)
+    """The rows of docs, with all their columns, whose text shares no window with the benchmark, whatever its items' ids; null texts stay."""
+    blocks = _blocks(benchmark, item_col, item_text_col, window, True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,7 +203,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    found = find_contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = find_contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), unnamed=True)
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"])
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),

@@ -114,6 +114,21 @@ def test_decontaminated_rows_are_whole(docs, empty, benchmark):
     assert decontamination.decontaminate(docs, benchmark.limit(0)).count() == docs.count()
 
 
+def test_items_without_ids(spark, tmp_path):
+    import duckdb
+
+    text = " ".join(f"w{k}" for k in range(30))
+    docs = spark.createDataFrame([(1, text), (2, "x " + text), (3, "v " * 20), (4, "u1 u2")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(None, text[8:60]), (7, text[30:80]), (None, "u1 u2"), (None, None)], "item_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert rows(QUERIES["op1_decontamination"](spark, str(tmp_path)).toPandas()) == rows(con.sql(ORACLE_SQL["op1_decontamination"]).df())
+    assert [r.doc_id for r in decontamination.decontaminate(docs, items).collect()] == [3]
+
+
 def test_winnowing_guarantee():
     r = np.random.default_rng(1)
     for w in (1, 2, 3, 6, 7):
