@@ -168,9 +168,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     scanned = cut(own.mapInArrow(_scan(centroids, dim, cosine), "id bigint, key binary, unit binary, home int, visits array<int>"), "vectors")
     reps = scanned.where("home >= 0").groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    reps = cut(reps, "vector-groups")
-    once = scanned.join(reps.select(F.col("key").alias("k"), "rep", "copies"), (F.col("id") == F.col("rep")) & (F.col("key") == F.col("k"))).select("id", "unit", "home", "visits", "copies")
-    once = cut(once.dropDuplicates(["id"]), "vector-representatives")
+    # groups go by numbers of their own, as rows of one id may hold different vectors
+    reps = cut(reps.withColumn("num", F.monotonically_increasing_id()), "vector-groups")
+    once = scanned.join(reps.select(F.col("key").alias("k"), "rep", "copies", "num"), (F.col("id") == F.col("rep")) & (F.col("key") == F.col("k"))).select(F.col("num").alias("id"), "unit", "home", "visits", "copies")
+    once = cut(once.dropDuplicates(["id"]), "vector-representatives")  # rows of one id and vector are alike
     homes = once.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("rows"))
     seen = once.select(F.explode(F.concat(F.array("home"), "visits")).alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("cols"))
     cells = F.broadcast(homes.join(seen, "cell"))  # MOST_CELLS rows at most
@@ -183,8 +184,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     found = cut(dealt.mapInArrow(_blocks(dim, cosine), "id bigint, top bigint, links bigint"), "vector-links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("id").alias("a"), F.col("top").alias("b")))
-    groups = reps.join(links, F.col("rep") == F.col("id"), "left").drop("id").join(joined, F.col("rep") == F.col("node"), "left")
-    groups = groups.select(F.col("key").alias("k"), (F.coalesce("links", zero) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    groups = reps.join(links, F.col("num") == F.col("id"), "left").drop("id").join(joined, F.col("num") == F.col("node"), "left")
+    groups = cut(groups.withColumn("part", F.coalesce("component", "num")).drop("component"), "vector-parts")
+    least = groups.groupBy(F.col("part").alias("p")).agg(F.min("rep").alias("component"))
+    groups = groups.join(least, F.col("part") == F.col("p"))
+    groups = groups.select(F.col("key").alias("k"), (F.coalesce("links", zero) + F.col("copies") - 1).alias("n_links"), "component")
     out = scanned.select("id", "key").join(groups, F.col("key") == F.col("k"), "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", zero).alias("n_links"), component.alias("component"), (F.col("id") == component).alias("kept"))
