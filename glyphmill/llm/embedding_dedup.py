@@ -69,27 +69,38 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 11) ->
     return c
 
 
-def _scan(shared, dim: int, cosine: float):
+def _scan(shared, first: dict[int, int], cosine: float):
+    """first: for each length the number of its first cell; lengths without centroids have that one cell."""
     reach = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = shared.value
+    def visited(x: np.ndarray, ok: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         apart = np.sqrt(np.maximum(0, 2 - 2 * c @ c.T))
+        dots = x @ c.T
+        home = np.argmax(dots, axis=1)
+        near = dots[np.arange(len(x)), home][:, None] - dots <= reach * apart[home]
+        near[np.arange(len(x)), home] = False
+        near[~ok] = False
+        return home, near
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                x, ok = unit_rows(part["embedding"], dim)
-                ok &= part["id"].is_valid().to_numpy(zero_copy_only=False)
-                dots = x @ c.T
-                home = np.argmax(dots, axis=1)
-                near = dots[np.arange(len(x)), home][:, None] - dots <= reach * apart[home]
-                near[np.arange(len(x)), home] = False
-                near[~ok] = False
-                r, cell = np.nonzero(near)
-                visits = pa.ListArray.from_arrays(pa.array(np.searchsorted(r, np.arange(len(x) + 1)), pa.int32()), pa.array(cell.astype(np.int32)))
-                raw = [v.tobytes() if good else None for v, good in zip(x, ok)]
+                n = part.num_rows
+                valid = part["id"].is_valid().to_numpy(zero_copy_only=False)
+                lengths = part["embedding"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                homes, visits, raw = np.full(n, -1, np.int32), [[] for _ in range(n)], [None] * n
+                for dim in np.unique(lengths[lengths > 0]).tolist():
+                    rows = np.flatnonzero(lengths == dim)
+                    x, ok = unit_rows(part["embedding"].take(pa.array(rows)), dim)
+                    ok &= valid[rows]
+                    c = shared.value.get(dim)
+                    home, near = visited(x, ok, c) if c is not None else (np.zeros(len(x), np.int64), np.zeros((len(x), 1), bool))
+                    for k in np.flatnonzero(ok).tolist():
+                        homes[rows[k]], raw[rows[k]] = first[dim] + home[k], x[k].tobytes()
+                        visits[rows[k]] = (first[dim] + np.flatnonzero(near[k])).tolist()
                 keys = [hashlib.blake2b(b, digest_size=16).digest() if b else None for b in raw]
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array(keys, pa.binary()), pa.array(raw, pa.binary()), pa.array(np.where(ok, home, -1).astype(np.int32)), visits], ["id", "key", "unit", "home", "visits"])
+                yield pa.RecordBatch.from_arrays([part["id"], pa.array(keys, pa.binary()), pa.array(raw, pa.binary()), pa.array(homes), pa.array(visits, pa.list_(pa.int32()))], ["id", "key", "unit", "home", "visits"])
 
     return run
 
@@ -112,9 +123,10 @@ def _labels(linked: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.
         r, c = new_r, new_c
 
 
-def _blocks(dim: int, cosine: float):
+def _blocks(cosine: float):
     def block(x: dict) -> pa.RecordBatch:
         own = x["side"] == 0
+        dim = len(x["unit"][0]) // 8  # a cell has vectors of one length
         other = ~own
         a = np.frombuffer(b"".join(x["unit"][own]), np.float64).reshape(-1, dim)
         b = np.frombuffer(b"".join(x["unit"][other]), np.float64).reshape(-1, dim)
@@ -150,23 +162,27 @@ def _blocks(dim: int, cosine: float):
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """(id, n_links, component, kept) for every row of vectors; ids are integers.
 
-    Null or zero vectors, ones with null or non-finite components, ones of another length than most have, and rows
-    with a null id link with nothing. Equal vectors are compared once and count as links of each other. Each row
+    Null or zero vectors, ones with null or non-finite components, and rows with a null id link with nothing; vectors
+    of each length are compared among themselves. Equal vectors are compared once and count as links of each other. Each row
     counts for itself, also where ids repeat. kept: the id is the smallest of its component. An empty table gives no
     rows; other columns, labels among them, are not read.
     """
     spark = vectors.sparkSession
     own = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     by_length = own.where("embedding is not null").groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
-    most = by_length.agg(F.max(F.struct("n", "dim")).alias("m"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    dim, total = (most["m"]["dim"] if most["m"] else 0), most["n"]
-    one_in = max(1, total // SAMPLE)
-    chosen = own.where(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(one_in)) == 0).where(F.size("embedding") == dim).limit(4 * SAMPLE).toArrow()
-    x, ok = unit_rows(chosen["embedding"], dim)
-    x = x[ok] if ok.any() else np.eye(1, max(dim, 1))
-    centroids = spark.sparkContext.broadcast(spherical_kmeans(x, int(min(MOST_CELLS, max(1, total // CELL)))))
-
-    scanned = cut(own.mapInArrow(_scan(centroids, dim, cosine), "id bigint, key binary, unit binary, home int, visits array<int>"), "vectors")
+    by_length = by_length.where("dim > 0").orderBy("dim").collect()  # a row per length
+    centroids, first, n_cells = {}, {}, 0
+    for dim, total in by_length:
+        k = int(min(MOST_CELLS, max(1, total // CELL)))
+        if k > 1:
+            one_in = max(1, total // SAMPLE)
+            chosen = own.where(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(one_in)) == 0).where(F.size("embedding") == dim).limit(4 * SAMPLE).toArrow()
+            x, ok = unit_rows(chosen["embedding"], dim)
+            centroids[dim] = spherical_kmeans(x[ok] if ok.any() else np.eye(1, dim), k)
+        first[dim], n_cells = n_cells, n_cells + (len(centroids[dim]) if k > 1 else 1)
+    centroids = spark.sparkContext.broadcast(centroids)
+
+    scanned = cut(own.mapInArrow(_scan(centroids, first, cosine), "id bigint, key binary, unit binary, home int, visits array<int>"), "vectors")
     reps = scanned.where("home >= 0").groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     # groups go by numbers of their own, as rows of one id may hold different vectors
     reps = cut(reps.withColumn("num", F.monotonically_increasing_id()), "vector-groups")
@@ -174,14 +190,14 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     once = cut(once.dropDuplicates(["id"]), "vector-representatives")  # rows of one id and vector are alike
     homes = once.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("rows"))
     seen = once.select(F.explode(F.concat(F.array("home"), "visits")).alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("cols"))
-    cells = F.broadcast(homes.join(seen, "cell"))  # MOST_CELLS rows at most
+    cells = F.broadcast(homes.join(seen, "cell"))  # MOST_CELLS rows at most for a length
     part = F.xxhash64(F.lit(3), "id")
     zero = F.lit(0).cast("bigint")
     rows = once.join(cells, F.col("home") == F.col("cell")).select("cell", F.pmod(part, "rows").alias("i"), F.explode(F.sequence(zero, F.col("cols") - 1)).alias("j"), F.lit(0).alias("side"), "id", "copies", "unit")
     visiting = once.select("id", "copies", "unit", F.explode(F.concat(F.array("home"), "visits")).alias("at"))
     cols = visiting.join(cells, F.col("at") == F.col("cell")).select("cell", F.explode(F.sequence(zero, F.col("rows") - 1)).alias("i"), F.pmod(part, "cols").alias("j"), F.lit(1).alias("side"), "id", "copies", "unit")
     dealt = rows.union(cols).withColumnRenamed("cell", "home").repartition("home", "i", "j").sortWithinPartitions("home", "i", "j")
-    found = cut(dealt.mapInArrow(_blocks(dim, cosine), "id bigint, top bigint, links bigint"), "vector-links")
+    found = cut(dealt.mapInArrow(_blocks(cosine), "id bigint, top bigint, links bigint"), "vector-links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("id").alias("a"), F.col("top").alias("b")))
     groups = reps.join(links, F.col("num") == F.col("id"), "left").drop("id").join(joined, F.col("num") == F.col("node"), "left")

@@ -403,11 +403,11 @@ def test_vectors(spark, monkeypatch):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
-def test_vectors_of_repeated_ids(spark, monkeypatch):
+def test_vectors_of_repeated_ids_and_of_each_length(spark, monkeypatch):
     a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
-    data = [(5, a), (5, b), (9, b), (7, a), (3, c), (5, b), (15, None)]
+    data = [(5, a), (5, b), (9, b), (7, a), (3, c), (5, b), (11, [1.0, 0.0]), (12, [2.0, 0.1]), (13, [0.0, 1.0]), (14, []), (15, None)]
     df = spark.createDataFrame(data, "vec_id bigint, embedding array<float>")
-    want = [(3, 0, 3), (5, 1, 5), (5, 2, 5), (5, 2, 5), (7, 1, 5), (9, 2, 5), (15, 0, 15)]
+    want = [(3, 0, 3), (5, 1, 5), (5, 2, 5), (5, 2, 5), (7, 1, 5), (9, 2, 5), (11, 1, 11), (12, 1, 11), (13, 0, 13), (14, 0, 14), (15, 0, 15)]
     for cell, block in ((4096, 4096), (1, 1)):
         monkeypatch.setattr(embedding_dedup, "CELL", cell)
         monkeypatch.setattr(embedding_dedup, "BLOCK", block)
