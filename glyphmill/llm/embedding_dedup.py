@@ -1,8 +1,12 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products inside cells, one representative per group.
 
 Unit vectors u, v with cosine c or more are no farther apart than e = sqrt(2 - 2c). If u's cell has centroid p and v's
-q, then v lies within e of the plane halfway between p and q. So v visits, besides its own cell, every cell p with
-v.q - v.p <= e * |q - p|; each vector then meets all its neighbours in its own cell, whatever the centroids are.
+q, then v lies within e of the plane halfway between p and q: v.q - v.p <= e * |q - p|. A vector that visits, besides
+its own cell, every cell p within that border meets all its neighbours, whatever the centroids are. In many dimensions
+these borders rule out next to nothing, so work would grow with the square of the rows. By default borders are drawn
+closer, where a neighbour at the threshold in a random direction still stays inside with `spread` standard deviations;
+a pair is found if either of the two visits the other's cell. The number of cells follows the rows, so a cell's size
+and the work for a vector stay about the same. Every pair that is found is compared in double precision.
 """
 
 from __future__ import annotations
@@ -17,15 +21,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.graph import components
-from glyphmill.llm.scratch import cut
+from glyphmill.llm.scratch import cut, drop
 
 COSINE = 0.95
-#: Vectors that the centroids are fitted on, about; they decide on cost, not on the result.
-SAMPLE = 20_000
-#: Vectors of a cell on average, and cells at most: a bound for what is broadcast.
-CELL, MOST_CELLS = 4096, 4096
-#: Vectors of a cell compared in one block, in tiles of so many rows.
-BLOCK, TILE = 4096, 512
+#: Standard deviations of a random neighbour's way that borders leave room for; None: the exact borders.
+SPREAD = 2.5
+#: Vectors of a cell on average. Tables of fewer rows are one cell and compared whole.
+CELL = 1024
+#: Bytes of all centroids of a length at most, a bound for what is broadcast: beyond, cells grow and are compared in more blocks.
+CENTROID_BYTES = 64 << 20
+#: Cells from which on vectors find theirs through coarse cells.
+COARSE = 1024
+#: Vectors that centroids are fitted on: so many at least, so many for each cell, and bytes of them at most.
+SAMPLE, SAMPLE_EACH, SAMPLE_BYTES = 20_000, 16, 128 << 20
+#: Vectors of a cell compared in one block: those that are at home in it with those that visit it, in tiles of so many rows.
+ROWS, COLS, TILE = 4096, 8192, 512
 
 
 def unit_rows(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,38 +79,93 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 11) ->
     return c
 
 
-def _scan(shared, first: dict[int, int], cosine: float):
-    """first: for each length the number of its first cell; lengths without centroids have that one cell."""
-    reach = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9
+class Cells:
+    """Centroids, in a tree of two levels if there are many, and the borders within which vectors visit other cells."""
+
+    def __init__(self, sample: np.ndarray, k: int, cosine: float, spread: float | None):
+        if k <= COARSE:
+            self.coarse, self.fine = None, spherical_kmeans(sample, k)
+        else:
+            self.coarse = spherical_kmeans(sample, round(math.sqrt(k)))
+            own = np.concatenate([np.argmax(sample[t] @ self.coarse.T, axis=1) for t in _tiles(len(sample))])
+            parts = [spherical_kmeans(sample[own == c], max(1, round(k * float(np.mean(own == c))))) if np.any(own == c) else self.coarse[c : c + 1] for c in range(len(self.coarse))]
+            self.fine, self.edges = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        self.exact = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9
+        self.width = self.exact
+        if spread is not None and cosine > 0:
+            # directions that vectors really take inside their cells
+            own = np.concatenate([np.argmax(sample[t] @ self.fine.T, axis=1) for t in _tiles(min(len(sample), SAMPLE))])
+            rest = sample[: len(own)] - self.fine[own]
+            spectrum = np.linalg.eigvalsh(rest.T @ rest)
+            free = spectrum.sum() ** 2 / max(np.square(spectrum).sum(), 1e-300) - 1
+            if free > 0:
+                self.width = min(self.exact, spread * math.sqrt(max(0.0, 1 - cosine * cosine)) / cosine / math.sqrt(free))
 
-    def visited(x: np.ndarray, ok: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        apart = np.sqrt(np.maximum(0, 2 - 2 * c @ c.T))
+    def _near(self, x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The closest of c to each x, and the pairs of rows of x and c within the borders, that one left out."""
         dots = x @ c.T
         home = np.argmax(dots, axis=1)
-        near = dots[np.arange(len(x)), home][:, None] - dots <= reach * apart[home]
-        near[np.arange(len(x)), home] = False
-        near[~ok] = False
-        return home, near
+        best = dots[np.arange(len(x)), home]
+        row, cell = np.nonzero(best[:, None] - dots <= 2 * self.width)
+        return home, *self._inside(x, c, row, cell, home, best[row] - dots[row, cell])
+
+    def _inside(self, x, c, row, cell, home, gap) -> tuple[np.ndarray, np.ndarray]:
+        apart = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", c[home[row]], c[cell])))
+        keep = (cell != home[row]) & (gap <= self.width * apart)
+        return row[keep], cell[keep]
+
+    def visits(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The home of each row, and the other cells that rows visit, as pairs in order of rows."""
+        if self.coarse is None:
+            return self._near(x, self.fine)
+        top, row, cell = self._near(x, self.coarse)
+        row, cell = np.concatenate([np.arange(len(x)), row]), np.concatenate([top, cell])
+        best, home, seen = np.full(len(x), -2.0), np.zeros(len(x), np.int64), []
+        for c in np.unique(cell).tolist():
+            own, (low, high) = row[cell == c], self.edges[c : c + 2]
+            dots = x[own] @ self.fine[low:high].T
+            at = np.argmax(dots, axis=1)
+            most = dots[np.arange(len(own)), at]
+            better = most > best[own]
+            best[own[better]], home[own[better]] = most[better], low + at[better]
+            seen.append((own, low, dots))
+        rows, cells, gaps = [], [], []
+        for own, low, dots in seen:
+            gap = best[own][:, None] - dots
+            r, c = np.nonzero(gap <= 2 * self.width)
+            rows.append(own[r])
+            cells.append(low + c)
+            gaps.append(gap[r, c])
+        row, cell = self._inside(x, self.fine, np.concatenate(rows), np.concatenate(cells), home, np.concatenate(gaps)) if rows else (row, cell)
+        order = np.argsort(row, kind="stable")
+        return home, row[order], cell[order]
+
+
+def _scan(shared, first: dict[int, int]):
+    """first: for each length the number of its first cell; lengths without centroids have that one cell."""
+    names = ["id", "key", "unit", "home", "visits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                n = part.num_rows
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                linked = np.zeros(part.num_rows, bool)
                 valid = part["id"].is_valid().to_numpy(zero_copy_only=False)
                 lengths = part["embedding"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                homes, visits, raw = np.full(n, -1, np.int32), [[] for _ in range(n)], [None] * n
                 for dim in np.unique(lengths[lengths > 0]).tolist():
-                    rows = np.flatnonzero(lengths == dim)
+                    rows = np.flatnonzero((lengths == dim) & valid)
                     x, ok = unit_rows(part["embedding"].take(pa.array(rows)), dim)
-                    ok &= valid[rows]
-                    c = shared.value.get(dim)
-                    home, near = visited(x, ok, c) if c is not None else (np.zeros(len(x), np.int64), np.zeros((len(x), 1), bool))
-                    for k in np.flatnonzero(ok).tolist():
-                        homes[rows[k]], raw[rows[k]] = first[dim] + home[k], x[k].tobytes()
-                        visits[rows[k]] = (first[dim] + np.flatnonzero(near[k])).tolist()
-                keys = [hashlib.blake2b(b, digest_size=16).digest() if b else None for b in raw]
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array(keys, pa.binary()), pa.array(raw, pa.binary()), pa.array(homes), pa.array(visits, pa.list_(pa.int32()))], ["id", "key", "unit", "home", "visits"])
+                    rows, x = rows[ok], x[ok]
+                    linked[rows] = True
+                    cells = shared.value.get(dim)
+                    home, row, cell = cells.visits(x) if cells is not None else (np.zeros(len(x), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+                    edges = pa.array(np.searchsorted(row, np.arange(len(x) + 1)).astype(np.int32))
+                    raw = [v.tobytes() for v in x]
+                    keys = [hashlib.blake2b(b, digest_size=16).digest() for b in raw]
+                    yield pa.RecordBatch.from_arrays([part["id"].take(pa.array(rows)), pa.array(keys, pa.binary()), pa.array(raw, pa.binary()), pa.array((first[dim] + home).astype(np.int32)), pa.ListArray.from_arrays(edges, pa.array((first[dim] + cell).astype(np.int32)))], names)
+                rest = part["id"].take(pa.array(np.flatnonzero(~linked)))
+                n = len(rest)
+                yield pa.RecordBatch.from_arrays([rest, pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(np.full(n, -1, np.int32)), pa.nulls(n, pa.list_(pa.int32()))], names)
 
     return run
 
@@ -124,48 +189,63 @@ def _labels(linked: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.
 
 
 def _blocks(cosine: float):
-    def block(x: dict) -> pa.RecordBatch:
+    def block(x: dict) -> pa.RecordBatch | None:
         own = x["side"] == 0
-        dim = len(x["unit"][0]) // 8  # a cell has vectors of one length
         other = ~own
+        if not own.any() or not other.any():
+            return None
+        dim = len(x["unit"][0]) // 8  # a cell has vectors of one length
         a = np.frombuffer(b"".join(x["unit"][own]), np.float64).reshape(-1, dim)
         b = np.frombuffer(b"".join(x["unit"][other]), np.float64).reshape(-1, dim)
         ia, ib = x["id"][own], x["id"][other]
-        copies = x["copies"][other].astype(np.float64)
-        linked, n = np.empty((len(a), len(b)), bool), np.empty(len(a), np.int64)
+        linked = np.empty((len(a), len(b)), bool)
         for t in _tiles(len(a)):
             linked[t] = (a[t] @ b.T >= cosine) & (ia[t, None] != ib[None, :])
-            n[t] = np.rint(linked[t] @ copies)
+        ra, rb = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+        if not len(ra):
+            return None
+        linked, ia, ib = linked[np.ix_(ra, rb)], ia[ra], ib[rb]
+        ca, cb = x["copies"][own][ra].astype(np.float64), x["copies"][other][rb].astype(np.float64)
+        n, m = np.empty(len(ra), np.int64), np.zeros(len(rb), np.int64)
+        for t in _tiles(len(ra)):
+            n[t] = np.rint(linked[t] @ cb)
+        # a link counts for the visitor too, unless it is found once more, in the visitor's cell
+        cell, homes = x["cell"][0], x["home"][other][rb]
+        visits = x["visits"][own][ra]
+        row, seen = np.repeat(np.arange(len(ra)), [len(v) for v in visits]), np.concatenate(visits)
+        for home in np.unique(homes[homes != cell]).tolist():
+            alone = np.ones(len(ra))
+            alone[row[seen == home]] = 0
+            at = np.flatnonzero(homes == home)
+            m[at] = np.rint((alone * ca) @ linked[:, at])
         r, c = _labels(linked, ia, ib)
-        ids = np.concatenate([ia, ib])
-        tops = np.concatenate([r, c])
-        counts = np.concatenate([n, np.zeros(len(ib), np.int64)])
-        keep = (ids != tops) | (counts > 0)
-        return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(tops[keep]), pa.array(counts[keep])], ["id", "top", "links"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([ia, ib])), pa.array(np.concatenate([r, c])), pa.array(np.concatenate([n, m]))], ["id", "top", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            now = {c: batch[c].to_numpy(zero_copy_only=False) for c in ("home", "i", "j", "side", "id", "copies", "unit")}
+            now = {c: batch[c].to_numpy(zero_copy_only=False) for c in ("cell", "i", "j", "side", "id", "copies", "unit", "home", "visits")}
             held = now if held is None else {c: np.concatenate([held[c], now[c]]) for c in now}
-            edge = np.flatnonzero((np.diff(held["home"]) != 0) | (np.diff(held["i"]) != 0) | (np.diff(held["j"]) != 0)) + 1
+            edge = np.flatnonzero((np.diff(held["cell"]) != 0) | (np.diff(held["i"]) != 0) | (np.diff(held["j"]) != 0)) + 1
             for s, e in zip([0, *edge[:-1].tolist()], edge.tolist()):
-                yield block({c: v[s:e] for c, v in held.items()})
+                if (out := block({c: v[s:e] for c, v in held.items()})) is not None:
+                    yield out
             if len(edge):
                 held = {c: v[edge[-1] :] for c, v in held.items()}
-        if held is not None and len(held["id"]):
-            yield block(held)
+        if held is not None and len(held["id"]) and (out := block(held)) is not None:
+            yield out
 
     return run
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, spread: float | None = SPREAD) -> DataFrame:
     """(id, n_links, component, kept) for every row of vectors; ids are integers.
 
     Null or zero vectors, ones with null or non-finite components, and rows with a null id link with nothing; vectors
     of each length are compared among themselves. Equal vectors are compared once and count as links of each other. Each row
     counts for itself, also where ids repeat. kept: the id is the smallest of its component. An empty table gives no
-    rows; other columns, labels among them, are not read.
+    rows; other columns, labels among them, are not read. With spread None, and in tables of one cell, all links are
+    found; else nearly all, each counted once at both its ends.
     """
     spark = vectors.sparkSession
     own = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"))
@@ -173,31 +253,33 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     by_length = by_length.where("dim > 0").orderBy("dim").collect()  # a row per length
     centroids, first, n_cells = {}, {}, 0
     for dim, total in by_length:
-        k = int(min(MOST_CELLS, max(1, total // CELL)))
+        k = int(min(total // CELL, CENTROID_BYTES // (8 * dim)))
         if k > 1:
-            one_in = max(1, total // SAMPLE)
-            chosen = own.where(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(one_in)) == 0).where(F.size("embedding") == dim).limit(4 * SAMPLE).toArrow()
+            most = max(1, min(max(SAMPLE, SAMPLE_EACH * k), SAMPLE_BYTES // (8 * dim)))
+            chosen = own.where(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(max(1, total // most))) == 0).where(F.size("embedding") == dim).limit(2 * most).toArrow()
             x, ok = unit_rows(chosen["embedding"], dim)
-            centroids[dim] = spherical_kmeans(x[ok] if ok.any() else np.eye(1, dim), k)
-        first[dim], n_cells = n_cells, n_cells + (len(centroids[dim]) if k > 1 else 1)
+            centroids[dim] = Cells(x[ok] if ok.any() else np.eye(1, dim), k, cosine, spread)
+        first[dim], n_cells = n_cells, n_cells + (len(centroids[dim].fine) if dim in centroids else 1)
     centroids = spark.sparkContext.broadcast(centroids)
 
-    scanned = cut(own.mapInArrow(_scan(centroids, first, cosine), "id bigint, key binary, unit binary, home int, visits array<int>"), "vectors")
+    scanned = cut(own.mapInArrow(_scan(centroids, first), "id bigint, key binary, unit binary, home int, visits array<int>"), "vectors")
     reps = scanned.where("home >= 0").groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     # groups go by numbers of their own, as rows of one id may hold different vectors
     reps = cut(reps.withColumn("num", F.monotonically_increasing_id()), "vector-groups")
     once = scanned.join(reps.select(F.col("key").alias("k"), "rep", "copies", "num"), (F.col("id") == F.col("rep")) & (F.col("key") == F.col("k"))).select(F.col("num").alias("id"), "unit", "home", "visits", "copies")
     once = cut(once.dropDuplicates(["id"]), "vector-representatives")  # rows of one id and vector are alike
-    homes = once.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("rows"))
-    seen = once.select(F.explode(F.concat(F.array("home"), "visits")).alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("cols"))
-    cells = F.broadcast(homes.join(seen, "cell"))  # MOST_CELLS rows at most for a length
+    homes = once.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / ROWS).alias("rows"))
+    seen = once.select(F.explode(F.concat(F.array("home"), "visits")).alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / COLS).alias("cols"))
+    cells = F.broadcast(homes.join(seen, "cell"))  # a row per cell; CENTROID_BYTES bounds them
     part = F.xxhash64(F.lit(3), "id")
     zero = F.lit(0).cast("bigint")
-    rows = once.join(cells, F.col("home") == F.col("cell")).select("cell", F.pmod(part, "rows").alias("i"), F.explode(F.sequence(zero, F.col("cols") - 1)).alias("j"), F.lit(0).alias("side"), "id", "copies", "unit")
-    visiting = once.select("id", "copies", "unit", F.explode(F.concat(F.array("home"), "visits")).alias("at"))
-    cols = visiting.join(cells, F.col("at") == F.col("cell")).select("cell", F.explode(F.sequence(zero, F.col("rows") - 1)).alias("i"), F.pmod(part, "cols").alias("j"), F.lit(1).alias("side"), "id", "copies", "unit")
-    dealt = rows.union(cols).withColumnRenamed("cell", "home").repartition("home", "i", "j").sortWithinPartitions("home", "i", "j")
+    none = F.array().cast("array<int>")
+    rows = once.join(cells, F.col("home") == F.col("cell")).select("cell", F.pmod(part, "rows").alias("i"), F.explode(F.sequence(zero, F.col("cols") - 1)).alias("j"), F.lit(0).alias("side"), "id", "copies", "unit", "home", "visits")
+    visiting = once.select("id", "copies", "unit", "home", F.explode(F.concat(F.array("home"), "visits")).alias("at"))
+    cols = visiting.join(cells, F.col("at") == F.col("cell")).select("cell", F.explode(F.sequence(zero, F.col("rows") - 1)).alias("i"), F.pmod(part, "cols").alias("j"), F.lit(1).alias("side"), "id", "copies", "unit", "home", none.alias("visits"))
+    dealt = rows.union(cols).repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
     found = cut(dealt.mapInArrow(_blocks(cosine), "id bigint, top bigint, links bigint"), "vector-links")
+    drop(once)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("id").alias("a"), F.col("top").alias("b")))
     groups = reps.join(links, F.col("num") == F.col("id"), "left").drop("id").join(joined, F.col("num") == F.col("node"), "left")
