@@ -1,10 +1,11 @@
-"""Passages repeated across documents, by hashing units of lines.
-
-Lines are cut into their sentences, and a unit is normalised to its lower-case words. Equal units are grouped over the
-whole corpus by a 128-bit digest; the earliest, by document id and place, is kept. Of the others those go that stand in
-a run of repeats long enough to be a passage; single short sentences that many texts share by chance stay. Whole lines
-and paragraphs are units as well, if asked for, of which every later copy goes by itself. Spans keep their offsets in
-the original text, and name the documents that hold the first copy of what they held.
+"""Passages repeated across documents, by hashing lines, paragraphs and the sentences of lines.
+
+A unit is normalised to its lower-case words. Equal units are grouped over the whole corpus by a 128-bit digest; the
+earliest, by document id and place, is kept. Later copies of lines and paragraphs go by themselves, if they have words
+enough. As passages begin and end inside lines, sentences are units too; later copies of these go where they stand in
+an unbroken run of repeats that has words enough from one and the same kept document: single short sentences that many
+texts share by chance stay, and so do rows of chance repeats. Spans keep their offsets in the original text, and name
+the documents that hold the first copy of what they held.
 """
 
 from __future__ import annotations
@@ -19,18 +20,20 @@ from pyspark.sql import functions as F
 from glyphmill.llm import wordcodes as wc
 from glyphmill.llm.scratch import cut
 
-#: Words in a run of repeated units from which on it is taken out.
-RUN_WORDS = 25
-#: Words of a unit from which on it counts in a run: all do, as lists, tables and verse are made of short ones.
-LEAST_WORDS = 1
+#: Words that a run of repeated sentences must share with one kept document to be taken out; short sentences count too.
+RUN_WORDS = 20
+#: Words of a repeated line or paragraph from which on it goes by itself. With 1 all do: then half of all documents lose a
+#: short line that many share by chance.
+WHOLE_WORDS = 15
 _BREAKS = np.zeros(256, bool)
 _BREAKS[[ord(c) for c in "\n.!?"]] = True
 
 
-def units(texts: pa.Array, whole: bool = False) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+def units(texts: pa.Array, whole: int | None = None) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """Units of all texts: for each text where its units begin, and for each unit two hashes, its words, and its place in words and characters.
 
-    With whole, sentences that are a line say so, and other lines, and paragraphs of several lines, follow with a unit of -1.
+    With whole, sentences that are a line of so many words say so; other lines, and paragraphs of several lines, that
+    have as many follow with a unit of -1.
     """
     codes, bounds, starts, _ = wc.word_codes(texts, wc.LETTERS_DIGITS, places=True)
     data, off = wc.text_bytes(texts)
@@ -60,7 +63,7 @@ def units(texts: pa.Array, whole: bool = False) -> tuple[np.ndarray, dict[str, n
     at = np.searchsorted(own["doc"], np.arange(len(bounds)))
     own["unit"] = np.arange(len(own["doc"])) - at[own["doc"]]
     own["whole"] = np.zeros(len(own["doc"]), bool)
-    if not whole:
+    if whole is None:
         return at, own
     breaks = np.flatnonzero(data == 10)
     lines = hashed(begins(breaks))
@@ -69,10 +72,11 @@ def units(texts: pa.Array, whole: bool = False) -> tuple[np.ndarray, dict[str, n
     paragraphs = hashed(begins(breaks[1:][dark[breaks[1:]] == dark[breaks[:-1]]]))
     same = np.searchsorted(own["first"], lines["first"])
     single = own["words"][same] == lines["words"]
-    own["whole"][same[single]] = True
+    own["whole"][same[single & (lines["words"] >= whole)]] = True
     several = lines["words"][np.searchsorted(lines["first"], paragraphs["first"])] != paragraphs["words"]
     for more, keep in ((lines, ~single), (paragraphs, several)):
         more |= {"unit": np.full(len(more["doc"]), -1), "whole": np.ones(len(more["doc"]), bool)}
+        keep = keep & (more["words"] >= whole)
         own = {k: np.concatenate([v, more[k][keep]]) for k, v in own.items()}
     return at, own
 
@@ -80,7 +84,7 @@ def units(texts: pa.Array, whole: bool = False) -> tuple[np.ndarray, dict[str, n
 _UNITS = "id bigint, unit int, whole boolean, h1 bigint, h2 bigint, words int, word int, start bigint, end bigint"
 
 
-def _scan(whole: bool):
+def _scan(whole: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, batch.num_rows, 512):
@@ -92,14 +96,14 @@ def _scan(whole: bool):
     return run
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS, whole: bool = False) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS, whole: int | None = None) -> DataFrame:
     """(id, removed) for every document that loses something; ids are integers.
 
     removed lists spans in order: start and end in characters, words, and kept_in, ids of the documents that keep
     what the span held (its own among them if it repeats itself). Texts without words, null and empty ones have no
     units. Rows with equal ids are one document, whose equal units in equal places are one unit. Rows with a null id
-    are left alone. Other columns are not read. With whole, lines and paragraphs that are there before go whatever
-    their length; kept_in then names where the first copy is.
+    are left alone. Other columns are not read. With whole, lines and paragraphs of so many words that are there before
+    go by themselves; kept_in then names where the first copy is.
     """
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     found = cut(own.mapInArrow(_scan(whole), _UNITS), "units")
@@ -113,8 +117,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     repeats = repeats.select("id", "unit", "words", "word", "start", "end", F.explode(F.array_compact(F.array(*kinds))).alias("as")).select("id", "unit", "words", "word", "start", "end", "as.kind", "as.kept_id")
     ordered = Window.partitionBy("id").orderBy("kind", "unit")
     runs = repeats.withColumn("run", F.when(F.col("kind") == 0, F.col("unit") - F.dense_rank().over(ordered)).otherwise(F.col("word")))
-    counted = F.sum(F.when(F.col("words") >= LEAST_WORDS, F.col("words")))
-    spans = runs.groupBy("id", "kind", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("word").alias("low"), F.max(F.col("word") + F.col("words")).alias("high"), counted.alias("counted"), F.collect_set("kept_id").alias("kept_in")).where((F.col("kind") == 1) | (F.col("counted") >= run_words))
+    shared = runs.groupBy("id", "kind", "run", "kept_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("word").alias("low"), F.max(F.col("word") + F.col("words")).alias("high"), F.sum("words").alias("shared"))
+    spans = shared.groupBy("id", "kind", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("shared").alias("shared"), F.collect_list("kept_id").alias("kept_in"))
+    spans = spans.where((F.col("kind") == 1) | (F.col("shared") >= run_words))
     before = F.max("high").over(Window.partitionBy("id").orderBy("low", "high", "kind").rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("new", F.when(F.col("low") <= before, 0).otherwise(1))
     spans = spans.withColumn("span", F.sum("new").over(Window.partitionBy("id").orderBy("low", "high", "kind").rowsBetween(Window.unboundedPreceding, 0)))
@@ -122,7 +127,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return spans.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "words", "kept_in"))).alias("removed")).withColumnRenamed("id", id_col)
 
 
-def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS, all_rows: bool = True, whole: bool = False) -> DataFrame:
+def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS, all_rows: bool = True, whole: int | None = None) -> DataFrame:
     """(id, text, removed): texts without what repeated_passages() finds; of all rows, or those that lose something."""
     found = repeated_passages(docs, id_col, text_col, run_words, whole).select(F.col(id_col).alias("_id"), "removed")
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -146,7 +151,7 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    out = remove_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"), all_rows=False, whole=True)
+    out = remove_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"), all_rows=False, whole=WHOLE_WORDS)
     kept_in = F.array_sort(F.array_distinct(F.flatten(F.transform("removed", lambda s: s["kept_in"]))))
     words = F.aggregate("removed", F.lit(0).cast("bigint"), lambda a, s: a + s["words"])
     return out.select("doc_id", F.size("removed").cast("bigint").alias("n_removed"), words.alias("removed_words"), kept_in.alias("kept_in"), "removed", "text")
