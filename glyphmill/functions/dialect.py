@@ -55,6 +55,17 @@ class Spark:
         """The k-th from 1, or null."""
         return f"try_element_at({array}, cast({k} as int))"
 
+    #: Function that makes an array of its arguments.
+    array_name = "array"
+
+    def slice(self, array: str, start: str, n: str) -> str:
+        """n items from the start-th on, from 1."""
+        return f"slice({array}, {start}, {n})"
+
+    def text_of(self, array: str) -> str:
+        """Items joined by blanks."""
+        return f"array_join({array}, ' ')"
+
     def split(self, text: str, mark: str) -> str:
         return f"split({text}, r'{mark}')"
 
@@ -68,10 +79,39 @@ class Spark:
         """Items of a group in order, in one text."""
         return f"array_join(transform(array_sort(collect_list(struct({order}, {x} as x_))), s -> s.x_), '{mark}')"
 
+    def edits(self, a: str, b: str) -> str:
+        """Edit distance in characters."""
+        return f"levenshtein({a}, {b})"
+
+    def within(self, a: str, b: str, k: int) -> str:
+        """Edit distance of at most k, given up beyond."""
+        return f"(levenshtein({a}, {b}, {k}) >= 0)"
+
+    def shuffled(self, array: str, key: str) -> str:
+        """Items in the order of md5s of key and place."""
+        return f"transform(array_sort(transform({array}, (w, i) -> struct(md5(concat({key}, ':', cast(i as string))) as h, w as w))), s -> s.w)"
+
+    def ln_factorial(self, n: str) -> str:
+        """ln n! from Stirling's series, exact for small n."""
+        x = f"({n} * 1.0e0)"
+        return f"(case when {n} < 16 then ln(cast(factorial(cast(least({n}, 16) as int)) as double)) else ({x} + 0.5e0) * ln({x}) - {x} + 0.9189385332046727e0 + 1 / (12 * {x}) - 1 / (360 * {x} * {x} * {x}) end)"
+
 
 class Duck(Spark):
     name = "duckdb"
 
+    #: Its levenshtein() counts bytes; letters of the tables that take two stand for one each, which words don't hold.
+    ACCENTED, PLAIN = "éèêçüäößóñíáúâîàùûôëïœæ", "ABCDEFGHIJKLMNOPQRSTUVW"
+
+    def edits(self, a: str, b: str) -> str:
+        return f"levenshtein(translate({a}, '{self.ACCENTED}', '{self.PLAIN}'), translate({b}, '{self.ACCENTED}', '{self.PLAIN}'))"
+
+    def within(self, a: str, b: str, k: int) -> str:
+        return f"({self.edits(a, b)} <= {k})"
+
+    def shuffled(self, array: str, key: str) -> str:
+        return f"list_transform(list_sort(list_transform(range(0, len({array})), lambda i: {{{{'h': md5(concat({key}, ':', cast(i as varchar))), 'w': {array}[i + 1]}}}})), lambda s: s.w)"
+
     def hash32(self, key: str) -> str:
         return f"cast('0x' || substr(md5({key}), 1, 8) as bigint)"
 
@@ -105,6 +145,14 @@ class Duck(Spark):
     def size(self, array: str) -> str:
         return f"len({array})"
 
+    array_name = "list_value"
+
+    def slice(self, array: str, start: str, n: str) -> str:
+        return f"{array}[{start}:({start}) + ({n}) - 1]"
+
+    def text_of(self, array: str) -> str:
+        return f"array_to_string({array}, ' ')"
+
     def item(self, array: str, k: str) -> str:
         return f"{array}[cast({k} as int)]"
 

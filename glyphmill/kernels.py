@@ -19,6 +19,7 @@ def _over(f: Callable[..., DataFrame], *relations: str) -> Callable[[SparkSessio
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bpe_curve": _over(searching.bpe_curve, "types"),
+    "t2a_permutations": _over(searching.final_form, "tk"),
     "slot_rigidity": _over(searching.slot_rigidity, "ty"),
     "drift_segmentation": _over(cutting.drift_segmentation, "tk"),
     "line_packing": _over(cutting.line_packing, "tk"),
@@ -40,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "step_drift_text": _over(generating.step_drift_text, "tk"),
     "tilted_text": _over(generating.tilted_text, "tk"),
     "walking_text": _over(generating.walking_text, "tk"),
+    "tuning_sweep": _over(generating.tuning_sweep, "tk"),
     "twin_residual": _over(generating.twin_residual, "tk"),
     "mixture_shares": _over(searching.mixture_shares, "ty"),
     "substitution_search": _over(searching.substitution_search, "ty"),

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from glyphmill.plans import PLANS, load, spark_text
 from glyphmill.sources.corpus import frames
@@ -27,11 +29,11 @@ def run_tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return run(name, **frames(spark, sf_dir, PLANS[name][1]))
 
 
-def run_matrix(spark: SparkSession, sf_dir: str, queries: dict[str, Callable[[SparkSession, str], DataFrame]], path: str) -> DataFrame:
-    """Runs queries one by one, each result to a table of its own under path: (name, rows, seconds, error). One that fails is noted, and the rest go on; what is under path already isn't run again."""
+def run_matrix(spark: SparkSession, sf_dir: str, queries: dict[str, Callable[[SparkSession, str], DataFrame]], path: str, at_once: int = 4) -> DataFrame:
+    """Runs queries, some at once, each result to a table of its own under path: (name, rows, seconds, error). One that fails is noted, and the rest go on; what is under path already isn't run again."""
     hadoop = spark._jvm.org.apache.hadoop.fs
-    notes = []
-    for name, query in queries.items():
+
+    def one(name: str, query: Callable[[SparkSession, str], DataFrame]) -> tuple:
         out = hadoop.Path(f"{path}/{name}/_SUCCESS")
         began, error = time.time(), None
         try:
@@ -40,5 +42,19 @@ def run_matrix(spark: SparkSession, sf_dir: str, queries: dict[str, Callable[[Sp
             rows = spark.read.parquet(f"{path}/{name}").count()
         except Exception as e:  # noted, not raised
             rows, error = None, str(e)[:500]
-        notes.append((name, rows, round(time.time() - began, 3), error))
+        return name, rows, round(time.time() - began, 3), error
+
+    with ThreadPoolExecutor(at_once) as pool:
+        notes = list(pool.map(lambda x: one(*x), queries.items()))
     return spark.createDataFrame(notes, "name string, rows bigint, seconds double, error string")
+
+
+def run_stages(spark: SparkSession, sf_dir: str, stages: dict[str, dict[str, Callable[[SparkSession, str], DataFrame]]], path: str, at_once: int = 4) -> DataFrame:
+    """Groups of queries one after another, such as controls before what they are controls of: a group begins once all of the one before have ended without an error."""
+    notes = None
+    for stage, queries in stages.items():
+        own = run_matrix(spark, sf_dir, queries, f"{path}/{stage}", at_once).select(F.lit(stage).alias("stage"), "*")
+        notes = own if notes is None else notes.union(own)
+        if not own.where("error is not null").isEmpty():
+            break
+    return notes

@@ -67,8 +67,10 @@ class Coder:
             out.extend([b] + [1 - b] * held)
             held = 0
 
-        for i, k in enumerate(choices):
-            low, high = cls.narrow(low, high, tables(choices[:i]), k)
+        done: list[int] = []
+        for k in choices:
+            low, high = cls.narrow(low, high, tables(done), k)
+            done.append(k)
             while True:
                 if high < cls.HALF:
                     put(0)
@@ -89,10 +91,10 @@ class Coder:
 
 def message_round_trip(tk: DataFrame, messages: int = 5, length: int = 256) -> DataFrame:
     """Messages of bits carried by letters drawn from a language's pairs, and read back: wrong bits (none), and bits a letter."""
-    pairs = tk.where("tok rlike '^[a-z]+$'").select("lang", F.explode(F.expr("transform(sequence(1, length(tok) + 1), i -> substr(concat('^', tok, '$'), i, 2))")).alias("p")).groupBy("lang", "p").agg(F.count(F.lit(1)).alias("n"))
+    pairs = tk.select("lang", F.explode(F.expr("transform(sequence(1, length(tok) + 1), i -> substr(concat('^', tok, '$'), i, 2))")).alias("p")).groupBy("lang", "p").agg(F.count(F.lit(1)).alias("n"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        abc = "abcdefghijklmnopqrstuvwxyz$"
+        abc = "".join(sorted({c for p in pdf.p for c in p} - {"^", "$"})) + "$"
         counts = {p: int(n) for p, n in zip(pdf.p, pdf.n)}
         rows = {a: [1 + counts.get(a + b, 0) * 4000 // max(counts.values()) for b in abc] for a in "^" + abc[:-1]}
         tables = lambda done: rows["^" if not done or abc[done[-1]] == "$" else abc[done[-1]]]
@@ -113,36 +115,21 @@ def message_round_trip(tk: DataFrame, messages: int = 5, length: int = 256) -> D
 CHANGES = r"corr|eras|above|inser|added"
 
 
+_MARKUP = re.compile(r"<!(?P<note>[^>]*)>?|<(?P<gap>[-~])>|<[^>]*>?|\[(?P<first>[^\]:]*)[^\]]*\]?|\{[^}]*\}?|(?P<rare>@\d+;)|(?P<stop>\.)|[,!\s]|(?P<letter>.)")
+
+
 def replay(raw: str) -> list[tuple[int, int, str]]:
-    """Changes that comments of a marked-up line tell of: word, place in the word, and comment."""
-    events, word, place, i = [], 0, 0, 0
-    while i < len(raw):
-        c = raw[i]
-        if raw.startswith("<!", i):
-            end = raw.find(">", i)
-            end = len(raw) - 1 if end < 0 else end
-            note = raw[i + 2 : end]
-            if re.search(CHANGES, note):
-                events.append((word, place, note))
-            i = end
-        elif raw.startswith(("<->", "<~>"), i):
-            word, place, i = word + 1, 0, i + 2
-        elif c == "<":
-            end = raw.find(">", i)
-            i = len(raw) - 1 if end < 0 else end
-        elif c == "[":
-            end = raw.find("]", i)
-            end = len(raw) - 1 if end < 0 else end
-            place += len(raw[i + 1 : end].split(":")[0])
-            i = end
-        elif c == "{":
-            end = raw.find("}", i)
-            i = len(raw) - 1 if end < 0 else end
-        elif c in ".,":
-            word, place = word + 1, 0
-        elif c != "!":
+    """Changes that comments of a marked-up line tell of: word, place in the word, and comment. Stops and gaps part words, commas and blanks don't; a rare sign is one letter."""
+    events, word, place = [], 0, 0
+    for m in _MARKUP.finditer(raw):
+        if m["note"] is not None and re.search(CHANGES, m["note"], re.I):
+            events.append((word, place, m["note"]))
+        elif m["first"] is not None:
+            place += len(re.sub(r"@\d+;", "*", re.sub(r"\{[^}]*\}", "", m["first"])))
+        elif m["rare"] or m["letter"]:
             place += 1
-        i += 1
+        elif (m["stop"] or m["gap"]) and place:
+            word, place = word + 1, 0
     return events
 
 
@@ -150,12 +137,12 @@ def markup_edits(ln: DataFrame) -> DataFrame:
     """Lines written with markup, cleaned by expressions and played back by the kernel: words agree, and every change is met."""
     from glyphmill.sources.transliteration import clean_words
 
-    noted = F.transform("words", lambda w, i: F.when(F.crc32(w.cast("binary")) % 7 == 0, F.concat(w, F.lit("<!corrected>"))).when(F.crc32(w.cast("binary")) % 7 == 1, F.concat(F.lit("["), F.substring(w, 1, 1), F.lit(":x]"), w.substr(F.lit(2), F.length(w)))).otherwise(w))
+    noted = F.transform("words", lambda w, i: F.when(F.crc32(w.cast("binary")) % 7 == 0, F.concat(w, F.lit("<!Corrected>"))).when(F.crc32(w.cast("binary")) % 7 == 2, F.concat(F.lit(" "), w, F.lit(",! "))).when(F.crc32(w.cast("binary")) % 7 == 1, F.concat(F.lit("["), F.substring(w, 1, 1), F.lit(":x]"), w.substr(F.lit(2), F.length(w)))).otherwise(w))
     raw = ln.where("size(words) > 0").select("lang", "words", F.concat(F.array_join(noted, "."), F.lit("<$>")).alias("raw"))
 
     @F.pandas_udf("long")
     def changes(rows: pd.Series) -> pd.Series:
         return rows.map(lambda r: len(replay(r)))
 
-    out = raw.select("lang", (clean_words(F.col("raw")) == F.col("words")).cast("double").alias("agree"), changes("raw").alias("changes"), F.size(F.filter("words", lambda w: F.crc32(w.cast("binary")) % 7 == 0)).alias("due"))
+    out = raw.select("lang", (clean_words(F.col("raw"), commas_part=False) == F.col("words")).cast("double").alias("agree"), changes("raw").alias("changes"), F.size(F.filter("words", lambda w: F.crc32(w.cast("binary")) % 7 == 0)).alias("due"))
     return out.groupBy("lang").agg(F.count(F.lit(1)).alias("lines"), F.round(F.avg("agree"), 6).alias("agree"), F.sum("changes").alias("changes"), F.sum("due").cast("bigint").alias("due"))

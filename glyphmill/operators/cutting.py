@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.operators.keyed import Draws
+from glyphmill.operators.keyed import seeded
 
 
 def token_chunks(tk: DataFrame, size: int = 250) -> DataFrame:
@@ -25,8 +25,19 @@ def token_chunks(tk: DataFrame, size: int = 250) -> DataFrame:
     return lines.groupBy("doc_id").applyInPandas(run, "lang string, doc_id long, chunks long, words long").groupBy("lang").agg(F.sum("chunks").alias("chunks"), F.sum("words").alias("words"))
 
 
-def line_packing(tk: DataFrame, sims: int = 10, least: int = 8) -> DataFrame:
-    """Slack of lines against the page's 90th percentile width, over that of lines packed from its shuffled words."""
+def line_packing(tk: DataFrame, sims: int = 200, least: int = 8) -> DataFrame:
+    """Slack of lines against the page's 90th percentile width, over that of lines packed from its shuffled words. Pages of fewer lines than least are left out."""
+
+    def packed(sizes: np.ndarray, width: float) -> list[int]:
+        """Widths of lines that take words of these sizes, with a blank between two, as long as they fit."""
+        upto = np.concatenate([[0], np.cumsum(sizes + 1)])
+        # where a line that begins with each word ends: one word at least
+        nexts = np.maximum(np.searchsorted(upto, upto[:-1] + width + 1 + 1e-9, "right") - 1, np.arange(len(sizes)) + 1).tolist()
+        out, k = [], 0
+        while nexts[k] < len(sizes):  # the last line may be short
+            out.append(int(upto[nexts[k]] - upto[k]) - 1)
+            k = nexts[k]
+        return out
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["line_no", "pos"])
@@ -34,19 +45,14 @@ def line_packing(tk: DataFrame, sims: int = 10, least: int = 8) -> DataFrame:
         if len(width) < least:
             return pd.DataFrame([], columns=["lang", "doc_id", "slack", "chance"])
         w = float(np.percentile(width, 90))
-        slack, lens, means = float(np.maximum(0, w - width).sum()), (pdf.tok.str.len()).tolist(), []
-        for k in range(sims):
-            rows, now = [], 0
-            for n in Draws("pack", pdf.doc_id.iloc[0], k).shuffled(lens):
-                if now and now + 1 + n > w:
-                    rows.append(now)
-                    now = 0
-                now += n + (1 if now else 0)
+        rng, sizes, means = seeded("pack", pdf.doc_id.iloc[0]), pdf.tok.str.len().to_numpy(), []
+        for _ in range(sims):
+            rows = np.array(packed(rng.permutation(sizes), w))
             if len(rows) >= 2:
-                means.append(np.maximum(0, w - np.array(rows)).mean())
+                means.append(np.maximum(0, np.percentile(rows, 90) - rows).mean())
         if not means:
             return pd.DataFrame([], columns=["lang", "doc_id", "slack", "chance"])
-        return pd.DataFrame([(pdf.lang.iloc[0], pdf.doc_id.iloc[0], slack, float(np.mean(means)) * len(width))], columns=["lang", "doc_id", "slack", "chance"])
+        return pd.DataFrame([(pdf.lang.iloc[0], pdf.doc_id.iloc[0], float(np.maximum(0, w - width).sum()), float(np.mean(means)) * len(width))], columns=["lang", "doc_id", "slack", "chance"])
 
     pages = tk.select("lang", "doc_id", "line_no", "pos", "tok").groupBy("doc_id").applyInPandas(run, "lang string, doc_id long, slack double, chance double")
     return pages.groupBy("lang").agg(F.count(F.lit(1)).alias("pages"), F.round(F.sum("slack") / F.sum("chance"), 6).alias("ratio"))

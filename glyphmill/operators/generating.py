@@ -124,19 +124,19 @@ def recency_text(tk: DataFrame, repeat: float = 0.08, reach: int = 8, words: int
 
 
 def wrapped_text(tk: DataFrame, width: int = 55, lines: int = 30) -> DataFrame:
-    """A page's words in order, wrapped anew at a width and cut at so many lines."""
+    """A page's words in order, wrapped anew at a width, and in pages of so many lines."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, now = [], []
         for w in [*pdf.sort_values(["line_no", "pos"]).tok, None]:
             if w is None or (now and len(" ".join(now)) + 1 + len(w) > width):
-                rows.append((pdf.lang.iloc[0], pdf.doc_id.iloc[0], len(rows), " ".join(now)))
+                rows.append((pdf.lang.iloc[0], pdf.doc_id.iloc[0], len(rows) // lines, len(rows) % lines, " ".join(now)))
                 now = []
             if w is not None:
                 now.append(w)
-        return _frame(rows[:lines])
+        return pd.DataFrame(rows, columns=["lang", "doc_id", "page", "line_no", "text"])
 
-    return tk.select("lang", "doc_id", "line_no", "pos", "tok").groupBy("doc_id").applyInPandas(run, _LINES)
+    return tk.select("lang", "doc_id", "line_no", "pos", "tok").groupBy("doc_id").applyInPandas(run, "lang string, doc_id long, page long, line_no long, text string")
 
 
 def autokey_text(ln: DataFrame, key: str = "quill") -> DataFrame:
@@ -230,7 +230,7 @@ def composed_text(
     fall = [0.8**k for k in range(reach)]
     layout = _layout(tk)
     if own:
-        layout = layout.join(tk.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_set("tok")), 1, 200).alias("page_words")), "doc_id")
+        layout = layout.join(tk.groupBy("doc_id").agg(F.array_sort(F.collect_set("tok")).alias("page_words")), "doc_id")
 
     def coined(lang: str, d: Draws) -> str | None:
         for _ in range(20):
@@ -360,3 +360,22 @@ def twin_residual(tk: DataFrame, least_lines: int = 30) -> DataFrame:
     real = tk.groupBy("lang", "doc_id", "line_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tok"))), lambda x: x["tok"]), " ").alias("text"))
     both = joined(real, "bits").where(f"lines >= {least_lines}").join(joined(automaton_text(tk), "twin_bits").select("doc_id", "twin_bits"), "doc_id")
     return both.groupBy("lang").agg(F.count(F.lit(1)).alias("pages"), F.round(F.avg(F.col("bits") - F.col("twin_bits")), 6).alias("residual"))
+
+
+#: Controls by name: texts made to have, or to lack, what a test looks for.
+CONTROLS = {
+    "automaton": automaton_text, "copying": copied_text, "recency": recency_text, "wrapped": wrapped_text, "grammar": grammar_text, "two_routes": two_route_text, "page_mixture": page_mixture_text,
+    "smooth_drift": smooth_drift_text, "step_drift": step_drift_text, "tilted": tilted_text, "walking": walking_text,
+}
+
+
+def tuning_sweep(tk: DataFrame, shares: tuple[float, ...] = (0.0, 0.1, 0.2, 0.4)) -> DataFrame:
+    """A control at several settings, and the statistic that it is tuned by: shares of words repeated from shortly before, and how often a word of a line stands among the eight before it. One job for all settings."""
+    out = None
+    for share in shares:
+        text = composed_text(tk, repeat=share).select("lang", "doc_id", "line_no", F.split("text", " ").alias("words"))
+        words = text.select("lang", F.posexplode("words").alias("pos", "tok"), "words").where("tok <> ''")
+        hit = F.array_contains(F.slice("words", F.greatest(F.col("pos") - 7, F.lit(1)), F.least(F.col("pos"), F.lit(8))), F.col("tok"))
+        own = words.groupBy("lang").agg(F.round(F.avg(hit.cast("double")), 6).alias("repeated"), F.count(F.lit(1)).alias("n")).select(F.lit(share).alias("share"), "*")
+        out = own if out is None else out.union(own)
+    return out

@@ -4,6 +4,13 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
+
+
+def seeded(*key: object) -> np.random.Generator:
+    """NumPy's generator for what takes many draws at once, seeded by the hash of a key."""
+    return np.random.default_rng(int.from_bytes(hashlib.blake2b(":".join(map(str, key)).encode(), digest_size=16).digest(), "little"))
+
 
 class Draws:
     """A stream of draws that its key determines."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from glyphmill.functions.dialect import Spark
 from glyphmill.plans import plan
-from glyphmill.plans.information import mi
+from glyphmill.plans.information import dealt, mi
 
 
 def _lag_profile(unit: str, lags: range) -> str:
@@ -31,18 +31,19 @@ def t4a_initial(d: Spark) -> str:
 def t4b_columns(d: Spark) -> str:
     """Inner words of lines 1 to 3 apart: agreement in first and last letter in the same place, over places beside it."""
     inner = "select lang, doc_id, line_no, pos, concat(left(tok, 1), right(tok, 1)) as u from {tk} where pos > 0 and pos < n_line - 1"
+    moved = f"select lang, doc_id, line_no + k as to_line, pos + off as to_pos, k, off, u from (select * from ({inner}) i {d.each('1', '3', 'k')}) a {d.each('(-2)', '2', 'off')}"
     return f"""select lang, k, round(avg(case when off = 0 then hit end), 6) as aligned, round(avg(case when off <> 0 then hit end), 6) as beside, round(avg(case when off = 0 then hit end) / nullif(avg(case when off <> 0 then hit end), 0.0e0), 6) as ratio
-        from (select x.lang, y.line_no - x.line_no as k, y.pos - x.pos as off, case when x.u = y.u then 1.0e0 else 0.0e0 end as hit from ({inner}) x join ({inner}) y on x.doc_id = y.doc_id and y.line_no between x.line_no + 1 and x.line_no + 3 and y.pos between x.pos - 2 and x.pos + 2) q group by lang, k"""
+        from (select x.lang, x.k, x.off, case when x.u = y.u then 1.0e0 else 0.0e0 end as hit from ({moved}) x join ({inner}) y on x.doc_id = y.doc_id and y.line_no = x.to_line and y.pos = x.to_pos) q group by lang, k"""
 
 
 @plan("tk")
 def t4c_line_cycle(d: Spark) -> str:
-    """Cosine of lines as counts of letter pairs at word edges, k lines apart, over the page's mean."""
-    lines = "select lang, doc_id, line_no, concat(left(tok, 1), right(tok, 1)) as u, count(*) * 1.0e0 as c, sum(count(*) * count(*)) over (partition by doc_id, line_no) as q from {tk} group by lang, doc_id, line_no, concat(left(tok, 1), right(tok, 1))"
-    pairs = f"select x.lang, x.doc_id, x.line_no as i, y.line_no as j, sum(x.c * y.c) / sqrt(max(x.q) * 1.0e0 * max(y.q)) as cos from ({lines}) x join ({lines}) y on x.doc_id = y.doc_id and x.line_no < y.line_no and x.u = y.u group by x.lang, x.doc_id, x.line_no, y.line_no"
-    counts = "select doc_id, count(*) as m, min(line_no) as lo from (select distinct doc_id, line_no from {tk}) z group by doc_id"
-    return f"""with cosines as ({pairs}), pages_ as (select c.lang, c.doc_id, sum(cos) / (max(m) * (max(m) - 1.0e0) / 2) as mean_ from cosines c join ({counts}) n on c.doc_id = n.doc_id group by c.lang, c.doc_id)
-        select c.lang, j - i as k, round(sum(cos) / sum(mean_), 6) as ratio, count(*) as n from cosines c join pages_ p on c.doc_id = p.doc_id where j - i <= 12 group by c.lang, j - i"""
+    """Cosine of lines as counts of letter pairs at word edges, up to 12 lines apart, over the page's mean: half the square of the sum of its lines' unit vectors, less their own."""
+    lines = "select lang, doc_id, line_no, u, c / sqrt(q) as x from (select lang, doc_id, line_no, concat(left(tok, 1), right(tok, 1)) as u, count(*) * 1.0e0 as c, sum(count(*) * count(*)) over (partition by doc_id, line_no) * 1.0e0 as q from {tk} group by lang, doc_id, line_no, concat(left(tok, 1), right(tok, 1))) z"
+    return f"""with v as ({lines}), n as (select doc_id, count(*) * 1.0e0 as m from (select distinct doc_id, line_no from {{tk}}) z group by doc_id),
+        means as (select s.doc_id, (sum(t * t) - max(m)) / (max(m) * (max(m) - 1.0e0)) as mean_ from (select doc_id, u, sum(x) as t from v group by doc_id, u) s join n on n.doc_id = s.doc_id where m > 1 group by s.doc_id),
+        pairs as (select a.lang, a.doc_id, a.line_no, a.k, sum(a.x * b.x) as cos from (select * from v {d.each('1', '12', 'k')}) a join v b on b.doc_id = a.doc_id and b.u = a.u and b.line_no = a.line_no + a.k group by a.lang, a.doc_id, a.line_no, a.k)
+        select p.lang, p.k, round(sum(cos) / sum(mean_), 6) as ratio, count(*) as n from pairs p join means on means.doc_id = p.doc_id group by p.lang, p.k"""
 
 
 def _recency(near: bool) -> str:
@@ -90,7 +91,7 @@ def event_recency(d: Spark) -> str:
 @plan("tk")
 def t3a_zero_replication(d: Spark) -> str:
     """Letter pairs that half of a language's lines lack though chance gives three or more: how far the other half lacks them too."""
-    marked = f"select lang, line_no % 2 as half, substr(t, cast(i as int), 1) as a, substr(t, cast(i as int) + 1, 1) as b from (select lang, line_no, concat('^', tok, '$') as t, cast(length(tok) as bigint) + 1 as m from {{tk}} where {d.matches('tok', '[a-z]+')}) q {d.each('1', 'm', 'i')}"
+    marked = f"select lang, line_no % 2 as half, substr(t, cast(i as int), 1) as a, substr(t, cast(i as int) + 1, 1) as b from (select lang, line_no, concat('^', tok, '$') as t, cast(length(tok) as bigint) + 1 as m from {{tk}}) q {d.each('1', 'm', 'i')}"
     return f"""with g as (select lang, half, a, b, count(*) * 1.0e0 as c from ({marked}) z group by lang, half, a, b), r as (select lang, half, a, sum(c) as ra from g group by lang, half, a), s as (select lang, half, b, sum(c) as sb from g group by lang, half, b), n as (select lang, half, sum(c) as n from g group by lang, half),
         e as (select r.lang, r.half, r.a, s.b, ra * sb / n as e from r join s on r.lang = s.lang and r.half = s.half join n on n.lang = r.lang and n.half = r.half)
         select x.lang, count(*) as cells, round(sum(coalesce(o.c, 0.0e0)) / sum(y.e), 6) as rho from e x join e y on x.lang = y.lang and x.half <> y.half and x.a = y.a and x.b = y.b
@@ -100,50 +101,53 @@ def t3a_zero_replication(d: Spark) -> str:
 
 @plan("tk")
 def t2a_final_form(d: Spark) -> str:
-    """Divergence of last letters at line ends from those inside lines, inner words weighted to the same lengths, over labels dealt anew."""
-    rows = "select lang, least(length(tok), 8) as len, right(tok, 1) as sym, case when pos = n_line - 1 then 1 else 0 end as fin, concat(cast(doc_id as string), ':', cast(line_no as string), ':', cast(pos as string)) as key_ from {tk} where n_line >= 3"
-    dealt = f"select rep, lang, len, sym, case when rep = 0 then fin when row_number() over (partition by rep, lang, len order by md5(concat('t', cast(rep as string), key_)), key_) <= sum(fin) over (partition by rep, lang, len) then 1 else 0 end as fin from ({rows}) q {d.each('0', '5', 'rep')}"
-    return f"""with c as (select rep, lang, len, sym, fin, count(*) * 1.0e0 as c from ({dealt}) z group by rep, lang, len, sym, fin), t as (select rep, lang, len, sum(case when fin = 1 then c else 0.0e0 end) as nf, sum(case when fin = 0 then c else 0.0e0 end) as ni from c group by rep, lang, len),
-        w as (select c.rep, c.lang, c.sym, sum(case when fin = 1 then c else 0.0e0 end) as f, sum(case when fin = 0 then c * nf / ni else 0.0e0 end) as i from c join t on c.rep = t.rep and c.lang = t.lang and c.len = t.len where nf > 0 and ni > 0 group by c.rep, c.lang, c.sym),
-        p as (select rep, lang, sym, f / sum(f) over (partition by rep, lang) as f, i / sum(i) over (partition by rep, lang) as i from w),
-        j as (select rep, lang, sum(case when f > 0 then f * log2(2 * f / (f + i)) else 0.0e0 end + case when i > 0 then i * log2(2 * i / (f + i)) else 0.0e0 end) / 2 as jsd from p group by rep, lang)
-        select lang, round(max(case when rep = 0 then jsd end), 6) as jsd, round(max(case when rep = 0 then jsd end) - avg(case when rep > 0 then jsd end), 6) as excess, round((1 + sum(case when rep > 0 and jsd >= obs - 1e-12 then 1 else 0 end)) / 6.0e0, 6) as p from (select *, max(case when rep = 0 then jsd end) over (partition by lang) as obs from j) q group by lang"""
+    """Divergence of last letters of words at line ends from those of inner words, which are weighted to the same lengths. What labels dealt anew give: t2a_permutations."""
+    rows = "select lang, least(length(tok), 8) as len, length(tok) as size_, right(tok, 1) as sym, case when pos = n_line - 1 then 1 else 0 end as fin from {tk} where n_line >= 2 and pos > 0"
+    return f"""with r as ({rows}), c as (select lang, len, sym, fin, count(*) * 1.0e0 as c from r group by lang, len, sym, fin), t as (select lang, len, sum(case when fin = 1 then c else 0.0e0 end) as nf, sum(case when fin = 0 then c else 0.0e0 end) as ni from c group by lang, len),
+        w as (select c.lang, c.sym, sum(case when fin = 1 then c else 0.0e0 end) as f, sum(case when fin = 0 then c * nf / ni else 0.0e0 end) as i from c join t on c.lang = t.lang and c.len = t.len where nf > 0 and ni > 0 group by c.lang, c.sym),
+        p as (select lang, sym, f / sum(f) over (partition by lang) as f, i / sum(i) over (partition by lang) as i from w),
+        j as (select lang, sum(case when f > 0 then f * log2(2 * f / (f + i)) else 0.0e0 end + case when i > 0 then i * log2(2 * i / (f + i)) else 0.0e0 end) / 2 as jsd from p group by lang),
+        z as (select lang, cast(sum(fin) as bigint) as n_final, avg(case when fin = 1 then size_ * 1.0e0 end) as lf, avg(case when fin = 0 then size_ * 1.0e0 end) as li from r group by lang)
+        select j.lang, n_final, round(jsd, 6) as jsd, round(lf, 6) as length_final, round(li, 6) as length_inner from j join z on j.lang = z.lang"""
 
 
-@plan("tk")
+@plan("ln")
 def t2c_dittography(d: Spark) -> str:
-    """Last words of lines that come again as the next line's first, against lines dealt anew in their pages."""
-    lines = "select lang, doc_id, line_no, max_by(tok, pos) as l, min_by(tok, pos) as f from {tk} group by lang, doc_id, line_no"
-    dealt = f"select rep, lang, doc_id, l, f, row_number() over (partition by rep, doc_id order by case when rep = 0 then '' else md5(concat('d', cast(rep as string), ':', cast(doc_id as string), ':', cast(line_no as string))) end, line_no) as r from ({lines}) q {d.each('0', '5', 'rep')}"
-    return f"""select lang, round(max(case when rep = 0 then hit end), 6) as rate, round(avg(case when rep > 0 then hit end), 6) as chance, round(max(case when rep = 0 then hit2 end), 6) as rate2 from (
-        select rep, lang, avg(case when l = nf then 1.0e0 else 0.0e0 end) as hit, avg(case when right(l, 2) = left(nf, 2) then 1.0e0 else 0.0e0 end) as hit2 from (select rep, lang, l, lead(f) over (partition by rep, doc_id order by r) as nf from ({dealt}) z) y where nf is not null group by rep, lang) x group by lang"""
+    """Last words of lines that come again as the next line's first, one word and two, and what lines in any order of their page give, exactly."""
+    w = lambda k: d.item("words", k)
+    two = lambda a, b: f"case when {d.size('words')} >= 2 then concat({w(a)}, ' ', {w(b)}) end"
+    lines = f"select lang, doc_id, line_no, {w('-1')} as l, {w('1')} as f, {two('-2', '-1')} as l2, {two('1', '2')} as f2 from {{ln}} where {d.size('words')} >= 1"
+
+    def same(last: str, first: str) -> str:
+        """Per page: of all ordered pairs of different lines, those that fit."""
+        return f"""select lang, doc_id, sum(c) as c from (select x.lang, x.doc_id, x.k * y.k as c from (select lang, doc_id, {last} as w, count(*) as k from l where {last} is not null group by lang, doc_id, {last}) x join (select doc_id, {first} as w, count(*) as k from l where {first} is not null group by doc_id, {first}) y on x.doc_id = y.doc_id and x.w = y.w
+            union all select lang, doc_id, -count(*) from l where {last} = {first} group by lang, doc_id) s group by lang, doc_id"""
+
+    return f"""with l as ({lines}), m as (select lang, doc_id, count(*) as m, count(l2) as q from l group by lang, doc_id),
+        o as (select lang, count(nf) as n, sum(case when l = nf then 1.0e0 else 0.0e0 end) as e, sum(case when l2 is not null and nf2 is not null then 1.0e0 else 0.0e0 end) as n2, sum(case when l2 = nf2 then 1.0e0 else 0.0e0 end) as e2 from (select lang, l, l2, lead(f) over (partition by doc_id order by line_no) as nf, lead(f2) over (partition by doc_id order by line_no) as nf2 from l) x group by lang),
+        c as (select m.lang, sum(coalesce(a.c, 0) * 1.0e0 / m.m) as e, sum(coalesce(b.c, 0) * 1.0e0 / m.m) as e2, sum(q * (q - 1.0e0) / m.m) as n2 from m left join ({same('l', 'f')}) a on a.doc_id = m.doc_id left join ({same('l2', 'f2')}) b on b.doc_id = m.doc_id group by m.lang)
+        select o.lang, o.n, round(o.e / o.n, 6) as rate, round(c.e / o.n, 6) as chance, round(o.e / nullif(c.e, 0.0e0), 6) as ratio, round((o.e - c.e) / sqrt(nullif(c.e, 0.0e0)), 6) as z, round(o.e2 / nullif(o.n2, 0.0e0), 6) as rate2, round(c.e2 / nullif(c.n2, 0.0e0), 6) as chance2 from o join c on o.lang = c.lang"""
 
 
 @plan("tk")
 def t1_line_break(d: Spark) -> str:
-    """Boundary information across line breaks over that inside lines, both less chance, pages weighted by their breaks."""
+    """Boundary information across line breaks over that inside lines, both less what any re-pairing inside the page or block gives on average; pages weighted by their breaks."""
     ends = "select lang, doc_id, line_no, max_by(tok, pos) as last, min_by(tok, pos) as first from {tk} where n_line >= 2 group by lang, doc_id, line_no"
     across = f"select lang, doc_id, 'break' as kind, line_no as k1, 0 as k2, right(last, 1) as a, left(nxt, 1) as b from (select *, lead(first) over (partition by doc_id order by line_no) as nxt from ({ends}) e) x where nxt is not null"
     inner = "select lang, doc_id, 'inner' as kind, line_no as k1, pos + 1 as k2, right(tok, 1) as a, left(nxt, 1) as b from (select *, lead(tok) over (partition by doc_id, line_no order by pos) as nxt from {tk} where n_line >= 2) y where nxt is not null"
-    key = "concat(cast(doc_id as string), ':', kind, ':', cast(k1 as string), ':', cast(k2 as string))"
-    pairs = f"select *, {key} as key_ from ({across} union all {inner}) u"
     breaks = f"select doc_id as page_, count(*) as k from ({across}) a group by doc_id having count(*) >= 2"
-    blocks = f"select * from (select p.*, case when kind = 'break' then 0 else cast(floor((row_number() over (partition by doc_id, kind order by k1, k2) - 1) / k) as bigint) end as block, k from ({pairs}) p join ({breaks}) c on doc_id = page_) q"
-    full = f"select * from (select z.*, count(*) over (partition by doc_id, kind, block) as m from ({blocks}) z) y where m = k"
-    left = f"select lang, doc_id, kind, block, k, rep, a, row_number() over (partition by rep, doc_id, kind, block order by key_) as r from ({full}) f {d.each('1', '3', 'rep')}"
-    right = f"select doc_id, kind, block, rep, b, row_number() over (partition by rep, doc_id, kind, block order by md5(concat('t1', cast(rep as string), key_)), key_) as r from ({full}) f {d.each('1', '3', 'rep')}"
-    chance = f"select x.lang, x.doc_id, x.kind, x.block, x.k, x.rep, x.a, y.b from ({left}) x join ({right}) y on x.rep = y.rep and x.doc_id = y.doc_id and x.kind = y.kind and x.block = y.block and x.r = y.r"
-    seen = f"select lang, doc_id, kind, block, k, cast(0 as bigint) as rep, a, b from ({full}) f"
-    by = "lang, doc_id, kind, block, k, rep"
-    return f"""with e as (select lang, doc_id, kind, block, k, max(case when rep = 0 then mi end) - avg(case when rep > 0 then mi end) as x from ({mi(f'{seen} union all {chance}', by)}) q group by lang, doc_id, kind, block, k),
-        p as (select lang, doc_id, kind, max(k) as k, avg(x) as x from e group by lang, doc_id, kind)
-        select lang, round(sum(case when kind = 'break' then x * k end) / sum(case when kind = 'break' then k end), 6) as break_, round(sum(case when kind = 'inner' then x * k end) / sum(case when kind = 'inner' then k end), 6) as inner_, count(distinct doc_id) as pages from p group by lang"""
+    blocks = f"select * from (select p.*, case when kind = 'break' then 0 else cast(floor((row_number() over (partition by doc_id, kind order by k1, k2) - 1) / k) as bigint) end as block, k from ({across} union all {inner}) p join ({breaks}) c on doc_id = page_) q"
+    full = f"select lang, doc_id, kind, block, k, a, b from (select z.*, count(*) over (partition by doc_id, kind, block) as m from ({blocks}) z) y where m = k"
+    by = "lang, doc_id, kind, block, k"
+    return f"""with f as ({full}), e as (select o.lang, o.doc_id, o.kind, o.k, o.mi - c.mi as x from ({mi('select * from f', by)}) o join ({dealt('select * from f', by, d)}) c on o.doc_id = c.doc_id and o.kind = c.kind and o.block = c.block),
+        p as (select lang, doc_id, kind, max(k) as k, avg(x) as x from e group by lang, doc_id, kind), g as (select lang, doc_id, max(k) as k, max(case when kind = 'break' then x end) as b, max(case when kind = 'inner' then x end) as i from p group by lang, doc_id)
+        select lang, round(sum(b * k) / sum(k), 6) as break_, round(sum(i * k) / sum(k), 6) as inner_, count(*) as pages from g where b is not null and i is not null group by lang"""
 
 
 @plan("tk")
 def t7b_deviant(d: Spark) -> str:
-    """Plain words with a letter triple that no other source has: per thousand words, and how many recur in their source."""
-    types = f"select source, tok, count(*) as n from {{tk}} where {d.matches('tok', '[a-z]{{3,}}')} group by source, tok"
+    """Words with a letter triple that no other source has: per thousand words, and how many recur in their source."""
+    types = f"select source, tok, count(*) as n from {{tk}} where length(tok) >= 3 group by source, tok"
     grams = f"select source, tok, n, substr(tok, cast(i as int), 3) as g from (select source, tok, n, cast(length(tok) as bigint) - 2 as m from ({types}) t) q {d.each('1', 'm', 'i')}"
     alone = f"select g from ({grams}) z group by g having count(distinct source) = 1"
     return f"select t.source, count(distinct t.tok) as types, cast(sum(t.n) as bigint) as tokens, round(1000.0e0 * sum(t.n) / max(total), 6) as per_thousand, round(avg(case when t.n >= 2 then 1.0e0 else 0.0e0 end), 6) as recurring from (select distinct z.source, z.tok, z.n from ({grams}) z join ({alone}) a on z.g = a.g) t join (select source, count(*) as total from {{tk}} group by source) s on t.source = s.source group by t.source"
@@ -169,13 +173,13 @@ def e5_burstiness(d: Spark) -> str:
 def e4_line_drift(d: Spark) -> str:
     """Cosine of lines as word counts by their distance, over the page's mean, and its slope over 2 to 8 lines."""
     lines = "select lang, doc_id, line_no, tok, count(*) * 1.0e0 as c, sum(count(*) * count(*)) over (partition by doc_id, line_no) as q from {tk} group by lang, doc_id, line_no, tok"
-    pairs = f"select x.lang, x.doc_id, y.line_no - x.line_no as k, sum(x.c * y.c) / sqrt(max(x.q) * 1.0e0 * max(y.q)) as cos from ({lines}) x join ({lines}) y on x.doc_id = y.doc_id and y.line_no between x.line_no + 2 and x.line_no + 8 and x.tok = y.tok group by x.lang, x.doc_id, x.line_no, y.line_no"
+    pairs = f"select x.lang, x.doc_id, x.k, sum(x.c * y.c) / sqrt(max(x.q) * 1.0e0 * max(y.q)) as cos from (select * from ({lines}) l {d.each('2', '8', 'k')}) x join ({lines}) y on x.doc_id = y.doc_id and y.line_no = x.line_no + x.k and x.tok = y.tok group by x.lang, x.doc_id, x.line_no, x.k"
     return f"select lang, round(regr_slope(cos, k), 6) as slope, round(regr_intercept(cos, k), 6) as intercept, count(*) as n from (select lang, k, avg(cos) as cos from ({pairs}) p group by lang, k) q group by lang"
 
 
 @plan("tp")
 def e1_boundary_recency(d: Spark) -> str:
-    """Repeats 2 to 12 words apart by whether they share the line, over what words dealt anew inside their classes of places would give.
+    """Repeats 2 to 40 words apart by whether they share the line, over what words dealt anew inside their classes of places would give.
 
     A class is a word's distance from the ends of its line, up to two; a pair's expectation is the share of equal words
     among pairs of its two classes on the page.
@@ -185,7 +189,7 @@ def e1_boundary_recency(d: Spark) -> str:
     return f"""with w as ({words}), k as (select doc_id, cls, tok, count(*) * 1.0e0 as k from w group by doc_id, cls, tok), n as (select doc_id, cls, sum(k) as n from k group by doc_id, cls),
         s as (select x.doc_id, x.cls as cx, y.cls as cy, sum(x.k * (y.k - case when x.cls = y.cls then 1 else 0 end)) as same from k x join k y on x.doc_id = y.doc_id and x.tok = y.tok group by x.doc_id, x.cls, y.cls),
         e as (select a.doc_id, a.cls as cx, b.cls as cy, coalesce(s.same, 0.0e0) / nullif(a.n * (b.n - case when a.cls = b.cls then 1 else 0 end), 0.0e0) as p from n a join n b on a.doc_id = b.doc_id left join s on s.doc_id = a.doc_id and s.cx = a.cls and s.cy = b.cls),
-        q as (select x.lang, x.doc_id, case when x.line_no = y.line_no then 'same_line' else 'cross_line' end as kind, x.cls as cx, y.cls as cy, count(*) as pairs, sum(case when x.tok = y.tok then 1.0e0 else 0.0e0 end) as hits from w x join w y on x.doc_id = y.doc_id and y.idx between x.idx + 2 and x.idx + 12 group by x.lang, x.doc_id, case when x.line_no = y.line_no then 'same_line' else 'cross_line' end, x.cls, y.cls)
+        q as (select x.lang, x.doc_id, case when x.line_no = y.line_no then 'same_line' else 'cross_line' end as kind, x.cls as cx, y.cls as cy, count(*) as pairs, sum(case when x.tok = y.tok then 1.0e0 else 0.0e0 end) as hits from (select * from w {d.each('2', '40', 'dist')}) x join w y on x.doc_id = y.doc_id and y.idx = x.idx + x.dist group by x.lang, x.doc_id, case when x.line_no = y.line_no then 'same_line' else 'cross_line' end, x.cls, y.cls)
         select q.lang, q.kind, cast(sum(q.pairs) as bigint) as pairs, round(sum(q.hits) / nullif(sum(q.pairs * e.p), 0.0e0), 6) as ratio from q join e on q.doc_id = e.doc_id and q.cx = e.cx and q.cy = e.cy group by q.lang, q.kind"""
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from glyphmill.functions.dialect import Spark
 from glyphmill.plans import plan
 
@@ -20,12 +22,16 @@ def jackknife(d: Spark) -> str:
 
 @plan("tk")
 def bootstrap(d: Spark) -> str:
-    """Pages drawn with replacement a hundred times: interval by percentiles, and by order statistics."""
-    index = f"cast(floor({d.u("concat('b', cast(rep as string), ':', cast(draw as string), lang)")} * n) as bigint) + 1"
-    draws = f"select rep, lang, draw, {index} as r from (select rep, lang, n from (select lang, count(*) as n from pages_ group by lang) c {d.each('1', '100', 'rep')}) z {d.each('1', 'n', 'draw')}"
-    return f"""with pages_ as (select *, row_number() over (partition by lang order by doc_id) as r from ({PAGES}) p), reps as (select rep, w.lang, sum(num) / sum(den) as v from ({draws}) w join pages_ p on w.lang = p.lang and w.r = p.r group by rep, w.lang)
+    """Pages drawn with replacement a hundred times: interval by percentiles, and by order statistics. A page's number of draws is Poisson of mean 1, from a hash, as it nearly is among many pages; so no page is looked up by its rank."""
+    u = d.u("concat('b', cast(rep as string), ':', cast(doc_id as string))")
+    chances, below = [], 0.0
+    for k in range(12):
+        below += math.exp(-1) / math.factorial(k)
+        chances.append(f"when u < {below:.15f}e0 then {k}")
+    draws = f"select rep, lang, num, den, case {' '.join(chances)} else 12 end as k from (select rep, lang, num, den, {u} as u from ({PAGES}) p {d.each('1', '100', 'rep')}) x"
+    return f"""with reps as (select rep, lang, sum(k * num) / nullif(sum(k * den), 0.0e0) as v from ({draws}) w group by rep, lang)
         select lang, round({d.percentile('v', '0.025')}, 6) as low, round({d.percentile('v', '0.975')}, 6) as high, round(stddev_pop(v), 6) as sd, round(max(case when k = 3 then v end), 6) as low_order, round(max(case when k = 97 then v end), 6) as high_order
-        from (select *, row_number() over (partition by lang order by v, rep) as k from reps) q group by lang"""
+        from (select *, row_number() over (partition by lang order by v, rep) as k from reps where v is not null) q group by lang"""
 
 
 @plan("tk")
@@ -46,10 +52,12 @@ def welch_t(d: Spark) -> str:
 
 @plan("orders")
 def mann_whitney(d: Spark) -> str:
-    """Mann-Whitney's U of order values of two states, by average ranks, and its normal score."""
-    return """select n1, n0, round(u, 1) as u, round((u - n1 * n0 / 2.0e0) / sqrt(n1 * n0 * (n1 + n0 + 1.0e0) / 12), 6) as z from (select n1, n0, s - n1 * (n1 + 1) / 2.0e0 as u from (
-        select sum(case when o_orderstatus = 'F' then 1 else 0 end) * 1.0e0 as n1, sum(case when o_orderstatus = 'O' then 1 else 0 end) * 1.0e0 as n0, sum(case when o_orderstatus = 'F' then rk end) as s from (
-          select o_orderstatus, rank() over (order by o_totalprice) + (count(*) over (partition by o_totalprice) - 1) / 2.0e0 as rk from {orders} where o_orderstatus in ('F', 'O')) r) q) z"""
+    """Mann-Whitney's U of order values of two states, by average ranks, and its normal score. Ranks are counted inside steps of value and begin behind the steps below."""
+    return """with o as (select o_orderstatus as s, o_totalprice as v, cast(floor(o_totalprice / 500) as bigint) as step from {orders} where o_orderstatus in ('F', 'O') and o_totalprice is not null),
+        b as (select step, sum(n) over (order by step) - n as below from (select step, count(*) as n from o group by step) x),
+        r as (select s, o.step, rank() over (partition by o.step order by v) + (count(*) over (partition by o.step, v) - 1) / 2.0e0 as rk from o),
+        q as (select sum(case when s = 'F' then 1 else 0 end) * 1.0e0 as n1, sum(case when s = 'O' then 1 else 0 end) * 1.0e0 as n0, sum(case when s = 'F' then rk + below end) as s from r join b on r.step = b.step)
+        select n1, n0, round(u, 1) as u, round((u - n1 * n0 / 2.0e0) / sqrt(n1 * n0 * (n1 + n0 + 1.0e0) / 12), 6) as z from (select n1, n0, s - n1 * (n1 + 1) / 2.0e0 as u from q) z"""
 
 
 def _log_factorial(x: str) -> str:
@@ -60,20 +68,34 @@ def _log_factorial(x: str) -> str:
 
 @plan("labels")
 def fisher_exact(d: Spark) -> str:
-    """Fisher's exact test of the two labels' table, two-sided."""
+    """Fisher's exact test of the two labels' table, two-sided. Tables over 12 deviations off add nothing and are passed over."""
     f = _log_factorial
+    reach = "(12 * sqrt(c1 * r1 / n * (r0 / n) * (c0 / greatest(n - 1, 1.0e0))) + 2)"
     prob = f"exp({f('r1')} + {f('r0')} + {f('c1')} + {f('c0')} - {f('n')} - {f('k')} - {f('(r1 - k)')} - {f('(c1 - k)')} - {f('(r0 - c1 + k)')})"
     cells = "select sum(case when quality = 1 and toxic = 1 then 1 else 0 end) * 1.0e0 as a, sum(case when quality = 1 then 1 else 0 end) * 1.0e0 as r1, sum(case when quality = 0 then 1 else 0 end) * 1.0e0 as r0, sum(case when toxic = 1 then 1 else 0 end) * 1.0e0 as c1, sum(case when toxic = 0 then 1 else 0 end) * 1.0e0 as c0, count(*) * 1.0e0 as n from {labels}"
-    return f"select cast(max(a) as bigint) as a, round(sum(case when p <= pa * (1 + 1e-7) then p else 0.0e0 end), 6) as p from (select *, max(case when k = a then p end) over (partition by n) as pa from (select *, {prob} as p from (select c.*, k * 1.0e0 as k from (select *, greatest(0.0e0, c1 - r0) as lo, least(c1, r1) as hi from ({cells}) t) c {d.each('lo', 'hi', 'k')}) x) y) z"
+    return f"select cast(max(a) as bigint) as a, round(sum(case when p <= pa * (1 + 1e-7) then p else 0.0e0 end), 6) as p from (select *, max(case when k = a then p end) over (partition by n) as pa from (select *, {prob} as p from (select c.*, k * 1.0e0 as k from (select *, greatest(0.0e0, c1 - r0, least(a, floor(c1 * r1 / n - {reach}))) as lo, least(c1, r1, greatest(a, ceil(c1 * r1 / n + {reach}))) as hi from ({cells}) t) c {d.each('lo', 'hi', 'k')}) x) y) z"
+
+
+def _binomial(counts: str, by: str, p: str, d: Spark) -> str:
+    """Two-sided binomial tests of k of n, columns of counts: chances no larger than that of k. Numbers over 12 deviations off add nothing and are passed over."""
+    f = _log_factorial
+    reach = f"(12 * sqrt(n * {p} * (1 - {p})) + 2)"
+    prob = f"exp({f('n')} - {f('j')} - {f('(n - j)')} + j * ln({p}) + (n - j) * ln(1 - {p}))"
+    numbers = f"select {by}, k, n, j * 1.0e0 as j from (select *, greatest(0.0e0, least(k, floor(n * {p} - {reach}))) as lo, least(n, greatest(k, ceil(n * {p} + {reach}))) as hi from ({counts}) c) b {d.each('lo', 'hi', 'j')}"
+    return f"select {by}, cast(max(k) as bigint) as k, cast(max(n) as bigint) as n, round(sum(case when p <= pk * (1 + 1e-7) then p else 0.0e0 end), 6) as p from (select *, max(case when j = k then p end) over (partition by {by}) as pk from (select *, {prob} as p from ({numbers}) x) y) z group by {by}"
 
 
 @plan("conversations")
 def binomial_test(d: Spark) -> str:
-    """Two-sided binomial test that a role has a third of the turns, and the sign test of longer answers."""
-    f = _log_factorial
-    counts = "select role, count(*) * 1.0e0 as k, sum(count(*)) over (partition by 1) * 1.0e0 as n from {conversations} group by role"
-    prob = f"exp({f('n')} - {f('j')} - {f('(n - j)')} + j * ln(1 / 3.0e0) + (n - j) * ln(2 / 3.0e0))"
-    return f"select role, cast(max(k) as bigint) as k, round(sum(case when p <= pk * (1 + 1e-7) then p else 0.0e0 end), 6) as p from (select *, max(case when j = k then p end) over (partition by role) as pk from (select *, {prob} as p from (select role, k, n, j * 1.0e0 as j from ({counts}) c {d.each('0', 'n', 'j')}) x) y) z group by role"
+    """Two-sided binomial test that a role has a third of the turns."""
+    return _binomial("select role, count(*) * 1.0e0 as k, sum(count(*)) over (partition by 1) * 1.0e0 as n from {conversations} group by role", "role", "(1 / 3.0e0)", d)
+
+
+@plan("conversations")
+def sign_test(d: Spark) -> str:
+    """Whether a role's turns are longer than the turn before them as often as shorter: ties left out, two-sided against a half."""
+    steps = "select role, length(text) - lag(length(text)) over (partition by conv_id order by turn) as more from {conversations}"
+    return _binomial(f"select role, sum(case when more > 0 then 1 else 0 end) * 1.0e0 as k, count(*) * 1.0e0 as n from ({steps}) s where more <> 0 group by role", "role", "0.5e0", d)
 
 
 @plan("documents")

@@ -10,27 +10,58 @@ def _tidy(text: str, alias: str, *columns: str, where: str = "true", prefix: str
     return " union all ".join(f"select lang, '{prefix}{c}' as stat, cast({c} as double) as value from ({text}) {alias} where {where}" for c in columns)
 
 
+def _line_entropy(d: Spark) -> str:
+    """Bits of a character of a line given the 2, 3 and 4 before it; lines are words joined by blanks, with marked ends."""
+    lines = f"select lang, concat('^^^^', {d.text_of('words')}, '$') as t from b"
+    grams = " union all ".join(f"select lang, {k} as k, substr(t, cast(i as int) + {4 - k}, {k + 1}) as g, substr(t, cast(i as int) + {4 - k}, {k}) as ctx from c" for k in (2, 3, 4))
+    return f"""with s as (select lang, t, cast(length(t) as bigint) - 4 as m from ({lines}) l), c as (select lang, t, i from s {d.each('1', 'm', 'i')}), j as (select lang, k, g, ctx, count(*) * 1.0e0 as n from ({grams}) g group by lang, k, g, ctx)
+        select lang, concat('h', cast(k as string)) as stat, sum(h) / sum(n) as value from (select lang, k, sum(n) as n, -sum(n * log2(n)) as h from j group by lang, k union all select lang, k, 0.0e0, sum(n * log2(n)) from (select lang, k, ctx, sum(n) as n from j group by lang, k, ctx) x group by lang, k) y group by lang, k"""
+
+
+def _lexicon(d: Spark) -> str:
+    """Share of one half's words that the other half knows, and the share of words drawn from its letters' model of order 2 that it knows: the sum of the chances of all its words, up to 15 letters long."""
+    half = d.hash32("concat('lx', cast(doc_id as string), ':', cast(line_no as string), ':', cast(pos as string))")
+    grams = f"select lang, tok, n, len, substr(t, cast(i as int), 2) as ctx, substr(t, cast(i as int) + 2, 1) as sym from (select lang, tok, n, length(tok) as len, concat('^^', tok, '$') as t, cast(length(tok) as bigint) + 1 as m from k where h = 0) q {d.each('1', 'm', 'i')}"
+    return f"""with k as (select lang, h, tok, count(*) as n from (select lang, tok, {half} % 2 as h from w) z group by lang, h, tok), g as ({grams}),
+        p as (select lang, ctx, sym, sum(n) * 1.0e0 / sum(sum(n)) over (partition by lang, ctx) as p from g group by lang, ctx, sym),
+        s as (select g.lang, g.tok, exp(sum(case when g.len = 15 and g.sym = '$' then 0.0e0 else ln(p) end)) as p from g join p on p.lang = g.lang and p.ctx = g.ctx and p.sym = g.sym where g.len <= 15 group by g.lang, g.tok)
+        select x.lang, 'lex_real' as stat, sum(case when y.tok is null then 0 else x.n end) * 1.0e0 / sum(x.n) as value from (select * from k where h = 1) x left join (select * from k where h = 0) y on x.lang = y.lang and x.tok = y.tok group by x.lang
+        union all select lang, 'lex_synth', sum(p) from s group by lang"""
+
+
 def battery_text(d: Spark) -> str:
-    return " union all ".join([
-        _tidy(words.token_stats(d), "a", "tokens", "types", "hapax", "ttr", "word_length"),
-        _tidy(words.zipf_slope(d), "b", "slope", prefix="zipf_"),
-        _tidy(information.excess_mi_line(d), "c", "excess", prefix="edge_mi_"),
-        _tidy(information.word_mi(d), "e", "mi", prefix="token_"),
-        _tidy(words.conditional_entropy(d), "f", "h", where="k = 2", prefix="order2_"),
-        _tidy(words.conditional_entropy(d), "g", "h", where="k = 3", prefix="order3_"),
-        _tidy(models.lexicon_known(d), "h", "tokens", prefix="known_"),
-        _tidy(information.space_gain(d), "i", "gain", prefix="space_"),
-        _tidy(information.page_mi(d), "j", "excess", prefix="page_mi_"),
-    ])
+    """Rows (lang, stat, value) of the battery over lines of two words and more, from {ln} and {tk}: each corpus relation is read for one kind of statistic, and its columns become rows by a join with their names."""
+    inner = f"select doc_id, lang, line_no, {d.slice('words', '2', d.size('words') + ' - 2')} as words from b where {d.size('words')} >= 5"
+    shuffled = information.line_pairs(inner, information.SHUFFLES, d)
+    sides = f"select lang, rep, 'edge_mi' as stat, right(a, 1) as a, left(b, 1) as b from ({shuffled}) x union all select lang, rep, 'token_mi', a, b from ({shuffled}) y"
+    key = "concat(cast(doc_id as string), ':', cast(line_no as string), ':', cast(at_ as string))"
+    near = f"select * from (select doc_id, lang, line_no, at_, a, {d.item('words', 'at_ + 2')} as b, {d.item('words', 'at_ + 3')} as b2 from ({inner}) i {d.numbered('words', 'at_', 'a')}) n where b is not null"
+    breaks = f"select lang, doc_id, line_no as at_, line_no, a, b from (select lang, doc_id, line_no, {d.item('words', '-1')} as a, lead({d.item('words', '1')}) over (partition by doc_id order by line_no) as b from b) z where b is not null"
+    # as many inner pairs as breaks, or the other way round, by hashes of their places
+    share = "select x.lang, least(x.n, y.n) * 1.0e0 / x.n as of_breaks, least(x.n, y.n) * 1.0e0 / y.n as of_near from (select lang, count(*) as n from breaks group by lang) x join (select lang, count(*) as n from near group by lang) y on x.lang = y.lang"
+    taken = lambda name, salt: f"(select t.lang, a, b from {name} t join share s on s.lang = t.lang where {d.u(f'concat({chr(39)}{salt}{chr(39)}, {key})')} < of_{name}) {salt}"
+    pairs = f"""select lang, 'd2_mi' as stat, a, b2 as b from near where b2 is not null union all select lang, 'break_mi', a, b from {taken('breaks', 's0')} union all select lang, 'break_edge', right(a, 1), left(b, 1) from {taken('breaks', 's0')}
+        union all {' union all '.join(f"select lang, 'adj_mi_same_n{k}', a, b from {taken('near', f's{k}')}" for k in (1, 2, 3))} union all select lang, 'adj_edge_same_n', right(a, 1), left(b, 1) from {taken('near', 's4')}
+        union all select lang, 'page_mi', cast(doc_id as string), tok from w"""
+    counts = "select lang, tok, count(*) as n from w group by lang, tok"
+    basic = "select lang, sum(n) * 1.0e0 as tokens, count(*) * 1.0e0 as types, avg(case when n = 1 then 1.0e0 else 0.0e0 end) as hapax, count(*) * 1.0e0 / sum(n) as ttr, sum(n * length(tok)) * 1.0e0 / sum(n) as wlen, max(slope) as zipf from (select c.*, z.slope from c join z on z.lang = c.lang) x group by lang"
+    names = ("tokens", "types", "hapax", "ttr", "wlen", "zipf")
+    return f"""select lang, stat, value from (with b as (select doc_id, lang, line_no, words from {{ln}} where {d.size('words')} >= 2), w as (select doc_id, lang, line_no, pos, tok from {{tk}} where n_line >= 2),
+          near as ({near}), breaks as ({breaks}), share as ({share}), c as ({counts}), z as (select lang, regr_slope(ln(n * 1.0e0), ln(r * 1.0e0)) as slope from (select lang, n, row_number() over (partition by lang order by n desc, tok) as r from c) q where r <= 200 group by lang)
+        select lang, name as stat, {d.item(f"array_of({', '.join(names)})", "k").replace("array_of", d.array_name)} as value from ({basic}) t join ({' union all '.join(f"select '{n}' as name, {k} as k" for k, n in enumerate(names, 1))}) names on k > 0
+        union all select lang, stat, max(case when rep = 0 then mi end) - avg(case when rep > 0 then mi end) from ({information.mi(sides, 'lang, stat, rep')}) m group by lang, stat
+        union all select lang, stat, avg(value) from (select o.lang, {d.replace_all('o.stat', '[0-9]$', '')} as stat, o.mi - e.mi as value from ({information.mi(pairs, 'lang, stat')}) o join ({information.dealt(pairs, 'lang, stat', d)}) e on o.lang = e.lang and o.stat = e.stat) p group by lang, stat
+        union all select * from ({_line_entropy(d)}) h union all select * from ({_lexicon(d)}) x
+        union all select lang, 'space_gain', gain from ({information.space_gain(d)}) s) battery_"""
 
 
-@plan("tk", "ty", "pr")
+@plan("ln", "tk", "ty")
 def battery(d: Spark) -> str:
-    """The profile battery."""
+    """The profile battery: 20 statistics of each language. Compressed size, the one SQL can't give, is the query compressed_size."""
     return f"select lang, stat, round(value, 6) as value from ({battery_text(d)}) q"
 
 
-@plan("tk", "ty", "pr", "tp", "ed1")
+@plan("ln", "tk", "ty", "pr", "tp", "ed1")
 def phenotype(d: Spark) -> str:
     """The battery with the tests: closed-form statistics of rhythm, recency, form and drift."""
     tests = " union all ".join([
@@ -40,8 +71,9 @@ def phenotype(d: Spark) -> str:
         f"select lang, 't4a_top' as stat, max(ratio) as value from ({drift.t4a_lag_profile(d)}) n group by lang",
         _tidy(drift.t6a_decay(d), "o", "decay", prefix="t6a_"),
         _tidy(drift.t6a_near(d), "p", "decay", prefix="t6a_near_"),
-        _tidy(drift.t2a_final_form(d), "r", "excess", prefix="t2a_"),
-        _tidy(drift.t2c_dittography(d), "s", "rate", prefix="t2c_"),
+        _tidy(drift.t2a_final_form(d), "r", "jsd", prefix="t2a_"),
+        _tidy(drift.t2c_dittography(d), "s", "ratio", prefix="t2c_"),
+        _tidy(drift.t1_line_break(d), "t1", "break_", "inner_", prefix="t1_"),
         _tidy(drift.t5_step_and_slope(d), "t", "slope", "step", prefix="t5_"),
         _tidy(drift.e4_line_drift(d), "u", "slope", prefix="e4_"),
         _tidy(models.heldout_bits(d), "v", "bits", prefix="heldout_"),
@@ -50,8 +82,8 @@ def phenotype(d: Spark) -> str:
     return f"select lang, stat, round(value, 6) as value from ({battery_text(d)} union all {tests}) q"
 
 
-@plan("tk", "ty", "pr")
+@plan("ln", "tk", "ty")
 def verdicts(d: Spark) -> str:
     """Languages by rules over their battery: word order tells something, spacing is regular, vocabulary is open."""
     return f"""select lang, case when edge > 0.02e0 then '+' when edge > 0.005e0 then '0' else '-' end as order_, case when space_ > 0.5e0 then '+' when space_ > 0.2e0 then '0' else '-' end as spacing, case when known < 0.8e0 then '+' else '-' end as open_ from (
-        select lang, max(case when stat = 'edge_mi_excess' then value end) as edge, max(case when stat = 'space_gain' then value end) as space_, max(case when stat = 'known_tokens' then value end) as known from ({battery_text(d)}) q group by lang) z"""
+        select lang, max(case when stat = 'edge_mi' then value end) as edge, max(case when stat = 'space_gain' then value end) as space_, max(case when stat = 'lex_real' then value end) as known from ({battery_text(d)}) q group by lang) z"""

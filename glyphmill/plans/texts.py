@@ -79,16 +79,15 @@ def tall_letters(d: Spark) -> str:
 def edit_kinds(d: Spark) -> str:
     """Pairs at distance 1 by kind of edit, the letters, and where in the word."""
     return """select kind, x, y, place, count(*) as n from (select case when length(a) = length(b) then 'sub' when length(a) < length(b) then 'ins' else 'del' end as kind,
-          case when length(a) < length(b) then '' else substr(a, k + 1, 1) end as x, case when length(a) > length(b) then '' else substr(b, k + 1, 1) end as y,
-          case when k = 0 then 'start' when k + 1 >= greatest(length(a), length(b)) then 'end' else 'mid' end as place
-        from (select a, b, case """ + " ".join(f"when left(a, {k}) = left(b, {k}) and length(a) >= {k} and length(b) >= {k} then {k}" for k in range(8, 0, -1)) + """ else 0 end as k from {ed1}) q) z group by kind, x, y, place"""
+          case when length(a) < length(b) then '' else substr(a, cast(k as int) + 1, 1) end as x, case when length(a) > length(b) then '' else substr(b, cast(k as int) + 1, 1) end as y,
+          case when k = 0 then 'start' when k + 1 >= greatest(length(a), length(b)) then 'end' else 'mid' end as place from {ed1}) z group by kind, x, y, place"""
 
 
 @plan("ed1")
 def edit_direction(d: Spark) -> str:
-    """Of edits and their inverses, how far frequencies favour one: z of types where the source is the more frequent."""
-    return """select x, y, n, m, round((n - m) / sqrt((n + m) * 1.0e0), 6) as z from (select x, y, count(*) as pairs, sum(case when a < b then 1 else 0 end) * 1.0e0 as n, sum(case when a > b then 1 else 0 end) * 1.0e0 as m from (
-          select a, b, substr(a, k + 1, 1) as x, substr(b, k + 1, 1) as y from (select a, b, case """ + " ".join(f"when left(a, {k}) = left(b, {k}) then {k}" for k in range(7, 0, -1)) + """ else 0 end as k from {ed1} where length(a) = length(b)) q) z group by x, y) w where n + m >= 5"""
+    """Of substitutions and their inverses, met 20 times together, how far the order of the words in the alphabet favours one: z."""
+    return """select x, y, n, m, round((n - m) / sqrt((n + m) * 1.0e0), 6) as z from (select x, y, sum(case when a < b then 1 else 0 end) * 1.0e0 as n, sum(case when a > b then 1 else 0 end) * 1.0e0 as m from (
+          select a, b, substr(a, cast(k as int) + 1, 1) as x, substr(b, cast(k as int) + 1, 1) as y from {ed1} where length(a) = length(b)) z group by x, y) w where n + m >= 20"""
 
 
 @plan("types")
@@ -117,6 +116,43 @@ def line_flags(d: Spark) -> str:
         from (select *, lead(line) over (partition by doc_id order by line_no) as nxt from {{ln}}) q group by lang"""
 
 
+@plan("ln")
+def paragraphs(d: Spark) -> str:
+    """Lines with words by their paragraph's running number in the page, which lines without words begin anew: paragraphs, and their lines."""
+    running = f"select *, sum(case when {d.size('words')} = 0 then 1 else 0 end) over (partition by doc_id order by line_no rows between unbounded preceding and current row) as para from {{ln}}"
+    return f"select lang, count(*) as paragraphs, cast(max(n) as bigint) as most_lines, round(avg(n * 1.0e0), 6) as mean_lines from (select lang, doc_id, para, count(*) as n from ({running}) r where {d.size('words')} > 0 group by lang, doc_id, para) q group by lang"
+
+
+@plan("types")
+def random_chunks(d: Spark) -> str:
+    """Words cut behind each letter with a chance of a third, by a hash of word and place: pieces of random lengths."""
+    letters = f"select tok, n, i, m, substr(tok, cast(i as int), 1) as sym, case when {d.u("concat('rc', tok, ':', cast(i as string))")} < 0.3333e0 then 1 else 0 end as cut from (select tok, n, cast(length(tok) as bigint) as m from {{types}}) q {d.each('1', 'm', 'i')}"
+    numbered = f"select *, sum(cut) over (partition by tok order by i rows between unbounded preceding and current row) - cut as k from ({letters}) l"
+    return f"select length(piece) as len, count(distinct piece) as pieces, cast(sum(n) as bigint) as n from (select {d.joined('sym', 'i', '')} as piece, max(n) as n from ({numbered}) z group by tok, k) y group by length(piece)"
+
+
+@plan("tp")
+def random_lines(d: Spark) -> str:
+    """Pages' words in lines of random lengths: a line ends behind a word with a chance of an eighth, by a hash of its place."""
+    ends = f"select lang, doc_id, idx, case when {d.u("concat('rl', cast(doc_id as string), ':', cast(idx as string))")} < 0.125e0 then 1 else 0 end as cut from {{tp}}"
+    numbered = f"select *, sum(cut) over (partition by doc_id order by idx rows between unbounded preceding and current row) - cut as k from ({ends}) e"
+    return f"select lang, count(*) as lines, cast(max(n) as bigint) as most, round(avg(n * 1.0e0), 6) as mean_words from (select lang, doc_id, k, count(*) as n from ({numbered}) z group by lang, doc_id, k) y group by lang"
+
+
+@plan("documents")
+def sentence_lines(d: Spark) -> str:
+    """Each sentence of a page as a line of its own: lines, and their words."""
+    parts = f"select lang, doc_id, at_, {d.find_all('lower(part)', r'[\p{{L}}\p{{Nl}}\p{{No}}]+')} as words from (select lang, doc_id, {d.split('text', '[.!?]')} as parts from {{documents}}) q {d.numbered('parts', 'at_', 'part')}"
+    return f"select lang, count(*) as lines, cast(sum({d.size('words')}) as bigint) as words, cast(max({d.size('words')}) as bigint) as most from ({parts}) p where {d.size('words')} > 0 group by lang"
+
+
+@plan("embeddings")
+def angles(d: Spark) -> str:
+    """Mean direction of vectors in the plane of their first two components, in degrees, by label."""
+    x, y = (f"cast({d.item('embedding', str(k))} as double)" for k in (1, 2))
+    return f"select label, count(*) as n, round(degrees(atan2(sum(sin(a)), sum(cos(a)))), 6) as direction from (select label, atan2({y}, {x}) as a from {{embeddings}}) q where a is not null group by label"
+
+
 @plan("pages")
 def url_parts(d: Spark) -> str:
     """Pages by scheme and last label of their host."""

@@ -115,10 +115,15 @@ def immediate_repeats(d: Spark) -> str:
 
 @plan("tk")
 def features_by_place(d: Spark) -> str:
-    """Shares of some features of words by where they stand in their line."""
+    """Shares of ten features of words by where they stand in their line."""
     place = "case when n_line = 1 then 'only' when pos = 0 then 'first' when pos = 1 then 'second' when pos = n_line - 1 then 'last' when pos = n_line - 2 then 'penult' else 'middle' end"
-    return f"""select lang, {place} as place, count(*) as n, round(avg(length(tok) * 1.0e0), 6) as len, round(avg(case when left(tok, 1) in ('a','e','i','o','u') then 1.0e0 else 0.0e0 end), 6) as starts_vowel,
-        round(avg(case when right(tok, 1) in ('a','e','i','o','u') then 1.0e0 else 0.0e0 end), 6) as ends_vowel, round(avg(case when length(tok) = 1 then 1.0e0 else 0.0e0 end), 6) as single from {{tk}} group by lang, {place}"""
+    vowels = "length(tok) - length(translate(tok, 'aeiou', ''))"
+    features = {
+        "starts_vowel": "left(tok, 1) in ('a','e','i','o','u')", "ends_vowel": "right(tok, 1) in ('a','e','i','o','u')", "single": "length(tok) = 1", "long": "length(tok) >= 7", "starts_s": "left(tok, 1) = 's'",
+        "ends_s": "right(tok, 1) = 's'", "ends_n": "right(tok, 1) = 'n'", "has_th": "tok like '%th%'", "vowels3": f"{vowels} >= 3", "no_vowel": f"{vowels} = 0",
+    }
+    shares = ", ".join(f"round(avg(case when {test} then 1.0e0 else 0.0e0 end), 6) as {name}" for name, test in features.items())
+    return f"select lang, {place} as place, count(*) as n, round(avg(length(tok) * 1.0e0), 6) as len, {shares} from {{tk}} group by lang, {place}"
 
 
 @plan("ty")

@@ -81,21 +81,15 @@ def types(d: Spark) -> str:
     return "select tok, cast(sum(n) as bigint) as n from {ty} group by tok"
 
 
-@relation("ty")
-def ascii_types(d: Spark) -> str:
-    """Plain a-z types of all languages, met five times or more, of at most 8 letters: for pairs at edit distance 1 alone."""
-    return f"select tok, cast(sum(n) as bigint) as n from {{ty}} where {d.matches('tok', '[a-z]{{1,8}}')} group by tok having sum(n) >= 5"
-
-
-@relation("ascii_types")
+@relation("types")
 def ed1(d: Spark) -> str:
-    """Ordered pairs of plain types at edit distance 1, found through what is left when a letter is deleted."""
-    cut = f"select tok, i, concat(substr(tok, 1, i - 1), substr(tok, i + 1)) as del from (select tok, cast(length(tok) as bigint) as len from {{ascii_types}}) q {d.each('1', 'len', 'i')}"
+    """Ordered pairs of types at edit distance 1, and k, the letters before the edit: found through what is left when a letter is deleted."""
+    cut = f"select tok, i, concat(substr(tok, 1, i - 1), substr(tok, i + 1)) as del from (select tok, cast(length(tok) as bigint) as len from {{types}}) q {d.each('1', 'len', 'i')}"
     cut = cut.replace("i - 1)", "cast(i as int) - 1)").replace("i + 1)", "cast(i as int) + 1)")
-    return f"""select distinct a, b from (
-        select x.tok as a, y.tok as b from ({cut}) x join ({cut}) y on x.i = y.i and x.del = y.del and x.tok <> y.tok
-        union all select x.tok as a, t.tok as b from ({cut}) x join {{ascii_types}} t on x.del = t.tok
-        union all select t.tok as a, x.tok as b from ({cut}) x join {{ascii_types}} t on x.del = t.tok) q"""
+    return f"""select a, b, max(i) - 1 as k from (
+        select x.tok as a, y.tok as b, x.i from ({cut}) x join ({cut}) y on x.i = y.i and x.del = y.del and x.tok <> y.tok
+        union all select x.tok as a, t.tok as b, x.i from ({cut}) x join {{types}} t on x.del = t.tok
+        union all select t.tok as a, x.tok as b, x.i from ({cut}) x join {{types}} t on x.del = t.tok) q group by a, b"""
 
 
 @relation("conversations")
@@ -141,3 +135,10 @@ def frames(spark: SparkSession, sf_dir: str, names: tuple[str, ...], keep: bool
         return found[name]
 
     return {n: get(n) for n in names}
+
+
+def release(spark: SparkSession, sf_dir: str | None = None) -> None:
+    """Give back what frames() keeps of a folder of tables, or of all."""
+    app = spark.sparkContext.applicationId
+    for key in [k for k in _kept if k[0] == app and sf_dir in (None, k[1])]:
+        _kept.pop(key).unpersist()

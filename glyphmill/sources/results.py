@@ -28,6 +28,14 @@ def read_json_results(spark: SparkSession, path: str) -> DataFrame:
     return second.select("corpus", "test", F.explode("stats").alias("stat", "value"))
 
 
+def read_logs(spark: SparkSession, path: str, patterns: dict[str, str]) -> DataFrame:
+    """(file, stat, value) of text logs: each pattern's first group, as a number, wherever it's met in a line."""
+    lines = spark.read.text(path).select(F.regexp_extract(F.input_file_name(), r"[^/]*$", 0).alias("file"), "value")
+    found = F.array(*[F.struct(F.lit(name).alias("stat"), F.regexp_extract_all("value", F.lit(p), F.lit(1)).alias("values")) for name, p in patterns.items()])
+    each = lines.select("file", F.explode(found).alias("f")).select("file", "f.stat", F.explode("f.values").alias("value"))
+    return each.select("file", "stat", F.expr("try_cast(value as double)").alias("value"))
+
+
 def fixed_width(df: DataFrame, widths: dict[str, int], decimals: int = 3) -> DataFrame:
     """One text column of the named columns, each right in its width."""
     kinds = dict(df.dtypes)

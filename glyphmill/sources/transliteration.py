@@ -6,23 +6,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def clean_words(raw: Column) -> Column:
-    """Words of a line of markup: the first of alternatives, * for rare signs, no comments, no tags; gaps part words."""
+def clean_words(raw: Column, commas_part: bool = True) -> Column:
+    """Words of a line of markup: the first of alternatives, * for rare signs, no comments, no tags; gaps part words, and commas unless told otherwise."""
     t = F.regexp_replace(raw, r"\[([^:\]]*):[^\]]*\]", "$1")
     t = F.regexp_replace(t, r"@\d+;", "*")
     t = F.regexp_replace(t, r"<!.*?>", "")
     t = F.regexp_replace(t, r"\{[^}]*\}", "")
     t = F.regexp_replace(t, r"<[-~]>", ".")
     t = F.regexp_replace(t, r"<[^>]*>", "")
-    t = F.translate(F.regexp_replace(t, r"[!\s]", ""), ",", ".")
+    t = F.translate(F.regexp_replace(t, r"[!\s]", ""), ",", "." if commas_part else "")
     return F.filter(F.split(t, r"\."), lambda w: w != "")
 
 
-def read_transliteration(spark: SparkSession, path: str) -> DataFrame:
+def read_transliteration(spark: SparkSession, path: str, gaps: str = "-~", commas_part: bool = True) -> DataFrame:
     """(file, page, num, locus, raw, words, meta, para_final, eligible) of files of page headers and lines.
 
     A page header <page> <! $K=V ...> sets the metadata of the lines after it; lines are <page.num,locus> text. Comments (#) and
-    blanks are passed over. Files are read whole, so that lines keep their order.
+    blanks are passed over. Files are read whole, so that lines keep their order. Lines with an uncertain word or one of
+    the gaps named (<-> and <~>) aren't eligible.
     """
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("at", "line"))
     files = files.where("trim(line) <> '' and not startswith(line, '#')")
@@ -33,9 +34,9 @@ def read_transliteration(spark: SparkSession, path: str) -> DataFrame:
     carried = held.withColumn("meta", F.last("meta", ignorenulls=True).over(Window.partitionBy("file").orderBy("at")))
     part = lambda k: F.regexp_extract("line", r"^<([^.>]+)\.(\d+)[a-z]?,([^>]*)>\s*(.*)$", k)
     lines = carried.where("header = ''").select("file", "at", part(1).alias("page"), part(2).alias("num"), part(3).alias("locus"), part(4).alias("raw"), "meta").where("page <> ''")
-    words = clean_words(F.col("raw"))
+    words = clean_words(F.col("raw"), commas_part)
     certain = F.forall(words, lambda w: ~w.rlike(r"[?*]"))
-    return lines.select("file", "at", "page", F.col("num").cast("int").alias("num"), "locus", "raw", words.alias("words"), "meta", F.col("raw").contains("<$>").alias("para_final"), (certain & ~F.col("raw").rlike("<[-~]>")).alias("eligible"))
+    return lines.select("file", "at", "page", F.col("num").cast("int").alias("num"), "locus", "raw", words.alias("words"), "meta", F.col("raw").contains("<$>").alias("para_final"), (certain & ~F.col("raw").rlike(f"<[{gaps}]>")).alias("eligible"))
 
 
 def align_readings(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -63,6 +64,17 @@ def book_body(text: Column) -> Column:
     return F.when(body == "", text).otherwise(body)
 
 
+def range_words(text: Column, low: str, high: str) -> Column:
+    """Runs of the letters of a range, such as those of one script."""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"[{low}-{high}]+"), F.lit(0))
+
+
+def book_words(books: DataFrame, text: str = "value") -> DataFrame:
+    """books with the words of each book's body, in order: pos and tok."""
+    words = F.regexp_extract_all(F.lower(book_body(F.col(text))), F.lit(r"[\p{L}\p{Nl}\p{No}]+"), F.lit(0))
+    return books.select(*[c for c in books.columns if c != text], F.posexplode(words).alias("pos", "tok"))
+
+
 def verse_pages(lines: DataFrame, order: str, lines_a_page: int = 20) -> DataFrame:
     """Running lines as pages of so many: adds page and line_no from a column of places from 0."""
     return lines.withColumn("page", F.floor(F.col(order) / lines_a_page)).withColumn("line_no", F.col(order) % lines_a_page)

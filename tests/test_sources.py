@@ -27,6 +27,31 @@ def test_transliteration(spark, tmp_path):
     assert [r.eligible for r in got] == [False, True, False]
 
 
+def test_gaps_and_commas(spark, tmp_path):
+    (tmp_path / "b.txt").write_text("<p1> <! $B=1 $Q=C>\n<p1.1,@P0> a,b<~>c\n<p1.2,@P0> a<->b\n")
+    rows = t.read_transliteration(spark, str(tmp_path / "b.txt"), gaps="-", commas_part=False).orderBy("num").collect()
+    assert [(r.words, r.eligible, r.meta["B"]) for r in rows] == [(["ab", "c"], True, "1"), (["a", "b"], False, "1")]
+    assert [r.eligible for r in t.read_transliteration(spark, str(tmp_path / "b.txt")).collect()] == [False, False]
+
+
+def test_pages_of_verse(spark):
+    df = t.verse_pages(spark.range(45).toDF("k"), "k")
+    assert [tuple(r) for r in df.where("k in (0, 19, 20, 44)").orderBy("k").collect()] == [(0, 0, 0), (19, 0, 19), (20, 1, 0), (44, 2, 4)]
+
+
+def test_words_of_books_and_scripts(spark):
+    df = spark.createDataFrame([("b", "x\n*** START OF IT ***\nOne, été 2\n*** END OF IT ***\ny")], "book string, value string")
+    assert [tuple(r) for r in t.book_words(df).orderBy("pos").collect()] == [("b", 0, "one"), ("b", 1, "été")]
+    hebrew = spark.createDataFrame([("abc שלום, עולם",)], "s string")
+    assert hebrew.select(t.range_words(F.col("s"), "א", "ת")).first()[0] == ["שלום", "עולם"]
+
+
+def test_logs_become_rows(spark, tmp_path):
+    (tmp_path / "a.log").write_text("mi = 0.25 bits\nnothing\nmi = 1e-3 bits, se=2\n")
+    got = results.read_logs(spark, str(tmp_path / "a.log"), {"mi": r"mi = (\S+)", "se": r"se=(\d+)"})
+    assert sorted(tuple(r) for r in got.collect()) == [("a.log", "mi", 0.001), ("a.log", "mi", 0.25), ("a.log", "se", 2.0)]
+
+
 def test_aligned_readings(spark):
     lines = lambda rows: spark.createDataFrame(rows, "page string, num int, words array<string>")
     got = t.align_readings(lines([("p", 1, ["a", "b"]), ("p", 2, ["c"]), ("p", 3, ["d?"])]), lines([("p", 1, ["a", "x"]), ("p", 2, ["c", "d"]), ("p", 3, ["d?"])])).orderBy("num").collect()
