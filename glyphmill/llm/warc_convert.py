@@ -2,10 +2,12 @@
 
 ARC files hold records of one header line and as many bytes as that line declares; a file begins with a version block
 that says which fields header lines have (version 1: five fields; version 2: ten). The converter reads files by these
-lengths alone, so payloads may hold anything. Each document becomes a WARC/1.1 record with an identifier made from its
-content and place, the archive date in ISO form, digests of block and payload, and a type: of documents with equal
-payloads one stays a response, the others revisit it. Archives are written by Spark's own text writer, file by file
-under its commit protocol.
+lengths alone, as bytes, so blocks may hold anything. Each document becomes a WARC/1.1 record with an identifier made
+from its content and place, the archive date in ISO form, digests of block and payload, and a type: of HTTP responses
+with equal payloads one stays a response, the others revisit it; blocks that aren't HTTP become resources. Every file
+begins with a warcinfo record, and every record is a gzip member of its own, so readers can seek to it. Archives are
+written by Spark's own text writer, as bytes, file by file under its commit protocol. Reading takes a file as one value
+of Spark's binaryFile source, of at most 2 GB.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm.scratch import cut, drop, new_path, small_batches
 
-#: Records in a WARC file at most. An ARC file holds what a task reads.
+#: Records in a WARC file at most, its warcinfo record among them. An ARC file holds what a task reads.
 FILE_RECORDS = 20_000
 #: Equal payloads of fewer bytes are not made revisits.
 LEAST_BYTES = 0
@@ -47,6 +50,16 @@ def _clean(url: str | None) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else "-"
 
 
+def _member(record: bytes) -> bytes:
+    """The record as a gzip member without its last byte, 0, which the writer puts between values: the highest byte of the length."""
+    gzip = zlib.compressobj(1, zlib.DEFLATED, 31)
+    out = gzip.compress(record) + gzip.flush()
+    return (out if out[-1] == 0 else out + _NOTHING)[:-1]
+
+
+_NOTHING = zlib.compress(b"", 1, 31)
+
+
 # --- writing ARC ---------------------------------------------------------------------------------------------------
 
 
@@ -67,29 +80,30 @@ def _arc_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         if batch.num_rows and not began:
-            out.append(_arc_version(version, name))
-            offset, began = len(out[0]) + 1, True
+            first = f"{_arc_version(version, name)}\n".encode()
+            out.append(_member(first))
+            offset, began = len(first), True
         for page, url, html in zip(batch["id"].to_pylist(), batch["url"].to_pylist(), batch["payload"].to_pylist()):
-            http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n{_ORIGIN}: {page}\r\nContent-Length: {len(html.encode())}\r\n\r\n"
-            block = http + html
-            size = len(block.encode())
+            body = html.encode()
+            block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n{_ORIGIN}: {page}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body
             head = f"{_clean(url)} 0.0.0.0 {_DATE} text/html"
-            head += f" {size}\n" if version == 1 else f" 200 {hashlib.md5(block.encode()).hexdigest()} - {offset} {name} {size}\n"
-            out.append(head + block)
-            offset += len(head.encode()) + size + 1
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+            head += f" {len(block)}\n" if version == 1 else f" 200 {hashlib.md5(block).hexdigest()} - {offset} {name} {len(block)}\n"
+            record = head.encode() + block + b"\n"
+            out.append(_member(record))
+            offset += len(record)
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
 
-def _archive(records: DataFrame, path: str, line_end: str, **options) -> None:
-    """A value per record as it stands, each ended by line_end, gzipped at its fastest."""
-    records.write.options(**{"lineSep": line_end, "compression": "gzip", "zlib.compress.level": "BEST_SPEED"}, **options).text(path)
+def _archive(records: DataFrame, path: str, **options) -> None:
+    """A gzip member per value (binary, as _member() makes it), one after another."""
+    records.select(F.col("value").cast("string")).write.options(**{"lineSep": "\0", "compression": "none"}, **options).text(path)
 
 
 def write_arc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """pages as ARC files of both versions. A null payload is empty, a null url is '-'."""
     small_batches(pages.sparkSession)
     own = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("payload"))
-    _archive(own.mapInArrow(_arc_records, "value string"), path, "\n")
+    _archive(own.mapInArrow(_arc_records, "value binary"), path)
 
 
 # --- reading archives ----------------------------------------------------------------------------------------------
@@ -99,7 +113,7 @@ class _Stream:
     """Bytes of a file, gunzipped as they are asked for."""
 
     def __init__(self, data: bytes):
-        self.data, self.at, self.held = memoryview(data), 0, bytearray()
+        self.data, self.at, self.held, self.passed = memoryview(data), 0, bytearray(), 0
         self.gzip = zlib.decompressobj(31) if data[:2] == b"\x1f\x8b" else None
 
     def _more(self) -> bool:
@@ -127,6 +141,7 @@ class _Stream:
                 return None
         out = bytes(self.held[:k])
         del self.held[: k + len(mark)]
+        self.passed += k + len(mark)
         return out
 
     def take(self, n: int) -> bytes:
@@ -136,36 +151,39 @@ class _Stream:
             raise ValueError(f"the archive ends {n - len(self.held)} bytes early")
         out = bytes(self.held[:n])
         del self.held[:n]
+        self.passed += n
         return out
 
 
 def parse_arc(data: bytes) -> Iterator[dict]:
-    """Documents of an ARC file: the fields its version block declares, by lower-case name, and the block."""
+    """Documents of an ARC file: the fields its version block declares, by lower-case name, the block, and the offset in what the file holds unzipped."""
     stream, fields = _Stream(data), None
-    while (line := stream.upto(b"\n")) is not None:
+    while (at := stream.passed, line := stream.upto(b"\n"))[1] is not None:
         if not line.strip():
             continue
-        values = line.decode().split(" ")
+        line = line.decode("latin-1").rstrip("\r")
+        # white space that a url shouldn't have stays in it
+        values = line.rsplit(" ", len(fields) - 1) if fields else line.split(" ")
         size = int(values[-1])
         block = stream.take(size)
         if fields is None:
-            if not line.startswith(b"filedesc://"):
+            if not line.startswith("filedesc://"):
                 raise ValueError("an ARC file begins with its version block")
             version = int(block.split(b" ", 1)[0])
-            fields = block.split(b"\n")[1].decode().lower().split()
+            fields = block.split(b"\n")[1].decode("latin-1").lower().split()
             if version not in FIELDS or len(fields) != len(values):
                 raise ValueError(f"ARC version {version} with {len(values)} fields is unknown")
             continue
         if len(values) != len(fields):
             raise ValueError(f"a header line has {len(values)} of {len(fields)} fields")
-        yield dict(zip(fields, values)) | {"block": block}
+        yield dict(zip(fields, values)) | {"block": block, "at": at}
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict, bytes]]:
     """Headers, by lower-case name, and block of each record of a WARC file."""
     stream = _Stream(data)
     while (head := stream.upto(b"\r\n\r\n")) is not None:
-        lines = head.decode().lstrip("\r\n").split("\r\n")
+        lines = head.decode("utf-8", "replace").lstrip("\r\n").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError("a record begins with its WARC version")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
@@ -175,22 +193,33 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict, bytes]]:
         yield headers, block
 
 
-def http_parts(block: bytes) -> tuple[dict, bytes]:
-    head, _, body = block.partition(b"\r\n\r\n")
-    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode().split("\r\n")[1:])}, body
+def http_parts(block: bytes) -> tuple[dict, bytes] | None:
+    """Headers, by lower-case name, and body of a block, or None if it isn't HTTP."""
+    if not block.startswith(b"HTTP/"):
+        return None
+    mark = min((m for m in (b"\r\n\r\n", b"\n\n") if m in block), key=block.index, default=None)
+    head, _, body = block.partition(mark) if mark else (block, b"", b"")
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("latin-1").splitlines()[1:])}, body
 
 
 # --- converting ----------------------------------------------------------------------------------------------------
 
 
+def _iso(date: str) -> str:
+    """Archive dates of 8 to 14 digits in ISO form; others are the epoch."""
+    d = date.ljust(14, "0") if re.fullmatch(r"\d{8,14}", date) else "19700101000000"
+    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+
+
 def _read_arcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for data in batch["content"]:
+        for path, data in zip(batch["path"].to_pylist(), batch["content"]):
             rows, size = [], 0
             for doc in parse_arc(data.as_py()):
-                http, body = http_parts(doc["block"])
-                d = doc["archive-date"]
-                rows.append((http.get(_ORIGIN.lower()), doc["url"], f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z", doc["ip-address"], doc["block"].decode(), len(body), sha1_base32(body)))
+                http = http_parts(doc["block"])
+                headers, body = http or ({}, doc["block"])
+                origin = headers.get(_ORIGIN.lower()) or f"{path.rpartition('/')[2]}:{doc['at']}"
+                rows.append((origin, doc["url"], _iso(doc["archive-date"]), doc["ip-address"], doc["content-type"], doc["block"], http is not None, len(body), sha1_base32(body)))
                 size += len(doc["block"])
                 if size > 4 << 20:
                     yield _rows(rows)
@@ -199,77 +228,124 @@ def _read_arcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _rows(rows)
 
 
-_ARC = "origin string, url string, date string, ip string, block string, payload_bytes bigint, payload_digest string"
+_ARC = "origin string, url string, date string, ip string, kind string, block binary, http boolean, payload_bytes bigint, payload_digest string"
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.string()] * 5 + [pa.int64(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["origin", "url", "date", "ip", "block", "payload_bytes", "payload_digest"])
+    types = [pa.string()] * 5 + [pa.binary(), pa.bool_(), pa.int64(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [x.split()[0] for x in _ARC.split(", ")])
 
 
 def record_id(origin: str, url: str, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{origin} {url} {digest}')}>"
 
 
-def _warc_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for r in batch.to_pylist():
-            block = r["block"].encode()
-            revisit = r["first"] is not None
-            if revisit:
-                block = block[: block.index(b"\r\n\r\n") + 4]
-            lines = [
-                "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(r['origin'], r['url'], r['payload_digest'])}",
-                f"WARC-Date: {r['date']}", f"WARC-Target-URI: {r['url']}", f"WARC-IP-Address: {r['ip']}", f"WARC-Payload-Digest: sha1:{r['payload_digest']}",
-                f"WARC-Block-Digest: sha1:{sha1_base32(block)}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}",
-            ]
-            if revisit:
-                lines += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(r['first'], r['first_url'], r['payload_digest'])}", f"WARC-Refers-To-Target-URI: {r['first_url']}", f"WARC-Refers-To-Date: {r['first_date']}", f"{_ORIGIN}-Refers-To: {r['first']}"]
-            out.append("\r\n".join(lines) + "\r\n\r\n" + block.decode() + "\r\n")  # the writer adds the last line end
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
-
-
-def convert_arcs(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int = LEAST_BYTES) -> None:
-    """The ARC files under arc_path as WARC files under warc_path.
-
-    Of documents with equal payloads of least_bytes or more, those with the largest origin number stay responses; the
-    others become revisits of it. Documents that tie for the largest are all responses.
+def _record(headers: list[str], block: bytes) -> bytes:
+    return "\r\n".join(["WARC/1.1", *headers, f"WARC-Block-Digest: sha1:{sha1_base32(block)}", f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def _warc_records(now: str, file_records: int):
+    """now: when the files are made. The writer begins a file after every file_records values, and each begins with a warcinfo record."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, n, info = TaskContext.get().partitionId(), 0, ""
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if n % file_records == 0:
+                    info = f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{now} {part} {n}')}>"
+                    about = b"software: glyphmill\r\nformat: WARC File Format 1.1\r\n"
+                    out.append(_member(_record(["WARC-Type: warcinfo", f"WARC-Record-ID: {info}", f"WARC-Date: {now}", "Content-Type: application/warc-fields"], about)))
+                    n += 1
+                n += 1
+                block, revisit = r["block"], r["first"] is not None
+                if revisit:
+                    block = block[: len(block) - r["payload_bytes"]]
+                kind = "revisit" if revisit else "response" if r["http"] else "resource"
+                headers = [
+                    f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(r['origin'], r['url'], r['payload_digest'])}", f"WARC-Warcinfo-ID: {info}",
+                    f"WARC-Date: {r['date']}", f"WARC-Target-URI: {r['url']}", f"WARC-IP-Address: {r['ip']}", f"WARC-Payload-Digest: sha1:{r['payload_digest']}",
+                    f"Content-Type: {'application/http;msgtype=response' if r['http'] else r['kind']}", f"{_ORIGIN}: {r['origin']}",
+                ]
+                if revisit:
+                    headers += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(r['first'], r['first_url'], r['payload_digest'])}", f"WARC-Refers-To-Target-URI: {r['first_url']}", f"WARC-Refers-To-Date: {r['first_date']}", f"{_ORIGIN}-Refers-To: {r['first']}", f"{_ORIGIN}-Bytes: {r['payload_bytes']}"]
+                out.append(_member(_record(headers, block)))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+
+    return run
+
+
+def convert_arcs(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int = LEAST_BYTES, pattern: str = "*") -> None:
+    """The ARC files under arc_path whose names fit pattern as WARC files under warc_path.
+
+    A document's origin is the number that its HTTP header X-Origin-Record gives, else its file and offset. Of HTTP
+    responses with equal payloads of least_bytes or more, that with the largest origin stays a response, numbers before
+    places; the others become revisits of it. Those that tie for the largest number are all responses.
     """
-    arcs = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(arc_path).select("content")
+    small_batches(spark)
+    arcs = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(arc_path).select("path", "content")
     documents = cut(arcs.mapInArrow(_read_arcs, _ARC), "arc-documents")
     number = F.expr("try_cast(origin as bigint)")
-    firsts = documents.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.max(F.struct(number.alias("n"), "origin", "url", "date")).alias("f"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    firsts = documents.where(F.col("http") & (F.col("payload_bytes") >= least_bytes)).groupBy("payload_digest").agg(F.max(F.struct(number.alias("n"), "origin", "url", "date")).alias("f"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     # written first, so that a join with few of them, by their size, moves no payloads
     firsts = cut(firsts.select(F.col("payload_digest").alias("d"), "f"), "arc-firsts")
-    joined = documents.join(firsts, F.col("payload_digest") == F.col("d"), "left")
-    revisits = F.col("f").isNotNull() & ~number.eqNullSafe(F.col("f.n"))
-    records = joined.select("origin", "url", "date", "ip", "block", "payload_digest", *[F.when(revisits, F.col(f"f.{c}")).alias(a) for c, a in (("origin", "first"), ("url", "first_url"), ("date", "first_date"))])
-    _archive(records.mapInArrow(_warc_records, "value string"), warc_path, "\r\n", maxRecordsPerFile=FILE_RECORDS)
+    joined = documents.join(firsts, F.col("http") & (F.col("payload_digest") == F.col("d")), "left")
+    same = number.eqNullSafe(F.col("f.n")) & (number.isNotNull() | (F.col("origin") == F.col("f.origin")))
+    revisits = F.col("f").isNotNull() & ~same
+    records = joined.select("origin", "url", "date", "ip", "kind", "block", "http", "payload_bytes", "payload_digest", *[F.when(revisits, F.col(f"f.{c}")).alias(a) for c, a in (("origin", "first"), ("url", "first_url"), ("date", "first_date"))])
+    now = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    _archive(records.mapInArrow(_warc_records(now, FILE_RECORDS), "value binary"), warc_path, maxRecordsPerFile=FILE_RECORDS)
     drop(documents, firsts)
 
 
+def _agrees(said: str | None, data: bytes) -> bool:
+    """Whether data has the digest said; other algorithms than SHA-1 aren't checked."""
+    name, _, value = (said or "").partition(":")
+    return name.lower() != "sha1" or value.upper() in (sha1_base32(data), hashlib.sha1(data).hexdigest().upper())
+
+
+def _number(text: str | None) -> int | None:
+    return int(text) if text and text.isdigit() else None
+
+
 def _read_warcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "target_uri", "date"]
+    types = [pa.string(), pa.int64()] + [pa.string()] * 6
     for batch in batches:
         for data in batch["content"]:
             rows = []
             for headers, block in parse_warc(data.as_py()):
-                if headers["warc-block-digest"] != f"sha1:{sha1_base32(block)}":
-                    raise ValueError(f"the block of {headers['warc-record-id']} isn't what its digest says")
-                http, body = http_parts(block)
-                kind, digest = headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha1:")
-                if kind == "response" and digest != sha1_base32(body):
-                    raise ValueError(f"the payload of {headers['warc-record-id']} isn't what its digest says")
-                rows.append((http[_ORIGIN.lower()], int(http["content-length"]), digest, kind, headers.get(f"{_ORIGIN}-refers-to".lower()), headers["warc-record-id"], headers["warc-target-uri"], headers["warc-date"]))
-            types = [pa.string(), pa.int64()] + [pa.string()] * 6
+                kind, name = headers.get("warc-type"), headers.get("warc-record-id")
+                if not _agrees(headers.get("warc-block-digest"), block):
+                    raise ValueError(f"the block of {name} isn't what its digest says")
+                if kind not in ("response", "revisit", "resource"):
+                    continue
+                http, body = (http_parts(block) if kind != "resource" else None) or ({}, block)
+                said = headers.get("warc-payload-digest")
+                size = len(body)
+                if kind == "revisit":
+                    size = _number(headers.get(f"{_ORIGIN}-bytes".lower()) or http.get("content-length"))
+                elif not http.get("transfer-encoding") and not _agrees(said, body):  # encodings count in some archives
+                    raise ValueError(f"the payload of {name} isn't what its digest says")
+                digest = said.partition(":")[2] if said else None if kind == "revisit" else sha1_base32(body)
+                rows.append((headers.get(_ORIGIN.lower()) or http.get(_ORIGIN.lower()), size, digest, kind, headers.get(f"{_ORIGIN}-refers-to".lower()) or headers.get("warc-refers-to"), name, headers.get("warc-target-uri"), headers.get("warc-date")))
+                if len(rows) >= 4096:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                    rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
 
-def read_warcs(spark: SparkSession, path: str) -> DataFrame:
-    """A row per record of the WARC files under path, with digests checked. A revisit's payload_bytes are those its HTTP header declares."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+def read_warcs(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """A row per response, revisit and resource of the WARC files under path whose names fit pattern, with digests checked where records have them.
+
+    id is the origin of records that convert_arcs() made, else null. A revisit has no payload: payload_bytes are those
+    that its headers declare, null if they don't. Other types of records are passed over.
+    """
+    small_batches(spark)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("content")
     return files.mapInArrow(_read_warcs, "id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, record_id string, target_uri string, date string")
 
 
@@ -283,7 +359,7 @@ def archive_pages(pages: DataFrame, warc_path: str, least_bytes: int = LEAST_BYT
     spark = pages.sparkSession
     arc = new_path(spark, "arc")
     write_arc(pages, arc, id_col, url_col, html_col)
-    convert_arcs(spark, arc, warc_path, least_bytes)
+    convert_arcs(spark, arc, warc_path, least_bytes, "part-*")
     p = spark._jvm.org.apache.hadoop.fs.Path(arc)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -291,6 +367,6 @@ def archive_pages(pages: DataFrame, warc_path: str, least_bytes: int = LEAST_BYT
 def op9(spark, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    records = read_warcs(spark, path)
+    records = read_warcs(spark, path, "part-*")
     number = lambda c: F.expr(f"try_cast({c} as bigint)")
     return records.select(number("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"), "record_id")
