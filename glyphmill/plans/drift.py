@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from glyphmill.functions.dialect import Spark
 from glyphmill.plans import plan
 from glyphmill.plans.information import dealt, mi
@@ -22,6 +24,25 @@ def t4a_lag_profile(d: Spark) -> str:
     return _lag_profile("right(tok, 1)", range(2, 9)) + "select lang, k, round(ratio, 6) as ratio, case when lag(ratio) over (partition by lang order by k) < ratio and lead(ratio) over (partition by lang order by k) < ratio then true else false end as peak from prof"
 
 
+@plan("tk")
+def t4a_errors(d: Spark) -> str:
+    """The same ratios with their errors: pages drawn 200 times, as often as a Poisson number of mean 1 from a hash says."""
+    lags = range(2, 9)
+    lines = "select lang, doc_id, n, sum(k * (k - 1.0e0)) / (n * (n - 1.0e0)) as p from (select lang, doc_id, line_no, max(n_line) as n, count(*) as k from {tk} where n_line >= 3 group by lang, doc_id, line_no, right(tok, 1)) q group by lang, doc_id, line_no, n"
+    leads = "select lang, doc_id, right(tok, 1) as x, " + ", ".join(f"lead(right(tok, 1), {k}) over (partition by doc_id, line_no order by pos) as x{k}" for k in lags) + " from {tk} where n_line >= 3"
+    hits = "select lang, doc_id, " + ", ".join(f"sum(case when x = x{k} then 1.0e0 else 0.0e0 end) as h{k}" for k in lags) + f" from ({leads}) l group by lang, doc_id"
+    chance = "select doc_id, " + ", ".join(f"sum(greatest(n - {k}, 0) * p) as e{k}" for k in lags) + f" from ({lines}) c group by doc_id"
+    u, below, cases = d.u("concat('t4', cast(rep as string), ':', cast(doc_id as string))"), 0.0, []
+    for k in range(12):
+        below += math.exp(-1) / math.factorial(k)
+        cases.append(f"when u < {below:.15f}e0 then {k}")
+    drawn = f"select *, case when rep = 0 then 1 {' '.join(cases)} else 12 end as w from (select p.*, rep, {u} as u from p {d.each('0', '200', 'rep')}) x"
+    sums = "select lang, rep, " + ", ".join(f"sum(w * h{k}) / nullif(sum(w * e{k}), 0.0e0) as r{k}" for k in lags) + f" from ({drawn}) y group by lang, rep"
+    rows = " union all ".join(f"select lang, {k} as k, rep, r{k} as r from s" for k in lags)
+    return f"""with p as (select h.*, {", ".join(f"e{k}" for k in lags)} from ({hits}) h join ({chance}) e on e.doc_id = h.doc_id), s as ({sums})
+        select lang, k, round(max(case when rep = 0 then r end), 6) as ratio, round(stddev_samp(case when rep > 0 then r end), 6) as se from ({rows}) z group by lang, k"""
+
+
 @plan("tk")
 def t4a_initial(d: Spark) -> str:
     return _lag_profile("left(tok, 1)", range(2, 9)) + "select lang, k, round(ratio, 6) as ratio from prof"
@@ -169,6 +190,17 @@ def e5_burstiness(d: Spark) -> str:
         select case when n < 2 then 'H' when n < 5 then 'R' when n < 20 then 'M' when n < 100 then 'F' else 'VF' end as band, round(sum(o.o) / nullif(sum(e.e), 0.0e0), 6) as b from total t join o on o.tok = t.tok join e on e.tok = t.tok where t.n >= 2 group by 1"""
 
 
+@plan("tk")
+def e5_gap(d: Spark) -> str:
+    """How much burstier rare words are than frequent ones, ln B of band R less ln B of band F, with the error of leaving out one source after another."""
+    return """with p as (select lang, source, doc_id, tok, count(*) as k from {tk} group by lang, source, doc_id, tok), g as (select lang, source, tok, sum(k) as n, sum(k * (k - 1.0e0)) / 2 as o from p group by lang, source, tok), m as (select lang, source, doc_id, sum(k) as np from p group by lang, source, doc_id),
+        f as (select lang, source, sum(np * (np - 1.0e0)) / nullif(max(t) * (max(t) - 1.0e0), 0.0e0) as f from (select *, sum(np) over (partition by lang, source) as t from m) q group by lang, source), total as (select tok, sum(n) as n from g group by tok having sum(n) >= 2 and sum(n) < 100),
+        b as (select g.source, sum(case when t.n < 5 then g.o end) as orare, sum(case when t.n < 5 then g.n * (g.n - 1.0e0) / 2 * f.f end) as erare, sum(case when t.n >= 20 then g.o end) as ofreq, sum(case when t.n >= 20 then g.n * (g.n - 1.0e0) / 2 * f.f end) as efreq from g join f on g.lang = f.lang and g.source = f.source join total t on t.tok = g.tok group by g.source),
+        s as (select sum(orare) as orare, sum(erare) as erare, sum(ofreq) as ofreq, sum(efreq) as efreq, count(*) as k from b),
+        l as (select ln((s.orare - coalesce(b.orare, 0.0e0)) / (s.erare - coalesce(b.erare, 0.0e0))) - ln((s.ofreq - coalesce(b.ofreq, 0.0e0)) / (s.efreq - coalesce(b.efreq, 0.0e0))) as v, ln(s.orare / s.erare) - ln(s.ofreq / s.efreq) as full_, s.k from b join s on s.k > 1)
+        select count(*) as groups, round(max(full_), 6) as gap, round(sqrt((max(k) - 1.0e0) / max(k) * sum((v - mean_) * (v - mean_))), 6) as se from (select *, avg(v) over (partition by k) as mean_ from l) q"""
+
+
 @plan("tk")
 def e4_line_drift(d: Spark) -> str:
     """Cosine of lines as word counts by their distance, over the page's mean, and its slope over 2 to 8 lines."""

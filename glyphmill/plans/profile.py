@@ -6,8 +6,11 @@ from glyphmill.functions.dialect import Spark
 from glyphmill.plans import drift, inference, information, models, plan, words
 
 
-def _tidy(text: str, alias: str, *columns: str, where: str = "true", prefix: str = "") -> str:
-    return " union all ".join(f"select lang, '{prefix}{c}' as stat, cast({c} as double) as value from ({text}) {alias} where {where}" for c in columns)
+def _tidy(d: Spark, text: str, *columns: str, where: str = "true", prefix: str = "") -> str:
+    """Columns of a plan as rows (lang, stat, value); the plan is computed once."""
+    names = " union all ".join(f"select '{prefix}{c}' as stat, {k} as k_" for k, c in enumerate(columns, 1))
+    array = f"{d.array_name}({', '.join(f'cast({c} as double)' for c in columns)})"
+    return f"select lang, stat, {d.item(array, 'k_')} as value from ({text}) t_ join ({names}) n_ on k_ > 0 where {where}"
 
 
 def _line_entropy(d: Spark) -> str:
@@ -61,25 +64,41 @@ def battery(d: Spark) -> str:
     return f"select lang, stat, round(value, 6) as value from ({battery_text(d)}) q"
 
 
+def tests_text(d: Spark) -> str:
+    """Rows (lang, stat, value) of the tests of rhythm, recency, form and drift."""
+    return " union all ".join([
+        _tidy(d, drift.t1_line_break(d), "break_", "inner_", prefix="t1_"),
+        _tidy(d, drift.t2a_final_form(d), "jsd", "length_final", "length_inner", prefix="t2a_"),
+        _tidy(d, drift.t2c_dittography(d), "rate", "ratio", "rate2", prefix="t2c_"),
+        _tidy(d, drift.t3a_zero_replication(d), "rho", prefix="t3a_"),
+        f"select lang, concat('t3c_', place) as stat, cast(over_all as double) as value from ({words.position_entropy(d)}) l",
+        f"select lang, 't4a_top' as stat, max(ratio) as value from ({drift.t4a_lag_profile(d)}) n group by lang",
+        f"select lang, concat('t4b_', cast(k as string)) as stat, ratio as value from ({drift.t4b_columns(d)}) o",
+        f"select lang, 't4c_top' as stat, max(ratio) as value from ({drift.t4c_line_cycle(d)}) o group by lang",
+        _tidy(d, drift.t5_step_and_slope(d), "slope", "step", "line_error", "step_error", prefix="t5_"),
+        _tidy(d, drift.t6a_decay(d), "decay", prefix="t6a_"),
+        _tidy(d, drift.t6a_near(d), "decay", "mean_ratio", prefix="t6a_near_"),
+    ])
+
+
+@plan("tk", "ty", "pr", "tp", "ed1", "ln")
+def test_profile(d: Spark) -> str:
+    """The tests T1 to T6 that SQL can give, of each language in one table."""
+    return f"select lang, stat, round(value, 6) as value from ({tests_text(d)}) q"
+
+
 @plan("ln", "tk", "ty", "pr", "tp", "ed1")
 def phenotype(d: Spark) -> str:
-    """The battery with the tests: closed-form statistics of rhythm, recency, form and drift."""
-    tests = " union all ".join([
-        _tidy(drift.t3a_zero_replication(d), "k", "rho", prefix="t3a_"),
-        _tidy(words.position_entropy(d), "l", "over_all", where="place = 'e1'", prefix="t3c_e1_"),
-        _tidy(words.position_entropy(d), "m", "over_all", where="place = 's1'", prefix="t3c_s1_"),
-        f"select lang, 't4a_top' as stat, max(ratio) as value from ({drift.t4a_lag_profile(d)}) n group by lang",
-        _tidy(drift.t6a_decay(d), "o", "decay", prefix="t6a_"),
-        _tidy(drift.t6a_near(d), "p", "decay", prefix="t6a_near_"),
-        _tidy(drift.t2a_final_form(d), "r", "jsd", prefix="t2a_"),
-        _tidy(drift.t2c_dittography(d), "s", "ratio", prefix="t2c_"),
-        _tidy(drift.t1_line_break(d), "t1", "break_", "inner_", prefix="t1_"),
-        _tidy(drift.t5_step_and_slope(d), "t", "slope", "step", prefix="t5_"),
-        _tidy(drift.e4_line_drift(d), "u", "slope", prefix="e4_"),
-        _tidy(models.heldout_bits(d), "v", "bits", prefix="heldout_"),
-        _tidy(inference.jackknife(d), "w", "estimate", "se", prefix="vowel_"),
+    """The battery with the tests, recency by line, drift, predictability and an interval: each statistic once."""
+    more = " union all ".join([
+        f"select lang, concat('e1_', kind) as stat, ratio as value from ({drift.e1_boundary_recency(d)}) e",
+        _tidy(d, drift.e4_line_drift(d), "slope", prefix="e4_"),
+        _tidy(d, models.heldout_bits(d), "bits", prefix="heldout_"),
+        _tidy(d, inference.jackknife(d), "estimate", "se", prefix="vowel_"),
+        f"select lang, concat('gap_', cast(gap as string)) as stat, mean_ed as value from ({information.adjacency_distance(d)}) g",
+        _tidy(d, words.immediate_repeats(d), "pairs", "triples", prefix="repeat_"),
     ])
-    return f"select lang, stat, round(value, 6) as value from ({battery_text(d)} union all {tests}) q"
+    return f"select lang, stat, round(value, 6) as value from ({battery_text(d)} union all {tests_text(d)} union all {more}) q"
 
 
 @plan("ln", "tk", "ty")

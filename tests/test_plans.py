@@ -10,7 +10,7 @@ from tests.compare import rows
 
 plans.load()
 #: Composites of plans that are tested by themselves.
-SLOW = {"phenotype", "verdicts", "battery"}
+SLOW = {"phenotype", "verdicts", "test_profile"}
 
 
 @pytest.mark.parametrize("name", sorted(set(plans.PLANS) - SLOW))
