@@ -2,7 +2,11 @@
 
 Rules name a host, whose subdomains they cover, and a path prefix; the longest that fits decides. Pages without a rule
 follow their host: trust flows from pages that rules allow along links (personalised PageRank), distrust from pages
-that they block against the links, to hosts that link there. A host with more distrust than trust is blocked.
+that they block against the links, to hosts that link there. A host with more distrust than trust is blocked. Hosts
+are tied by the links of their pages (absolute ones and those with a host alone; a <base> of another host counts as a
+link there, other links stay on their host), and by their names: a host and the domain above it, down to two labels,
+link to each other, as those who run a domain answer for its hosts. Domains under which anyone can have a host tie
+strangers; for such corpora turn that off.
 
 Amounts are doubles in millionths of a page, as a share of a share may be of any size and none may be cut. Only what
 comes out is rounded, to DIGITS significant digits: sums in another order differ far behind these, so reruns agree.
@@ -59,6 +63,15 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.where("dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
 
 
+def domain_links(hosts: DataFrame) -> DataFrame:
+    """(src, dst, weight): a host and the domain above it, both ways, up to domains of two labels; none for numeric addresses. hosts: (host)."""
+    labels = F.split("host", r"\.")
+    names = hosts.where(~F.col("host").rlike(r"^[\d.:]*$|\[")).select(F.expr("transform(sequence(1, greatest(size(split(host, '[.]')) - 1, 1)), k -> array_join(slice(split(host, '[.]'), k, 1000), '.'))").alias("names"), F.size(labels).alias("n")).where("n > 2")
+    pairs = names.select(F.explode(F.expr("transform(sequence(1, size(names) - 1), k -> struct(names[k - 1] as a, names[k] as b))")).alias("p")).select("p.a", "p.b").distinct()
+    weight = F.lit(1).cast("bigint").alias("weight")
+    return pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), weight).union(pairs.select("b", "a", weight))
+
+
 def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """(host, amount): seeds (host, amount) after personalised PageRank along links (src, dst, weight).
 
@@ -83,10 +96,13 @@ def _rounded(amount: Column) -> Column:
     return F.format_string(f"%.{DIGITS - 1}e", amount).cast("double")
 
 
-def judge_hosts(parsed: DataFrame, rules=RULES, distrust_share: float = DISTRUST) -> DataFrame:
+def judge_hosts(parsed: DataFrame, distrust_share: float = DISTRUST, domains: bool = True) -> DataFrame:
     """(host, trust, distrust, verdict) of every host of parsed pages (host, path, html, r)."""
     counted = cut(parsed.groupBy("host").agg(F.count_if(F.col("r.verdict") == "allow").alias("allowed"), F.count_if(F.col("r.verdict") == "block").alias("blocked")), "hosts")
-    links = cut(host_links(parsed), "links")
+    links = host_links(parsed)
+    if domains:
+        links = links.union(domain_links(counted)).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    links = cut(links, "links")
     trust = propagate(links, counted.select("host", (F.col("allowed") * UNIT).alias("amount")))
     distrust = propagate(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), counted.select("host", (F.col("blocked") * UNIT).alias("amount")))
     trust = trust.select(F.col("host").alias("th"), _rounded(F.col("amount")).alias("trust"))
@@ -98,7 +114,7 @@ def judge_hosts(parsed: DataFrame, rules=RULES, distrust_share: float = DISTRUST
     return both.withColumn("verdict", F.when(bad, "block").otherwise("allow"))
 
 
-def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES) -> DataFrame:
+def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, domains: bool = True) -> DataFrame:
     """(id, host, path, rule, verdict, trust, distrust) for every row of pages.
 
     A null url, or one without ://, has an empty host and path, fits no rule and, as a host without evidence, is
@@ -106,7 +122,7 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """
     own = pages.select(F.col(id_col).alias("id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"), F.col(html_col).cast("string").alias("html"))
     parsed = own.withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
-    hosts = cut(judge_hosts(parsed, rules), "judged").select(F.col("host").alias("h"), F.col("verdict").alias("method"), "trust", "distrust")
+    hosts = cut(judge_hosts(parsed, domains=domains), "judged").select(F.col("host").alias("h"), F.col("verdict").alias("method"), "trust", "distrust")
     judged = parsed.drop("html").join(hosts, F.col("host") == F.col("h"))
     return judged.select(F.col("id").alias(id_col), "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", "method").alias("verdict"), "trust", "distrust")
 
