@@ -24,7 +24,7 @@ from glyphmill.llm.scratch import cut
 RUN_WORDS = 20
 #: Words of a repeated line or paragraph from which on it goes by itself. With 1 all do: then half of all documents lose a
 #: short line that many share by chance.
-WHOLE_WORDS = 15
+WHOLE_WORDS = 20
 _BREAKS = np.zeros(256, bool)
 _BREAKS[[ord(c) for c in "\n.!?"]] = True
 
