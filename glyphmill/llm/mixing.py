@@ -5,8 +5,9 @@ reached by whole passes over its blocks, then blocks in order, then documents of
 that still fits; the smallest left over joins them if that comes nearer. The block units of all sources form an urn. A
 binary tree over the output shards draws, at every node, how many units of each source go left, so that every shard has
 its share of the whole, every source spends exactly its quota, and the mix inside shards varies as under a random
-shuffle. Units are dealt in order to the leaves: disjoint runs of permuted blocks. All that rows need to know is one
-small record per source, so documents are joined with nothing else.
+shuffle. Units are dealt in order to the leaves: disjoint runs of permuted blocks. A document finds its copies' shards
+by two joins: with one record of its source, and with the few leaves that share its run of RUN blocks. Both are tables;
+Spark broadcasts them while they are small.
 """
 
 from __future__ import annotations
@@ -20,10 +21,14 @@ from glyphmill.llm.scratch import cut
 
 #: Documents in a block on average; a parameter of plan_sources().
 BLOCK_DOCS = 256
+#: Blocks of a source whose leaves are looked up together, and blocks whose words are summed together.
+RUN, SUPER = 64, 4096
 #: No document is taken more often.
 MAX_COPIES = 3
 #: Words in a shard on average, from which the number of shards follows.
 SHARD_WORDS = 16 << 20
+#: Partitions that the mix is dealt to, for each core at least: shards are cut into pieces of their order.
+PIECES_A_CORE = 4
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -72,8 +77,9 @@ def _key(id_col: str, seed: int) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(seed), text), F.xxhash64(text, F.lit(seed + 1))
 
 
-def plan_sources(sizes: DataFrame, seed: int = 7, block_docs: int = BLOCK_DOCS, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, int]:
-    """From rows (id, source, size): one row per source with all that decides on its documents, and the number of shards.
+def plan_sources(sizes: DataFrame, seed: int = 7, block_docs: int = BLOCK_DOCS, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame, int]:
+    """From rows (id, source, size): one row per source with all that decides on its documents; the leaves (rank, run,
+    places) that each run of blocks meets; and the number of shards.
 
     Sources by code point, null last, weigh 1, 2, 3, repeating. Their targets share the sum of all sizes by weight; none
     exceeds MAX_COPIES times its source's size, and what that leaves is shared again by weight: water filling, solved
@@ -100,9 +106,14 @@ def plan_sources(sizes: DataFrame, seed: int = 7, block_docs: int = BLOCK_DOCS,
     per_source = sources.select(F.col("source").alias("s"), "n_blocks", "rest")
     rows = sizes.join(per_source, F.col("source").eqNullSafe(F.col("s"))).select("source", "size", "rest", F.pmod(block, "n_blocks").alias("block"), place.alias("place"))
     blocks = rows.groupBy("source", "block", "rest").agg(F.sum("size").alias("words"))
-    ordered = Window.partitionBy("source").orderBy("block")
-    blocks = blocks.withColumn("upto", F.sum("words").over(ordered))
-    last = blocks.where("rest > 0 and upto > rest").groupBy("source").agg(F.min("block").alias("cut_block"), F.min_by(F.col("upto") - F.col("words"), "block").alias("base"))
+    blocks = cut(blocks, "mix-blocks")
+    # the run of blocks in which a source's words pass its rest, then the block
+    ordered = Window.partitionBy("source").orderBy("super")
+    supers = blocks.groupBy("source", "rest", F.floor(F.col("block") / SUPER).alias("super")).agg(F.sum("words").alias("words")).withColumn("upto", F.sum("words").over(ordered))
+    passing = supers.where("rest > 0 and upto > rest").groupBy("source").agg(F.min("super").alias("super"), F.min_by(F.col("upto") - F.col("words"), "super").alias("before"))
+    within = blocks.join(passing.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")) & (F.floor(F.col("block") / SUPER) == F.col("super")))
+    within = within.withColumn("upto", F.col("before") + F.sum("words").over(Window.partitionBy("source").orderBy("block")))
+    last = within.where("upto > rest").groupBy("source").agg(F.min("block").alias("cut_block"), F.min_by(F.col("upto") - F.col("words"), "block").alias("base"))
     last = last.select(F.col("source").alias("s"), "cut_block", "base")
     inside = rows.join(last, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("cut_block")))
     # rows of one id are decided together; so a block's list is bounded by its ids
@@ -127,21 +138,28 @@ def plan_sources(sizes: DataFrame, seed: int = 7, block_docs: int = BLOCK_DOCS,
     nodes = sources.agg(F.array_sort(F.collect_list(F.struct(F.col("rank").alias("r"), F.col("units").alias("n")))).alias("urn")).select(F.lit(0).cast("bigint").alias("node"), "urn")
     for level in range(depth):
         nodes = cut(_split(nodes, level, seed), "mix-tree")
-    leaves = nodes.select("node", F.explode("urn").alias("x")).groupBy(F.col("x.r").alias("rank")).agg(F.array_sort(F.collect_list(F.struct("node", "x.n"))).alias("leaves"))
-    ends = F.expr("transform(sequence(1,size(leaves)), i -> aggregate(slice(leaves,1,i),0L,(a,x)->a+x.n))")
-    return cut(sources.join(leaves, "rank").withColumn("leaf_ends", ends).drop("leaves", "level", "total", "weight", "turn"), "mix-plan"), 1 << depth
-
-
-def assign(rows: DataFrame, plan: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = 7) -> DataFrame:
-    """rows with copies (how often each is taken) and shards (the output shard of each copy), from the plan of plan_sources()."""
-    names = ["n_blocks", "passes", "cut_block", "picks", "leaf_ends"]
+    leaves = nodes.select("node", F.explode("urn").alias("x")).select("node", F.col("x.r").alias("rank"), F.col("x.n").alias("n")).where("n > 0")
+    leaves = leaves.withColumn("high", F.sum("n").over(Window.partitionBy("rank").orderBy("node"))).withColumn("low", F.expr("high - n"))
+    # a leaf's units by the copy and the run of blocks that they are of
+    leaves = leaves.join(sources.select(F.col("rank").alias("k"), "n_blocks"), F.col("rank") == F.col("k")).select("*", F.explode(F.expr("sequence(low div n_blocks, (high - 1) div n_blocks)")).alias("copy"))
+    leaves = leaves.withColumn("first", F.expr("greatest(low - copy * n_blocks, 0)")).withColumn("end", F.expr("least(high - copy * n_blocks, n_blocks)"))
+    leaves = leaves.select("rank", "copy", "end", "node", F.explode(F.expr(f"sequence(first div {RUN}, (end - 1) div {RUN})")).alias("run"))
+    leaves = cut(leaves.groupBy("rank", "run").agg(F.array_sort(F.collect_list(F.struct("copy", "end", "node"))).alias("places")), "mix-leaves")
+    return sources.drop("level", "total", "weight", "turn"), leaves, 1 << depth
+
+
+def assign(rows: DataFrame, plan: DataFrame, leaves: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = 7) -> DataFrame:
+    """rows with copies (how often each is taken) and shards (the output shard of each copy), from what plan_sources() gives."""
+    names = ["rank", "n_blocks", "passes", "cut_block", "picks"]
     small = plan.select(F.col("source").alias("_s"), F.struct(*names).alias("_p"), F.struct("source_size", "target").alias("mix"))
     block, place = _key(id_col, seed)
     joined = rows.join(small, F.col(source_col).eqNullSafe(F.col("_s"))).withColumn("_b", F.pmod(block, F.col("_p.n_blocks"))).withColumn("_at", place)
     once_more = (F.col("_b") < F.col("_p.cut_block")) | ((F.col("_b") == F.col("_p.cut_block")) & F.array_contains("_p.picks", F.col("_at")))
     joined = joined.withColumn("copies", F.col("_p.passes") + once_more.cast("bigint"))
-    shards = F.expr("if(copies = 0, cast(array() as array<int>), transform(sequence(0L,copies-1), c -> size(filter(_p.leaf_ends, e -> e <= c*_p.n_blocks+_b))))")
-    return joined.withColumn("shards", shards).drop("_s", "_p", "_b", "_at")
+    near = leaves.select(F.col("rank").alias("_r"), F.col("run").alias("_run"), "places")
+    joined = joined.join(near, (F.col("_p.rank") == F.col("_r")) & (F.expr(f"_b div {RUN}") == F.col("_run")), "left")
+    shards = F.expr("if(copies = 0, cast(array() as array<int>), transform(sequence(0L, copies - 1), c -> cast(filter(places, p -> p.copy = c and p.end > _b)[0].node as int)))")
+    return joined.withColumn("shards", shards).drop("_s", "_p", "_b", "_at", "_r", "_run", "places")
 
 
 def mixing_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 7) -> DataFrame:
@@ -154,19 +172,26 @@ def mixing_plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
     sizes = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")), "mix-sizes")
-    plan, _ = plan_sources(sizes, seed)
-    return assign(sizes, plan, "id", "source", seed).withColumnRenamed("id", id_col)
+    plan, leaves, _ = plan_sources(sizes, seed)
+    return assign(sizes, plan, leaves, "id", "source", seed).withColumnRenamed("id", id_col)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 7) -> DataFrame:
-    """The mix itself: rows of docs, with their columns, as often as they are taken, shard by shard in shuffled order."""
+    """The mix itself: rows of docs, with their columns, as often as they are taken, shard by shard in shuffled order.
+
+    A shard's order is cut into pieces, each a partition of its own, so that there is work for every core; read in
+    order of partitions the rows are the same whatever the number of pieces.
+    """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
     sizes = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")), "mix-sizes")
-    plan, n_shards = plan_sources(sizes, seed)
+    plan, leaves, n_shards = plan_sources(sizes, seed)
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"))
-    taken = assign(held, plan, "id", "source", seed).select("row", "id", F.posexplode("shards").alias("copy", "shard"))
+    taken = assign(held, plan, leaves, "id", "source", seed).select("row", "id", F.posexplode("shards").alias("copy", "shard"))
+    pieces = -(-PIECES_A_CORE * docs.sparkSession.sparkContext.defaultParallelism // n_shards)
     order = F.xxhash64(F.lit(seed + 2), F.col("id").cast("string"), F.col("copy"))
-    return taken.withColumn("order", order).repartition(n_shards, "shard").sortWithinPartitions("shard", "order").select("row.*")
+    # the order's highest 20 bits, from the lowest value on
+    part = F.expr(f"cast(shard * {pieces} + ((shiftright(`order`, 44) + 524288) * {pieces} div 1048576) as int)")
+    return taken.withColumn("order", order).repartitionById(n_shards * pieces, part).sortWithinPartitions("shard", "order").select("row.*")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
