@@ -29,6 +29,14 @@ class Spark:
         """Items with their places from 0."""
         return f"lateral view posexplode({array}) t_{name} as {at}, {name}"
 
+    def runs(self, array: str, at: str, name: str) -> str:
+        """Items with the two after them, as a struct of a, b and c, and their places from 0. Rows carry these alone, not the array."""
+        two = f"zip_with({array}, slice({array}, 2, greatest(size({array}), 1)), (x_, y_) -> struct(x_ as a, y_ as b))"
+        return f"lateral view posexplode(zip_with({two}, slice({array}, 3, greatest(size({array}), 1)), (p_, z_) -> struct(p_.a as a, p_.b as b, z_ as c))) t_{name} as {at}, {name}"
+
+    def joined_arrays(self, first: str, second: str) -> str:
+        return f"concat({first}, {second})"
+
     def percentile(self, x: str, p: str) -> str:
         return f"percentile({x}, {p})"
 
@@ -89,7 +97,7 @@ class Spark:
 
     def shuffled(self, array: str, key: str) -> str:
         """Items in the order of md5s of key and place."""
-        return f"transform(array_sort(transform({array}, (w, i) -> struct(md5(concat({key}, ':', cast(i as string))) as h, w as w))), s -> s.w)"
+        return f"transform(sort_array(transform({array}, (w, i) -> struct(md5(concat({key}, ':', cast(i as string))) as h, w as w))), s -> s.w)"
 
     def ln_factorial(self, n: str) -> str:
         """ln n! from Stirling's series, exact for small n."""
@@ -124,6 +132,13 @@ class Duck(Spark):
     def numbered(self, array: str, at: str, name: str) -> str:
         return f", unnest(list_zip(range(0, len({array})), {array})) as z_{name}(p_{name}), (select p_{name}[1]::int as {at}, p_{name}[2] as {name})"
 
+    def runs(self, array: str, at: str, name: str) -> str:
+        zipped = f"list_zip(range(0, len({array})), {array}, {array}[2:], {array}[3:])"
+        return f", unnest({zipped}) as z_{name}(q_{name}), (select q_{name}[1]::int as {at}, {{{{'a': q_{name}[2], 'b': q_{name}[3], 'c': q_{name}[4]}}}} as {name})"
+
+    def joined_arrays(self, first: str, second: str) -> str:
+        return f"list_concat({first}, {second})"
+
     def percentile(self, x: str, p: str) -> str:
         return f"quantile_cont({x}, {p})"
 

@@ -132,12 +132,12 @@ def t2a_final_form(d: Spark) -> str:
         select j.lang, n_final, round(jsd, 6) as jsd, round(lf, 6) as length_final, round(li, 6) as length_inner from j join z on j.lang = z.lang"""
 
 
-@plan("ln")
+@plan("lw")
 def t2c_dittography(d: Spark) -> str:
     """Last words of lines that come again as the next line's first, one word and two, and what lines in any order of their page give, exactly."""
     w = lambda k: d.item("words", k)
     two = lambda a, b: f"case when {d.size('words')} >= 2 then concat({w(a)}, ' ', {w(b)}) end"
-    lines = f"select lang, doc_id, line_no, {w('-1')} as l, {w('1')} as f, {two('-2', '-1')} as l2, {two('1', '2')} as f2 from {{ln}} where {d.size('words')} >= 1"
+    lines = f"select lang, doc_id, line_no, {w('-1')} as l, {w('1')} as f, {two('-2', '-1')} as l2, {two('1', '2')} as f2 from {{lw}} where {d.size('words')} >= 1"
 
     def same(last: str, first: str) -> str:
         """Per page: of all ordered pairs of different lines, those that fit."""

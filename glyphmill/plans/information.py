@@ -6,13 +6,18 @@ from glyphmill.functions.dialect import Spark
 from glyphmill.plans import plan
 
 
+def cells(pairs: str, by: str) -> str:
+    """Counts c of pairs (a, b) by group. All that follows is made of these, so that pairs are counted once."""
+    return f"select {by}, a, b, count(*) * 1.0e0 as c from ({pairs}) p_ group by {by}, a, b"
+
+
 def mi(pairs: str, by: str) -> str:
     """Bits that b tells of a, by group: pairs is SQL with columns a, b and those of by. From sums of c log c over cells and both margins."""
-    cells = f"select {by}, a, b, count(*) * 1.0e0 as c from ({pairs}) p_ group by {by}, a, b"
+    counted = cells(pairs, by)
     return f"""select {by}, cast(sum(n) as bigint) as n, greatest(log2(sum(n)) + sum(h) / sum(n), 0.0e0) as mi from (
-        select {by}, sum(c) as n, sum(c * log2(c)) as h from ({cells}) c_ group by {by}
-        union all select {by}, 0.0e0, -sum(c * log2(c)) from (select {by}, sum(c) as c from ({cells}) c_ group by {by}, a) a_ group by {by}
-        union all select {by}, 0.0e0, -sum(c * log2(c)) from (select {by}, sum(c) as c from ({cells}) c_ group by {by}, b) b_ group by {by}) m_ group by {by}"""
+        select {by}, sum(c) as n, sum(c * log2(c)) as h from ({counted}) c_ group by {by}
+        union all select {by}, 0.0e0, -sum(c * log2(c)) from (select {by}, sum(c) as c from ({counted}) c_ group by {by}, a) a_ group by {by}
+        union all select {by}, 0.0e0, -sum(c * log2(c)) from (select {by}, sum(c) as c from ({counted}) c_ group by {by}, b) b_ group by {by}) m_ group by {by}"""
 
 
 def dealt(pairs: str, by: str, d: Spark) -> str:
@@ -24,11 +29,12 @@ def dealt(pairs: str, by: str, d: Spark) -> str:
     keys = by.split(", ")
     same = " and ".join(f"x.{k} = y.{k}" for k in keys)
     with_n = " and ".join(f"x.{k} = t.{k}" for k in keys)
-    sizes = lambda side: f"select {by}, f, count(*) * 1.0e0 as m from (select {by}, count(*) as f from ({pairs}) p_ group by {by}, {side}) f_ group by {by}, f"
+    counted = cells(pairs, by)
+    sizes = lambda side: f"select {by}, f, count(*) * 1.0e0 as m from (select {by}, cast(sum(c) as bigint) as f from ({counted}) c_ group by {by}, {side}) f_ group by {by}, f"
     lf = d.ln_factorial
-    cells = f"select {', '.join(f'x.{k}' for k in keys)}, x.f as fa, y.f as fb, x.m * y.m as m, n, x.f * 1.0e0 * y.f / n as mean_ from ({sizes('a')}) x join ({sizes('b')}) y on {same} join (select {by}, count(*) as n from ({pairs}) p_ group by {by}) t on {with_n}"
+    margins = f"select {', '.join(f'x.{k}' for k in keys)}, x.f as fa, y.f as fb, x.m * y.m as m, n, x.f * 1.0e0 * y.f / n as mean_ from ({sizes('a')}) x join ({sizes('b')}) y on {same} join (select {by}, cast(sum(c) as bigint) as n from ({counted}) c_ group by {by}) t on {with_n}"
     spread = "10 * sqrt(mean_) + 10"
-    counts = f"select {by}, fa, fb, m, n, met_, {lf('fa')} + {lf('fb')} + {lf('(n - fa)')} + {lf('(n - fb)')} - {lf('n')} as top from (select *, greatest(1, fa + fb - n, cast(floor(mean_ - ({spread})) as bigint)) as low, least(fa, fb, cast(ceil(mean_ + {spread}) as bigint)) as high from ({cells}) c_) l_ {d.each('low', 'high', 'met_')}"
+    counts = f"select {by}, fa, fb, m, n, met_, {lf('fa')} + {lf('fb')} + {lf('(n - fa)')} + {lf('(n - fb)')} - {lf('n')} as top from (select *, greatest(1, fa + fb - n, cast(floor(mean_ - ({spread})) as bigint)) as low, least(fa, fb, cast(ceil(mean_ + {spread}) as bigint)) as high from ({margins}) c_) l_ {d.each('low', 'high', 'met_')}"
     return f"select {by}, sum(m * met_ / n * log2(met_ * 1.0e0 * n / (fa * 1.0e0 * fb)) * exp(top - {lf('met_')} - {lf('(fa - met_)')} - {lf('(fb - met_)')} - {lf('(n - fa - fb + met_)')})) as mi from ({counts}) k_ group by {by}"
 
 
@@ -46,7 +52,7 @@ def line_pairs(words: str, reps: int, d: Spark, keep: str = "lang") -> str:
     """Neighbours a, b of lines as they stand (rep 0) and shuffled reps times: words is SQL with doc_id, line_no, words and keep. A line stays one row until it is cut in pairs, so nothing is shuffled or joined."""
     key = "concat('ls', cast(rep as string), ':', cast(doc_id as string), ':', cast(line_no as string))"
     lines = f"select {keep}, rep, case when rep = 0 then words else {d.shuffled('words', key)} end as words from ({words}) w_ {d.each('0', str(reps), 'rep')}"
-    return f"select * from (select {keep}, rep, a, {d.item('words', 'at_ + 2')} as b from ({lines}) l_ {d.numbered('words', 'at_', 'a')}) p_ where b is not null"
+    return f"select {keep}, rep, p_.a as a, p_.b as b from ({lines}) l_ {d.runs('words', 'at_', 'p_')} where p_.b is not null"
 
 
 def over_shuffled(words: str, a: str, b: str, d: Spark, reps: int = SHUFFLES) -> str:
@@ -96,10 +102,10 @@ def excess_mi_page(d: Spark) -> str:
     return excess(EDGE, "lang, doc_id", KEY, d)
 
 
-@plan("ln")
+@plan("lw")
 def excess_mi_line(d: Spark) -> str:
     """The same beyond lines whose words are shuffled."""
-    return over_shuffled(f"select doc_id, lang, line_no, words from {{ln}} where {d.size('words')} >= 2", "right(a, 1)", "left(b, 1)", d)
+    return over_shuffled(f"select doc_id, lang, line_no, words from {{lw}} where {d.size('words')} >= 2", "right(a, 1)", "left(b, 1)", d)
 
 
 @plan("pr")
@@ -193,12 +199,12 @@ def space_gain(d: Spark) -> str:
         from (select t.lang, y, p0, (coalesce(k, 0.0e0) + p0) / (coalesce(n, 0) + 1) as p from slots t join base b on t.lang = b.lang left join model m on t.lang = m.lang and t.l = m.l and t.r = m.r where half = 1) s group by s.lang"""
 
 
-@plan("ln")
+@plan("lw")
 def agreement(d: Spark) -> str:
     """How often neighbours agree in a feature, over what chance gives in their line: sum k (k - 1) / (n (n - 1)) for each of its n - 1 pairs."""
     parts = {"first1": "left({t}, 1)", "first2": "left({t}, 2)", "last1": "right({t}, 1)", "last2": "right({t}, 2)", "whole": "{t}", "length": "cast(length({t}) as string)", "ends": "concat(left({t}, 1), right({t}, 1))"}
     # a line is one row until its words are cut in features: no window, no join
-    words = f"select lang, doc_id, line_no, {d.size('words')} as n_line, tok, {d.item('words', 'pos + 2')} as nxt from {{ln}} {d.numbered('words', 'pos', 'tok')}"
+    words = f"select lang, doc_id, line_no, n_line, p_.a as tok, p_.b as nxt from (select lang, doc_id, line_no, {d.size('words')} as n_line, words from {{lw}}) l {d.runs('words', 'pos', 'p_')}"
     features = " union all ".join(f"select lang, '{k}' as feature, doc_id, line_no, n_line, {v.format(t='tok')} as x, case when nxt is not null then {v.format(t='nxt')} end as y from w where n_line >= 2" for k, v in parts.items())
     return f"""with w as ({words}), f as ({features}), c as (select lang, feature, doc_id, line_no, n_line, x, count(*) as k, sum(case when x = y then 1 else 0 end) as hits, count(y) as pairs from f group by lang, feature, doc_id, line_no, n_line, x)
         select lang, feature, cast(sum(pairs) as bigint) as n, round(sum(hits) / nullif(sum(k * (k - 1.0e0) / n_line), 0.0e0), 6) as ratio from c group by lang, feature"""

@@ -45,10 +45,10 @@ def unseen_elsewhere(d: Spark) -> str:
     return "select source, count(*) as types from (select lang, tok, min(source) as source, count(distinct source) as k from {tk} group by lang, tok) q where k = 1 group by source"
 
 
-@plan("ln")
+@plan("lw")
 def aligned_readings(d: Spark) -> str:
     """Two readings of a line, here those of a page and the one 100 ids further: lines with as many words are compared word by word."""
-    pairs = f"select a.lang, a.words as x, b.words as y from {{ln}} a join {{ln}} b on b.doc_id = a.doc_id + 100 and b.line_no = a.line_no and b.lang = a.lang where {d.size('a.words')} > 0"
+    pairs = f"select a.lang, a.words as x, b.words as y from {{lw}} a join {{lw}} b on b.doc_id = a.doc_id + 100 and b.line_no = a.line_no and b.lang = a.lang where {d.size('a.words')} > 0"
     words = f"select lang, w, {d.item('y', 'at_ + 1')} as v from (select * from p where {d.size('x')} = {d.size('y')}) l {d.numbered('x', 'at_', 'w')}"
     return f"""with p as ({pairs}), w as ({words}), l as (select lang, count(*) as lines, sum(case when {d.size('x')} = {d.size('y')} then 1 else 0 end) * 1.0e0 as aligned from p group by lang)
         select l.lang, lines, aligned, coalesce(words, 0) as words, round(same, 6) as same, round(mean_ed, 6) as mean_ed from l left join (select lang, count(*) as words, avg(case when w = v then 1.0e0 else 0.0e0 end) as same, avg({d.edits('w', 'v')} * 1.0e0) as mean_ed from w group by lang) c on c.lang = l.lang"""

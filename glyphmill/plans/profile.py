@@ -15,9 +15,12 @@ def _tidy(d: Spark, text: str, *columns: str, where: str = "true", prefix: str =
 
 def _line_entropy(d: Spark) -> str:
     """Bits of a character of a line given the 2, 3 and 4 before it; lines are words joined by blanks, with marked ends."""
-    lines = f"select lang, concat('^^^^', {d.text_of('words')}, '$') as t from b"
-    grams = " union all ".join(f"select lang, {k} as k, substr(t, cast(i as int) + {4 - k}, {k + 1}) as g, substr(t, cast(i as int) + {4 - k}, {k}) as ctx from c" for k in (2, 3, 4))
-    return f"""with s as (select lang, t, cast(length(t) as bigint) - 4 as m from ({lines}) l), c as (select lang, t, i from s {d.each('1', 'm', 'i')}), j as (select lang, k, g, ctx, count(*) * 1.0e0 as n from ({grams}) g group by lang, k, g, ctx)
+    # a word with the four characters before it, which two words and their blanks hold, and the character behind it
+    before = "right(concat('^^^^', case when p_.a = '' then '' else concat(p_.a, ' ') end, case when p_.b = '' then '' else concat(p_.b, ' ') end), 4)"
+    padded = f"select lang, {d.size('words')} as n, {d.joined_arrays(d.array_name + '(' + repr('') + ', ' + repr('') + ')', 'words')} as words from b"
+    pieces = f"select lang, t, count(*) as n from (select lang, concat({before}, p_.c, case when at_ = n - 1 then '$' else ' ' end) as t from ({padded}) w {d.runs('words', 'at_', 'p_')} where p_.c is not null) x group by lang, t"
+    grams = " union all ".join(f"select lang, n, {k} as k, substr(t, cast(i as int) + {4 - k}, {k + 1}) as g, substr(t, cast(i as int) + {4 - k}, {k}) as ctx from c" for k in (2, 3, 4))
+    return f"""with s as (select lang, t, n, cast(length(t) as bigint) - 4 as m from ({pieces}) l), c as (select lang, t, n, i from s {d.each('1', 'm', 'i')}), j as (select lang, k, g, ctx, sum(n) * 1.0e0 as n from ({grams}) g group by lang, k, g, ctx)
         select lang, concat('h', cast(k as string)) as stat, sum(h) / sum(n) as value from (select lang, k, sum(n) as n, -sum(n * log2(n)) as h from j group by lang, k union all select lang, k, 0.0e0, sum(n * log2(n)) from (select lang, k, ctx, sum(n) as n from j group by lang, k, ctx) x group by lang, k) y group by lang, k"""
 
 
@@ -33,23 +36,23 @@ def _lexicon(d: Spark) -> str:
 
 
 def battery_text(d: Spark) -> str:
-    """Rows (lang, stat, value) of the battery over lines of two words and more, from {ln} and {tk}: each corpus relation is read for one kind of statistic, and its columns become rows by a join with their names."""
+    """Rows (lang, stat, value) of the battery over lines of two words and more, from {lw} and {tk}: each corpus relation is read for one kind of statistic, and its columns become rows by a join with their names."""
     inner = f"select doc_id, lang, line_no, {d.slice('words', '2', d.size('words') + ' - 2')} as words from b where {d.size('words')} >= 5"
-    shuffled = information.line_pairs(inner, information.SHUFFLES, d)
-    sides = f"select lang, rep, 'edge_mi' as stat, right(a, 1) as a, left(b, 1) as b from ({shuffled}) x union all select lang, rep, 'token_mi', a, b from ({shuffled}) y"
+    sides = f"select lang, rep, stat, case when stat = 'edge_mi' then right(a, 1) else a end as a, case when stat = 'edge_mi' then left(b, 1) else b end as b from ({information.line_pairs(inner, information.SHUFFLES, d)}) x join (select 'edge_mi' as stat union all select 'token_mi') n on stat <> ''"
     key = "concat(cast(doc_id as string), ':', cast(line_no as string), ':', cast(at_ as string))"
-    near = f"select * from (select doc_id, lang, line_no, at_, a, {d.item('words', 'at_ + 2')} as b, {d.item('words', 'at_ + 3')} as b2 from ({inner}) i {d.numbered('words', 'at_', 'a')}) n where b is not null"
+    near = f"select doc_id, lang, line_no, at_, p_.a as a, p_.b as b, p_.c as b2 from ({inner}) i {d.runs('words', 'at_', 'p_')} where p_.b is not null"
     breaks = f"select lang, doc_id, line_no as at_, line_no, a, b from (select lang, doc_id, line_no, {d.item('words', '-1')} as a, lead({d.item('words', '1')}) over (partition by doc_id order by line_no) as b from b) z where b is not null"
     # as many inner pairs as breaks, or the other way round, by hashes of their places
     share = "select x.lang, least(x.n, y.n) * 1.0e0 / x.n as of_breaks, least(x.n, y.n) * 1.0e0 / y.n as of_near from (select lang, count(*) as n from breaks group by lang) x join (select lang, count(*) as n from near group by lang) y on x.lang = y.lang"
-    taken = lambda name, salt: f"(select t.lang, a, b from {name} t join share s on s.lang = t.lang where {d.u(f'concat({chr(39)}{salt}{chr(39)}, {key})')} < of_{name}) {salt}"
-    pairs = f"""select lang, 'd2_mi' as stat, a, b2 as b from near where b2 is not null union all select lang, 'break_mi', a, b from {taken('breaks', 's0')} union all select lang, 'break_edge', right(a, 1), left(b, 1) from {taken('breaks', 's0')}
-        union all {' union all '.join(f"select lang, 'adj_mi_same_n{k}', a, b from {taken('near', f's{k}')}" for k in (1, 2, 3))} union all select lang, 'adj_edge_same_n', right(a, 1), left(b, 1) from {taken('near', 's4')}
-        union all select lang, 'page_mi', cast(doc_id as string), tok from w"""
+    # each pair is met once and stands for all statistics that a hash, or none, lets it count in
+    kinds = "select 'd2_mi' as stat, '' as salt union all " + " union all ".join(f"select '{name}', 's{k}'" for k, name in enumerate(("adj_mi_same_n1", "adj_mi_same_n2", "adj_mi_same_n3", "adj_edge_same_n"), 1))
+    inside = f"select t.lang, stat, case when stat = 'adj_edge_same_n' then right(a, 1) else a end as a, case when stat = 'd2_mi' then b2 when stat = 'adj_edge_same_n' then left(b, 1) else b end as b from near t join share s on s.lang = t.lang join ({kinds}) k on salt is not null where case when stat = 'd2_mi' then b2 is not null else {d.u(f'concat(salt, {key})')} < of_near end"
+    across = f"select t.lang, stat, case when stat = 'break_edge' then right(a, 1) else a end as a, case when stat = 'break_edge' then left(b, 1) else b end as b from breaks t join share s on s.lang = t.lang join (select 'break_mi' as stat union all select 'break_edge') k on stat <> '' where {d.u(f'concat({chr(39)}s0{chr(39)}, {key})')} < of_breaks"
+    pairs = f"{inside} union all {across} union all select lang, 'page_mi', cast(doc_id as string), tok from w"
     counts = "select lang, tok, count(*) as n from w group by lang, tok"
     basic = "select lang, sum(n) * 1.0e0 as tokens, count(*) * 1.0e0 as types, avg(case when n = 1 then 1.0e0 else 0.0e0 end) as hapax, count(*) * 1.0e0 / sum(n) as ttr, sum(n * length(tok)) * 1.0e0 / sum(n) as wlen, max(slope) as zipf from (select c.*, z.slope from c join z on z.lang = c.lang) x group by lang"
     names = ("tokens", "types", "hapax", "ttr", "wlen", "zipf")
-    return f"""select lang, stat, value from (with b as (select doc_id, lang, line_no, words from {{ln}} where {d.size('words')} >= 2), w as (select doc_id, lang, line_no, pos, tok from {{tk}} where n_line >= 2),
+    return f"""select lang, stat, value from (with b as (select doc_id, lang, line_no, words from {{lw}} where {d.size('words')} >= 2), w as (select doc_id, lang, line_no, pos, tok from {{tk}} where n_line >= 2),
           near as ({near}), breaks as ({breaks}), share as ({share}), c as ({counts}), z as (select lang, regr_slope(ln(n * 1.0e0), ln(r * 1.0e0)) as slope from (select lang, n, row_number() over (partition by lang order by n desc, tok) as r from c) q where r <= 200 group by lang)
         select lang, name as stat, {d.item(f"array_of({', '.join(names)})", "k").replace("array_of", d.array_name)} as value from ({basic}) t join ({' union all '.join(f"select '{n}' as name, {k} as k" for k, n in enumerate(names, 1))}) names on k > 0
         union all select lang, stat, max(case when rep = 0 then mi end) - avg(case when rep > 0 then mi end) from ({information.mi(sides, 'lang, stat, rep')}) m group by lang, stat
@@ -58,7 +61,7 @@ def battery_text(d: Spark) -> str:
         union all select lang, 'space_gain', gain from ({information.space_gain(d)}) s) battery_"""
 
 
-@plan("ln", "tk", "ty")
+@plan("lw", "tk", "ty")
 def battery(d: Spark) -> str:
     """The profile battery: 20 statistics of each language. Compressed size, the one SQL can't give, is the query compressed_size."""
     return f"select lang, stat, round(value, 6) as value from ({battery_text(d)}) q"
@@ -81,13 +84,13 @@ def tests_text(d: Spark) -> str:
     ])
 
 
-@plan("tk", "ty", "pr", "tp", "ed1", "ln")
+@plan("tk", "ty", "pr", "tp", "ed1", "lw")
 def test_profile(d: Spark) -> str:
     """The tests T1 to T6 that SQL can give, of each language in one table."""
     return f"select lang, stat, round(value, 6) as value from ({tests_text(d)}) q"
 
 
-@plan("ln", "tk", "ty", "pr", "tp", "ed1")
+@plan("lw", "tk", "ty", "pr", "tp", "ed1")
 def phenotype(d: Spark) -> str:
     """The battery with the tests, recency by line, drift, predictability and an interval: each statistic once."""
     more = " union all ".join([
@@ -101,7 +104,7 @@ def phenotype(d: Spark) -> str:
     return f"select lang, stat, round(value, 6) as value from ({battery_text(d)} union all {tests_text(d)} union all {more}) q"
 
 
-@plan("ln", "tk", "ty")
+@plan("lw", "tk", "ty")
 def verdicts(d: Spark) -> str:
     """Languages by rules over their battery: word order tells something, spacing is regular, vocabulary is open."""
     return f"""select lang, case when edge > 0.02e0 then '+' when edge > 0.005e0 then '0' else '-' end as order_, case when space_ > 0.5e0 then '+' when space_ > 0.2e0 then '0' else '-' end as spacing, case when known < 0.8e0 then '+' else '-' end as open_ from (

@@ -52,9 +52,15 @@ def ln(d: Spark) -> str:
 
 
 @relation("ln")
+def lw(d: Spark) -> str:
+    """Lines as arrays of their words, without the text."""
+    return "select doc_id, lang, source, line_no, words from {ln}"
+
+
+@relation("lw")
 def tk(d: Spark) -> str:
     """Words by page, line and place in the line."""
-    return f"""select doc_id, lang, source, line_no, cast({d.size("words")} as bigint) as n_line, pos, tok from {{ln}} {d.numbered("words", "pos", "tok")}"""
+    return f"""select doc_id, lang, source, line_no, cast({d.size("words")} as bigint) as n_line, pos, tok from {{lw}} {d.numbered("words", "pos", "tok")}"""
 
 
 @relation("tk")
@@ -112,10 +118,20 @@ def markup(d: Spark) -> str:
 
 
 #: Relations that many plans read; a session makes them once for a folder of tables.
-SHARED = ("tk", "ty", "ed1")
+SHARED = ("lw", "tk", "ty", "ed1")
 _kept: dict[tuple[str, str, str], DataFrame] = {}
 
 
+#: Tables whose rows are work to take apart.
+TEXTS = ("documents", "conversations", "pages")
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than there are cores, dealt to all of them; a larger one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def frames(spark: SparkSession, sf_dir: str, names: tuple[str, ...], keep: bool = True) -> dict[str, DataFrame]:
     """Tables and relations as DataFrames, by name. With keep, SHARED ones stay in memory, and on disk beyond it, for later calls."""
     found: dict[str, DataFrame] = {}
@@ -125,7 +141,7 @@ def frames(spark: SparkSession, sf_dir: str, names: tuple[str, ...], keep: bool
             return found[name]
         key = (spark.sparkContext.applicationId, sf_dir, name)
         if name not in DEFINITIONS:
-            found[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+            found[name] = _spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")) if name in TEXTS else spark.read.parquet(f"{sf_dir}/{name}.parquet")
         elif key in _kept:
             found[name] = _kept[key]
         else:
