@@ -204,7 +204,7 @@ class RuleEnsemble:
 
 
 def fit_rules(x: np.ndarray, y: np.ndarray) -> RuleEnsemble:
-    """Without rows the score is 1/2; with rows of one label only it is that label's share, smoothed."""
+    """Without rows the score is 1/2; with rows of one label only it is that label's share, smoothed; with rows that no tree parts, their share."""
     if len(y) == 0 or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1)
         return RuleEnsemble([], [], float(np.log(share / (1 - share))))
@@ -224,6 +224,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray) -> RuleEnsemble:
         if mark not in seen:
             seen.add(mark)
             kept.append(r)
+    if not kept:  # too few rows for a tree
+        return RuleEnsemble([], [], float(np.log(share / (1 - share))))
     a = np.stack([_holds(r, x) for r in kept], 1).astype(np.float32)
     fold = np.arange(len(y)) % 5 == 4
     at, best = (np.zeros(a.shape[1]), float(np.log(share / (1 - share)))), (np.inf, PENALTIES[0])
@@ -237,20 +239,24 @@ def fit_rules(x: np.ndarray, y: np.ndarray) -> RuleEnsemble:
     return RuleEnsemble([kept[i] for i in on], [float(w[i]) for i in on], float(b))
 
 
+def _chosen(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(_id, _y): about SAMPLE labelled rows, chosen by a hash of the id, none held out. Null labels don't count."""
+    own = labels.where(f"{label_col} is not null").select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y"))
+    own = own.where(~held_out("_id"))
+    return own.where(F.pmod(F.xxhash64(F.lit(8), "_id"), F.lit(max(1, own.count() // SAMPLE))) == 0)
+
+
 def fit_quality(statistics: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", name: str = "_statistics") -> RuleEnsemble:
     """A model from the labelled rows of statistics that aren't held out.
 
     Takes about SAMPLE of them, chosen by a hash of the id. Labels that are null or name no row of statistics don't
     count; a row with several labels counts once for each.
     """
-    own = labels.where(f"{label_col} is not null").select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y"))
-    own = own.where(~held_out("_id"))
-    total = own.count()
-    chosen = own.where(F.pmod(F.xxhash64(F.lit(8), "_id"), F.lit(max(1, total // SAMPLE))) == 0)
+    chosen = _chosen(labels, id_col, label_col)
     rows = statistics.select(F.col(id_col).alias("_doc"), name).join(chosen, F.col("_doc") == F.col("_id")).select("_id", "_y", name).toArrow()
-    order = np.lexsort((rows["_y"].to_numpy(), rows["_id"].to_numpy()))
-    x = np.array(rows[name].to_pylist(), float).reshape(-1, len(STATISTICS))[order]
-    return fit_rules(x, rows["_y"].to_numpy()[order])
+    x = np.array(rows[name].to_pylist(), float).reshape(-1, len(STATISTICS))
+    order = np.lexsort((*x.T[::-1], rows["_y"].to_numpy(), rows["_id"].to_numpy()))
+    return fit_rules(x[order], rows["_y"].to_numpy()[order])
 
 
 def held_out(id_col: str) -> Column:
@@ -265,9 +271,14 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with their columns, that score threshold or more."""
-    table = _table(docs, id_col, text_col)
-    model = fit_quality(table, labels, id_col, label_col)
+    """The rows of docs, with their columns, that score threshold or more.
+
+    Statistics are made of the labelled sample first, which is found by its ids (about SAMPLE, so they are sent to all),
+    and then once of all rows, as they are filtered.
+    """
+    ids = F.broadcast(_chosen(labels, id_col, label_col).select("_id").distinct())
+    sample = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).cast("string").alias("_text")).join(ids, F.col("_doc") == F.col("_id"), "left_semi")
+    model = fit_quality(text_statistics(sample, "_text", keep=["_doc"]).withColumnRenamed("_doc", id_col), labels, id_col, label_col)
     name = fresh_name(docs, "_statistics")
     return text_statistics(docs, text_col, name).where(model.column(F.col(name)) >= threshold).drop(name)
 
