@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from glyphmill.llm import decontamination, embedding_dedup, license_scan, mixing, ngram_join, quality, substring_dedup, token_store, url_filter, warc_convert
 from glyphmill.llm.queries import ORACLE_SQL, QUERIES
@@ -161,27 +162,95 @@ def test_token_store(spark, docs, empty):
     chunks = spark.read.parquet(f"{path}/chunks")
     assert chunks.count() == chunks.select("digest").distinct().count()
     manifest = spark.read.parquet(f"{path}/manifest").collect()
-    assert sum(r.n_tokens for r in manifest) == start
+    assert [r.n_tokens for r in manifest if r.shard is None] == [start]
     nothing = new_path(spark, "test")
     token_store.write_store(empty, nothing, token_store.tokenizer_file())
     assert token_store.verify_store(spark, nothing).count() == 0
 
 
-def test_a_broken_store_is_noticed(spark, docs):
+def _rewritten(spark, path: str, part: str, change) -> None:
+    """A part of a store written anew after change, with its partition columns."""
+    import shutil
+
+    local = path.removeprefix("file://")
+    by = ["kind"] if part == "index" else []
+    change(spark.read.parquet(f"{path}/{part}")).write.partitionBy(*by).parquet(f"{path}/other")
+    shutil.rmtree(f"{local}/{part}")
+    shutil.move(f"{local}/other", f"{local}/{part}")
+
+
+DAMAGES = {
+    "a chunk is missing": ("chunks", lambda t: t.where("n < 100")),
+    "a chunk is there twice": ("chunks", lambda t: t.union(t.limit(1))),
+    "a payload is changed": ("chunks", lambda t: t.withColumn("payload", F.expr("overlay(payload placing X'0707' from 1 for 2)"))),
+    "recipes are missing": ("index", lambda t: t.where("kind = 'shard' or local_start % 2 = 0")),
+    "a recipe is there twice": ("index", lambda t: t.union(t.where("kind = 'document'").limit(1))),
+    "a recipe has moved": ("index", lambda t: t.withColumn("local_start", F.expr("if(kind = 'document' and local_start > 0, local_start + 1, local_start)"))),
+    "a recipe has other chunks": ("index", lambda t: t.withColumn("digests", F.reverse("digests"))),
+    "a shard's row is changed": ("index", lambda t: t.withColumn("n_docs", F.expr("if(kind = 'shard', n_docs - 1, n_docs)"))),
+    "a shard's row is missing": ("index", lambda t: t.where("kind = 'document'")),
+    "the shards begin elsewhere": ("manifest", lambda t: t.withColumn("start", F.expr("start + 1000"))),
+    "roots are zeroed": ("manifest", lambda t: t.withColumn("root", F.lit(bytearray(16)))),
+    "the root of all is changed": ("manifest", lambda t: t.withColumn("root", F.when(F.col("shard").isNull(), F.lit(bytearray(16))).otherwise(F.col("root")))),
+    "a shard isn't in the manifest": ("manifest", lambda t: t.where("shard is null or shard > 0")),
+    "the manifest has no end": ("manifest", lambda t: t.where("shard is not null")),
+    "counts are changed": ("manifest", lambda t: t.withColumn("n_tokens", F.expr("n_tokens + 1"))),
+}
+
+
+@pytest.fixture(scope="module")
+def store(spark, docs):
     path = new_path(spark, "test")
     token_store.write_store(docs, path, token_store.tokenizer_file())
-    chunks = spark.read.parquet(f"{path}/chunks")
-    chunks.where("n < 100").write.parquet(f"{path}/other")
+    return path
+
+
+@pytest.mark.parametrize("damage", DAMAGES)
+def test_a_damaged_store_is_noticed(spark, store, damage):
     import shutil
 
-    local = path.removeprefix("file://")
-    shutil.rmtree(f"{local}/chunks")
-    shutil.move(f"{local}/other", f"{local}/chunks")
-    with pytest.raises(Exception, match="isn't in the store"):
-        token_store.verify_store(spark, path).collect()
+    path = new_path(spark, "test")
+    shutil.copytree(store.removeprefix("file://"), path.removeprefix("file://"))
+    _rewritten(spark, path, *DAMAGES[damage])
+    for read in (token_store.verify_store, token_store.read_store):
+        with pytest.raises(Exception, match="ValueError|there twice"):
+            read(spark, path).collect()
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    import json
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
 
+    own = json.loads(open(token_store.tokenizer_file()).read())
+    assert token_store.cuts_like_bytes(Tokenizer.from_file(token_store.tokenizer_file()))
+    for k, change in enumerate([{"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": own["pre_tokenizer"] | {"add_prefix_space": True}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"truncation": {"direction": "Right", "max_length": 3, "strategy": "LongestFirst", "stride": 0}}]):
+        path = tmp_path / f"{k}.json"
+        path.write_text(json.dumps(own | change))
+        e = token_store.Encoder(str(path))
+        assert not e.in_pieces
+        texts = ["Héllo  World, it's.", "", None, "x y z w v"]
+        ids, bounds = e.encode(pa.array(texts), 2)
+        for i, text in enumerate(texts):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == [*e.tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
 
-@pytest.mark.parametrize("text", ["", "a  b", "  x", "x \n\n y", "l'eau, it's 'quoted' don't", "“q” — z", "a\u00a0 b\u3000c", "tab\t\tend ", "<|endoftext|>a<|endoftext|> b", "é😀 😀", "a\x1cb", "x.y,z!? 12a b3", "word" * 999])
+
+def test_op2_query(spark, docs):
+    from tokenizers import Tokenizer
+
+    path = new_path(spark, "test")
+    docs.where("doc_id is not null").distinct().write.parquet(f"{path}/documents.parquet")
+    t = Tokenizer.from_file(token_store.tokenizer_file())
+    want, start = [], 0
+    for i, text in sorted({i: text for i, text, _ in corpus() if i is not None}.items()):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        want.append((i, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
+        start += len(ids)
+    assert sorted(map(tuple, QUERIES["op2_token_store"](spark, path).select("doc_id", "start", "n_tokens", "ids_crc32").collect())) == want
+
+
+@pytest.mark.parametrize("text", ["", "a  b", "  x", "x \n\n y", "l'eau, it's 'quoted' don't", "“q” — z", "a\u00a0 b\u3000c", "tab\t\tend ", "<|endoftext|>a<|endoftext|> b", "é😀 😀", "a\x1cb", "x.y,z!? 12a b3", "word" * 999, "Été à ×÷ a×b ÿ Øre\nÉtat ñ, ü.", "été " * 50])
 def test_encoder_agrees_with_the_whole_text(text):
     import pyarrow as pa
 
@@ -312,6 +381,81 @@ def test_distrust_reaches_far_rings(spark):
     assert got["far.net"].verdict == "allow" and got["far.net"].distrust == 0
 
 
+def brute_verdicts(pages: list[tuple], domains: bool) -> dict:
+    """(trust, distrust, verdict by the method) of each host."""
+    allowed, blocked, links = {}, {}, {}
+    for _, url, html in pages:
+        host, _, rule = brute_rule(url)
+        verdict = next((v for v, r in url_filter.RULES if r == rule), None)
+        allowed[host] = allowed.get(host, 0) + (verdict == "allow")
+        blocked[host] = blocked.get(host, 0) + (verdict == "block")
+        found = re.findall(r"""\b(?:href|src)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)""", html or "", re.I) if host else []
+        for to in {re.sub(r"^[^@]*@|:\d*$", "", x).translate(LOWER) for x in dict.fromkeys(found)}:
+            if to and to != host:
+                links[host, to] = links.get((host, to), 0) + len({x for x in found if re.sub(r"^[^@]*@|:\d*$", "", x).translate(LOWER) == to})
+    if domains:
+        pairs = set()
+        for host in allowed:
+            labels = host.split(".")
+            if not re.fullmatch(r"[\d.:]*", host):
+                pairs |= {(".".join(labels[k:]), ".".join(labels[k + 1 :])) for k in range(len(labels) - 2)}
+        for a, b in pairs:
+            links[a, b], links[b, a] = links.get((a, b), 0) + 1, links.get((b, a), 0) + 1
+
+    def spread(links: dict, seeds: dict) -> dict:
+        total: dict = {}
+        for (a, _), w in links.items():
+            total[a] = total.get(a, 0) + w
+        now = {h: 1e6 * n for h, n in seeds.items() if n}
+        base = dict(now)
+        for _ in range(url_filter.ROUNDS if links and base else 0):
+            new = {h: 0.15 * v for h, v in base.items()}
+            for (a, b), w in links.items():
+                if a in now:
+                    new[b] = new.get(b, 0) + 0.85 * now[a] * w / total[a]
+            now = new
+        return now
+
+    good, bad = spread(links, allowed), spread({(b, a): w for (a, b), w in links.items()}, blocked)
+    return {h: (good.get(h, 0), bad.get(h, 0), "block" if bad.get(h, 0) > good.get(h, 0) else "allow") for h in allowed}
+
+
+def graph_pages() -> list[tuple]:
+    r = random.Random(4)
+    hosts = [f"{a}{b}.example.{c}" for a in ("", "www.", "m.") for b in "pqrstuv" for c in ("com", "org", "net")] + ["10.0.0.7", "example.org", "deep.er.www.p.example.net", "lone.net"]
+    link = lambda: f'<a href="{r.choice(["http://", "//", "HTTPS://me@"])}{r.choice(hosts)}{r.choice(["", "/x", ":80/y?z"])}"> <img src=/own.png>'
+    pages = [(i, f"https://{r.choice(hosts)}/{r.choice(['fr', 'de', 'en', 'es'])}/{i}", "".join(link() for _ in range(r.choice([0, 0, 1, 3])))) for i in range(200)]
+    pages += [pages[3], pages[3], (900, "https://far.example.net/x", '<base href="//p.example.com/"><a href="y">' + "z" * 1_000_000), (901, "http://u.net/", None)]
+    return pages
+
+
+@pytest.mark.parametrize("domains", [True, False])
+def test_all_verdicts_against_brute_force(spark, domains):
+    pages = graph_pages()
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(3)
+    want = brute_verdicts(pages, domains)
+    got = url_filter.filter_urls(df, domains=domains).collect()
+    assert len(got) == len(pages)
+    verdicts = set()
+    for r in got:
+        trust, distrust, method = want[r.host]
+        assert (r.trust, r.distrust) == (pytest.approx(trust, rel=1e-7), pytest.approx(distrust, rel=1e-7))
+        own = next((v for v, x in url_filter.RULES if x == r.rule), None)
+        assert r.verdict == (own or method)
+        verdicts |= {(own, r.verdict)}
+    assert {(None, "allow"), (None, "block")} <= verdicts
+
+
+def test_op4_query(spark):
+    path = new_path(spark, "test")
+    pages = graph_pages()
+    spark.createDataFrame([(*p, "x") for p in pages], "page_id bigint, url string, html string, verdict string").write.parquet(f"{path}/pages.parquet")
+    want = brute_verdicts(pages, True)
+    rules = dict((r, v) for v, r in url_filter.RULES)
+    got = QUERIES["op4_url_filter"](spark, path).collect()
+    assert sorted((r.page_id, r.host, r.path, repr(r.rule), r.verdict) for r in got) == sorted((i, h, p, repr(rule), rules.get(rule) or want[h][2]) for i, (h, p, rule) in ((i, brute_rule(u)) for i, u, _ in pages))
+
+
 # --- 5 ---
 
 
@@ -341,7 +485,10 @@ def brute_removed(texts: list[tuple]) -> dict:
             e = k
             while e < len(own) and first[own[e][0]] != (i, e):
                 e += 1
-            if sum(len(w) for w, *_ in own[k:e] if len(w) >= substring_dedup.LEAST_WORDS) >= substring_dedup.RUN_WORDS:
+            shared: dict = {}
+            for w, *_ in own[k:e]:
+                shared[first[w][0]] = shared.get(first[w][0], 0) + len(w)
+            if max(shared.values(), default=0) >= substring_dedup.RUN_WORDS:
                 out.setdefault(i, []).append((own[k][1], own[e - 1][2], sum(len(w) for w, *_ in own[k:e]), sorted({first[w][0] for w, *_ in own[k:e]})))
             k = e + 1
     return out
@@ -366,8 +513,42 @@ def test_short_units_and_whole_lines(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     short = {r.doc_id: r.removed for r in substring_dedup.repeated_passages(df).collect()}
     assert {i: [(s["words"], s["kept_in"]) for s in x] for i, x in short.items()} == {2: [(60, [0])]}
-    got = {r.doc_id: r.text for r in substring_dedup.remove_passages(df, whole=True).collect()}
+    got = {r.doc_id: r.text for r in substring_dedup.remove_passages(df, whole=1).collect()}
+    assert got == dict(enumerate(texts)) | {2: "first of all\n", 4: "other\nlast", 6: "y\n\nz"}
+    got = {r.doc_id: r.text for r in substring_dedup.remove_passages(df, whole=6).collect()}
     assert got == dict(enumerate(texts)) | {2: "first of all\n", 4: "other\nlast", 6: "y\n\nz"}
+    got = {r.doc_id: r.text for r in substring_dedup.remove_passages(df, whole=8).collect()}
+    assert got == dict(enumerate(texts)) | {2: "first of all\n"}
+
+
+def test_chance_repeats_from_many_documents_stay(spark):
+    lines = [f"this line number {k} is met in many texts." for k in range(8)]
+    texts = [*lines, "new words. " + " ".join(lines), "\n".join(reversed(lines)) + "\nanother end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert substring_dedup.repeated_passages(df).count() == 0
+    copied = spark.createDataFrame([*enumerate(texts), (20, "it says. " + " ".join(lines[:4])), (21, "so. " + lines[7] + " x y z. " + lines[0])], "doc_id bigint, text string")
+    assert substring_dedup.repeated_passages(copied).count() == 0
+    passage = "one passage begins here and has some words. it goes on with others, of which it has many. and ends."
+    twice = spark.createDataFrame([(1, "a b " + passage), (2, "c. d e.\n" + passage + "\nf"), (3, passage)], "doc_id bigint, text string")
+    got = {r.doc_id: [(s["words"], s["kept_in"]) for s in r.removed] for r in substring_dedup.repeated_passages(twice, run_words=10).collect()}
+    assert got == {2: [(12, [1])], 3: [(20, [1, 2])]}
+
+
+def test_op5_query(spark, docs):
+    path = new_path(spark, "test")
+    docs.write.parquet(f"{path}/documents.parquet")
+    removed = {r.doc_id: r for r in substring_dedup.remove_passages(docs, all_rows=False, whole=substring_dedup.WHOLE_WORDS).collect()}
+    got = QUERIES["op5_substring_dedup"](spark, path).collect()
+    assert {r.doc_id for r in got} == set(removed) and got
+    texts = {i: t for i, t, _ in corpus()}
+    for r in got:
+        spans = removed[r.doc_id].removed
+        assert (r.n_removed, r.removed_words) == (len(spans), sum(len(words(ALNUM, texts[r.doc_id][s.start : s.end])) for s in spans))
+        assert r.kept_in == sorted({k for s in spans for k in s.kept_in})
+        out = texts[r.doc_id]
+        for s in reversed(spans):
+            out = out[: s.start] + out[s.end :]
+        assert r.text == out
 
 
 # --- 6 ---
@@ -395,14 +576,43 @@ def test_vectors(spark, monkeypatch):
             moved |= low < parent[i]
             parent[i] = low
     want = {i: (len(links.get(i, ())), parent[i], parent[i] == i) for i in parent}
-    for cell, block in ((4096, 4096), (10, 8)):
-        monkeypatch.setattr(embedding_dedup, "CELL", cell)
-        monkeypatch.setattr(embedding_dedup, "BLOCK", block)
-        got = {i: (r.n_links, r.component, r.kept) for i, r in without_nulls(embedding_dedup.near_vectors(df), "vec_id").items()}
+    for cell, block, coarse in ((4096, 4096, 1024), (10, 8, 1024), (4, 3, 2)):
+        for name, value in (("CELL", cell), ("ROWS", block), ("COLS", 2 * block), ("COARSE", coarse)):
+            monkeypatch.setattr(embedding_dedup, name, value)
+        got = {i: (r.n_links, r.component, r.kept) for i, r in without_nulls(embedding_dedup.near_vectors(df, spread=None), "vec_id").items()}
         assert got == want
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("coarse", [1024, 4])
+def test_closer_borders_find_nearly_all(spark, monkeypatch, coarse):
+    """Vectors spread evenly over the sphere, the worst case for cells, a quarter with neighbours just inside the threshold, and a dense group."""
+    r = np.random.default_rng(8)
+    x = r.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    w = r.normal(size=(1000, 64))
+    w -= np.sum(w * x[:1000], axis=1)[:, None] * x[:1000]
+    w /= np.linalg.norm(w, axis=1)[:, None]
+    c = r.uniform(0.951, 0.97, 1000)[:, None]
+    x = np.concatenate([x, c * x[:1000] + np.sqrt(1 - c * c) * w, x[:1] + 0.02 * r.normal(size=(200, 64))])
+    x = x.astype(np.float32)
+    for name, value in (("CELL", 100), ("COARSE", coarse), ("ROWS", 70), ("COLS", 90)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = {q.vec_id: q.n_links for q in embedding_dedup.near_vectors(df).collect()}
+    unit = x.astype(float)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    want = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= want).all() and found.sum() % 2 == 0
+    assert found.sum() >= 0.95 * want.sum()
+    alone = (want > 0) & (np.arange(len(x)) % 50 == 0)
+    assert found[alone].sum() >= 0.95 * want[alone].sum()
+    lonely = np.arange(1, 1000)
+    assert found[lonely].sum() >= 0.95 * want[lonely].sum()
+    print("recall", found.sum() / want.sum(), found[lonely].sum() / want[lonely].sum())
+
+
 def test_vectors_of_repeated_ids_and_of_each_length(spark, monkeypatch):
     a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
     data = [(5, a), (5, b), (9, b), (7, a), (3, c), (5, b), (11, [1.0, 0.0]), (12, [2.0, 0.1]), (13, [0.0, 1.0]), (14, []), (15, None)]
@@ -410,14 +620,15 @@ def test_vectors_of_repeated_ids_and_of_each_length(spark, monkeypatch):
     want = [(3, 0, 3), (5, 1, 5), (5, 2, 5), (5, 2, 5), (7, 1, 5), (9, 2, 5), (11, 1, 11), (12, 1, 11), (13, 0, 13), (14, 0, 14), (15, 0, 15)]
     for cell, block in ((4096, 4096), (1, 1)):
         monkeypatch.setattr(embedding_dedup, "CELL", cell)
-        monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+        monkeypatch.setattr(embedding_dedup, "ROWS", block)
+        monkeypatch.setattr(embedding_dedup, "COLS", block)
         assert sorted((r.vec_id, r.n_links, r.component) for r in embedding_dedup.near_vectors(df).collect()) == want
 
 
 # --- 7 ---
 
 
-def test_mix(spark, docs, empty):
+def test_mix(spark, docs, empty, monkeypatch):
     got = mixing.mixing_plan(docs).collect()
     assert len(got) == len(corpus())
     assert sorted(repr((r.doc_id, r["size"])) for r in got) == sorted(repr((i, len(SPACED.findall(t or "")))) for i, t, _ in corpus())
@@ -441,11 +652,56 @@ def test_mix(spark, docs, empty):
         assert target == pytest.approx(want[s])
         assert abs(taken - target) <= largest / 2
     assert rows(mixing.mixing_plan(docs).select("doc_id", "copies").toPandas()) == rows(mixing.mixing_plan(docs).select("doc_id", "copies").toPandas())
+    sizes = docs.selectExpr("doc_id as id", "source", "1 as size")
+    for block_docs, run in ((256, 64), (2, 2)):  # each document's shards by walking over the leaves
+        plan, leaves, n_shards = mixing.plan_sources(sizes, block_docs=block_docs)
+        ends: dict = {}
+        for r in leaves.collect():
+            for x in r.places:
+                ends.setdefault((r["rank"], x["copy"], x["node"]), set()).add(x["end"])
+        assert n_shards == 4 and {n for _, _, n in ends} <= set(range(4))
+        given = mixing.assign(sizes, plan, leaves, "id").collect()
+        by = {r.source: r for r in plan.collect()}
+        units: dict = {}
+        for r in given:
+            assert len(r.shards) == r.copies and None not in r.shards
+            for c, shard in enumerate(r.shards):
+                units.setdefault((r.source, shard), set()).add(c)
+        for r in by.values():  # units of a source are dealt whole, in order
+            spans = sorted((c * r.n_blocks + max(e), n) for (k, c, n), e in ends.items() if k == r["rank"])
+            assert [n for _, n in spans] == sorted(n for _, n in spans)
+            assert not spans or spans[-1][0] == r.units
+        monkeypatch.setattr(mixing, "RUN", 2)
     mixed = mixing.mix(docs)
+    assert mixed.rdd.getNumPartitions() > 4
+    order = [r.doc_id for r in mixed.collect()]
+    monkeypatch.setattr(mixing, "PIECES_A_CORE", 1)
+    assert [r.doc_id for r in mixing.mix(docs).collect()] == order
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in got)
     assert mixing.mix(empty).count() == 0
 
 
+def test_op7_query(spark, docs):
+    path = new_path(spark, "test")
+    docs.write.parquet(f"{path}/documents.parquet")
+    got = QUERIES["op7_mixing"](spark, path).collect()
+    sizes: dict = {}
+    for _, t, source in corpus():
+        sizes[source] = sizes.get(source, 0) + len(SPACED.findall(t or ""))
+    largest = {s: max(len(SPACED.findall(t or "")) for _, t, x in corpus() if x == s) for s in sizes}
+    source = {(i, len(SPACED.findall(t or ""))): s for i, t, s in corpus()}
+    assert sorted(repr((r.doc_id, r["size"])) for r in got) == sorted(repr((i, len(SPACED.findall(t or "")))) for i, t, _ in corpus())
+    taken, target = dict.fromkeys(sizes, 0), {}
+    for r in got:
+        s = source[r.doc_id, r["size"]]
+        assert r.source_size == sizes[s] and target.setdefault(s, r.target) == r.target
+        assert r.taken == r["size"] * len(r.shards) and len(r.shards) <= 3
+        taken[s] += r.taken
+    assert sum(target.values()) == pytest.approx(sum(sizes.values()))
+    assert all(abs(taken[s] - target[s]) <= largest[s] / 2 and target[s] <= 3 * sizes[s] + 1e-6 for s in sizes)
+    assert sorted(map(repr, got)) == sorted(map(repr, QUERIES["op7_mixing"](spark, path).collect()))
+
+
 def test_hypergeometric_draws(spark):
     from pyspark.sql import functions as F
 
@@ -479,6 +735,51 @@ def test_quality(spark, docs, empty):
     assert quality.keep_good(docs, labels).columns == docs.columns
 
 
+def brute_statistics(text: str | None) -> list[float]:
+    text = text or ""
+    data, found = text.encode(), SPACED.findall(text)
+    n = len(found)
+    folded = [w.translate(LOWER) for w in found]
+    kind = lambda test: sum(map(test, data))
+    upper, lower, digit, wide = (kind(lambda b, r=r: b in r) for r in (range(65, 91), range(97, 123), range(48, 58), range(128, 256)))
+    line, space, stop, shout = (kind(lambda b, r=r: b in r) for r in (b"\n", b"\t\x0b\x0c\r ", b".", b"!?"))
+    mark = kind(lambda b: b in b",;:'\"-()")
+    symbol = len(data) - upper - lower - digit - wide - line - space - stop - shout - mark
+    lines = line + 1 if data else 0
+    shingles = {tuple(folded[k : k + 5]) for k in range(n - 4)} if n >= 5 else {tuple(folded)} if n else set()
+    per = lambda a, b: a / max(b, 1)
+    return [
+        len(data), n, per(len(data) - space - line, n), per(upper, upper + lower), per(digit, len(data)), per(space, len(data)), per(stop, n), per(shout, n), per(symbol, n), per(mark, n), per(wide, len(data)),
+        lines, per(n, lines), per(len(set(folded)), n), per(max((folded.count(w) for w in set(folded)), default=0), n), per(len(shingles), max(n - 4, 1)), per(sum(x == y for x, y in zip(folded, folded[1:])), n),
+        per(sum(len(w.encode()) > 24 for w in found), n), per(sum(not re.search(r"[A-Za-z0-9\x80-\U0010ffff]", w) for w in found), n),
+    ]
+
+
+def test_quality_against_brute_force(spark):
+    """Statistics by their definitions, the model fitted on those of the labelled rows that count, and its rules applied one by one."""
+    r = random.Random(6)
+    base = [t for _, t, _ in corpus()[:60] if t is None or len(t) < 20_000]
+    texts = [*base, *[" ".join(r.choice(["the", "House", "BUY!!", "now", "é1", "--", "x" * 30, "a.b"]) for _ in range(r.randint(0, 60))) + r.choice(["", ".", "\n\nend?"]) for _ in range(240)]]
+    labels = [(i, r.choice([0, 1]) if (t or "").count("BUY") < 3 else 0, None) for i, t in enumerate(texts) if i % 3] + [(7, None, 1), (10, 1, 0), (10, 0, 0), (5000, 1, 1)]
+    path = new_path(spark, "test")
+    spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, score int, lang string").repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    own = np.array([brute_statistics(t) for t in texts])
+    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    rows = sorted((i, y) for i, y, _ in labels if y is not None and not out(i) and i < len(texts))
+    model = quality.fit_rules(own[[i for i, _ in rows]], np.array([float(y) for _, y in rows]))
+    assert model.rules
+    got = {x.doc_id: x for x in QUERIES["op8_quality"](spark, path).collect()}
+    assert sorted(got) == list(range(len(texts)))
+    for i in range(len(texts)):
+        z = model.intercept + sum(w for rule, w in zip(model.rules, model.weights) if all((own[i][f] > t) == above for f, t, above in rule))
+        assert got[i].score == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-9)
+        assert (got[i].held_out, got[i].predicted) == (out(i), int(got[i].score >= 0.3))
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    kept = quality.keep_good(docs, spark.read.parquet(f"{path}/labels.parquet"))
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(i for i in got if got[i].predicted) and kept.columns == docs.columns
+
+
 def test_column_scores_as_the_model():
     from glyphmill.llm.quality import RuleEnsemble, fit_rules
 
@@ -500,11 +801,11 @@ def test_warc(spark):
     for i, _, h in pages:
         best[h or ""] = max(best.get(h or "", -1), i)
     want = [(str(i), len((h or "").encode()), base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode(), *(("response", None) if best[h or ""] == i else ("revisit", str(best[h or ""])))) for i, _, h in pages]
-    got = [tuple(r) for r in warc_convert.read_warcs(spark, path).select("id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()]
+    got = [tuple(r) for r in warc_convert.read_warcs(spark, path, "part-*").select("id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
     nothing = new_path(spark, "test")
     warc_convert.archive_pages(spark.createDataFrame([], "page_id bigint, url string, html string"), nothing)
-    assert warc_convert.read_warcs(spark, nothing).count() == 0
+    assert warc_convert.read_warcs(spark, nothing, "part-*").count() == 0
 
 
 def test_arc_versions_by_their_lengths():
@@ -519,6 +820,62 @@ def test_arc_versions_by_their_lengths():
         list(warc_convert.parse_arc(one.encode()[:-70]))
 
 
+def test_op9_query(spark):
+    pages = [(i, f"http://h{i % 3}/", "<p>" + "ab" * (i % 4)) for i in range(40)] + [(41, None, None), (42, "u", ""), (43, "v", "é" * 700_000), (3, "http://h0/", "<p>" + "ab" * 3)]
+    path = new_path(spark, "test")
+    spark.createDataFrame([(*p, "x") for p in pages], "page_id bigint, url string, html string, record_type string").write.parquet(f"{path}/pages.parquet")
+    best: dict = {}
+    for i, _, h in pages:
+        best[h or ""] = max(best.get(h or "", -1), i)
+    want = [(i, len((h or "").encode()), base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode(), *(("response", None) if best[h or ""] == i else ("revisit", best[h or ""]))) for i, _, h in pages]
+    got = QUERIES["op9_warc"](spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_foreign_archives(spark, monkeypatch):
+    """An ARC not written here, with a Latin-1 page, a picture, a repeated page, a name server's answer and a page of over 16 MB; then a WARC without headers of ours."""
+    import gzip
+    import os
+
+    png = b"\x89PNG\r\n\x1a\n" + bytes(range(256)) * 3
+    http = lambda kind, body: b"HTTP/1.0 200 OK\nServer: caf\xe9\nContent-Type: " + kind + b"\n\n" + body
+    big = os.urandom(1000) * 17_000
+    docs = [("http://a/", "text/html", http(b"text/html", b"<p>caf\xe9 \xff")), ("http://b/x y.png", "image/png", http(b"image/png", png)), ("http://c/", "text/html", http(b"text/html", b"<p>caf\xe9 \xff")), ("dns:a", "text/dns", b"20200101\na. 1 IN A 1.2.3.4\n"), ("http://d/", "text/html", b"HTTP/1.1 204 No\r\n\r\n"), ("http://e/", "x/y", http(b"x/y", big))]
+    about = b"1 0 Other\nURL IP-address Archive-date Content-type Archive-length\n"
+    records = [f"filedesc://o.arc 0.0.0.0 20080430 text/plain {len(about)}\n".encode() + about] + [f"{u} 1.2.3.4 20080430204825 {k} {len(b)}\n".encode() + b for u, k, b in docs]
+    path = new_path(spark, "test").removeprefix("file://")
+    os.makedirs(f"{path}/in")
+    with open(f"{path}/in/o.arc.gz", "wb") as f:
+        for r in records:
+            f.write(gzip.compress(r + b"\n"))
+    monkeypatch.setattr(warc_convert, "FILE_RECORDS", 3)
+    warc_convert.convert_arcs(spark, f"file://{path}/in", f"file://{path}/out")
+    files = [f"{path}/out/{x}" for x in sorted(os.listdir(f"{path}/out")) if x.startswith("part-")]
+    seen = []
+    for name in files:
+        data = open(name, "rb").read()
+        own = list(warc_convert.parse_warc(data))
+        assert own[0][0]["warc-type"] == "warcinfo" and len(own) <= 3
+        assert gzip.decompress(data).count(b"WARC/1.1\r\n") == len(own)
+        seen += [(h["warc-target-uri"], h["warc-type"], b) for h, b in own[1:]]
+        assert all(h["warc-date"] == "2008-04-30T20:48:25Z" for h, _ in own[1:])
+    blocks = {u: (k, b) for u, k, b in seen}
+    assert blocks["http://b/x y.png"] == ("response", docs[1][2]) and blocks["dns:a"] == ("resource", docs[3][2]) and blocks["http://e/"] == ("response", docs[5][2])
+    assert sorted((blocks["http://a/"][0], blocks["http://c/"][0])) == ["response", "revisit"]
+    got = {r.target_uri: r for r in warc_convert.read_warcs(spark, f"file://{path}/out", "part-*").collect()}
+    assert len(got) == 6 and len({r.id for r in got.values()}) == 6
+    assert {r.payload_digest for u, r in got.items() if u in ("http://a/", "http://c/")} == {warc_convert.sha1_base32(b"<p>caf\xe9 \xff")}
+    assert got["http://a/"].payload_bytes == got["http://c/"].payload_bytes == 9 and got["http://d/"].payload_bytes == 0
+    os.makedirs(f"{path}/foreign")
+    body = http(b"text/html", b"\xe9")
+    plain = "WARC/1.0\r\nWARC-Type: {}\r\nWARC-Record-ID: <urn:x:{}>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nWARC-Target-URI: http://f/\r\nContent-Length: {}\r\n\r\n"
+    with open(f"{path}/foreign/a.warc", "wb") as f:
+        for n, (kind, block) in enumerate((("warcinfo", b"x: y"), ("request", b"GET"), ("response", body), ("revisit", b""), ("resource", png))):
+            f.write(plain.format(kind, n, len(block)).encode() + block + b"\r\n\r\n")
+    got = sorted((r.record_id, r.id, r.payload_bytes, r.payload_digest) for r in warc_convert.read_warcs(spark, f"file://{path}/foreign").collect())
+    assert got == [("<urn:x:2>", None, 1, warc_convert.sha1_base32(b"\xe9")), ("<urn:x:3>", None, None, None), ("<urn:x:4>", None, len(png), warc_convert.sha1_base32(png))]
+
+
 # --- 10 ---
 
 
@@ -562,6 +919,27 @@ def test_query_against_sql(spark, duck, sf, name):
     assert rows(QUERIES[name](spark, sf).toPandas()) == rows(duck.sql(ORACLE_SQL[name]).df())
 
 
+def test_op10_query(spark):
+    """The base columns by their definitions, on a table with clashing names, repeated rows, a null and a very long text."""
+    r = random.Random(1)
+    pool = ["under", "the", "mit", "license", "apache", "version", "2", "cc", "by", "nc", "x", "Y", "é"]
+    texts = [None, "", "...", "Under THE mit License", "cc-by-nc; cc by nc", "under the mit\nlicense " * 3] + [" ".join(r.choice(pool) for _ in range(r.randint(1, 60))) for _ in range(60)] + [" ".join(r.choice(pool) for _ in range(60_000))]
+    rows = [(i, t, "l", 1, "f") for i, t in enumerate(texts)]
+    path = new_path(spark, "test")
+    spark.createDataFrame([*rows, rows[5]], "doc_id bigint, text string, labels string, n_words int, found string").repartition(3).write.parquet(f"{path}/documents.parquet")
+    got = QUERIES["op10_license_scan"](spark, path).collect()
+    assert sorted(x.doc_id for x in got) == sorted([*range(len(texts)), 5])
+    phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+    for x in got:
+        w = words(ALNUM, texts[x.doc_id])
+        places = [(k, label) for p, label in phrases.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        labels = sorted({label for _, label in places})
+        assert (x.n_words, x.n_base) == (len(w), len(places))
+        assert (x.first_word, x.last_word) == ((min(places)[0], max(places)[0]) if places else (None, None))
+        assert x.base_labels == ",".join(labels) and set(labels) <= set(x.labels.split(",")) | {""}
+        assert x.labels == ",".join(sorted(set(x.labels.split(",")))) and 0 <= x.score <= 1
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_query_runs(spark, sf, name):
     got = QUERIES[name](spark, sf)
