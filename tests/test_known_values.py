@@ -58,7 +58,7 @@ def test_edit_pairs_have_no_doubles(spark):
 
     types = ["aab", "ab", "abb", "cab", "xyz"]
     t = spark.createDataFrame([(x, 9) for x in types], "tok string, n bigint")
-    got = [tuple(r) for r in spark.sql(DEFINITIONS["ed1"](SPARK), ascii_types=t).collect()]
+    got = [(r.a, r.b) for r in spark.sql(DEFINITIONS["ed1"](SPARK), types=t).collect()]
 
     def near(a: str, b: str) -> bool:
         d = list(range(len(b) + 1))
