@@ -5,6 +5,8 @@ Plans are SQL texts over named relations. Randomness is a hash of the row's key,
 
 from __future__ import annotations
 
+import math
+
 
 class Spark:
     name = "spark"
@@ -181,4 +183,13 @@ class Duck(Spark):
         return f"string_agg({x}, '{mark}' order by {order})"
 
 
+def poisson(u: str) -> str:
+    """How often a unit is drawn, by a number from 0 to 1: Poisson of mean 1, at most 12."""
+    below, cases = 0.0, []
+    for k in range(12):
+        below += math.exp(-1) / math.factorial(k)
+        cases.append(f"when {u} < {below:.15f}e0 then {k}")
+    return f"case {' '.join(cases)} else 12 end"
+
+
 SPARK, DUCK = Spark(), Duck()

@@ -21,9 +21,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bpe_curve": _over(searching.bpe_curve, "types"),
     "t2a_permutations": _over(searching.final_form, "tk"),
     "slot_rigidity": _over(searching.slot_rigidity, "ty"),
-    "drift_segmentation": _over(cutting.drift_segmentation, "tk"),
+    "drift_segmentation": _over(cutting.drift_segmentation, "xs"),
+    "drift_shape": _over(cutting.drift_shape, "xs"),
     "line_packing": _over(cutting.line_packing, "tk"),
-    "token_chunks": _over(cutting.token_chunks, "tk"),
+    "t3b_chunks": _over(searching.chunk_rigidity, "ch", "tk"),
     "compressed_size": _over(coding.compressed_size, "documents"),
     "message_round_trip": _over(coding.message_round_trip, "tk"),
     "markup_edits": _over(coding.markup_edits, "ln"),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.plans import PLANS, load, spark_text
-from glyphmill.sources.corpus import frames
+from glyphmill.sources.corpus import frames, query
 
 
 def run(name: str, **relations: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def run(name: str, **relations: DataFrame) -> DataFrame:
     if missing:
         raise ValueError(f"{name} reads {', '.join(sorted(missing))} too")
     spark = next(iter(relations.values())).sparkSession
-    return spark.sql(spark_text(name), **{r: relations[r] for r in PLANS[name][1]})
+    return query(spark, spark_text(name), {r: relations[r] for r in PLANS[name][1]})
 
 
 def run_tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

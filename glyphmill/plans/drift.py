@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
-from glyphmill.functions.dialect import Spark
+from glyphmill.functions.dialect import Spark, poisson
 from glyphmill.plans import plan
 from glyphmill.plans.information import dealt, mi
 
@@ -32,11 +30,8 @@ def t4a_errors(d: Spark) -> str:
     leads = "select lang, doc_id, right(tok, 1) as x, " + ", ".join(f"lead(right(tok, 1), {k}) over (partition by doc_id, line_no order by pos) as x{k}" for k in lags) + " from {tk} where n_line >= 3"
     hits = "select lang, doc_id, " + ", ".join(f"sum(case when x = x{k} then 1.0e0 else 0.0e0 end) as h{k}" for k in lags) + f" from ({leads}) l group by lang, doc_id"
     chance = "select doc_id, " + ", ".join(f"sum(greatest(n - {k}, 0) * p) as e{k}" for k in lags) + f" from ({lines}) c group by doc_id"
-    u, below, cases = d.u("concat('t4', cast(rep as string), ':', cast(doc_id as string))"), 0.0, []
-    for k in range(12):
-        below += math.exp(-1) / math.factorial(k)
-        cases.append(f"when u < {below:.15f}e0 then {k}")
-    drawn = f"select *, case when rep = 0 then 1 {' '.join(cases)} else 12 end as w from (select p.*, rep, {u} as u from p {d.each('0', '200', 'rep')}) x"
+    u = d.u("concat('t4', cast(rep as string), ':', cast(doc_id as string))")
+    drawn = f"select *, case when rep = 0 then 1 else {poisson('u')} end as w from (select p.*, rep, {u} as u from p {d.each('0', '200', 'rep')}) x"
     sums = "select lang, rep, " + ", ".join(f"sum(w * h{k}) / nullif(sum(w * e{k}), 0.0e0) as r{k}" for k in lags) + f" from ({drawn}) y group by lang, rep"
     rows = " union all ".join(f"select lang, {k} as k, rep, r{k} as r from s" for k in lags)
     return f"""with p as (select h.*, {", ".join(f"e{k}" for k in lags)} from ({hits}) h join ({chance}) e on e.doc_id = h.doc_id), s as ({sums})
@@ -248,9 +243,65 @@ def positive_control(d: Spark) -> str:
     return f"with m as ({marked}) select lang, round(max(case when kind = 'sym' then jsd end), 6) as injected, round(max(case when kind = 'plain' then jsd end), 6) as plain from ({' union all '.join(parts)}) z group by lang"
 
 
-@plan("tk")
+@plan("ch", "tk")
+def token_chunks(d: Spark) -> str:
+    """Chunks of 250 words and more that a language's lines fill one after another, across pages, and the words in them."""
+    return "select c.lang, count(distinct chunk) as chunks, count(*) as words, min(n) as least_, max(n) as most_ from (select c.lang, chunk, count(*) over (partition by c.lang, chunk) as n from {ch} c join {tk} t on t.lang = c.lang and t.doc_id = c.doc_id and t.line_no = c.line_no) c group by c.lang"
+
+
+@plan("ch", "tk")
+def t3a_chunks(d: Spark) -> str:
+    """Letter pairs that half of a chunk's lines lack though chance gives three or more: how far the other half lacks them too, over all chunks, with the interval of 1,000 draws of chunks."""
+    words = "select c.lang, c.chunk, c.nth % 2 as half, concat('^', t.tok, '$') as t, cast(length(t.tok) as bigint) + 1 as m, count(*) as n from {ch} c join {tk} t on t.lang = c.lang and t.doc_id = c.doc_id and t.line_no = c.line_no group by c.lang, c.chunk, c.nth % 2, t.tok"
+    by = "lang, chunk, half"
+    on = lambda x, y, *more: " and ".join(f"{x}.{c} = {y}.{c}" for c in ("lang", "chunk", *more))
+    return f"""with g as (select {by}, substr(t, cast(i as int), 1) as a, substr(t, cast(i as int) + 1, 1) as b, sum(n) * 1.0e0 as c from (select * from ({words}) w {d.each('1', 'm', 'i')}) z group by {by}, substr(t, cast(i as int), 1), substr(t, cast(i as int) + 1, 1)),
+        r as (select {by}, a, sum(c) as ra from g group by {by}, a), s as (select {by}, b, sum(c) as sb from g group by {by}, b), n as (select {by}, sum(c) as n from g group by {by}),
+        x as (select r.lang, r.chunk, r.half, r.a, s.b from r join s on {on('r', 's', 'half')} join n on {on('n', 'r', 'half')} left join g on {on('g', 'r', 'half', 'a')} and g.b = s.b where g.c is null and ra * sb / n >= 3 and not (r.a = '^' and s.b = '$')),
+        k as (select x.lang, x.chunk, count(*) as cells, sum(coalesce(o.c, 0.0e0)) as obs, sum(coalesce(r.ra * s.sb / n.n, 0.0e0)) as exp_ from x left join g o on {on('o', 'x', 'a', 'b')} and o.half <> x.half left join r on {on('r', 'x', 'a')} and r.half <> x.half left join s on {on('s', 'x', 'b')} and s.half <> x.half left join n on {on('n', 'x')} and n.half <> x.half group by x.lang, x.chunk),
+        every as (select c.lang, c.chunk, coalesce(cells, 0) as cells, coalesce(obs, 0.0e0) as obs, coalesce(exp_, 0.0e0) as exp_ from (select distinct lang, chunk from {{ch}}) c left join k on {on('k', 'c')}),
+        drawn as (select lang, rep, sum(w * obs) / nullif(sum(w * exp_), 0.0e0) as rho from (select lang, rep, obs, exp_, {poisson('u')} as w from (select e.*, rep, {d.u("concat('t3', lang, cast(chunk as string), ':', cast(rep as string))")} as u from every e {d.each('1', '1000', 'rep')}) v where exp_ > 0) w group by lang, rep),
+        ends as (select lang, {d.percentile('rho', '0.025')} as low, {d.percentile('rho', '0.975')} as high from drawn group by lang)
+        select e.lang, count(*) as chunks, cast(sum(cells) as bigint) as cells, round(sum(obs), 6) as obs, round(sum(exp_), 6) as expected, round(sum(obs) / nullif(sum(exp_), 0.0e0), 6) as rho, round(max(low), 6) as low, round(max(high), 6) as high from every e left join ends on ends.lang = e.lang group by e.lang"""
+
+
+@plan("xs")
+def t5_excess_matrix(d: Spark) -> str:
+    """Excess divergence of every two pages of a run."""
+    return "select lang, run, i, j, round(x, 6) as excess from {xs}"
+
+
+#: Runs of fewer pages have no shape.
+RUN_PAGES = 10
+
+
+def _smooth() -> str:
+    """Runs, and each run without one page in turn: the line of excess over distance, and how it tells that page's pairs. (lang, run, page, n, a, b, e); page null: the whole run."""
+    sums = "count(*) * 1.0e0 as n, sum(r) as sr, sum(r * r) as srr, sum(x) as sx, sum(x * r) as sxr, sum(x * x) as sxx"
+    line = "select *, (n * sxr - sr * sx) / (n * srr - sr * sr) as b, (sx - (n * sxr - sr * sx) / (n * srr - sr * sr) * sr) / n as a"
+    return f"""xr as (select lang, run, i, j, x, (j - i) * 1.0e0 as r from {{xs}}), big as (select lang, run, max(j) + 1 as pages from {{xs}} group by lang, run having max(j) + 1 >= {RUN_PAGES}),
+        whole as (select xr.lang, xr.run, {sums}, max(pages) as pages from xr join big on big.lang = xr.lang and big.run = xr.run group by xr.lang, xr.run),
+        page_ as (select lang, run, page, {sums} from (select lang, run, i as page, x, r from xr union all select lang, run, j, x, r from xr) u group by lang, run, page),
+        rest as (select p.lang, p.run, p.page, p.n as pn, p.sr as psr, p.srr as psrr, p.sx as psx, p.sxr as psxr, p.sxx as psxx, w.n - p.n as n, w.sr - p.sr as sr, w.srr - p.srr as srr, w.sx - p.sx as sx, w.sxr - p.sxr as sxr from page_ p join whole w on w.lang = p.lang and w.run = p.run),
+        told as (select lang, run, sum(pn * a * a + b * b * psrr + psxx + 2 * a * b * psr - 2 * a * psx - 2 * b * psxr) as line_error from ({line} from rest) z group by lang, run),
+        fitted as ({line} from whole)"""
+
+
+@plan("xs", "pg")
+def t5_consecutive(d: Spark) -> str:
+    """How change is spread over the steps between consecutive pages of a run: mean, Gini, and how many of the largest tenth are where the source changes; and how a line over distance tells the pairs of a page that is left out."""
+    step = "select x.lang, x.run, x.i, x.x, case when a.source <> b.source then 1.0e0 else 0.0e0 end as edge from {xs} x join {pg} a on a.lang = x.lang and a.run = x.run and a.place = x.i join {pg} b on b.lang = x.lang and b.run = x.run and b.place = x.j where x.j = x.i + 1"
+    ranked = f"select *, row_number() over (partition by lang, run order by round(greatest(x, 0.0e0), 9), i) as up, row_number() over (partition by lang, run order by round(x, 9) desc, i) as down, count(*) over (partition by lang, run) as n from ({step}) s"
+    return f"""with {_smooth()}, g as (select lang, run, avg(x) as mean_, coalesce(sum((2 * up - n - 1) * greatest(x, 0.0e0)) / nullif(max(n) * sum(greatest(x, 0.0e0)), 0.0e0), 0.0e0) as gini, avg(case when down <= greatest(1, floor(n / 10.0e0)) then edge end) as top_edge, avg(edge) as edge from ({ranked}) r group by lang, run)
+        select f.lang, f.run, f.pages, round(mean_, 6) as mean_excess, round(gini, 6) as gini, round(top_edge, 6) as top_on_boundary, round(edge, 6) as boundaries, round(a, 6) as intercept, round(b, 6) as slope, round(line_error, 6) as line_error
+        from fitted f join told t on t.lang = f.lang and t.run = f.run join g on g.lang = f.lang and g.run = f.run"""
+
+
+@plan("xs")
 def t5_step_and_slope(d: Spark) -> str:
-    """Mean word length along the pages of a language: line fitted, and the step between halves, with their errors."""
-    pages = "select lang, doc_id, avg(length(tok) * 1.0e0) as y, row_number() over (partition by lang order by doc_id) as r, count(*) over (partition by lang) as n from {tk} group by lang, doc_id having count(*) >= 100"
-    return f"""with p as (select *, case when r <= n / 2.0e0 then 0 else 1 end as half from ({pages}) q), f as (select lang, regr_slope(y, r) as b, regr_intercept(y, r) as a, avg(case when half = 0 then y end) as m0, avg(case when half = 1 then y end) as m1 from p group by lang)
-        select p.lang, round(max(b), 6) as slope, round(max(m1 - m0), 6) as step, round(avg((y - a - b * r) * (y - a - b * r)), 6) as line_error, round(avg((y - case when half = 0 then m0 else m1 end) * (y - case when half = 0 then m0 else m1 end)), 6) as step_error from p join f on p.lang = f.lang group by p.lang"""
+    """Excess divergence of a run's pages by their distance, and by the side of the cut that tells it best: slope and step with their mean square errors, over a language's runs."""
+    cuts = f"select lang, run, cut, sum(case when same = 1 then x else 0.0e0 end) as s, sum(same) * 1.0e0 as k, sum(x) as sx, sum(x * x) as sxx, count(*) * 1.0e0 as n from (select z.lang, z.run, cut, x, case when i < cut and j >= cut then 0 else 1 end as same from (select xr.*, big.pages from xr join big on big.lang = xr.lang and big.run = xr.run) z {d.each('1', 'pages - 1', 'cut')}) y group by lang, run, cut"
+    best = "select *, row_number() over (partition by lang, run order by round(e, 9), cut) as nth from (select *, sxx - s * s / k - (sx - s) * (sx - s) / (n - k) as e from cuts where k > 0) c"
+    return f"""with {_smooth()}, cuts as ({cuts}), best as ({best})
+        select f.lang, count(*) as runs, cast(sum(f.pages) as bigint) as pages, round(avg(b), 6) as slope, round(avg((c.sx - c.s) / (c.n - c.k) - c.s / c.k), 6) as step, round(sum(f.sxx - a * f.sx - b * f.sxr) / sum(f.n), 6) as line_error, round(sum(e) / sum(c.n), 6) as step_error
+        from fitted f join best c on c.lang = f.lang and c.run = f.run and nth = 1 group by f.lang"""

@@ -84,13 +84,13 @@ def tests_text(d: Spark) -> str:
     ])
 
 
-@plan("tk", "ty", "pr", "tp", "ed1", "lw")
+@plan("tk", "ty", "pr", "tp", "ed1", "lw", "xs")
 def test_profile(d: Spark) -> str:
     """The tests T1 to T6 that SQL can give, of each language in one table."""
     return f"select lang, stat, round(value, 6) as value from ({tests_text(d)}) q"
 
 
-@plan("lw", "tk", "ty", "pr", "tp", "ed1")
+@plan("lw", "tk", "ty", "pr", "tp", "ed1", "xs")
 def phenotype(d: Spark) -> str:
     """The battery with the tests, recency by line, drift, predictability and an interval: each statistic once."""
     more = " union all ".join([
