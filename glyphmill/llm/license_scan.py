@@ -192,7 +192,9 @@ def _line_edges(texts: pa.Array, starts: np.ndarray, bounds: np.ndarray) -> tupl
     data, off = wc.text_bytes(texts)
     breaks = np.flatnonzero(data == 10)
     lines = np.unique(np.concatenate([bounds[:-1], np.searchsorted(starts, breaks)]))
-    blank = breaks[1:][np.diff(breaks) == 1] if len(breaks) else breaks
+    # a break is blank if there is only space between it and the one before
+    dark = np.concatenate([[0], np.cumsum(wc.NOT_SPACE[data])])
+    blank = breaks[1:][dark[breaks[1:]] == dark[breaks[:-1]]]
     return lines, np.unique(np.concatenate([bounds[:-1], np.searchsorted(starts, blank)]))
 
 

@@ -81,7 +81,7 @@ def units(texts: pa.Array, whole: int | None = None) -> tuple[np.ndarray, dict[s
     return at, own
 
 
-_UNITS = "id bigint, unit int, whole boolean, h1 bigint, h2 bigint, words int, word int, start bigint, end bigint"
+_UNITS = "id bigint, copy bigint, unit int, whole boolean, h1 bigint, h2 bigint, words int, word int, start bigint, end bigint"
 
 
 def _scan(whole: int | None):
@@ -91,47 +91,61 @@ def _scan(whole: int | None):
                 part = batch.slice(s, 512)
                 _, u = units(part["text"], whole)
                 ints = {c: pa.array(u[c].astype(np.int32)) for c in ("unit", "words", "word")}
-                yield pa.RecordBatch.from_arrays([part["id"].take(pa.array(u["doc"])), ints["unit"], pa.array(u["whole"]), pa.array(u["h1"]), pa.array(u["h2"]), ints["words"], ints["word"], pa.array(u["start"]), pa.array(u["end"])], ["id", "unit", "whole", "h1", "h2", "words", "word", "start", "end"])
+                docs = pa.array(u["doc"])
+                yield pa.RecordBatch.from_arrays([part["id"].take(docs), part["copy"].take(docs), ints["unit"], pa.array(u["whole"]), pa.array(u["h1"]), pa.array(u["h2"]), ints["words"], ints["word"], pa.array(u["start"]), pa.array(u["end"])], ["id", "copy", "unit", "whole", "h1", "h2", "words", "word", "start", "end"])
 
     return run
 
 
+def _copies(docs: DataFrame) -> DataFrame:
+    """docs with a column copy: the hash of the text where any id has rows of different texts, else 0, which takes no room in shuffles."""
+    texts = F.xxhash64("text")
+    alone = docs.where("id is not null").groupBy("id").agg(F.min(texts).alias("a"), F.max(texts).alias("b")).where("a <> b").isEmpty()
+    return docs.withColumn("copy", F.lit(0).cast("bigint") if alone else texts)
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS, whole: int | None = None) -> DataFrame:
-    """(id, removed) for every document that loses something; ids are integers.
+    """(id, copy, removed) for every document that loses something; ids are integers.
 
     removed lists spans in order: start and end in characters, words, and kept_in, ids of the documents that keep
     what the span held (its own among them if it repeats itself). Texts without words, null and empty ones have no
-    units. Rows with equal ids are one document, whose equal units in equal places are one unit. Rows with a null id
-    are left alone. Other columns are not read. With whole, lines and paragraphs of so many words that are there before
+    units. Rows of one id and text are one document, all of them lose the same; rows of one id
+    with different texts are documents of their own, which copy, a hash of the text, tells apart (0 where no id has
+    several texts). Rows with a null id are left alone. Other columns are not read. With whole, lines and paragraphs of so many words that are there before
     go by themselves; kept_in then names where the first copy is.
     """
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    return _repeated(_copies(own), run_words, whole).withColumnRenamed("id", id_col)
+
+
+def _repeated(own: DataFrame, run_words: int, whole: int | None) -> DataFrame:
+    """repeated_passages() of (id, text, copy)."""
     found = cut(own.mapInArrow(_scan(whole), _UNITS), "units")
-    place = F.struct("id", "word")
+    place = F.struct("id", "copy", "word")
     kept = found.groupBy("h1", "h2").agg(F.min(F.when(F.col("unit") >= 0, place)).alias("kept"), F.min(F.when(F.col("whole"), place)).alias("kept_whole"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     # a table of its own, so that the join stands right on its shuffles and Spark can split a very common unit
     kept = cut(kept.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "kept", "kept_whole"), "kept-units")
     repeats = found.join(kept, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
     # kind 0: a unit that may be part of a run, 1: a line or paragraph that goes by itself
     kinds = [F.when((F.col(c) if c == "whole" else F.col("unit") >= 0) & (place != F.col(k)), F.struct(F.lit(n).alias("kind"), F.col(f"{k}.id").alias("kept_id"))) for n, c, k in ((0, "unit", "kept"), (1, "whole", "kept_whole"))]
-    repeats = repeats.select("id", "unit", "words", "word", "start", "end", F.explode(F.array_compact(F.array(*kinds))).alias("as")).select("id", "unit", "words", "word", "start", "end", "as.kind", "as.kept_id")
-    ordered = Window.partitionBy("id").orderBy("kind", "unit")
+    repeats = repeats.select("id", "copy", "unit", "words", "word", "start", "end", F.explode(F.array_compact(F.array(*kinds))).alias("as")).select("id", "copy", "unit", "words", "word", "start", "end", "as.kind", "as.kept_id")
+    ordered = Window.partitionBy("id", "copy").orderBy("kind", "unit")
     runs = repeats.withColumn("run", F.when(F.col("kind") == 0, F.col("unit") - F.dense_rank().over(ordered)).otherwise(F.col("word")))
-    shared = runs.groupBy("id", "kind", "run", "kept_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("word").alias("low"), F.max(F.col("word") + F.col("words")).alias("high"), F.sum("words").alias("shared"))
-    spans = shared.groupBy("id", "kind", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("shared").alias("shared"), F.collect_list("kept_id").alias("kept_in"))
+    shared = runs.groupBy("id", "copy", "kind", "run", "kept_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("word").alias("low"), F.max(F.col("word") + F.col("words")).alias("high"), F.sum("words").alias("shared"))
+    spans = shared.groupBy("id", "copy", "kind", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("shared").alias("shared"), F.collect_list("kept_id").alias("kept_in"))
     spans = spans.where((F.col("kind") == 1) | (F.col("shared") >= run_words))
-    before = F.max("high").over(Window.partitionBy("id").orderBy("low", "high", "kind").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.max("high").over(Window.partitionBy("id", "copy").orderBy("low", "high", "kind").rowsBetween(Window.unboundedPreceding, -1))
     spans = spans.withColumn("new", F.when(F.col("low") <= before, 0).otherwise(1))
-    spans = spans.withColumn("span", F.sum("new").over(Window.partitionBy("id").orderBy("low", "high", "kind").rowsBetween(Window.unboundedPreceding, 0)))
-    spans = spans.groupBy("id", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("high") - F.min("low")).cast("bigint").alias("words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("kept_in")))).alias("kept_in"))
-    return spans.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "words", "kept_in"))).alias("removed")).withColumnRenamed("id", id_col)
+    spans = spans.withColumn("span", F.sum("new").over(Window.partitionBy("id", "copy").orderBy("low", "high", "kind").rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.groupBy("id", "copy", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("high") - F.min("low")).cast("bigint").alias("words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("kept_in")))).alias("kept_in"))
+    return spans.groupBy("id", "copy").agg(F.array_sort(F.collect_list(F.struct("start", "end", "words", "kept_in"))).alias("removed"))
 
 
 def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_words: int = RUN_WORDS, all_rows: bool = True, whole: int | None = None) -> DataFrame:
     """(id, text, removed): texts without what repeated_passages() finds; of all rows, or those that lose something."""
-    found = repeated_passages(docs, id_col, text_col, run_words, whole).select(F.col(id_col).alias("_id"), "removed")
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    joined = own.join(found, F.col("id") == F.col("_id"), "left" if all_rows else "inner").select("id", "text", "removed")
+    own = _copies(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
+    found = _repeated(own.where("id is not null").withColumn("id", F.col("id").cast("bigint")), run_words, whole).toDF("_id", "_copy", "removed")
+    joined = own.join(found, (F.col("id") == F.col("_id")) & (F.col("copy") == F.col("_copy")), "left" if all_rows else "inner").select("id", "text", "removed")
     id_type = own.schema["id"].dataType.simpleString()
     schema = f"id {id_type}, text string, removed array<struct<start: bigint, end: bigint, words: bigint, kept_in: array<bigint>>>"
 
