@@ -45,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tuning_sweep": _over(generating.tuning_sweep, "tk"),
     "twin_residual": _over(generating.twin_residual, "tk"),
     "mixture_shares": _over(searching.mixture_shares, "ty"),
-    "substitution_search": _over(searching.substitution_search, "ty"),
-    "grid_fit": _over(searching.grid_fit, "tk"),
+    "substitution_search": _over(searching.substitution_search, "tk"),
+    "grid_fit": _over(searching.grid_fit, "ty"),
+    "mantel_strata": _over(searching.mantel_pages, "xs", "pg", "embeddings"),
 }

@@ -36,4 +36,4 @@ def duck_text(name: str) -> str:
 
 def load() -> None:
     """Import all modules of plans."""
-    from glyphmill.plans import distances, drift, inference, information, joins, models, profile, texts, words  # noqa: F401
+    from glyphmill.plans import distances, drift, edits, inference, information, joins, models, profile, recency, replication, texts, words  # noqa: F401

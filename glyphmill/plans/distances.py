@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from glyphmill.functions.dialect import Spark
 from glyphmill.plans import plan
+from glyphmill.sources.corpus import RUN
 
 #: Pages of 200 words and more, as profiles of first letters: (doc_id, lang, source, sym, p).
 PROFILE = "select doc_id, lang, source, sym, c * 1.0e0 / n as p from (select doc_id, lang, source, left(tok, 1) as sym, count(*) as c, sum(count(*)) over (partition by doc_id) as n from {tk} group by doc_id, lang, source, left(tok, 1)) q where n >= 200"
@@ -65,6 +66,29 @@ def leave_one_out(d: Spark) -> str:
     return f"select count(*) as n, round(avg(case when label = told then 1.0e0 else 0.0e0 end), 6) as right_share, round(max(top) * 1.0e0 / count(*), 6) as common_share from (select vec_id, label, told, count(*) over (partition by label) as top from (select vec_id, label, other as told, row_number() over (partition by vec_id order by round(q, 9), other) as r from ({far}) f) g where r = 1) h"
 
 
+@plan("pg", "pc")
+def leave_one_out_radius(d: Spark) -> str:
+    """Sources of pages told by the class whose pages are nearest on average, letter pairs as roots of shares, leaving out the page and its neighbours up to 0, 10 or 30 places away; how often that is right, against the nearest page beyond the radius and the most common source.
+
+    Mean square distances follow from sums of classes, less those of the neighbours: pairs are formed inside the radius only.
+    """
+    best = "row_number() over (partition by lang, r, radius order by round((t - near_) / (k - near_n), 9) desc, other) as nth"
+    return f"""with p as (select lang, source, run, place, run * {RUN} + place as r, grams from {{pg}}), v as (select p.lang, p.source, p.r, c.g, sqrt(c.c / p.grams) as x from p join {{pc}} c on c.lang = p.lang and c.run = p.run and c.place = p.place),
+        classes as (select lang, source, g, sum(x) as s from v group by lang, source, g), sizes as (select lang, source, count(*) as k from p group by lang, source),
+        whole as (select v.lang, v.r, c.source as other, sum(v.x * c.s) as t from v join classes c on c.lang = v.lang and c.g = v.g group by v.lang, v.r, c.source),
+        blocks as (select *, cast(floor(r / {RUN}.0e0) as bigint) as block from v),
+        dots as (select a.lang, a.r, b.r as q, sum(a.x * b.x) as s from (select * from blocks {d.each('block - 1', 'block + 1', 'beside')}) a join blocks b on b.lang = a.lang and b.g = a.g and b.block = a.beside and b.r between a.r - 30 and a.r + 30 group by a.lang, a.r, b.r),
+        beside as (select a.lang, a.r, b.source as other, b.r as q from (select * from p {d.each('run - 1', 'run + 1', 'next_')}) a join p b on b.lang = a.lang and b.run = a.next_ and b.r between a.r - 30 and a.r + 30),
+        near as (select n.lang, n.r, n.other, n.q, coalesce(s, 0.0e0) as s from beside n left join dots o on o.lang = n.lang and o.r = n.r and o.q = n.q),
+        sums as (select lang, r, other, radius, sum(case when abs(q - r) <= radius then s else 0.0e0 end) as near_, sum(case when abs(q - r) <= radius then 1 else 0 end) as near_n from (select n.*, radius from near n join (select 0 as radius union all select 10 union all select 30) z on 1 = 1) y group by lang, r, other, radius),
+        scored as (select w.lang, w.r, w.other, z.radius, t, k, coalesce(near_, 0.0e0) as near_, coalesce(near_n, 0) as near_n from whole w join sizes z0 on z0.lang = w.lang and z0.source = w.other join (select 0 as radius union all select 10 union all select 30) z on 1 = 1 left join sums s on s.lang = w.lang and s.r = w.r and s.other = w.other and s.radius = z.radius),
+        told as (select lang, r, radius, other, classes_ from (select *, {best}, count(*) over (partition by lang, r, radius) as classes_ from scored where k > near_n) b where nth = 1 and classes_ >= 2),
+        beyond as (select t.lang, t.r, t.radius, coalesce(a.source, b.source) as source from told t left join p a on a.lang = t.lang and a.r = t.r - t.radius - 1 left join p b on b.lang = t.lang and b.r = t.r + t.radius + 1),
+        common as (select lang, max(k) * 1.0e0 / sum(k) as share from sizes group by lang)
+        select t.lang, t.radius, count(*) as pages, round(avg(case when t.other = p.source then 1.0e0 else 0.0e0 end), 6) as right_share, round(avg(case when b.source = p.source then 1.0e0 when b.source is not null then 0.0e0 end), 6) as nearest_share, round(max(share), 6) as common_share
+        from told t join p on p.lang = t.lang and p.r = t.r join beyond b on b.lang = t.lang and b.r = t.r and b.radius = t.radius join common c on c.lang = t.lang group by t.lang, t.radius"""
+
+
 @plan("orders", "customer")
 def gini(d: Spark) -> str:
     """Gini coefficient of order values by market segment; no value below 0."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from glyphmill.functions.dialect import Spark, poisson
 from glyphmill.plans import plan
 from glyphmill.plans.information import dealt, mi
+from glyphmill.plans.recency import ahead, close
 
 
 def _lag_profile(unit: str, lags: range) -> str:
@@ -62,14 +63,14 @@ def t4c_line_cycle(d: Spark) -> str:
         select p.lang, p.k, round(sum(cos) / sum(mean_), 6) as ratio, count(*) as n from pairs p join means on means.doc_id = p.doc_id group by p.lang, p.k"""
 
 
-def _recency(near: bool) -> str:
+def _recency(d: Spark, near: bool) -> str:
     """Repeats at distances 2 to 40 in pages of ten words and more over exact expectations."""
     page = "select doc_id, lang, tok, count(*) as k, sum(count(*)) over (partition by doc_id) as n from {tp} group by doc_id, lang, tok"
     if near:
-        hits = "select x.doc_id, x.lang, y.idx - x.idx as dist from {tp} x join {ed1} e on x.tok = e.a join {tp} y on x.doc_id = y.doc_id and y.tok = e.b and y.idx between x.idx + 2 and x.idx + 40"
+        hits = close(d, "{tp}", "y.tok = e.b", extra="join {ed1} e on e.a = x.tok")
         chance = f"select x.doc_id, x.lang, max(x.n) as n, sum(x.k * y.k * 1.0e0) / (max(x.n) * (max(x.n) - 1.0e0)) as p from ({page}) x join {{ed1}} e on x.tok = e.a join ({page}) y on x.doc_id = y.doc_id and y.tok = e.b group by x.doc_id, x.lang"
     else:
-        hits = "select x.doc_id, x.lang, y.idx - x.idx as dist from {tp} x join {tp} y on x.doc_id = y.doc_id and x.tok = y.tok and y.idx between x.idx + 2 and x.idx + 40"
+        hits = close(d, "{tp}")
         chance = f"select doc_id, lang, max(n) as n, sum(k * (k - 1.0e0)) / (max(n) * (max(n) - 1.0e0)) as p from ({page}) q group by doc_id, lang"
     return f"with seen as (select lang, dist, count(*) * 1.0e0 as hits from ({hits}) h join (select doc_id as d_, count(*) as m from {{tp}} group by doc_id) s on h.doc_id = s.d_ where m >= 10 group by lang, dist), chance_pages as ({chance}), "
 
@@ -81,26 +82,27 @@ def _recency_ratio(d: Spark) -> str:
 @plan("tp")
 def t6a_recency(d: Spark) -> str:
     """Exact repeats by distance, over chance."""
-    return _recency(False) + _recency_ratio(d) + "select lang, dist, round(ratio, 6) as ratio from ratios"
+    return _recency(d, False) + _recency_ratio(d) + "select lang, dist, round(ratio, 6) as ratio from ratios"
 
 
 @plan("tp")
 def t6a_decay(d: Spark) -> str:
     """Mean ratio of near distances (2-5) less that of far ones (21-40)."""
-    return _recency(False) + _recency_ratio(d) + "select lang, round(avg(case when dist <= 5 then ratio end) - avg(case when dist >= 21 then ratio end), 6) as decay from ratios group by lang"
+    return _recency(d, False) + _recency_ratio(d) + "select lang, round(avg(case when dist <= 5 then ratio end) - avg(case when dist >= 21 then ratio end), 6) as decay from ratios group by lang"
 
 
 @plan("tp", "ed1")
 def t6a_near(d: Spark) -> str:
     """The same for words one edit apart."""
-    return _recency(True) + _recency_ratio(d) + "select lang, round(avg(case when dist <= 5 then ratio end) - avg(case when dist >= 21 then ratio end), 6) as decay, round(avg(ratio), 6) as mean_ratio from ratios group by lang"
+    return _recency(d, True) + _recency_ratio(d) + "select lang, round(avg(case when dist <= 5 then ratio end) - avg(case when dist >= 21 then ratio end), 6) as decay, round(avg(ratio), 6) as mean_ratio from ratios group by lang"
 
 
 @plan("acts")
 def event_recency(d: Spark) -> str:
     """Repeats of event types by distance in a user's events, over chance."""
+    block = "cast(floor(idx / 20.0e0) as bigint)"
     page = "select user_id, tok, count(*) as k, sum(count(*)) over (partition by user_id) as n from {acts} group by user_id, tok"
-    return f"""select cast(s.dist as bigint) as dist, round(s.hits / e.e, 6) as ratio from (select y.idx - x.idx as dist, count(*) * 1.0e0 as hits from {{acts}} x join {{acts}} y on x.user_id = y.user_id and x.tok = y.tok and y.idx between x.idx + 1 and x.idx + 20 group by y.idx - x.idx) s
+    return f"""select cast(s.dist as bigint) as dist, round(s.hits / e.e, 6) as ratio from (select y.idx - x.idx as dist, count(*) * 1.0e0 as hits from (select * from (select *, {block} as block from {{acts}}) b {d.each('block', 'block + 1', 'near')}) x join (select *, {block} as block from {{acts}}) y on x.user_id = y.user_id and x.tok = y.tok and y.block = x.near and y.idx between x.idx + 1 and x.idx + 20 group by y.idx - x.idx) s
         join (select dist, sum(greatest(n - dist, 0) * p) as e from (select n, p, dist from (select user_id, max(n) as n, sum(k * (k - 1.0e0)) / (max(n) * (max(n) - 1.0e0)) as p from ({page}) q where n > 1 group by user_id) w {d.each('1', '20', 'dist')}) z group by dist) e on s.dist = e.dist"""
 
 
@@ -216,7 +218,9 @@ def e1_boundary_recency(d: Spark) -> str:
     return f"""with w as ({words}), k as (select doc_id, cls, tok, count(*) * 1.0e0 as k from w group by doc_id, cls, tok), n as (select doc_id, cls, sum(k) as n from k group by doc_id, cls),
         s as (select x.doc_id, x.cls as cx, y.cls as cy, sum(x.k * (y.k - case when x.cls = y.cls then 1 else 0 end)) as same from k x join k y on x.doc_id = y.doc_id and x.tok = y.tok group by x.doc_id, x.cls, y.cls),
         e as (select a.doc_id, a.cls as cx, b.cls as cy, coalesce(s.same, 0.0e0) / nullif(a.n * (b.n - case when a.cls = b.cls then 1 else 0 end), 0.0e0) as p from n a join n b on a.doc_id = b.doc_id left join s on s.doc_id = a.doc_id and s.cx = a.cls and s.cy = b.cls),
-        q as (select x.lang, x.doc_id, case when x.line_no = y.line_no then 'same_line' else 'cross_line' end as kind, x.cls as cx, y.cls as cy, count(*) as pairs, sum(case when x.tok = y.tok then 1.0e0 else 0.0e0 end) as hits from (select * from w {d.each('2', '40', 'dist')}) x join w y on x.doc_id = y.doc_id and y.idx = x.idx + x.dist group by x.lang, x.doc_id, case when x.line_no = y.line_no then 'same_line' else 'cross_line' end, x.cls, y.cls)
+        o as (select lang, doc_id, case when line_x = line_y then 'same_line' else 'cross_line' end as kind, cx, cy, count(*) as pairs from (select lang, doc_id, substr(x, 1, 2) as cx, substr(y, 1, 2) as cy, substr(x, 3) as line_x, substr(y, 3) as line_y from ({ahead(d, 'w', "concat(cls, cast(line_no as string))", 'lang, doc_id')}) a) b group by lang, doc_id, case when line_x = line_y then 'same_line' else 'cross_line' end, cx, cy),
+        h as (select doc_id, kind, cx, cy, count(*) * 1.0e0 as hits from ({close(d, 'w', columns="x.doc_id, case when x.line_no = y.line_no then 'same_line' else 'cross_line' end as kind, x.cls as cx, y.cls as cy")}) c group by doc_id, kind, cx, cy),
+        q as (select o.*, coalesce(hits, 0.0e0) as hits from o left join h on h.doc_id = o.doc_id and h.kind = o.kind and h.cx = o.cx and h.cy = o.cy)
         select q.lang, q.kind, cast(sum(q.pairs) as bigint) as pairs, round(sum(q.hits) / nullif(sum(q.pairs * e.p), 0.0e0), 6) as ratio from q join e on q.doc_id = e.doc_id and q.cx = e.cx and q.cy = e.cy group by q.lang, q.kind"""
 
 

@@ -133,20 +133,24 @@ def break_and_inner_mi(d: Spark) -> str:
     return f"select lang, kind, n, round(mi, 6) as mi from ({mi(f'{across} union all {inner}', 'lang, kind')}) q"
 
 
+#: Pairs of words with their counts, those of both words, and of their language, by sums that are joined back: a language is no task of its own.
+PAIR_COUNTS = """select p.lang, p.a, p.b, c, ca, cb, n from (select lang, a, b, count(*) * 1.0e0 as c from {pr} group by lang, a, b) p join (select lang, a, count(*) * 1.0e0 as ca from {pr} group by lang, a) x on x.lang = p.lang and x.a = p.a
+    join (select lang, b, count(*) * 1.0e0 as cb from {pr} group by lang, b) y on y.lang = p.lang and y.b = p.b join (select lang, count(*) * 1.0e0 as n from {pr} group by lang) z on z.lang = p.lang"""
+
+
 @plan("pr")
 def pmi_by_edit_distance(d: Spark) -> str:
     """What pairs at edit distance 0, 1, 2 and beyond add to the information of neighbours."""
     ed = f"case when a = b then 0 when {d.within('a', 'b', 1)} then 1 when {d.within('a', 'b', 2)} then 2 else 3 end"
     return f"""select lang, cast(ed as bigint) as ed, cast(sum(c) as bigint) as pairs, round(sum(c / n * log2(c * n / (ca * cb))), 6) as part from (
-        select lang, {ed} as ed, c, ca, cb, n from (select lang, a, b, c, sum(c) over (partition by lang, a) as ca, sum(c) over (partition by lang, b) as cb, sum(c) over (partition by lang) as n from (select lang, a, b, count(*) * 1.0e0 as c from {{pr}} group by lang, a, b) q) z) y group by lang, ed"""
+        select lang, {ed} as ed, c, ca, cb, n from ({PAIR_COUNTS}) z) y group by lang, ed"""
 
 
 @plan("pr")
 def collocations(d: Spark) -> str:
     """The 20 pairs of each language, met five times or more, with the most pointwise information."""
-    return """select lang, a, b, cast(c as bigint) as n, round(score, 6) as score from (select *, row_number() over (partition by lang order by round(score, 6) desc, a, b) as r from (
-        select lang, a, b, c, c * log2(c * n / (ca * cb)) as score from (
-          select lang, a, b, c, sum(c) over (partition by lang, a) as ca, sum(c) over (partition by lang, b) as cb, sum(c) over (partition by lang) as n from (select lang, a, b, count(*) * 1.0e0 as c from {pr} group by lang, a, b) q) z where c >= 5) y) x where r <= 20"""
+    return f"""select lang, a, b, cast(c as bigint) as n, round(score, 6) as score from (select *, row_number() over (partition by lang order by round(score, 6) desc, a, b) as r from (
+        select lang, a, b, c, c * log2(c * n / (ca * cb)) as score from ({PAIR_COUNTS}) z where c >= 5) y) x where r <= 20"""
 
 
 @plan("pr")

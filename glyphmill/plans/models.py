@@ -81,7 +81,7 @@ def grille_text(d: Spark) -> str:
     """Words of table cells that a grille shows, moved a row each line: prefix, middle and suffix from hashes of the cell."""
     part = lambda p, col: f"substr('{p}', cast({d.hash32(f'concat({chr(39)}{p[:2]}{chr(39)}, cast((r + line_no) % 12 as string), {chr(39)}:{chr(39)}, cast((c + {col}) % 9 as string))')} % {len(p) // 2} as int) * 2 + 1, 2)"
     cells = f"select lang, line_no, cast({d.hash32('cast(doc_id as string)')} % 12 as bigint) as r, c from (select doc_id, lang, cast(line_no as bigint) as line_no, cast({d.size('words')} as bigint) - 1 as m from {{ln}}) q {d.each('0', 'm', 'c')}"
-    return f"select lang, w, count(*) as n from (select lang, concat({part('thanonreinho', 0)}, {part('erolneste', 1)[:0] + part('erolnest', 1)}, {part('edlyisen', 2)}) as w from ({cells}) z) y group by lang, w"
+    return f"select lang, w, count(*) as n from (select lang, concat({part('thanonreinho', 0)}, {part('erolnest', 1)}, {part('edlyisen', 2)}) as w from ({cells}) z) y group by lang, w"
 
 
 @plan("tk", "ty")
@@ -98,7 +98,7 @@ def device_text(d: Spark) -> str:
 def homophones(d: Spark) -> str:
     """Letters enciphered by signs, as many for a letter as its frequency asks, picked by a hash of the place."""
     letters = f"select tok, n, i, substr(tok, cast(i as int), 1) as sym from (select tok, n, cast(length(tok) as bigint) as m from {{types}}) q {d.each('1', 'm', 'i')}"
-    return f"""with l as ({letters}), k as (select sym, greatest(1, cast(round(60.0e0 * sum(n) / max(t)) as bigint)) as signs from (select sym, n, sum(n) over (partition by 1) as t from l) z group by sym)
+    return f"""with l as ({letters}), k as (select sym, greatest(1, cast(round(60.0e0 * n / t) as bigint)) as signs from (select sym, sum(n) as n from l group by sym) z join (select sum(n) as t from l) y on 1 = 1)
         select sign, cast(sum(n) as bigint) as n from (select l.n, concat(l.sym, cast({d.hash32("concat(l.tok, ':', cast(l.i as string))")} % k.signs as string)) as sign from l join k on l.sym = k.sym) y group by sign"""
 
 
@@ -119,4 +119,5 @@ def drift_weights(d: Spark) -> str:
 def keyed_sample(d: Spark) -> str:
     """A tenth of the tokens by a hash, and the hundred of each language that it puts first."""
     key = "concat('s', cast(doc_id as string), ':', cast(line_no as string), ':', cast(pos as string))"
-    return f"select lang, sum(case when u < 0.1e0 then 1 else 0 end) * 1.0e0 as tenth, sum(case when r <= 100 then length(tok) else 0 end) * 1.0e0 as letters from (select lang, tok, u, row_number() over (partition by lang order by u, k_) as r from (select lang, tok, {d.u(key)} as u, {key} as k_ from {{tk}}) q) z group by lang"
+    first = f"select lang, sum(length(tok)) as letters from (select lang, tok, row_number() over (partition by lang order by u, k_) as r from (select lang, tok, u, k_ from (select lang, tok, u, k_, row_number() over (partition by lang, substr(k_, length(k_), 1), substr(md5(k_), 32, 1) order by u, k_) as near from t) n where near <= 100) m) z where r <= 100 group by lang"
+    return f"with t as (select lang, tok, {d.u(key)} as u, {key} as k_ from {{tk}}) select a.lang, tenth, letters * 1.0e0 as letters from (select lang, sum(case when u < 0.1e0 then 1 else 0 end) * 1.0e0 as tenth from t group by lang) a join ({first}) b on b.lang = a.lang"

@@ -106,6 +106,19 @@ PAGE_WORDS, RUN = 100, 32
 STEPS = (-48, 8)
 
 
+def integrand(d: Spark, rows: str) -> str:
+    """rows with ni, nj and q, once for each of STEPS as s, with term: the sum of terms over s, halved and in nats, is what one cell adds to the divergence of two draws of ni and nj from a distribution that gives it q, on average.
+
+    The expectation of x ln x for x = X/n with X binomial is an integral over ln t of E[x] exp(-t) - E[x exp(-tx)], whose
+    terms have closed forms; those of both draws and their mean together leave one smooth integrand, which even steps sum
+    to ten digits. So the floor of a divergence is exact, without draws.
+    """
+    steps = f"select *, exp(s / 2.0e0) * (ni + nj) as t from ({rows}) h {d.each(f'({STEPS[0]})', str(STEPS[1]), 's')}"
+    waned = f"select *, exp(-t / (2 * ni)) as ei, exp(-t / (2 * nj)) as ej from ({steps}) v"
+    mixed = f"select *, 1 - q + q * ei as ai, 1 - q + q * ej as aj, 1 - q + q * ei * ei as bi, 1 - q + q * ej * ej as bj from ({waned}) w"
+    return f"select *, q / 2 * (ei * power(ai, ni - 1) * power(aj, nj) + ej * power(ai, ni) * power(aj, nj - 1) - ei * ei * power(bi, ni - 1) - ej * ej * power(bj, nj - 1)) as term from ({mixed}) x"
+
+
 # Relations that a session keeps have no WITH, by which Spark would not know them again.
 
 
@@ -135,12 +148,7 @@ def pc(d: Spark) -> str:
 
 @relation("pg", "pc")
 def xs(d: Spark) -> str:
-    """Divergence of letter pairs of every two pages of a run, less what two draws from their pooled pairs give on average.
-
-    The expectation of x ln x for x = X/n with X binomial is an integral over ln t of E[x] exp(-t) - E[x exp(-tx)], whose
-    terms have closed forms; those of both pages and their mean together leave one smooth integrand, which even steps sum
-    to ten digits. So the floor is exact, without draws, and follows from how many pairs have a pooled count of k.
-    """
+    """Divergence of letter pairs of every two pages of a run, less what two draws from their pooled pairs give on average; that follows from how many pairs have a pooled count of k."""
     pairs = "select a.lang, a.run, a.place as i, b.place as j, a.grams as ni, b.grams as nj from {pg} a join {pg} b on a.lang = b.lang and a.run = b.run and a.place < b.place"
     both = f"""select lang, run, i, j, ni, nj, g, sum(ci) as ci, sum(cj) as cj from (
         select p.lang, p.run, i, j, ni, nj, g, c as ci, 0.0e0 as cj from ({pairs}) p join {{pc}} c on c.lang = p.lang and c.run = p.run and c.place = p.i
@@ -148,11 +156,7 @@ def xs(d: Spark) -> str:
     mean = "(ci / ni + cj / nj)"
     seen = f"case when ci > 0 then ci / ni * log2(2 * ci / ni / {mean}) else 0.0e0 end + case when cj > 0 then cj / nj * log2(2 * cj / nj / {mean}) else 0.0e0 end"
     counted = f"select lang, run, i, j, ni, nj, ci + cj as k, count(*) as m, sum({seen}) / 2 as seen from ({both}) s group by lang, run, i, j, ni, nj, ci + cj"
-    steps = f"select *, k / (ni + nj) as q, exp(s / 2.0e0) * (ni + nj) as t from ({counted}) h {d.each(f'({STEPS[0]})', str(STEPS[1]), 's')}"
-    waned = f"select *, exp(-t / (2 * ni)) as ei, exp(-t / (2 * nj)) as ej from ({steps}) v"
-    mixed = f"select *, 1 - q + q * ei as ai, 1 - q + q * ej as aj, 1 - q + q * ei * ei as bi, 1 - q + q * ej * ej as bj from ({waned}) w"
-    term = "q / 2 * (ei * power(ai, ni - 1) * power(aj, nj) + ej * power(ai, ni) * power(aj, nj - 1) - ei * ei * power(bi, ni - 1) - ej * ej * power(bj, nj - 1))"
-    return f"select lang, run, i, j, sum(case when s = {STEPS[1]} then seen else 0.0e0 end) - sum(m * {term}) / 2 / ln(2.0e0) as x from ({mixed}) x group by lang, run, i, j"
+    return f"select lang, run, i, j, sum(case when s = {STEPS[1]} then seen else 0.0e0 end) - sum(m * term) / 2 / ln(2.0e0) as x from ({integrand(d, f'select *, k / (ni + nj) as q from ({counted}) h')}) x group by lang, run, i, j"
 
 
 @relation("lw")
