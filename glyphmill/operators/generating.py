@@ -174,7 +174,7 @@ def deck_text(ln: DataFrame) -> DataFrame:
         return syllables[d.below(len(syllables))] + (syllables[d.below(len(syllables))] if len(letters) > 1 else "")
 
     def line(words, doc_id: int, line_no: int) -> str:
-        text, d = "".join(c for w in words for c in w if "a" <= c <= "z"), Draws("deck", doc_id, line_no)
+        text, d = "".join(words), Draws("deck", doc_id, line_no)
         cards, out, i = [], [], 0
         while i < len(text):
             if not cards:
@@ -196,9 +196,9 @@ def deck_text(ln: DataFrame) -> DataFrame:
 
 
 def _letter_tables(tk: DataFrame, order: int) -> dict[tuple[str, str], tuple[list[str], list[float]]]:
-    grams = tk.where("tok rlike '^[a-z]+$'").select("lang", F.explode(F.expr(f"transform(sequence(1, length(tok) + 1), i -> substr(concat(repeat('^', {order}), tok, '$'), i, {order + 1}))")).alias("g")).groupBy("lang", "g").agg(F.count(F.lit(1)).alias("n"))
+    grams = tk.select("lang", F.explode(F.expr(f"transform(sequence(1, length(tok) + 1), i -> substr(concat(repeat('^', {order}), tok, '$'), i, {order + 1}))")).alias("g")).groupBy("lang", "g").agg(F.count(F.lit(1)).alias("n"))
     tables: dict[tuple[str, str], tuple[list[str], list[float]]] = {}
-    for lang, g, n in _small(grams.where("n >= 2").orderBy("lang", "g")).itertuples(index=False):
+    for lang, g, n in _small(grams.orderBy("lang", "g")).itertuples(index=False):
         symbols, weights = tables.setdefault((lang, g[:-1]), ([], []))
         symbols.append(g[-1])
         weights.append(float(n))
@@ -327,7 +327,7 @@ def verbose_text(ln: DataFrame, spaces: str = "nsty") -> DataFrame:
 
     def line(words) -> str:
         out, last = [], "^"
-        for c in "".join(c for w in words for c in w if "a" <= c <= "z"):
+        for c in "".join(words):
             group = signs[Draws("verbose", c, Draws("pick", last, c).below(HOMOPHONES)).below(len(signs))] + ("n" if c in "aeiou" else "")
             out.append(group)
             last = group[-1]

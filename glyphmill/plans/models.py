@@ -68,12 +68,20 @@ def bigrams_known(d: Spark) -> str:
     return "select t.lang, count(*) as pairs, round(avg(case when k.a is null then 0.0e0 else 1.0e0 end), 6) as known from (select distinct lang, a, b from {pr} where doc_id % 2 = 1) t left join (select distinct lang, a, b from {pr} where doc_id % 2 = 0) k on t.lang = k.lang and t.a = k.a and t.b = k.b group by t.lang"
 
 
-@plan("tk")
+@plan("tp")
 def poured_text(d: Spark) -> str:
-    """The words of one language poured in order into the line lengths of another's pages; what becomes of letters at line ends."""
-    words = "select tok, row_number() over (order by doc_id, line_no, pos) - 1 as r from {tk} where lang = 'fr'"
-    lines = "select doc_id, line_no, n, sum(n) over (order by doc_id, line_no rows between unbounded preceding and current row) - n as start from (select distinct doc_id, line_no, n_line as n from {tk} where lang = 'es') q"
-    return f"select right(w.tok, 1) as sym, count(*) as n, sum(case when w.r = l.start + l.n - 1 then 1 else 0 end) * 1.0e0 as at_end from ({words}) w join ({lines}) l on w.r >= l.start and w.r < l.start + l.n group by right(w.tok, 1)"
+    """The words of each language poured in order into the lines of the next one's pages, again from the start where they run out; what becomes of letters at line ends.
+
+    A word's place in its language is its place on the page after the words of the pages before, counted by blocks of ids:
+    no language is one task, and words meet places by equality.
+    """
+    pages = "select lang, doc_id, cast(floor(doc_id / 4096.0e0) as bigint) as block, count(*) as n from {tp} group by lang, doc_id"
+    blocks = "select lang, block, sum(sum(n)) over (partition by lang order by block) - sum(n) as before from pages group by lang, block"
+    offsets = "select p.lang, p.doc_id, before + sum(n) over (partition by p.lang, p.block order by doc_id) - n as start from pages p join blocks b on b.lang = p.lang and b.block = p.block"
+    return f"""with pages as ({pages}), blocks as ({blocks}), offsets as ({offsets}), sizes as (select lang, sum(n) as total from pages group by lang),
+        turn as (select lang, coalesce(lead(lang) over (order by lang), min(lang) over ()) as layout, total from sizes),
+        w as (select t.lang, cast(start + idx as bigint) as r, tok, case when pos = n_line - 1 then 1.0e0 else 0.0e0 end as final_ from {{tp}} t join offsets o on o.lang = t.lang and o.doc_id = t.doc_id)
+        select x.lang, x.layout, right(s.tok, 1) as sym, count(*) as n, sum(final_) as at_end from (select t.lang, t.layout, cast(w.r % t.total as bigint) as r, final_ from w join turn t on t.layout = w.lang) x join (select lang, r, tok from w) s on s.lang = x.lang and s.r = x.r group by x.lang, x.layout, right(s.tok, 1)"""
 
 
 @plan("ln")
