@@ -534,6 +534,18 @@ def test_chance_repeats_from_many_documents_stay(spark):
     assert got == {2: [(12, [1])], 3: [(20, [1, 2])]}
 
 
+def test_rows_of_one_id_lose_their_own_repeats(spark):
+    """Rows of one id with different texts: what one holds is not cut out of the other."""
+    a, b = " ".join(f"w{k}" for k in range(30)) + ".", " ".join(f"v{k}" for k in range(40)) + "."
+    df = spark.createDataFrame([(0, a), (1, a), (1, b), (2, b), (2, b), (None, a)], "doc_id bigint, text string").repartition(3)
+    got = [(r.doc_id, r.text) for r in substring_dedup.remove_passages(df, whole=20).collect()]
+    assert sorted(got, key=repr) == sorted([(0, a), (1, ""), (1, b), (2, ""), (2, ""), (None, a)], key=repr)
+    found = substring_dedup.repeated_passages(df, whole=20).collect()
+    assert sorted((r.doc_id, len(r.removed)) for r in found) == [(1, 1), (2, 1)]
+    alone = substring_dedup.repeated_passages(df.where("doc_id <> 1 or text like 'w%'"), whole=20).collect()
+    assert {r["copy"] for r in alone} == {0}
+
+
 def test_op5_query(spark, docs):
     path = new_path(spark, "test")
     docs.write.parquet(f"{path}/documents.parquet")
@@ -911,6 +923,17 @@ def test_wrapped_notices(spark):
     assert sorted(got[5]) == [(0, 3, "all-rights-reserved"), (3, 6, "all-rights-reserved")]
 
 
+@pytest.mark.parametrize("blank", ["\n\n", "\r\n\r\n", "\n \t\n", "\n\n\n", "\n\u000b\n"])
+def test_paragraphs_end_at_lines_of_space(spark, blank):
+    """Words of a long template, one in a paragraph, are not that template, whatever the blank lines are made of."""
+    text, label = max(license_scan.TEMPLATES, key=lambda t: len(set(t[0].split())))
+    assert len(set(text.split())) > license_scan.LONG
+    own = text.split()
+    df = spark.createDataFrame([(0, blank.join(own)), (1, " ".join(own)), (2, "x\n" + " ".join(own) + blank + "y")], "doc_id bigint, text string")
+    got = {r.doc_id: {f["label"] for f in r.found} for r in license_scan.scan_licenses(df).collect()}
+    assert label not in got[0] and label in got[1] and label in got[2]
+
+
 # --- queries ---
 
 
