@@ -79,7 +79,7 @@ def brute_path(e: np.ndarray, most: int) -> list[list[int]]:
 
 def distances(n: int, kind: str, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
-    where = {"steps": (np.arange(n) >= n // 3) * 1.0 + (np.arange(n) >= 2 * n // 3), "line": np.arange(n) * 3.0 / n, "none": rng.normal(size=n)}[kind]
+    where = {"steps": (np.arange(n) >= n // 2) * 1.0, "line": np.arange(n) * 3.0 / n, "none": rng.normal(size=n)}[kind]
     e = np.abs(where[:, None] - where[None, :]) + rng.normal(size=(n, n)) * 0.05
     return np.triu(e, 1) + np.triu(e, 1).T
 
@@ -97,12 +97,12 @@ def test_cuts_against_least_squares(kind):
 
 
 def test_steps_and_slopes_are_told_apart(spark):
-    rows = [(kind, 0, i, j, float(e[i, j])) for kind in ("steps", "line") for e in [distances(20, kind, 1)] for i in range(20) for j in range(i + 1, 20)]
+    rows = [(kind, 0, i, j, float(e[i, j])) for kind in ("steps", "line") for e in [distances(30, kind, 1)] for i in range(30) for j in range(i + 1, 30)]
     rows += [("few", 0, 0, 1, 0.5)]
     got = {r.lang: r for r in cutting.drift_segmentation(spark.createDataFrame(rows, "lang string, run bigint, i bigint, j bigint, x double")).collect()}
     assert set(got) == {"steps", "line"}
     assert got["steps"].shape < 0.7 < 1.2 < got["line"].shape
-    assert got["steps"].cuts.split(",")[:2] == ["6", "13"] and got["steps"].pages == 20
+    assert "15" in got["steps"].cuts.split(",") and got["steps"].pages == 30
 
 
 def test_the_fit_is_the_best_of_the_grid(spark):
