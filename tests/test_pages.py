@@ -58,3 +58,26 @@ def test_digests():
         assert [f"{a:016x}{b:016x}" for a, b in digests(np.array(keys)).tolist()] == [hashlib.md5(k).hexdigest() for k in keys]
     keys = np.array([b"x", b"y", b"z", b"y", b"w"])
     assert keys[by_digest(keys, np.array([0, 0, 0, 1, 1]))].tolist() == [*sorted([b"x", b"y", b"z"], key=lambda k: hashlib.md5(k).digest()), *sorted([b"y", b"w"], key=lambda k: hashlib.md5(k).digest())]
+
+
+def test_edit_distances():
+    import numpy as np
+
+    from glyphmill.operators.distances import Edits
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            new = [i]
+            for j, e in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != e)))
+            row = new
+        return row[-1]
+
+    rng = np.random.default_rng(2)
+    for letters in ("abcdé", [chr(k) for k in range(97, 900)]):
+        words = ["".join(rng.choice(list(letters), size=int(n))) for n in rng.integers(0, 19, 90)] + ["", "abc" * 21 + "a", "abd" * 22, "x" * 200, "\U0001d400a"]
+        x, y = (k.ravel() for k in np.meshgrid(np.arange(len(words)), np.arange(len(words))))
+        assert Edits(words).of(x, y).tolist() == [plain(words[a], words[b]) for a, b in zip(x, y, strict=True)]
+    none = np.zeros(0, dtype=np.int64)
+    assert not len(Edits([]).of(none, none))
