@@ -81,3 +81,20 @@ def test_edit_distances():
         assert Edits(words).of(x, y).tolist() == [plain(words[a], words[b]) for a, b in zip(x, y, strict=True)]
     none = np.zeros(0, dtype=np.int64)
     assert not len(Edits([]).of(none, none))
+
+
+@pytest.mark.parametrize("name", ["hellinger", "jsd_by_relation", "page_jsd_matrix"])
+def test_pairs_of_blocks(spark, tmp_path, monkeypatch, name):
+    """Several blocks of a source, rare letters, pages without a letter in common, nulls."""
+    import random
+
+    from glyphmill.operators import pairs
+
+    monkeypatch.setattr(pairs, "BLOCK", 4)
+    r = random.Random(4)
+    kinds = ["abcde", "abcxyzéœ", "αβγδ", "abcdeж"]
+    pages = [(k * 7 - 40, " ".join(r.choices(r.choice(kinds), k=r.choice([199, 200, 340]))) + " q" * (k == 5), r.choice(["en", "fr", None]), r.choice(["a", "a", "b", None])) for k in range(60)]
+    spark.createDataFrame(pages, "doc_id bigint, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = run_tables(spark, str(tmp_path), name)
+    assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().toString()
+    assert rows(found.toPandas()) == rows(theirs(tmp_path, name))
