@@ -40,3 +40,74 @@ def test_rows_of_words(spark, sf, odd, name):
 
 def test_pages_of_one_id(spark, odd):
     assert "FlatMapGroupsInPandas" in QUERIES["recency_text"](spark, str(odd / "twice"))._jdf.queryExecution().toString()
+
+
+def enciphered(monkeypatch, name, *columns):
+    """Texts that a cipher's UDF gives for columns, and how many streams of draws it began."""
+    import pandas as pd
+
+    found, begun = [], []
+
+    class Functions:
+        def pandas_udf(self, kind):
+            return lambda f: found.append(f) or (lambda *names: self)
+
+        def __getattr__(self, name):
+            return lambda *x: self
+
+    class Counted(generating.Draws):
+        def __init__(self, *key):
+            begun.append(key)
+            super().__init__(*key)
+
+    monkeypatch.setattr(generating, "F", Functions())
+    monkeypatch.setattr(generating, "Draws", Counted)
+    getattr(generating, name)(Functions())
+    return list(found[0](*(pd.Series(c) for c in columns))), len(begun)
+
+
+LINES = [["the", "old", "mill"], ["été", "x" * 90], ["n"], []] * 200
+
+
+def test_verbose_cipher_draws_once_a_sign(monkeypatch):
+    draws, signs, spaces = generating.Draws, [c + v for c in "kdtlnrs" for v in "aeio"], "nsty"
+
+    def plain(words):
+        out, last = "", "^"
+        for c in "".join(words):
+            out += signs[draws("verbose", c, draws("pick", last, c).below(3)).below(28)] + ("n" if c in "aeiou" else "")
+            last = out[-1]
+        piece, pieces = "", []
+        for c in out:
+            piece += c
+            if c in spaces and len(piece) >= 3:
+                pieces.append(piece)
+                piece = ""
+        return " ".join([*pieces, piece] if piece else pieces)
+
+    found, begun = enciphered(monkeypatch, "verbose_text", LINES)
+    assert found == [plain(x) for x in LINES] and begun < 500
+
+
+def test_deck_cipher_draws_once_a_code(monkeypatch):
+    draws, syllables = generating.Draws, ["o", "ka", "di", "lu", "se", "nor", "tel", "wi", "zu", "pa", "ro", "min", "ha"]
+
+    def plain(words, doc_id, line_no):
+        text, d = "".join(words), draws("deck", doc_id, line_no)
+        cards, out, i = [], [], 0
+        while i < len(text):
+            cards = cards or d.shuffled([t for t, n in enumerate(generating.DECK) for _ in range(n)])
+            n, e = 1 if d.below(36) < generating.SINGLE else 2, draws("table", cards.pop(), text[i : i + 2])
+            if n == 1:
+                e = draws(*e.key.decode().split(":")[:2], text[i])
+            piece = syllables[e.below(13)] + (syllables[e.below(13)] if len(text[i : i + n]) > 1 else "")
+            if out and d.below(100) < generating.JOINED:
+                out[-1] += piece
+            else:
+                out.append(piece)
+            i += n
+        return " ".join(out)
+
+    docs, numbers = [k // 7 for k in range(len(LINES))], [k % 7 for k in range(len(LINES))]
+    found, begun = enciphered(monkeypatch, "deck_text", LINES, docs, numbers)
+    assert found == [plain(*x) for x in zip(LINES, docs, numbers, strict=True)] and begun < 500
