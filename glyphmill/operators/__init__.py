@@ -25,11 +25,12 @@ def run(name: str, **relations: DataFrame) -> DataFrame:
 
 def run_tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A plan over the tables in a folder. Some have a form on arrays of whole pages, with the same rows."""
-    from glyphmill.operators.pages import PAGED, alone
+    from glyphmill.operators import page_sums, pages
 
     load()
-    if name in PAGED and alone(docs := frames(spark, sf_dir, ("documents",))["documents"]):
-        return PAGED[name](spark, docs)
+    paged = pages.PAGED | page_sums.PAGED
+    if name in paged and pages.alone(docs := frames(spark, sf_dir, ("documents",))["documents"]):
+        return paged[name](spark, docs)
     return run(name, **frames(spark, sf_dir, PLANS[name][1]))
 
 
