@@ -12,7 +12,7 @@ from tests.compare import rows
 from tests.test_pages import PAGES, theirs
 
 plans.load()
-NAMES = ["e1_graded", "t1_line_break"]
+NAMES = ["e1_graded", "t1_line_break", "page_cosine"]
 SCHEMA = "doc_id bigint, text string, lang string, source string"
 
 
@@ -32,7 +32,7 @@ def odd(spark, tmp_path_factory):
 def test_rows_of_odd_pages(spark, odd, name):
     found = run_tables(spark, str(odd / "alone"), name)
     plan = found._jdf.queryExecution().toString()
-    assert ("MapInArrow" in plan or "ExistingRDD" in plan) and "posexplode" not in plan and "InMemoryRelation" not in plan
+    assert ("MapInArrow" in plan or "ExistingRDD" in plan or "FlatMapGroupsInArrow" in plan) and "posexplode" not in plan and "InMemoryRelation" not in plan
     assert rows(found.toPandas()) == rows(theirs(odd / "alone", name))
 
 
@@ -45,3 +45,19 @@ def test_pages_of_one_id(spark, odd, name):
 @pytest.mark.parametrize("name", sorted({*NAMES} & {*plans.PLANS}))
 def test_rows_of_tables(spark, duck, sf, name):
     assert rows(run_tables(spark, sf, name).toPandas()) == rows(duck.sql(plans.duck_text(name)).df())
+
+
+@pytest.mark.parametrize("sizes", [(3, 2, 4), (1024, 256, 2048)])
+def test_cosines_of_blocks(spark, tmp_path, monkeypatch, sizes):
+    """Several blocks of a source, with few and with all words in tables, and strips that end anywhere."""
+    from glyphmill.operators import pairs
+
+    monkeypatch.setattr(pairs, "BLOCK", 7)
+    for name, size in zip(("FREQUENT", "ROWS", "COLUMNS"), sizes, strict=True):
+        monkeypatch.setattr(pairs, name, size)
+    monkeypatch.setattr(pairs, "PART", 2)
+    r = random.Random(5)
+    words = ["the", "of", "été", *(f"w{chr(97 + k)}" for k in range(20))]
+    pages = [(k * 3 - 50, " ".join(r.choices(words, weights=[9, 6, 4] + [1] * 20, k=r.choice([1, 3, 9, 30]))), "en", r.choice(["a", "a", "b", None])) for k in range(70)]
+    spark.createDataFrame(pages, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(run_tables(spark, str(tmp_path), "page_cosine").toPandas()) == rows(theirs(tmp_path, "page_cosine"))
