@@ -33,8 +33,13 @@ def t2a_difference(d: Spark) -> str:
     lines = f"select doc_id, line_no, case when coalesce(lead({d.size('words')}) over (partition by doc_id order by line_no), 0) > 0 then 'margin' else 'para' end as kind from {{lw}}"
     group = f"cast({d.hash32("concat('rt', cast(t.doc_id as string))")} % {GROUPS} as bigint)"
     words = f"select t.lang, {group} as grp, least(length(tok), 8) as len, right(tok, 1) as sym, case when pos < n_line - 1 then 'inner' else kind end as kind from {{tk}} t join ({lines}) l on l.doc_id = t.doc_id and l.line_no = t.line_no where n_line >= 2 and pos > 0"
-    return f"""with c as (select lang, grp, len, sym, kind, count(*) * 1.0e0 as c from ({words}) w group by lang, grp, len, sym, kind),
-        weights as (select lang, grp, rep, case when rep = 0 then 1 else {poisson('u')} end as wt from (select lang, grp, rep, {d.u("concat('rt', lang, cast(grp as string), ':', cast(rep as string))")} as u from (select * from (select distinct lang from {{lw}}) l {d.each('0', str(GROUPS - 1), 'grp')}) g {d.each('0', str(DRAWS), 'rep')}) v),
+    return f"with c as (select lang, grp, len, sym, kind, count(*) * 1.0e0 as c from ({words}) w group by lang, grp, len, sym, kind),{t2a_ends(d, 'select distinct lang from {lw}')}"
+
+
+def t2a_ends(d: Spark, langs: str) -> str:
+    """What follows in t2a_difference() from its counts, for the languages of langs."""
+    return f"""
+        weights as (select lang, grp, rep, case when rep = 0 then 1 else {poisson('u')} end as wt from (select lang, grp, rep, {d.u("concat('rt', lang, cast(grp as string), ':', cast(rep as string))")} as u from (select * from ({langs}) l {d.each('0', str(GROUPS - 1), 'grp')}) g {d.each('0', str(DRAWS), 'rep')}) v),
         drawn as (select c.lang, rep, len, sym, sum(case when kind = 'inner' then wt * c else 0.0e0 end) as inner_, sum(case when kind = 'margin' then wt * c else 0.0e0 end) as margin, sum(case when kind = 'para' then wt * c else 0.0e0 end) as para from c join weights t on t.lang = c.lang and t.grp = c.grp group by c.lang, rep, len, sym),
         kinds as (select lang, rep, 'margin' as kind, len, sym, margin as f, inner_ as i from drawn union all select lang, rep, 'para', len, sym, para, inner_ from drawn),
         sizes as (select lang, rep, kind, len, sum(f) as nf, sum(i) as ni from kinds group by lang, rep, kind, len having sum(f) > 0 and sum(i) > 0),
