@@ -12,7 +12,7 @@ from tests.compare import rows
 from tests.test_pages import PAGES, theirs
 
 plans.load()
-NAMES = ["e1_graded", "t1_line_break", "page_cosine", "space_gain", "t2a_difference", "window_percentiles", "poured_text", "pmi_by_edit_distance", "collocations", "page_mi"]
+NAMES = ["e1_graded", "t1_line_break", "page_cosine", "space_gain", "t2a_difference", "window_percentiles", "poured_text", "pmi_by_edit_distance", "collocations", "page_mi", "leave_one_out_radius", "t7a_edits"]
 SCHEMA = "doc_id bigint, text string, lang string, source string"
 
 
