@@ -61,3 +61,34 @@ def test_cosines_of_blocks(spark, tmp_path, monkeypatch, sizes):
     pages = [(k * 3 - 50, " ".join(r.choices(words, weights=[9, 6, 4] + [1] * 20, k=r.choice([1, 3, 9, 30]))), "en", r.choice(["a", "a", "b", None])) for k in range(70)]
     spark.createDataFrame(pages, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     assert rows(run_tables(spark, str(tmp_path), "page_cosine").toPandas()) == rows(theirs(tmp_path, "page_cosine"))
+
+
+def test_merges_in_passes(spark, monkeypatch):
+    """Against merges one word at a time; no group holds all words."""
+    from collections import Counter
+
+    from glyphmill.operators import searching
+
+    r = random.Random(8)
+    words = {"".join(r.choices("aab\u00e9", k=r.randint(1, 9))): r.randint(1, 5) for _ in range(60)} | {"aaaaa": 4, "x": 1}
+    split, expected = {w: list(w) for w in words}, []
+    for step in range(24):
+        pairs, units = Counter(), Counter()
+        for w, n in words.items():
+            for p in zip(split[w], split[w][1:]):
+                pairs[p] += n
+            for u in split[w]:
+                units[u] += n
+        expected.append((step, len(units), round(sum(units.values()) / sum(words.values()), 6)))
+        best = min(pairs, key=lambda p: (-pairs[p], p))
+        for own in split.values():
+            i = 0
+            while i + 1 < len(own):
+                if (own[i], own[i + 1]) == best:
+                    own[i : i + 2] = ["".join(best)]
+                i += 1
+    monkeypatch.setattr(searching, "WRITTEN", 5)
+    found = searching.bpe_curve(spark.createDataFrame(list(words.items()), "tok string, n bigint").repartition(3), 23, 1)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+    assert [(x.merges, x.units, x.units_per_word) for x in found.orderBy("merges").collect()] == expected
+    assert searching.bpe_curve(spark.createDataFrame([], "tok string, n bigint")).count() == 0
