@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Pages of a block, at most on average, and pairs that are worked on at a time.
 BLOCK, PART = 16384, 1 << 19
+#: Pages of a block that stand together where pairs are listed by the other's pages: a multiple of 8, so that their numbers, packed in bits, come again at whole bytes.
+BESIDE = 64
 #: Texts of two blocks that have columns in a table; pages of one block, and of the other, that are compared at a time.
 FREQUENT, ROWS, COLUMNS = 1024, 256, 2048
 
@@ -46,12 +48,14 @@ class Shares:
         return {int(self.symbol[x[0]]): (self.row[x], self.share[x]) for x in parts if len(x)}
 
 
-def strips(a: Shares, b: Shares, same: bool, roots: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(pages of a, pages of b, value) of pairs that share a symbol, each pair once: with roots the sum of the roots of shares' products, else the divergence."""
+def strips(a: Shares, b: Shares, same: bool, roots: bool, listed: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(pages of a, pages of b, value) of pairs that share a symbol, each pair once: with roots the sum of the roots of shares' products, else the divergence. With listed a page of b goes with BESIDE pages of a or more, the same ones for the next, which Parquet packs to next to nothing."""
     met, n = np.unique(np.concatenate([a.symbol, b.symbol]), return_counts=True)
     common = met[n * 8 > len(a.ids) + len(b.ids)]
     p, q, left, right = a.table(common), b.table(common), a.rare(common), b.rare(common)
     rows = max(1, PART // len(b.ids))
+    if listed:
+        rows = max(BESIDE, rows // BESIDE * BESIDE)
     with_p, with_q = ((x > 0).astype(np.float32) for x in (p, q))
     hp, hq = _h(p).sum(1), _h(q).sum(1)
     by_symbol, p, q = np.ascontiguousarray(q.T), np.sqrt(p) if roots else p, np.sqrt(q) if roots else q
@@ -75,7 +79,7 @@ def strips(a: Shares, b: Shares, same: bool, roots: bool) -> Iterator[tuple[np.n
                 met[np.ix_(i, j)] = True
         if same:
             met &= np.arange(low, high)[:, None] < np.arange(first, len(b.ids))
-        i, j = np.nonzero(met)
+        i, j = np.nonzero(met.T)[::-1] if listed else np.nonzero(met)
         yield i + low, j + first, value[i, j] if roots else 1 + value[i, j] / 2
 
 

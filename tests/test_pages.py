@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 
 from glyphmill import plans
 from glyphmill.operators import run_tables
+from glyphmill.operators import pages as pages_module
 from glyphmill.operators.pages import PAGED
 from tests.compare import rows
 
@@ -98,3 +101,39 @@ def test_pairs_of_blocks(spark, tmp_path, monkeypatch, name):
     found = run_tables(spark, str(tmp_path), name)
     assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().toString()
     assert rows(found.toPandas()) == rows(theirs(tmp_path, name))
+
+
+def test_matrix_is_written_small(spark, tmp_path):
+    """Ids of pairs take next to no room, and the session's own settings of the writer stay."""
+    import random
+
+    import pyarrow.parquet as pq
+
+    r = random.Random(5)
+    pages = [(k * 3 + r.randrange(3), " ".join(r.choices("abcdefgh", k=200 + k)), "en", "a") for k in range(400)]
+    spark.createDataFrame(pages, "doc_id bigint, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    keys = [*pages_module.WRITTEN, "spark.sql.parquet.compression.codec"]
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for codec in (None, "gzip"):
+            for k in keys:
+                spark.conf.unset(k)
+            if codec:
+                spark.conf.set("spark.sql.parquet.compression.codec", codec)
+            run_tables(spark, str(tmp_path), "page_jsd_matrix").write.parquet(out := f"{tmp_path}/out_{codec}")
+            groups = [g.row_group(k) for p in Path(out).glob("*.parquet") for g in [pq.ParquetFile(p).metadata] for k in range(g.num_row_groups)]
+            columns = [g.column(k) for g in groups for k in range(4)]
+            assert {c.compression for c in columns if c.num_values} == {(codec or "zstd").upper()}
+            assert sum(g.num_rows for g in groups) == 400 * 399 // 2
+            assert sum(c.total_compressed_size for c in columns if c.path_in_schema in ("i", "j")) < 0.25 * 400 * 399 // 2
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_rounds_as_sql(spark):
+    import numpy as np
+
+    x = np.array([0.0000005, 0.1234565, 0.9999995, 0.0, -1e-17, 0.3333335, 0.0000015, 0.2500005, 1.0, *np.random.default_rng(1).random(2000)])
+    found = spark.createDataFrame([(float(v),) for v in x], "x double").selectExpr("round(x, 6) as r").toPandas()["r"]
+    assert pages_module._rounded(x).tolist() == found.tolist()
