@@ -131,6 +131,24 @@ def test_matrix_is_written_small(spark, tmp_path):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+@pytest.mark.parametrize("ids", ["alone", "twice"])
+def test_devices_draw_from_all_words(spark, tmp_path, monkeypatch, ids):
+    """Words beyond the 200 most frequent are drawn too, in lists of several parts, as counts of all words ask; languages of fewer than ten words, and nulls."""
+    import random
+
+    monkeypatch.setattr(pages_module, "PART_TOKENS", 700)
+    r = random.Random(6)
+    words = ["".join(r.choices("abcdefghiéœ", k=5)) for _ in range(900)]
+    text = lambda: "\n".join(" ".join(r.choices(words[:400], k=9) + r.choices(words, k=4) + ["zz"]) for _ in range(20))
+    pages = [(k, text(), r.choice(["en", "en", "fr", None]), "a") for k in range(40)] + [(90, "un deux trois un deux un\n" * 9, "few", "a"), (91, None, "en", "a"), (92, "", "none", "a")]
+    spark.createDataFrame(pages + pages[:1] * (ids == "twice"), "doc_id bigint, text string, lang string, source string").coalesce(3).write.parquet(f"{tmp_path}/documents.parquet")
+    found = run_tables(spark, str(tmp_path), "device_text").toPandas()
+    assert rows(found) == rows(theirs(tmp_path, "device_text"))
+    total = 14 * 20 * sum(p[2] == "en" for p in pages + pages[:1] * (ids == "twice") if p[1])
+    assert found[found.lang == "en"].n.sum() == total and found[found.lang == "en"].tok.nunique() > 500
+    assert set(found[found.lang == "few"].phase) == {1, 2, 3, 4} and "none" not in set(found.lang)
+
+
 def test_rounds_as_sql(spark):
     import numpy as np
 
